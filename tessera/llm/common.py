@@ -155,3 +155,18 @@ def row_slices(off: np.ndarray, size: int):
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
         yield lo, min(n, hi)
         lo = min(n, hi)
+
+
+def framed(raw: np.ndarray, off: np.ndarray, before: int, after: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with before and after fill bytes around each; and the n + 1 offsets of the framed texts."""
+    n = len(off) - 1
+    out = np.full(len(raw) + (before + after) * n, fill, np.uint8)
+    out[np.arange(len(raw)) + np.repeat(np.arange(n, dtype=np.int64) * (before + after) + before, np.diff(off))] = raw
+    return out, off + np.arange(n + 1) * (before + after)
+
+
+def bounded_sample(rows: DataFrame, label: str, key: str, most: int, seed: int) -> DataFrame:
+    """About most rows of each label at the most, chosen by a seeded hash of key; a label with fewer keeps all."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("_c"))
+    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(1 << 30)
+    return rows.join(counts, label).where(u * F.col("_c") < most).drop("_c")

@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import op4_exact_dedup
+from .jaccard_join import op8_jaccard_join
+from .language_id import op6_language_id
 from .mixing import op9_mixing
+from .ppm_scoring import op7_lm_scoring
 from .secrets import op2_secrets
 from .sharding import op10_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_lm_scoring": op7_lm_scoring,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
