@@ -148,13 +148,23 @@ def prefixes(words: int, percent: int, levels):
 
 
 def signature(s: np.ndarray) -> bytes:
-    bits = np.zeros(64 * SIGNATURE_WORDS, np.uint8)
-    bits[(mix64(s + np.uint64(77)) % np.uint64(len(bits))).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    """A bitmap of the set's elements, two to four bits for each (512 at least); bit i of a shorter one is the or of the longer one's bits i modulo its length."""
+    size = max(64 * SIGNATURE_WORDS, 1 << int(2 * len(s) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(mix64(s + np.uint64(77)) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def wanted_sets(words: int, wanted):
-    """k, n, items, bits of the classes in the filter (and of few others)."""
+def folded(bits: bytes, size: int) -> int:
+    while len(bits) > size:
+        half = len(bits) // 2
+        x = int.from_bytes(bits[:half], "little") | int.from_bytes(bits[half:], "little")
+        bits = x.to_bytes(half, "little")
+    return int.from_bytes(bits, "little")
+
+
+def wanted_sets(words: int, wanted, whole: bool):
+    """k, n and the items (or the signature) of the classes in the filter (and of few others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want, seen = wanted.value, set()
@@ -165,17 +175,45 @@ def wanted_sets(words: int, wanted):
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(k)
-                    rows.append((k, len(s), s.tobytes(), signature(s)))
+                    rows.append((k, len(s), s.tobytes() if whole else signature(s)))
             if rows:
-                k, n, items, bits = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, I64), pa.array(n, pa.int32()), pa.array(items, pa.binary()), pa.array(bits, pa.binary())], ["k", "n", "items", "bits"])
+                k, n, items = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k, I64), pa.array(n, pa.int32()), pa.array(items, pa.binary())], ["k", "n", "items"])
 
     return run
 
 
+def sets_of(docs: DataFrame, words: int, *classes: DataFrame, whole: bool) -> DataFrame:
+    """k, n, items for (at least) the classes named in the k and pk columns, each once."""
+    named = [c.select(F.explode(F.array("k", "pk")).alias("k")) for c in classes]
+    mask = F.lit((1 << WANTED_BITS) - 1)
+    slots = named[0].union(named[1]) if len(named) > 1 else named[0]
+    slots = slots.select(F.col("k").bitwiseAND(mask).cast("int").alias("b")).distinct().toArrow()  # 2^22 numbers at most
+    wanted = np.zeros(1 << WANTED_BITS, bool)
+    wanted[slots.column(0).to_numpy()] = True
+    found = docs.mapInArrow(wanted_sets(words, docs.sparkSession.sparkContext.broadcast(wanted), whole), "k long, n int, items binary")
+    return found.dropDuplicates(["k"])
+
+
 # ---------------------------------------------------------------- verification
 
 
+def promising(percent: int):
+    """The pairs whose signatures leave room for percent: bit counts of one without the other bound the overlap from above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "pn", "items", "p_items")), strict=True):
+                size = min(len(x), len(y))
+                a, b = folded(x, size), folded(y, size)
+                bound = min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
+                keep.append((100 + percent) * bound >= percent * (n + m))
+            yield batch.select(["k", "pk"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def verify(percent: int, near: int):
     """Pairs with both sets -> those at least near percent alike: state 2 when linked, else 1; less = |pivot - set|, delta = the symmetric difference."""
     schema = pa.schema([("k", I64), ("pk", I64), ("n", pa.int32()), ("pn", pa.int32()), ("state", pa.int32()), ("less", pa.int32()), ("delta", pa.binary())])
@@ -184,13 +222,9 @@ def verify(percent: int, near: int):
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                k, pk, x, y, bx, by = (batch.column(c)[i] for c in ("k", "pk", "items", "p_items", "bits", "p_bits"))
-                bx, by = int.from_bytes(bx.as_py(), "little"), int.from_bytes(by.as_py(), "little")
+                k, pk, x, y = (batch.column(c)[i] for c in ("k", "pk", "items", "p_items"))
                 a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(a) + len(b)
-                bound = min(len(a) - (bx & ~by).bit_count(), len(b) - (by & ~bx).bit_count())
-                if (100 + near) * bound < near * both:
-                    continue
                 apart = np.setxor1d(a, b, assume_unique=True)
                 shared = (both - len(apart)) // 2
                 if (100 + near) * shared >= near * both:
@@ -204,10 +238,16 @@ def verify(percent: int, near: int):
 CHECKED = "k long, pk long, n int, pn int, state int, less int, delta binary"
 
 
-def check_pairs(pairs: DataFrame, sets: DataFrame, percent: int, near: int) -> DataFrame:
-    one = sets.select("k", "items", "bits")
-    pivot = sets.select(F.col("k").alias("pk"), F.col("items").alias("p_items"), F.col("bits").alias("p_bits"))
-    return pairs.join(one, "k").join(pivot, "pk").mapInArrow(verify(percent, near), CHECKED)
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (k, pk) with n, items of k and pn, p_items of pk."""
+    pivot = sets.select(F.col("k").alias("pk"), F.col("n").alias("pn"), F.col("items").alias("p_items"))
+    return pairs.join(sets, "k").join(pivot, "pk")
+
+
+def could_link(percent: int, n: Column, pos: Column, m: Column, at: Column) -> Column:
+    """Sizes and places of a common shingle leave room for the needed overlap."""
+    most = F.least(pos, at) + 1 + F.least(n - pos - 1, m - at - 1)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)
 
 
 def ring_links(percent: int):
@@ -254,12 +294,6 @@ def ring_links(percent: int):
     return run
 
 
-def could_link(percent: int, n: Column, pos: Column, m: Column, at: Column) -> Column:
-    """Sizes and places of a common shingle leave room for the needed overlap."""
-    most = F.least(pos, at) + 1 + F.least(n - pos - 1, m - at - 1)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)
-
-
 def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(digests, edges): doc_id, n, k of every document; u, v: class hashes, a set of links with the same components as all links."""
     spark = docs.sparkSession
@@ -269,52 +303,55 @@ def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFra
     levels = spark.sparkContext.broadcast(rarity_levels(first.where("segment is not null").select("segment", "counters")))
     own = first.where("segment is null").select("doc_id", "n", "k")
 
+    # A bucket's pivot: the least (pos, n, part of k), packed in one number so that the grouping hashes.
     rows = docs.mapInArrow(prefixes(words, percent, levels), "token long, k long, n int, pos int")
-    buckets = rows.groupBy("token").agg(F.min(F.struct("pos", "k", "n")).alias("p"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi")
-    pivots = buckets.select("token", F.col("p.k").alias("pk"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"))
+    place = F.shiftleft(F.col("pos").cast("long"), 39) + F.shiftleft(F.col("n").cast("long"), 14) + F.col("k").bitwiseAND(F.lit((1 << 14) - 1))
+    buckets = rows.groupBy("token").agg(F.min_by("k", place).alias("pk"), F.min(place).alias("place"), F.count("*").alias("c")).where("c > 1")
+    pivots = buckets.select("token", "pk", F.shiftright("place", 39).cast("int").alias("ppos"), F.shiftright("place", 14).bitwiseAND(F.lit((1 << 25) - 1)).cast("int").alias("pn"))
     met = materialise(rows.join(pivots, "token").where("k <> pk"), "met")
-    near_pivot = could_link(near, F.col("n"), F.col("pos"), F.col("pn"), F.col("ppos"))
-    pairs = met.where(near_pivot).select("k", "pk").distinct()
-
-    mask = (1 << WANTED_BITS) - 1
-    wanted = np.zeros(1 << WANTED_BITS, bool)
-    named = met.select(F.explode(F.array("k", "pk")).alias("k")).select(F.col("k").bitwiseAND(F.lit(mask)).cast("int").alias("b")).distinct()
-    wanted[named.toArrow().column(0).to_numpy()] = True  # 2^22 numbers at most
-    sets = docs.mapInArrow(wanted_sets(words, spark.sparkContext.broadcast(wanted)), "k long, n int, items binary, bits binary")
-    sets = materialise(sets.dropDuplicates(["k"]), "sets")
-
-    checked = materialise(check_pairs(pairs, sets, percent, near), "checked")
+    pairs = met.where(could_link(near, F.col("n"), F.col("pos"), F.col("pn"), F.col("ppos"))).select("k", "pk").distinct()
+    signs = materialise(sets_of(docs, words, met, whole=False), "signatures")
+    hopeful = materialise(with_sets(pairs, signs).mapInArrow(promising(near), "k long, pk long"), "pairs")
+    sets = sets_of(docs, words, hopeful, whole=True)
+    checked = materialise(with_sets(hopeful, sets).mapInArrow(verify(percent, near), CHECKED), "checked")
     edges = checked.where("state = 2").select(F.col("k").alias("u"), F.col("pk").alias("v"))
 
-    balls = checked.groupBy("pk").agg(F.count("*").alias("c"), F.min("state").alias("least")).where("least = 1")
-    balls = balls.where("c > 1").select("pk", F.ceil(F.col("c") / TILE).cast("int").alias("g"))
+    # The balls: what is near a pivot without a link to it meets all that is near it.
+    balls = checked.groupBy("pk").agg(F.count("*").alias("c"), F.min("state").alias("least")).where("least = 1 and c > 1")
+    balls = balls.select("pk", F.ceil(F.col("c") / TILE).cast("int").alias("g"))
     spread = checked.join(balls, "pk").withColumn("h", F.pmod(F.xxhash64("k"), F.col("g").cast("bigint")).cast("int"))
     spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     spread = spread.withColumns({"i": F.least("h", "o"), "j": F.greatest("h", "o")}).drop("g", "h", "o")
     edges = edges.union(spread.groupBy("pk", "i", "j").applyInArrow(ring_links(percent), "u long, v long"))
 
+    # The rest of each bucket: all that is not linked to its pivot, in tiles of a bucket and neighbouring size bands.
     left = met.join(checked.select("k", "pk", "state"), ["k", "pk"], "left").where("state is null or state = 1")
-    left = left.select("token", "k", "n", "pos", (F.col("state").isNotNull()).alias("ring"))
+    left = left.select("token", "k", "n", "pos", F.col("state").isNotNull().alias("ring")).distinct()
     open_ = left.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("ring").alias("ring")).where("lo < hi and not ring").select("token")
-    left = left.join(open_, "token").distinct()
-    unpacked = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"b{i}") for i in range(SIGNATURE_WORDS)]
-    left = left.join(sets.select("k", *unpacked), "k")
+    short = F.lit(64 * SIGNATURE_WORDS // 8)
+    left = left.join(open_, "token").join(signs.select("k", "items"), "k")
     left = left.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
+    for i in range(SIGNATURE_WORDS):  # signatures of one length only, the shortest; longer ones are left to the check of pairs
+        word = F.conv(F.hex(F.substring("items", 8 * i + 1, 8)), 16, -10).cast("long")
+        left = left.withColumn(f"b{i}", F.when(F.octet_length("items") == short, word))
+    left = left.drop("items")
     right = left.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     a, b = left.alias("a"), right.alias("b")
     over = [sum(F.bit_count(F.col(f"{s}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{t}.b{i}")))) for i in range(SIGNATURE_WORDS)) for s, t in ("ab", "ba")]
-    bound = F.least(F.col("a.n") - over[0], F.col("b.n") - over[1])
-    fits = could_link(percent, F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
+    bound = F.coalesce(F.least(F.col("a.n") - over[0], F.col("b.n") - over[1]), F.least("a.n", "b.n"))
     tiles = (
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.band") == F.col("b.band"))
         & (F.col("a.k") < F.col("b.k"))
         & ~(F.col("a.ring") & F.col("b.ring"))
-        & fits
+        & could_link(percent, F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"))
         & (bound * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
     )
     rest = a.join(b, tiles).select(F.col("a.k").alias("k"), F.col("b.k").alias("pk")).distinct()
-    edges = edges.union(check_pairs(rest, sets, percent, percent).select("k", "pk"))
+    rest = materialise(with_sets(rest, signs).mapInArrow(promising(percent), "k long, pk long"), "rest")
+    if not rest.isEmpty():
+        found = with_sets(rest, sets_of(docs, words, rest, whole=True)).mapInArrow(verify(percent, percent), CHECKED)
+        edges = edges.union(found.select("k", "pk"))
     return own, edges
 
 
