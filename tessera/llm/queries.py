@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op3_decontamination
 from .exact_dedup import op4_exact_dedup
 from .jaccard_join import op8_jaccard_join
 from .language_id import op6_language_id
@@ -13,10 +14,15 @@ from .mixing import op9_mixing
 from .ppm_scoring import op7_lm_scoring
 from .secrets import op2_secrets
 from .sharding import op10_sharding
+from .token_counts import op1_token_counts
+from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_secrets": op2_secrets,
+    "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_jaccard_join": op8_jaccard_join,
