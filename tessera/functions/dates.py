@@ -99,7 +99,7 @@ def birth_bound(kind: Column, years: Column, at: Column, exclusive: Column) -> C
 def exclusive_wording(kind: Column, quote: Column) -> Column:
     """The wording leaves out the age it names: below 30, over 18."""
     top = quote.rlike(r"(?i)\b(?:less\s+than|below|under|younger\s+than|not\s+(?:have\s+)?(?:attained|completed))\s+(?:the\s+age\s+of\s+)?\d")
-    low = quote.rlike(r"(?i)\b(?:more\s+than|older\s+than|above|over)\s+(?:the\s+age\s+of\s+)?\d")
+    low = quote.rlike(r"(?i)(?<!not )(?<!not be )\b(?:more\s+than|older\s+than|above|over)\s+(?:the\s+age\s+of\s+)?\d")
     return F.coalesce(F.when(kind == "maximum", top).otherwise(low), F.lit(False))
 
 

@@ -19,6 +19,46 @@ def match_occurrences(old: DataFrame, new: DataFrame, keys: list[str], order: li
     return both.select(*[F.coalesce(f"o_{k}", f"n_{k}").alias(k) for k in keys], F.coalesce("o_i", "n_i").cast("long").alias("i"), change.alias("change"))
 
 
+def keyed_changes(old: DataFrame, new: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """ADDED, REMOVED and MODIFIED values of rows paired by key and by how many equal keys came before."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    a = old.select(*[F.col(k).alias(f"o_{k}") for k in keys], F.row_number().over(w).alias("o_i"), F.col(value).alias("old"))
+    b = new.select(*[F.col(k).alias(f"n_{k}") for k in keys], F.row_number().over(w).alias("n_i"), F.col(value).alias("new"))
+    same = F.col("o_i") == F.col("n_i")
+    for k in keys:
+        same = same & (F.col(f"o_{k}") == F.col(f"n_{k}"))
+    both = a.join(b, same, "full").where(~F.col("old").eqNullSafe(F.col("new")))
+    change = F.when(F.col("o_i").isNull(), "ADDED").when(F.col("n_i").isNull(), "REMOVED").otherwise("MODIFIED")
+    return both.select(*[F.coalesce(f"o_{k}", f"n_{k}").alias(k) for k in keys], F.coalesce("o_i", "n_i").cast("long").alias("i"), change.alias("change_type"), "old", "new")
+
+
+def flatten_json(df: DataFrame, key: str, json: str, depth: int = 6) -> DataFrame:
+    """(key, path, value) of every leaf of a JSON text, paths as a.b[0]; positional for lists. Objects and lists open one
+    level at a time; what lies deeper than depth stays whole as its JSON text. Unreadable JSON gives no rows."""
+    spark = df.sparkSession
+    level = df.select(F.col(key).alias("k"), F.lit("").alias("path"), F.try_parse_json(json).alias("v")).where("v is not null")
+    done: DataFrame | None = None
+    for i in range(depth + 1):
+        kind = F.schema_of_variant("v")
+        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY") if i < depth else F.lit(False)
+        leaves = level.where(~nested).select("k", "path", F.to_json("v").alias("value"))
+        done = leaves if done is None else done.unionByName(leaves)
+        if i < depth:
+            level.where(nested).createOrReplaceTempView("_variants")
+            level = spark.sql("""
+                select k, case when e.key is null then concat(path, '[', e.pos, ']') when path = '' then e.key else concat(path, '.', e.key) end as path, e.value as v
+                from _variants, lateral variant_explode(v) e""")
+    return done.where("value <> 'null'").select(F.col("k").alias(key), "path", "value")
+
+
+def one_to_one(asked: DataFrame, given: DataFrame, key: str, ident: str) -> DataFrame:
+    """(key, valid): the answers of a key name every asked item exactly once and no other."""
+    a = asked.groupBy(key, ident).agg(F.count("*").alias("n"))
+    g = given.groupBy(key, ident).agg(F.count("*").alias("m"))
+    both = a.join(g, [key, ident], "full")
+    return both.groupBy(key).agg(F.bool_and((F.coalesce("n", F.lit(0)) == 1) & (F.coalesce("m", F.lit(0)) == 1)).alias("valid"))
+
+
 def flatten_paths(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """(key, path, value): one row for each field that has a value; values as JSON text."""
     pairs = [F.struct(F.lit(p).alias("path"), F.to_json(F.array(c)).alias("value")) for p, c in fields.items()]

@@ -156,3 +156,87 @@ def history_tail(turns: DataFrame, key: str, turn: str, last: int, width: int, r
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(turn)))
     kept = turns.withColumn("_r", rank).where(F.col("_r") <= last).where(F.col("role").isin(*roles))
     return kept.drop("_r").withColumn("text", F.left("text", F.lit(width)))
+
+
+def heading_kind(line: Column) -> Column:
+    """How a line shows that it is a heading: a number before it, or capitals throughout."""
+    numbered = line.rlike(r"^\s*[0-9]+[.)]")
+    return F.when(numbered, "numbered").when((F.upper(line) == line) & line.rlike("[A-Za-z]"), "uppercase").otherwise("none")
+
+
+def heading_confidence(line: Column) -> Column:
+    """0 to 1 from a line's shape: numbering, capitals, shortness; a final stop or code-like text takes away."""
+    kind = heading_kind(line)
+    score = F.lit(0.4) + F.when(kind == "numbered", 0.25).when(kind == "uppercase", 0.2).otherwise(0.0)
+    score = score + F.when(F.length(line) <= 60, 0.15).otherwise(0.0) - F.when(line.rlike(r"[.;,]\s*$"), 0.2).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score - F.when(is_code_like(line), 0.4).otherwise(0.0))), 2)
+
+
+def is_code_like(line: Column) -> Column:
+    """Codes, amounts and page marks instead of words: fewer letters than other signs."""
+    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
+    return letters * 2 < F.length(F.regexp_replace(line, r"\s", ""))
+
+
+def dedupe_headings(rows: DataFrame, doc: str, order: str, title: str, page: Column, within: int, pages: int) -> DataFrame:
+    """Headings without those equal to one of the last `within` kept ones at most `pages` pages before. What is kept decides
+    what is dropped later, so a fold over each document's headings in order."""
+    item = F.struct(F.col(order).alias("o"), F.col(title).alias("t"), page.cast("long").alias("p"))
+    one = f"struct<o:{_type(rows, order)},t:string,p:bigint>"
+
+    def step(kept: Column, x: Column) -> Column:
+        near = F.slice(F.reverse(kept), 1, within)
+        seen = F.exists(near, lambda k: (F.lower(k["t"]) == F.lower(x["t"])) & (F.abs(k["p"] - x["p"]) <= pages))
+        return F.when(seen, kept).otherwise(F.array_append(kept, x))
+
+    listed = rows.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    kept = F.aggregate("_all", F.array().cast(f"array<{one}>"), step)
+    return listed.select(doc, F.explode(kept).alias("_k")).select(doc, F.col("_k.o").alias(order), F.col("_k.t").alias(title))
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def has_wording(text: Column, pattern: str, least: int = 2) -> Column:
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(pattern)) >= least, F.lit(False))
+
+
+def score_links(found: DataFrame, weights: dict[str, int], rejects: list[str]) -> DataFrame:
+    """links with score: the weights of words in address or label; -100 for an address with a rejected word."""
+    seen = F.lower(F.concat_ws(" ", "link", "label"))
+    score = F.lit(0)
+    for word, weight in weights.items():
+        score = score + F.when(seen.contains(word), weight).otherwise(0)
+    for word in rejects:
+        score = score + F.when(F.col("link").contains(word), -100).otherwise(0)
+    return found.withColumn("score", score.cast("long"))
+
+
+def best_links(scored: DataFrame, key: str, most: int) -> DataFrame:
+    """The best positive links of each key by score, then address."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), F.desc("link")))
+    return scored.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def seed_links(pages: DataFrame, key: str, url: str, paths: list[str]) -> DataFrame:
+    """Fixed paths on every page's host."""
+    root = F.regexp_replace(F.regexp_extract(url, r"^(https?://[^/?#]+)", 1), "^http:", "https:")
+    rows = pages.select(key, root.alias("_root"), F.posexplode(F.array(*map(F.lit, paths))).alias("step", "_path"))
+    return rows.where("_root <> ''").select(key, "step", F.concat("_root", "_path").alias("link"))
+
+
+def ordered_issues(severities: Column) -> Column:
+    """Distinct severities, errors first."""
+    rank = F.transform(F.array_distinct(severities), lambda s: F.struct(F.when(s == "error", 0).when(s == "warning", 1).otherwise(2).alias("r"), s.alias("s")))
+    return F.transform(F.array_sort(rank), lambda x: x["s"])
+
+
+def content_matches(text: Column, identity: list[str], years: list[str], span: int = 6000) -> Column:
+    """The text's start names two of the identity's words (one, if it has one) and, if it has years, one of these."""
+    head = F.lower(F.left(text, F.lit(span)))
+    hits = sum((F.when(head.rlike(rf"\b{w}\b"), 1).otherwise(0) for w in identity), F.lit(0))
+    seen = F.lit(not years)
+    for y in years:
+        seen = seen | head.contains(y)
+    return F.coalesce((hits >= min(2, len(identity))) & seen, F.lit(False))

@@ -83,8 +83,8 @@ def two_hop_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with o as (select o_orderkey, o_custkey, case when o_orderstatus = 'P' then null else o_orderdate end as at, o_orderstatus from orders)
-select o_custkey, o_orderkey, at::date as day from (select *, row_number() over (partition by o_custkey order by at desc nulls last, o_orderkey desc) as rn from o) where rn = 1""")
+with o as (select o_orderkey, o_custkey, case when o_orderstatus = 'P' then null else o_orderdate end as moment, o_orderstatus from orders)
+select o_custkey, o_orderkey, moment::date as day from (select *, row_number() over (partition by o_custkey order by moment desc nulls last, o_orderkey desc) as rn from o) where rn = 1""")
 def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("at"))
     return R.latest(orders, "o_custkey", F.col("at"), "o_orderkey").select("o_custkey", "o_orderkey", F.col("at").cast("date").alias("day"))

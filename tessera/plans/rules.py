@@ -73,10 +73,10 @@ select c_custkey as student_id, 1::bigint as notice,
     case when not g10 and not (r2 or r3 or r4) then {_FAIL}Nationality = NATION_7' end,
     case when not g10 and not (r2 or r3 or r4) then {_FAIL}State = BUILDING' end,
     case when not g13 then {_FAIL}State != MACHINERY' end,
-    case when not g13 then {_FAIL}Date of Birth >= 1993-08-02' end], x -> x is not null), '|') end as reasons from v
+    case when not g13 then {_FAIL}Date of Birth >= 1993-08-02' end], lambda x: x is not null), '|') end as reasons from v
 union all
 select c_custkey, 2, array_to_string(list_filter([case when not r7 then {_FAIL}CGPA > 5000' || case when m7 then ' (add this to your profile)' else '' end end,
-   {_FAIL}Specialization = Physics (add this to your profile)'], x -> x is not null), '|') from v""")
+   {_FAIL}Specialization = Physics (add this to your profile)'], lambda x: x is not null), '|') from v""")
 def rules_reasons(spark: SparkSession, d: str) -> DataFrame:
     return evaluated(spark, d)[1].select("student_id", "notice", F.array_join("reasons", "|").alias("reasons"))
 

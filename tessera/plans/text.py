@@ -39,14 +39,14 @@ def level_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-with w as (select p_partkey, list_filter(regexp_extract_all(p_name, '[A-Za-z]+'), x -> lower(x) not in ('in','of','for','and','the','a','an','to','on')) as ws from part),
-i as (select p_partkey, array_to_string(list_transform(ws, x -> lower(x[1])), '') as s from w)
-select p_partkey, list_transform(list_filter([3, 4, 5, 6], k -> k <= length(s)), k -> s[1:k]) as acronyms from i""")
+with w as (select p_partkey, list_filter(regexp_extract_all(p_name, '[A-Za-z]+'), lambda x: lower(x) not in ('in','of','for','and','the','a','an','to','on')) as ws from part),
+i as (select p_partkey, array_to_string(list_transform(ws, lambda x: lower(x[1])), '') as s from w)
+select p_partkey, list_transform(list_filter([3, 4, 5, 6], lambda k: k <= length(s)), lambda k: s[1:k]) as acronyms from i""")
 def acronyms(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_partkey", T.acronyms(F.col("p_name")).alias("acronyms"))
 
 
-@query("select doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), x -> length(x) > 1 and x not in ('the', 'of', 'and', 'de', 'la') and not regexp_full_match(x, '(19|20)[0-9][0-9]')))) as tokens from documents")
+@query("select doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1 and x not in ('the', 'of', 'and', 'de', 'la') and not regexp_full_match(x, '(19|20)[0-9][0-9]')))) as tokens from documents")
 def chat_tokens(spark: SparkSession, d: str) -> DataFrame:
     found = T.chat_tokens(F.col("text"), ("the", "of", "and", "de", "la"))
     return load(spark, d, "documents").select("doc_id", F.array_sort(found).alias("tokens"))
@@ -181,6 +181,6 @@ def model_answers(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "nation").select("n_nationkey", T.model_json(answer).alias("json"))
 
 
-@query("select doc_id, sha256(text) as sha256, length(encode(text)) as n_bytes from documents")
+@query("select doc_id, sha256(text) as sha256, octet_length(encode(text)) as n_bytes from documents")
 def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
