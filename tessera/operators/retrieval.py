@@ -70,15 +70,14 @@ def pack(scored: DataFrame, doc: str, ident: str, section: str, text: str, budge
         out = part.loc[sorted(chosen), [doc, "i", "cost"]]
         return out.rename(columns={"i": ident, "cost": "tokens"})
 
-    return rows.groupBy(doc).applyInPandas(choose, f"{doc} long, {ident} long, tokens long")
+    return rows.groupBy(doc).applyInPandas(choose, f"{doc} {rows.schema[doc].dataType.simpleString()}, {ident} long, tokens long")
 
 
 def locate_quotes(quotes: DataFrame, passages: DataFrame, quote_id: str, quote: str, doc: str, passage: str, text: str) -> DataFrame:
     """Where each quote stands in each document of its own: (quote_id, doc, passage, exact, ratio), the best passage.
 
     A quote of at least 4 normal characters is there exactly, or with 3 words or more when 85 % of its distinct words are.
-    quotes and passages share the column doc; candidates are found by shared words, not by all pairs: a quote's
-    passages must hold one of the rarest words that 85 % leaves no way around."""
+    quotes and passages share the column doc: a quote is only looked for in the passages of its own document."""
     q = quotes.select(doc, quote_id, grounding(F.col(quote)).alias("q")).where(F.length("q") >= 4).withColumn("qw", F.array_distinct(word_list(F.col("q"))))
     p = passages.select(doc, passage, grounding(F.col(text)).alias("p"))
     both = q.join(p, doc)
