@@ -287,7 +287,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     both = 0 < y.sum() < len(y)
     model = train(sample.column("text").to_pylist(), y, seed) if both else {"share": float(y.mean()) if len(y) else 0.0}
     kept = [*keep, "held_out"]
-    schema = rows.select(*kept).schema.add("score", "double").add("predicted", "int")
+    schema = rows.select(*kept).schema.add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(score_texts(spark.sparkContext.broadcast(model), kept), schema)
 
 
