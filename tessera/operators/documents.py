@@ -33,7 +33,7 @@ def packed_paragraphs(text: Column, size: int) -> Column:
         fits = F.length(joined) <= size
         return F.when(acc["now"] == "", F.struct(p.alias("now"), acc["done"].alias("done"))).when(fits, F.struct(joined.alias("now"), acc["done"].alias("done"))).otherwise(F.struct(p.alias("now"), F.array_append(acc["done"], acc["now"]).alias("done")))
 
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda p: p != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda p: F.trim(p)), lambda p: p != "")
     empty = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
     return F.aggregate(lines, empty, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
 

@@ -78,13 +78,13 @@ def locate_quotes(quotes: DataFrame, passages: DataFrame, quote_id: str, quote:
 
     A quote of at least 4 normal characters is there exactly, or with 3 words or more when 85 % of its distinct words are.
     quotes and passages share the column doc: a quote is only looked for in the passages of its own document."""
-    q = quotes.select(doc, quote_id, grounding(F.col(quote)).alias("q")).where(F.length("q") >= 4).withColumn("qw", F.array_distinct(word_list(F.col("q"))))
-    p = passages.select(doc, passage, grounding(F.col(text)).alias("p"))
+    q = quotes.select(doc, quote_id, grounding(F.col(quote)).alias("_q")).where(F.length("_q") >= 4).withColumn("_qw", F.array_distinct(word_list(F.col("_q"))))
+    p = passages.select(doc, passage, grounding(F.col(text)).alias("_p"))
     both = q.join(p, doc)
-    exact = F.concat(F.lit(" "), "p", F.lit(" ")).contains(F.col("q"))
-    ratio = F.size(F.array_intersect("qw", word_list(F.col("p")))) / F.size("qw")
+    exact = F.concat(F.lit(" "), "_p", F.lit(" ")).contains(F.col("_q"))
+    ratio = F.size(F.array_intersect("_qw", word_list(F.col("_p")))) / F.size("_qw")
     both = both.withColumn("exact", exact).withColumn("ratio", ratio)
-    found = both.where("exact or (size(qw) >= 3 and ratio >= 0.85)")
+    found = both.where("exact or (size(_qw) >= 3 and ratio >= 0.85)")
     best = F.max_by(F.struct(passage, "exact", "ratio"), F.struct("exact", "ratio", -F.col(passage)))
     return found.groupBy(doc, quote_id).agg(best.alias("b")).select(doc, quote_id, "b.*")
 

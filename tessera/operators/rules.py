@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import attribute_name, canonical, is_free_text, level_rank, plain
+from ..sources.tables import materialise
 
 ATTRIBUTES = (
     "nationality", "state", "gender", "date of birth", "cgpa", "percentage", "qualification",
@@ -76,7 +77,7 @@ def with_depth(groups: DataFrame) -> DataFrame:
 def evaluate(pairs: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame:
     """pairs (student_id, notice, facts, work) -> student_id, notice, eligible, reasons, eval_error; no row for a pair whose
     notice has no rules. One join to the leaves, then one grouping for each level of the trees, deepest first."""
-    tree = with_depth(groups).cache()  # read by the next line and again by the plan that is returned
+    tree = materialise(with_depth(groups), "rule-tree")  # read by every level below
     deepest = tree.agg(F.max("depth")).first()[0]
     ids = ["student_id", "notice"]
     ok, missing, error = leaf()

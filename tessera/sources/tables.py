@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -77,3 +80,19 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """Files as rows: path, content, SHA-256 and whether they begin as a PDF does."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content", F.sha2("content", 256).alias("sha256"), F.expr("startswith(content, X'255044462D')").alias("is_pdf"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; a local one only where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back, for what several branches of a plan read."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

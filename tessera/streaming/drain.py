@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import load
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.tables import load, shared_folder
 
 
 def event_stream(spark: SparkSession, folder: str, files: int) -> DataFrame:
