@@ -35,7 +35,7 @@ SKETCH_BITS = 20
 SEGMENTS = 16
 SIGNATURE_WORDS = 8
 TILE = 1024
-#: Bits of the filter that tells which classes' sets are wanted.
+#: Bits of the filter that tells which documents' sets are wanted.
 WANTED_BITS = 22
 SLICE = 4 << 20
 #: Classes a task remembers having emitted.
@@ -163,15 +163,22 @@ def folded(bits: bytes, size: int) -> int:
     return int.from_bytes(bits, "little")
 
 
+def slots(doc_id: pa.Array) -> np.ndarray:
+    """Every document's bit of the filter; sets_of computes the same in Spark."""
+    x = doc_id.cast(I64).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    return ((x ^ (x >> np.uint64(WANTED_BITS))) & np.uint64((1 << WANTED_BITS) - 1)).astype(np.int64)
+
+
 def wanted_sets(words: int, wanted, whole: bool):
-    """k, n and the items (or the signature) of the classes in the filter (and of few others)."""
+    """k, n and the items (or the signature) of the documents in the filter (and of few others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want, seen = wanted.value, set()
-        for _, sets in texts_of(batches, words):
+        own = (b.filter(pa.array(want[slots(b.column("doc_id"))] | b.column("doc_id").is_null().to_numpy(zero_copy_only=False))) for b in batches)
+        for _, sets in texts_of((b for b in own if b.num_rows), words):
             rows = []
             for s in sets:
-                if len(s) and want[(k := class_hash(s)) & ((1 << WANTED_BITS) - 1)] and k not in seen:
+                if len(s) and (k := class_hash(s)) not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(k)
@@ -183,16 +190,16 @@ def wanted_sets(words: int, wanted, whole: bool):
     return run
 
 
-def sets_of(docs: DataFrame, words: int, *classes: DataFrame, whole: bool) -> DataFrame:
-    """k, n, items for (at least) the classes named in the k and pk columns, each once."""
-    named = [c.select(F.explode(F.array("k", "pk")).alias("k")) for c in classes]
-    mask = F.lit((1 << WANTED_BITS) - 1)
-    slots = named[0].union(named[1]) if len(named) > 1 else named[0]
-    slots = slots.select(F.col("k").bitwiseAND(mask).cast("int").alias("b")).distinct().toArrow()  # 2^22 numbers at most
+def sets_of(docs: DataFrame, classes: DataFrame, words: int, pairs: DataFrame, whole: bool) -> DataFrame:
+    """k, n, items for (at least) the classes in the k and pk columns of pairs, each once, from one document of each."""
+    named = pairs.select(F.explode(F.array("k", "pk")).alias("k")).distinct()
+    least = F.col("least")
+    bit = least.bitwiseXOR(F.shiftrightunsigned(least, WANTED_BITS)).bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
+    found = classes.join(named, "k", "left_semi").where("least is not null").select(bit.cast("int").alias("b")).distinct().toArrow()  # 2^22 numbers at most
     wanted = np.zeros(1 << WANTED_BITS, bool)
-    wanted[slots.column(0).to_numpy()] = True
-    found = docs.mapInArrow(wanted_sets(words, docs.sparkSession.sparkContext.broadcast(wanted), whole), "k long, n int, items binary")
-    return found.dropDuplicates(["k"])
+    wanted[found.column(0).to_numpy()] = True
+    rows = docs.mapInArrow(wanted_sets(words, docs.sparkSession.sparkContext.broadcast(wanted), whole), "k long, n int, items binary")
+    return rows.dropDuplicates(["k"])
 
 
 # ---------------------------------------------------------------- verification
@@ -294,25 +301,27 @@ def ring_links(percent: int):
     return run
 
 
-def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(digests, edges): doc_id, n, k of every document; u, v: class hashes, a set of links with the same components as all links."""
+def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(digests, classes, edges): doc_id, n, k of every document; k and the least doc_id of every non-empty class; u, v: class
+    hashes, a set of links with the same components as all links."""
     spark = docs.sparkSession
     near = max(1, 2 * percent - 100)  # within twice the distance
     docs = docs.select("doc_id", "text")
     first = materialise(docs.mapInArrow(digests(words), "doc_id long, n long, k long, segment int, counters binary"), "digests")
     levels = spark.sparkContext.broadcast(rarity_levels(first.where("segment is not null").select("segment", "counters")))
     own = first.where("segment is null").select("doc_id", "n", "k")
+    classes = materialise(own.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("least")), "classes")
 
     # A bucket's pivot: the least (pos, n, part of k), packed in one number so that the grouping hashes.
-    rows = docs.mapInArrow(prefixes(words, percent, levels), "token long, k long, n int, pos int")
+    rows = materialise(docs.mapInArrow(prefixes(words, percent, levels), "token long, k long, n int, pos int"), "prefixes")
     place = F.shiftleft(F.col("pos").cast("long"), 39) + F.shiftleft(F.col("n").cast("long"), 14) + F.col("k").bitwiseAND(F.lit((1 << 14) - 1))
     buckets = rows.groupBy("token").agg(F.min_by("k", place).alias("pk"), F.min(place).alias("place"), F.count("*").alias("c")).where("c > 1")
     pivots = buckets.select("token", "pk", F.shiftright("place", 39).cast("int").alias("ppos"), F.shiftright("place", 14).bitwiseAND(F.lit((1 << 25) - 1)).cast("int").alias("pn"))
     met = materialise(rows.join(pivots, "token").where("k <> pk"), "met")
     pairs = met.where(could_link(near, F.col("n"), F.col("pos"), F.col("pn"), F.col("ppos"))).select("k", "pk").distinct()
-    signs = materialise(sets_of(docs, words, met, whole=False), "signatures")
+    signs = materialise(sets_of(docs, classes, words, met, whole=False), "signatures")
     hopeful = materialise(with_sets(pairs, signs).mapInArrow(promising(near), "k long, pk long"), "pairs")
-    sets = sets_of(docs, words, hopeful, whole=True)
+    sets = sets_of(docs, classes, words, hopeful, whole=True)
     checked = materialise(with_sets(hopeful, sets).mapInArrow(verify(percent, near), CHECKED), "checked")
     edges = checked.where("state = 2").select(F.col("k").alias("u"), F.col("pk").alias("v"))
 
@@ -350,16 +359,15 @@ def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFra
     rest = a.join(b, tiles).select(F.col("a.k").alias("k"), F.col("b.k").alias("pk")).distinct()
     rest = materialise(with_sets(rest, signs).mapInArrow(promising(percent), "k long, pk long"), "rest")
     if not rest.isEmpty():
-        found = with_sets(rest, sets_of(docs, words, rest, whole=True)).mapInArrow(verify(percent, percent), CHECKED)
+        found = with_sets(rest, sets_of(docs, classes, words, rest, whole=True)).mapInArrow(verify(percent, percent), CHECKED)
         edges = edges.union(found.select("k", "pk"))
-    return own, edges
+    return own, classes, edges
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links of at least percent/100)."""
-    own, edges = links(docs, words, percent)
+    own, classes, edges = links(docs, words, percent)
     roots = connected_components(edges)
-    classes = own.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.select("k", "root").join(least, "root").select("k", "component_id")
