@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-A word's input is the embedding of its hash beside the mean embedding of its character 3- and 4-grams (word ends marked).
-Windows of WINDOW words, STRIDE apart so that they overlap, cover every text from the first word to the last; each goes
+A word's input is the embedding of its hash beside two mean embeddings of characters: of its 3- and 4-grams (word ends
+marked), and of its beginnings of 5 to 9 bytes. Windows of WINDOW words, STRIDE apart so that they overlap, cover every text from the first word to the last; each goes
 through a forward and a backward recurrence, an attention pools the states, and a logistic unit gives the window's
 probability. A text's score is that of its most toxic window.
 
@@ -20,6 +20,7 @@ predicted in the input are replaced, others kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,10 @@ from .common import LOWER, blocks, bounded_sample, bucket_of, framed, mix64, row
 
 BUCKETS = 16
 EMBED = 6
-HIDDEN = 8
-WINDOW = 32
-STRIDE = 24
+HIDDEN = 6
+WINDOW = 48
+STRIDE = 36
+BEGINNINGS = range(5, 10)
 TRAIN_EACH = 700
 TRAIN_BYTES = 1 << 15
 #: Passes over the sample: so many, or more until there were STEPS steps.
@@ -59,8 +61,38 @@ def grams(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(own)
 
 
+def beginnings(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' first BEGINNINGS bytes, as far as they go; and their word's index."""
+    out, own = [], []
+    for size in BEGINNINGS:
+        long = np.flatnonzero(np.diff(at) >= size)
+        out.append((span_hashes(words, at[long], at[long] + size) >> np.uint64(64 - BUCKETS)).astype(np.int32))
+        own.append(long)
+    return np.concatenate(out), np.concatenate(own)
+
+
+class Parts(NamedTuple):
+    """Parts of the distinct words: buckets, the word of each, both in order of words; parts of every word, one at least."""
+
+    bucket: np.ndarray
+    owner: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, bucket: np.ndarray, owner: np.ndarray, n: int) -> Parts:
+        order = np.argsort(owner, kind="stable")
+        return cls(bucket[order], owner[order], np.maximum(1, np.bincount(owner, minlength=n)))
+
+    def mean(self, table: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.size), EMBED), F4)
+        if len(self.bucket):
+            first = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1]])
+            out[self.owner[first]] = np.add.reduceat(table[self.bucket], first, axis=0)
+        return out / self.size[:, None].astype(F4)
+
+
 class Words:
-    """The distinct words of some texts: embedding buckets, character grams, and every text as indexes of words."""
+    """The distinct words of some texts: embedding buckets, their parts, and every text as indexes of words."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray) -> None:
         hashes, spans, starts = [], [], []
@@ -78,18 +110,10 @@ class Words:
         size = e - s
         ends = np.concatenate([[0], np.cumsum(size)])
         take = np.arange(ends[-1]) - np.repeat(ends[:-1] - s, size)
-        self.gram, self.owner = grams(low[take], ends)
-        order = np.argsort(self.owner, kind="stable")
-        self.gram, self.owner = self.gram[order], self.owner[order]
-        self.size = np.maximum(1, np.bincount(self.owner, minlength=len(unique)))
+        self.parts = {"Ec": Parts.of(*grams(low[take], ends), len(unique)), "Ep": Parts.of(*beginnings(low[take], ends), len(unique))}
 
     def inputs(self, p: dict) -> np.ndarray:
-        n = len(self.bucket)
-        chars = np.zeros((n, EMBED), F4)
-        if n and len(self.gram):
-            first = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1]])
-            chars[self.owner[first]] = np.add.reduceat(p["Ec"][self.gram], first, axis=0)
-        return np.concatenate([p["Ew"][self.bucket], chars / self.size[:, None].astype(F4)], axis=1)
+        return np.concatenate([p["Ew"][self.bucket], *[part.mean(p[k]) for k, part in self.parts.items()]], axis=1)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """[windows, WINDOW] indexes of words, -1 beyond the text; and every window's text."""
@@ -111,9 +135,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def start(seed: int) -> dict:
     r = np.random.default_rng(seed)
     draw = lambda *s: (r.standard_normal(s) * 0.3).astype(F4)
-    p = {"Ew": draw(1 << BUCKETS, EMBED) * F4(0.2), "Ec": draw(1 << BUCKETS, EMBED) * F4(0.2), "Wa": draw(2 * HIDDEN, HIDDEN), "ba": np.zeros(HIDDEN, F4), "v": draw(HIDDEN), "w": draw(2 * HIDDEN), "b": np.full(1, -1, F4)}
+    p = {k: draw(1 << BUCKETS, EMBED) * F4(0.2) for k in ("Ew", "Ec", "Ep")}
+    p |= {"Wa": draw(2 * HIDDEN, HIDDEN), "ba": np.zeros(HIDDEN, F4), "v": draw(HIDDEN), "w": draw(2 * HIDDEN), "b": np.full(1, -1, F4)}
     for d in "fb":
-        p |= {f"W{d}": draw(2 * EMBED, 3 * HIDDEN), f"U{d}": draw(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, F4)}
+        p |= {f"W{d}": draw(3 * EMBED, 3 * HIDDEN), f"U{d}": draw(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, F4)}
     return p
 
 
@@ -193,18 +218,21 @@ def gradients(p: dict, words: Words, ids: np.ndarray, y: np.ndarray, weight: np.
     real, ids = k["real"], k["ids"]
     at = ids[real]
     used, slot = np.unique(at, return_inverse=True)
-    dx = np.zeros((len(used), 2 * EMBED), F4)
+    dx = np.zeros((len(used), 3 * EMBED), F4)
     for way, grad in (("f", df[real]), ("b", db[::-1][real])):
         per = np.zeros((len(used), 3 * HIDDEN), F4)
         np.add.at(per, slot, grad)
         g[f"W{way}"], g[f"c{way}"] = x[used].T @ per, per.sum(axis=0)
         dx += per @ p[f"W{way}"].T
-    g["Ew"], g["Ec"] = np.zeros_like(p["Ew"]), np.zeros_like(p["Ec"])
+    g["Ew"] = np.zeros_like(p["Ew"])
     np.add.at(g["Ew"], words.bucket[used], dx[:, :EMBED])
     back = np.full(len(words.bucket), -1)
     back[used] = np.arange(len(used))
-    own = back[words.owner]
-    np.add.at(g["Ec"], words.gram[own >= 0], dx[own[own >= 0], EMBED:] / words.size[used][own[own >= 0], None].astype(F4))
+    for i, (k, part) in enumerate(words.parts.items(), 1):
+        own = back[part.owner]
+        hit = own >= 0
+        g[k] = np.zeros_like(p[k])
+        np.add.at(g[k], part.bucket[hit], dx[own[hit], i * EMBED : (i + 1) * EMBED] / part.size[used][own[hit], None].astype(F4))
     return g
 
 
@@ -223,10 +251,11 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> dict:
     p = start(seed)
     doc = np.repeat(np.arange(len(texts)), np.diff(words.at))
     p["Ew"][:, 0] = log_odds(words.bucket[words.ids], doc, y)
-    first = np.concatenate([[0], np.cumsum(np.bincount(words.owner, minlength=len(words.bucket)))])
-    many = np.diff(first)[words.ids]
-    take = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first[words.ids], many)
-    p["Ec"][:, 0] = log_odds(words.gram[take], np.repeat(doc, many), y)
+    for k, part in words.parts.items():
+        first = np.concatenate([[0], np.cumsum(np.bincount(part.owner, minlength=len(words.bucket)))])
+        many = np.diff(first)[words.ids]
+        take = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first[words.ids], many)
+        p[k][:, 0] = log_odds(part.bucket[take], np.repeat(doc, many), y)
     ids, owner = words.windows()
     mean = {k: np.zeros_like(v) for k, v in p.items()}
     square = {k: np.zeros_like(v) for k, v in p.items()}
@@ -235,7 +264,8 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> dict:
     rounds = max(ROUNDS, -(-STEPS // -(-len(texts) // BATCH)))
     for round_ in range(rounds):
         if round_ == 0:  # the window with the largest log odds stands for its text at first
-            odds = np.append(p["Ew"][words.bucket, 0] + words.inputs(p)[:, EMBED], -9)
+            x = words.inputs(p)
+            odds = np.append(x[:, 0] + x[:, EMBED] + x[:, 2 * EMBED], -9)
             score = odds[ids].max(axis=1)
         else:
             x = words.inputs(p)
@@ -248,7 +278,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 5) -> dict:
             g = gradients(p, words, ids[some], y[owner[some]], weight[owner[some]] / len(some))
             step += 1
             for k in p:
-                rate = (0.002 if k in ("Ew", "Ec") else 0.02) * min(1, 2 * (1 - round_ / rounds))
+                rate = (0.002 if k in ("Ew", "Ec", "Ep") else 0.02) * min(1, 2 * (1 - round_ / rounds))
                 mean[k] += F4(0.1) * (g[k].reshape(p[k].shape) - mean[k])
                 square[k] += F4(0.01) * (g[k].reshape(p[k].shape) ** 2 - square[k])
                 p[k] -= F4(rate) * (mean[k] / (1 - 0.9**step)).astype(F4) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6).astype(F4)
