@@ -88,6 +88,8 @@ def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, reg: float = 1e-
 
 def fit(texts: list[str], langs: list[str]) -> Model:
     names = sorted(set(langs))
+    if not names:
+        return Model([], [], [], np.zeros((1 << DIMS, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([names.index(x) for x in langs])
     by_family: dict[str, list[int]] = {}
     for i, name in enumerate(names):
@@ -141,6 +143,9 @@ def predict(model, keep: list[str]):
         for batch in batches:
             raw, off = text_bytes(batch.column("text"))
             letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
+            if not m.langs:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(["und"] * batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows))], [*keep, "lang_pred", "score"])
+                continue
             margins = np.zeros((batch.num_rows, m.weights.shape[1]))
             for lo, hi in row_slices(off, SLICE):
                 part = off[lo : hi + 1]
@@ -151,9 +156,8 @@ def predict(model, keep: list[str]):
                     sums = np.add.reduceat(m.weights[bucket], at[:-1][some], axis=0)
                     margins[lo + some] = sums / size[some][:, None]
             lang, score = decide(m, margins + m.bias)
-            known = letter & bool(m.langs)
-            names = np.array([*m.langs, "und"], object)[np.where(known, lang, -1)] if m.langs else np.full(batch.num_rows, "und", object)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names.tolist(), pa.string()), pa.array(np.where(known, score, 0.0))], [*keep, "lang_pred", "score"])
+            names = np.array([*m.langs, "und"], object)[np.where(letter, lang, -1)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names.tolist(), pa.string()), pa.array(np.where(letter, score, 0.0))], [*keep, "lang_pred", "score"])
 
     return run
 

@@ -2,7 +2,7 @@
 
 Pass 1 scatters every record by a seeded hash of its doc_id: first to a shard (rendezvous hashing: of all shards the one
 with the largest seeded hash of (doc_id, shard) wins, so one more shard takes rows only into itself), then to one of the
-shard's memory-sized buckets. Pass 2 shuffles each bucket by Fisher-Yates with seeded draws, and a record's slot is its
+shard's memory-sized buckets, by doc_id and text, so that rows which share a doc_id spread too. Pass 2 shuffles each bucket by Fisher-Yates with seeded draws, and a record's slot is its
 place in its bucket's permutation plus the sizes of the shard's earlier buckets.
 
 Nulls: a null doc_id is a key like any other (all such rows share a shard), a null text has no bytes. Ties and repeated
@@ -51,7 +51,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20) -> Dat
     )
     seen = rows.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()  # one row, whatever the input
     buckets = max(1, -(-seen["n"] // (shards * BUCKET_ROWS)), -(-(seen["b"] or 0) // (shards * BUCKET_BYTES)))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(buckets)))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32", "size"), F.lit(buckets)))
 
     counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
