@@ -98,3 +98,42 @@ def ages_at(birth: Column, at: Column) -> Column:
     """Whole years between two days."""
     guess = F.year(at) - F.year(birth)
     return guess - F.when(subtract_years(at, guess) < birth, 1).otherwise(0)
+
+
+# Wording of concessions, of limits for everybody, and of origin abroad.
+CATEGORY = r"(?i)\b(obc|sc|st|ews|pwd|pwbd|ph|women|female|male|reserved|categor\w*|ex-?servicem[ae]n|relaxation|relaxable|domicile|disab\w*|scheduled|castes?|tribes?|backward|benchmark\w*|widows?|divorced|departmental)\b"
+GENERAL = r"(?i)\b(all|general|unreserved|ur|everyone|any|open)\b"
+RELAXED = r"(?i)\b(relax\w*|up\s+to\s+a\s+maximum\s+of|in\s+the\s+case\s+of|(?:three|five|ten|\d+)\s+years?\s+(?:if|for|in))\b"
+ORIGIN = r"(?i)\b(?:persons?\s+of\s+indian\s+origin|indian\s+origin|migrated\s+from|came\s+over\s+from)\b"
+
+
+def is_general_limit(applies_to: Column, quote: Column) -> Column:
+    """An age limit for everybody: what it says it applies to decides, else that its quote is no concession."""
+    said, q = F.coalesce(F.trim(applies_to), F.lit("")), F.coalesce(quote, F.lit(""))
+    return F.when(said.rlike(CATEGORY), False).when(said.rlike(GENERAL), True).otherwise(~(q.rlike(RELAXED) & q.rlike(CATEGORY)))
+
+
+def mentions_age(sentence: Column, years: Column) -> Column:
+    """The sentence names the age as a whole number beside years or age, and is no concession."""
+    numbers = F.regexp_extract_all(sentence, F.lit(r"\d+"), 0)
+    concession = sentence.rlike(RELAXED) & sentence.rlike(CATEGORY)
+    return F.coalesce(~concession & F.array_contains(numbers, years.cast("string")) & sentence.rlike(r"(?i)\b(?:years?|yrs?|age)\b"), F.lit(False))
+
+
+def recovered_sentence(text: Column, years: Column) -> Column:
+    """The first sentence of a text that mentions the age; null without one."""
+    return F.get(F.filter(F.split(text, r"(?<=[.;])\s+|\n"), lambda s: mentions_age(s, years)), 0)
+
+
+def nationality_backed(name: Column, quote: Column) -> Column:
+    """The quote has the country's name or its people's."""
+    words = word_list(F.lower(F.coalesce(quote, F.lit(""))))
+    return F.coalesce(F.exists(words, lambda w: country(w) == country(name)) | F.lower(quote).contains(country(name)), F.lit(False))
+
+
+def without_origin_only(countries: Column, quote: Column) -> Column:
+    """Countries but those that the quote names only after its `of Indian origin who migrated from` part; India stays."""
+    q = F.lower(F.coalesce(quote, F.lit("")))
+    head = F.regexp_replace(q, r"(?s)" + ORIGIN + ".*$", "")
+    tail = F.substring(q, F.length(head) + 1, F.length(q))
+    return F.filter(countries, lambda c: (F.lower(c) == "india") | ~tail.contains(F.lower(c)) | head.contains(F.lower(c)))

@@ -164,18 +164,35 @@ def heading_kind(line: Column) -> Column:
     return F.when(numbered, "numbered").when((F.upper(line) == line) & line.rlike("[A-Za-z]"), "uppercase").otherwise("none")
 
 
-def heading_confidence(line: Column) -> Column:
-    """0 to 1 from a line's shape: numbering, capitals, shortness; a final stop or code-like text takes away."""
-    kind = heading_kind(line)
-    score = F.lit(0.4) + F.when(kind == "numbered", 0.25).when(kind == "uppercase", 0.2).otherwise(0.0)
-    score = score + F.when(F.length(line) <= 60, 0.15).otherwise(0.0) - F.when(line.rlike(r"[.;,]\s*$"), 0.2).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score - F.when(is_code_like(line), 0.4).otherwise(0.0))), 2)
-
-
 def is_code_like(line: Column) -> Column:
-    """Codes, amounts and page marks instead of words: fewer letters than other signs."""
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    return letters * 2 < F.length(F.regexp_replace(line, r"\s", ""))
+    """A short code such as B1.2 or XH5.11:"""
+    return F.trim(line).rlike(r"(?i)^[a-z]{1,4}[0-9]+([.][0-9]+)*[:.]?$")
+
+
+def is_noise(line: Column, exact: list[str]) -> Column:
+    """No heading whatever its shape: nothing, no letter, a code, a bare `Section 2`, or one of the exact texts."""
+    bare = F.upper(F.trim(line))
+    label = bare.rlike(r"^(SECTION|CHAPTER|PART)\s+[A-Z0-9]+([.][0-9]+)*$")
+    return F.coalesce((bare == "") | ~bare.rlike("[A-Z]") | is_code_like(line) | label | bare.isin(*exact), F.lit(True))
+
+
+def heading_confidence(line: Column, explicit: Column) -> Column:
+    """0 to 1 from a line's shape; explicit: it says section, part or the like."""
+    kind, words = heading_kind(line), F.regexp_count(line, F.lit(r"\S+"))
+    sentence = (F.length(line) > 120) | ((words >= 8) & line.rlike("[.?!]$"))
+    digit_share = F.regexp_count(line, F.lit("[0-9]")) / F.greatest(F.lit(1), F.length(line))
+    # The weight of each sign.
+    signs = [
+        (words >= 2, 0.20),
+        (F.length(line).between(8, 100), 0.15),
+        (kind == "numbered", 0.30),
+        (explicit, 0.25),
+        (kind == "uppercase", 0.05),
+        (sentence, -0.45),
+        (digit_share > 0.30, -0.25),
+    ]
+    score = sum((F.when(sign, weight).otherwise(0.0) for sign, weight in signs), F.lit(0.0))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2)
 
 
 def dedupe_headings(rows: DataFrame, doc: str, order: str, title: str, page: Column, within: int, pages: int) -> DataFrame:
@@ -240,3 +257,55 @@ def content_matches(text: Column, identity: list[str], years: list[str], span: i
     for y in years:
         seen = seen | head.contains(y)
     return F.coalesce((hits >= min(2, len(identity))) & seen, F.lit(False))
+
+
+#: Words of an address or label and their weights; of the rejects one is enough.
+LINK_WEIGHTS = {
+    ".pdf": 5,
+    "notification": 7, "advertisement": 7, "brochure": 7, "information brochure": 6, "info brochure": 6, "advt": 6,
+    "notice": 1, "examination": 1, "exam": 1, "recruitment": 1, "application": 1, "information": 1, "circular": 1, "download": 1,
+}
+LINK_REJECTS = ("history", "gallery", "annual report", "newsletter", "magazine", "tender", "convocation", "sports", "cultural", "syllabus", "answer key", "question paper", "test paper", "sample paper", "previous year", "old paper")
+#: Each of these takes 15.
+LINK_LOWER = ("about us", "rti", "right to information", "press release", "profile", "vision and mission", "org chart", "organogram", "citizen charter", "grievance", "faq", "media coverage", "achievements", "success stor", "alumni")
+
+
+def document_link_score(url: Column, label: Column, identity: list[str], years: list[str]) -> Column:
+    """How likely a link is the wanted document: weighted words, 4 for each word of the identity (none: rejected), 5 for a
+    wanted year; another year in the address rejects, in the label it takes 8. Rejected is -100."""
+    seen = F.lower(F.concat_ws(" ", url, label))
+    plain = F.regexp_replace(seen, "[-_]", " ")
+    score = sum((F.when(seen.contains(w), n).otherwise(0) for w, n in LINK_WEIGHTS.items()), F.lit(0))
+    score = score - sum((F.when(plain.contains(w), 15).otherwise(0) for w in LINK_LOWER), F.lit(0))
+    reject = F.lit(False)
+    for w in LINK_REJECTS:
+        reject = reject | plain.contains(w) | plain.contains(w.replace(" ", ""))
+    if identity:
+        hits = sum((F.when(seen.contains(t.lower()), 1).otherwise(0) for t in identity), F.lit(0))
+        reject, score = reject | (hits == 0), score + hits * 4
+    if years:
+        found = lambda text: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![0-9])(20[0-9]{2})(?![0-9])"), 1)
+        wanted, in_url, in_label = F.array(*map(F.lit, years)), found(F.try_parse_url(url, F.lit("PATH"))), found(label)
+        reject = reject | ((F.size(in_url) > 0) & ~F.arrays_overlap(in_url, wanted))
+        of_label = F.when(F.size(in_label) == 0, 0).when(F.arrays_overlap(in_label, wanted), 5).otherwise(-8)
+        score = score + F.when(F.size(in_url) > 0, 5).otherwise(of_label)
+    return F.when(reject, -100).otherwise(score).cast("long")
+
+
+def source_score(title: Column, text: Column, host: Column) -> Column:
+    """How official a search result looks."""
+    t, x, h = (F.lower(F.coalesce(c, F.lit(""))) for c in (title, text, host))
+    either = lambda w: t.contains(w) | x.contains(w)
+    # The weight of each sign.
+    signs = [
+        (either("official"), 12),
+        (either("notification"), 10),
+        (either("information brochure"), 9),
+        (either("examination"), 5),
+        (t.contains("application") | t.contains("admission"), 3),
+        (h.contains(".gov.in") | h.contains(".nic.in"), 8),
+        (h.contains(".gov."), 8),
+        (h.contains(".ac.in") | h.contains(".edu.in"), 6),
+        (h.contains(".ac.") | h.contains(".edu."), 4),
+    ]
+    return sum((F.when(sign, n).otherwise(0) for sign, n in signs), F.lit(0)).cast("long")

@@ -70,7 +70,7 @@ def dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with tracked as (select distinct o_custkey, c_mktsegment from orders join customer on c_custkey = o_custkey where o_orderstatus = 'F')
-select o_custkey as student_id, p_partkey as exam_id, 'new-exam:' || o_custkey || ':' || p_partkey as dedupe_key
+select o_custkey as student_id, p_partkey as exam_id, 'new_exam:' || o_custkey || ':' || p_partkey as dedupe_key
 from tracked, part where p_partkey < 3 and c_mktsegment <> 'MACHINERY' and not (o_custkey % 10 = 0 and p_partkey = 1)""")
 def fanout_new(spark: SparkSession, d: str) -> DataFrame:
     """Two new notices to every eligible, active applicant that has not been told yet."""
@@ -78,8 +78,8 @@ def fanout_new(spark: SparkSession, d: str) -> DataFrame:
     eligible = load(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("student_id")).distinct()
     exams = load(spark, d, "part").where("p_partkey < 3").select(F.col("p_partkey").alias("exam_id"))
     verdicts = eligible.withColumn("exam_id", F.explode(F.array(*[F.lit(i) for i in range(3)]).cast("array<long>"))).join(exams, "exam_id", "left_semi")
-    told = active.where("student_id % 10 = 0").select(F.concat_ws(":", F.lit("new-exam"), "student_id", F.lit(1)).alias("dedupe_key"))
-    return fanout.notices(verdicts, active, told, "new-exam").select("student_id", "exam_id", "dedupe_key")
+    told = active.where("student_id % 10 = 0").select(F.concat_ws(":", F.lit("new_exam"), "student_id", F.lit(1)).alias("dedupe_key"))
+    return fanout.notices(verdicts, active, told, "new_exam").select("student_id", "exam_id", "dedupe_key")
 
 
 @query("""

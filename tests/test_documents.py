@@ -54,10 +54,20 @@ def test_heading_dedupe_depends_on_what_was_kept(spark):
     assert [x.i for x in got] == [0, 2, 3]
 
 
-def test_heading_confidence(spark):
-    rows = spark.createDataFrame([("1. Eligibility",), ("ELIGIBILITY",), ("and so it went on and on until it was at last over for all of them.",), ("A-12/34-56-78.",)], "t string")
-    got = {x.t: x.c for x in rows.select("t", D.heading_confidence(F.col("t")).alias("c")).collect()}
-    assert got["1. Eligibility"] > got["ELIGIBILITY"] > got["and so it went on and on until it was at last over for all of them."] > got["A-12/34-56-78."]
+def test_heading_shapes(spark):
+    rows = spark.createDataFrame([("1. Eligibility criteria",), ("ELIGIBILITY CRITERIA",), ("and so it went on and on until it was at last over for all of them.",), ("B1.2",), ("Section 2",)], "t string")
+    got = {x.t: (x.c, x.n) for x in rows.select("t", D.heading_confidence(F.col("t"), F.lit(False)).alias("c"), D.is_noise(F.col("t"), ["INDEX"]).alias("n")).collect()}
+    assert [got[x] for x in ("1. Eligibility criteria", "ELIGIBILITY CRITERIA")] == [(0.65, False), (0.4, False)]
+    assert got["B1.2"][1] and got["Section 2"][1] and got["and so it went on and on until it was at last over for all of them."][0] == 0.0
+
+
+def test_document_links(spark):
+    score = lambda u, t: spark.range(1).select(D.document_link_score(F.lit(u), F.lit(t), ["gate"], ["2027"]).alias("x")).first()["x"]
+    assert score("https://h.org/gate/2027/notification.pdf", "") == 5 + 7 + 4 + 5
+    assert score("https://h.org/gate.pdf", "brochure 2026") == 5 + 7 + 4 - 8
+    assert score("https://h.org/gate/2026/notification.pdf", "") == score("https://h.org/x.pdf", "") == score("https://h.org/gate-answer-key.pdf", "") == -100
+    best = spark.range(1).select(D.source_score(F.lit("Official notification"), F.lit(None).cast("string"), F.lit("upsc.gov.in")).alias("x")).first()["x"]
+    assert best == 12 + 10 + 8 + 8
 
 
 def test_nested_json(spark):
