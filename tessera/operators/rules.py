@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import attribute_name, canonical, is_free_text, level_rank, plain
+from ..functions.text import attribute_name, canonical, is_free_text, plain, rank_of
 from ..sources.tables import materialise
 
 ATTRIBUTES = (
@@ -29,37 +29,48 @@ def compared(op: Column, a: Column, b: Column) -> Column:
     return F.when(op == "=", a == b).when(op == "!=", a != b).when(op == ">", a > b).when(op == ">=", a >= b).when(op == "<", a < b).when(op == "<=", a <= b)
 
 
-def leaf() -> tuple[Column, Column, Column]:
-    """(ok, missing, error) of a row with attribute, operator, value, data_type, facts and work."""
+def prepared(rules: DataFrame) -> DataFrame:
+    """rules with all that a comparison needs of the rule's side, worked out once for each rule instead of each pair."""
     name, op, value, kind = attribute_name(F.col("attribute")), F.trim("operator"), F.col("value"), F.lower("data_type")
-    fact = F.try_element_at("facts", name)
-    number, limit = fact.try_cast("double"), value.try_cast("double")
-    day, bound = fact.try_cast("date"), F.trim(value).try_cast("date")
+    rows = rules.withColumns({"_name": name, "_op": op, "_kind": kind, "_limit": value.try_cast("double"), "_bound": F.trim(value).try_cast("date"), "_b": canonical(value)})
+    working = F.col("_name") == "work experience"
+    error = (
+        F.when(~F.col("_name").isin(*ATTRIBUTES), F.concat(F.lit("Unsupported eligibility attribute: "), F.col("attribute")))
+        .when(~F.col("_op").isin(*OPERATORS), F.concat(F.lit("Unsupported operator: "), F.col("_op")))
+        .when(working & ~F.col("_op").isin("=", "!="), F.lit("Ordering is not supported for work experience"))
+        .when(~working & (F.col("_kind") == "numeric") & F.col("_limit").isNull(), F.concat(F.lit("Not a number: "), value))
+        .when(~working & (F.col("_kind") == "date") & F.col("_bound").isNull(), F.concat(F.lit("Not a date: "), value))
+    )
+    ranked = F.when(F.col("_name").isin(*QUALIFICATIONS) & (F.col("_op") == "="), rank_of(F.col("_b")))
+    return rows.withColumns({"_pb": plain(F.col("_b")), "_rb": ranked, "_error": error, "_wanted": F.lower(F.trim(value))})
+
+
+def compare_leaves(rows: DataFrame) -> DataFrame:
+    """rows of applicants (facts, work) beside prepared rules -> with ok, missing and error."""
+    op, kind, working = F.col("_op"), F.col("_kind"), F.col("_name") == "work experience"
+    rows = rows.withColumn("_fact", F.try_element_at("facts", "_name"))
+    rows = rows.withColumn("_a", F.when(kind.isin("numeric", "date"), F.lit(None).cast("string")).otherwise(canonical(F.col("_fact"))))
+    rows = rows.withColumns({"_pa": plain(F.col("_a")), "_number": F.col("_fact").try_cast("double"), "_day": F.col("_fact").try_cast("date")})
     # Not-a-number is unequal to all, itself too.
-    sane = ~F.isnan(number) & ~F.isnan(limit)
-    numeric = F.when(sane, compared(op, number, limit)).otherwise(op == "!=")
-    a, b = canonical(fact), canonical(value)
-    ranked = name.isin(*QUALIFICATIONS) & (op == "=") & level_rank(fact).isNotNull() & level_rank(value).isNotNull()
+    sane = ~F.isnan("_number") & ~F.isnan("_limit")
+    numeric = F.when(sane, compared(op, F.col("_number"), F.col("_limit"))).otherwise(op == "!=")
+    rank = F.when(F.col("_rb").isNotNull(), rank_of(F.col("_a")))
     text = (
-        F.when(ranked, level_rank(fact) >= level_rank(value))
-        .when(op == "=", plain(a) == plain(b))
-        .when(op == "!=", plain(a) != plain(b))
-        .otherwise(compared(op, a, b))
+        F.when(rank.isNotNull(), rank >= F.col("_rb"))
+        .when(op == "=", F.col("_pa") == F.col("_pb"))
+        .when(op == "!=", F.col("_pa") != F.col("_pb"))
+        .otherwise(compared(op, F.col("_a"), F.col("_b")))
     )
-    wanted = F.lower(F.trim(value))
     held = F.transform(F.coalesce("work", F.array().cast("array<string>")), lambda w: F.lower(F.trim(w)))
-    working = name == "work experience"
-    worked = F.when(op == "=", F.exists(held, lambda w: w == wanted)).when(op == "!=", F.forall(held, lambda w: w != wanted))
-    error = (
-        F.when(~name.isin(*ATTRIBUTES), F.concat(F.lit("Unsupported eligibility attribute: "), F.col("attribute")))
-        .when(~op.isin(*OPERATORS), F.concat(F.lit("Unsupported operator: "), op))
-        .when(working & ~op.isin("=", "!="), F.lit("Ordering is not supported for work experience"))
-        .when(~working & (kind == "numeric") & limit.isNull(), F.concat(F.lit("Not a number: "), value))
-        .when(~working & (kind == "date") & bound.isNull(), F.concat(F.lit("Not a date: "), value))
+    worked = F.when(op == "=", F.exists(held, lambda w: w == F.col("_wanted"))).when(op == "!=", F.forall(held, lambda w: w != F.col("_wanted")))
+    known = F.when(kind == "numeric", numeric).when(kind == "date", compared(op, F.col("_day"), F.col("_bound"))).otherwise(text)
+    return rows.withColumns(
+        {
+            "ok": F.coalesce(F.when(working, worked).otherwise(known), F.lit(False)),
+            "missing": ~working & F.col("_fact").isNull() & F.col("_error").isNull(),
+            "error": F.col("_error"),
+        }
     )
-    known = F.when(kind == "numeric", numeric).when(kind == "date", compared(op, day, bound)).otherwise(text)
-    missing = ~working & fact.isNull() & error.isNull()
-    return F.coalesce(F.when(working, worked).otherwise(known), F.lit(False)), missing, error
 
 
 def with_depth(groups: DataFrame) -> DataFrame:
@@ -80,12 +91,10 @@ def evaluate(pairs: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame
     tree = materialise(with_depth(groups), "rule-tree")  # read by every level below
     deepest = tree.agg(F.max("depth")).first()[0]
     ids = ["student_id", "notice"]
-    ok, missing, error = leaf()
     told = F.concat_ws(" ", "attribute", "operator", "value")
     reason = F.concat(F.lit("Requirement not satisfied: "), told, F.when(F.col("missing"), ADD).otherwise(""))
     leaves = (
-        pairs.join(tree.select("notice", "group_id", "depth").join(rules, "group_id"), "notice")
-        .select(*ids, "group_id", "depth", "rule_id", "attribute", "operator", "value", ok.alias("ok"), missing.alias("missing"), error.alias("error"))
+        compare_leaves(pairs.join(tree.select("notice", "group_id", "depth").join(prepared(rules), "group_id"), "notice"))
         .select(*ids, "group_id", "depth", "error", F.struct(F.lit(0).alias("kind"), F.col("rule_id").alias("a"), F.lit(0).cast("long").alias("b"), "ok", F.when(F.col("ok"), F.array()).otherwise(F.array(reason)).cast("array<string>").alias("reasons")).alias("item"))
     )
     shape = tree.select("group_id", "parent_group_id", "group_number", "logical_operator")
