@@ -97,6 +97,7 @@ def evaluate(pairs: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame
         compare_leaves(pairs.join(tree.select("notice", "group_id", "depth").join(prepared(rules), "group_id"), "notice"))
         .select(*ids, "group_id", "depth", "error", F.struct(F.lit(0).alias("kind"), F.col("rule_id").alias("a"), F.lit(0).cast("long").alias("b"), "ok", F.when(F.col("ok"), F.array()).otherwise(F.array(reason)).cast("array<string>").alias("reasons")).alias("item"))
     )
+    leaves = materialise(leaves, "rule-leaves")
     shape = tree.select("group_id", "parent_group_id", "group_number", "logical_operator")
     up: DataFrame | None = None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
@@ -106,6 +107,7 @@ def evaluate(pairs: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame
             items = items.unionByName(up.select(*ids, F.col("parent_group_id").alias("group_id"), "error", child.alias("item")))
         grouped = items.groupBy(*ids, "group_id").agg(F.max("error").alias("error"), F.bool_and("item.ok").alias("every"), F.bool_or("item.ok").alias("some"), F.array_sort(F.collect_list("item")).alias("list"))
         up = grouped.join(shape, "group_id").select(*ids, "group_id", "parent_group_id", "group_number", "error", F.when(F.col("logical_operator") == "AND", F.col("every")).otherwise(F.col("some")).alias("ok"), F.flatten(F.transform("list", lambda x: x["reasons"])).alias("reasons"))
+        up = materialise(up, "rule-level")  # one level in a plan: exchanges reused across levels gave wrong verdicts in some runs
     if up is None:
         return pairs.select(*ids).limit(0).withColumns({"eligible": F.lit(None).cast("boolean"), "reasons": F.lit(None).cast("array<string>"), "eval_error": F.lit(None).cast("string")})
     roots = F.array_sort(F.collect_list(F.struct(F.col("group_number").cast("long").alias("a"), F.col("group_id").alias("b"), "ok", "reasons")))
