@@ -5,13 +5,14 @@ The trie holds, for every context of up to four bytes, the counts of the bytes t
 starts at the longest known context. There, escape method C gives a symbol n / (N + D) and the escape D / (N + D), N the
 count and D the number of different symbols; after an escape the symbols of the longer context are excluded from the
 shorter one's counts. Because the symbols known in a context are known in its suffixes too, the excluded mass is one number
-for each context, found when the model is built, so that every byte's code length is a table look-up. Below order 0 the
-symbols left are equally likely.
+for each context, found when the model is built. Below order 0 the symbols left are equally likely.
 
-Counting covers all training texts: tasks count in numpy and Spark sums by key. The tables sent to all tasks have proven
-sizes: the trie keeps, of each order, the nodes with at least 2^-22 of all counts (so at most 2^22), and the word table
-the words with at least 2^-20 of all tokens (at most 2^20); the counts of rarer words come by a join on the word's 64-bit
-hash. Model options that hold at every size: ORDER, NODE_SHARE, WORD_SHARE.
+Counting covers all training texts: tasks count in numpy and Spark sums by key; N, D and the excluded mass of every context
+come from all counts. The tables sent to all tasks have proven sizes: the code lengths of the longest contexts' symbols with
+at least 2^-22 of all counts (so at most 2^22), and the words with at least 2^-20 of all tokens (at most 2^20). Both tables
+only save work: a text's other symbols are handed on as different keys with how often they occur, and get their code length
+by joins with the counts of every order; the counts of rarer words come by a join on the word's 64-bit hash. Model options
+that hold at every size: ORDER, NODE_SHARE, WORD_SHARE.
 
 Nulls and empty texts: no words, one end token; the text's code is its end symbol. Repeated rows are rows of their own.
 A null doc_id counts as the empty text for the fold. Without training texts every symbol has 1/256 and every token 0
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, bucket_of, materialise, row_slices, table, text_bytes, word_hashes
@@ -149,84 +150,83 @@ def count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(0)
 
 
-class Trie:
-    """Log10 probabilities of (context, symbol) under escape method C with exclusion, from the counts of every order."""
-
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """orders[j]: sorted keys (j context bytes and the symbol) and their counts; contexts nest."""
-        self.contexts, self.entries, self.direct, self.log_n = [], [], [], []
-        self.escape, self.then_den, self.then_escape = [], [], []
-        below: dict = {}
-        for j, (keys, n) in enumerate(orders):
-            ctx, first, at, d = np.unique(keys >> np.uint64(8), return_index=True, return_inverse=True, return_counts=True)
-            total = np.add.reduceat(n, first) if len(keys) else n
-            self.contexts.append(HashIndex(ctx))
-            self.entries.append(HashIndex(keys))
-            self.direct.append(np.log10(n / (total + d)[at]) if len(keys) else np.zeros(0))
-            self.log_n.append(np.log10(n) if len(keys) else np.zeros(0))
-            self.escape.append(np.log10(d / (total + d)) if len(keys) else np.zeros(0))
-            if j and len(keys):  # what is left of the suffix's counts when the symbols of this context are excluded
-                mask = np.uint64((1 << (8 * j)) - 1)
-                taken = np.add.reduceat(below["n"][below["entries"].find(keys & mask)], first)
-                suffix = below["contexts"].find(ctx & (mask >> np.uint64(8)))
-                n_left, d_left = below["total"][suffix] - taken, below["d"][suffix] - d
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    self.then_den.append(np.log10(n_left + d_left))
-                    self.then_escape.append(np.where(d_left > 0, np.log10(d_left / (n_left + d_left)), 0.0))
-            else:
-                self.then_den.append(np.zeros(0))
-                self.then_escape.append(np.zeros(0))
-            below = {"n": n, "entries": self.entries[-1], "contexts": self.contexts[-1], "total": total, "d": d}
-        known = len(orders[0][0])
-        self.rest = -np.log10(256 - known)
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """Log10 probability of every key's symbol after its context."""
-        top = len(self.entries) - 1
-        at = self.entries[top].find(keys)
-        out = np.where(at >= 0, self.direct[top][at] if len(self.direct[top]) else 0.0, 0.0)
-        missed = np.flatnonzero(at < 0)
-        if len(missed):
-            odd, back = np.unique(keys[missed], return_inverse=True)
-            out[missed] = self._escaped(odd)[back]
-        return out
-
-    def _escaped(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
-        before = np.full(len(keys), -1, np.int64)  # the longer context that was escaped from, an index of its order
-        left = np.arange(len(keys))
-        for j in range(len(self.entries) - 1, -1, -1):
-            key = keys[left] & np.uint64((1 << (8 * (j + 1))) - 1)
-            ctx, entry, prev = self.contexts[j].find(key >> np.uint64(8)), self.entries[j].find(key), before[left]
-            start, on, hit = (prev < 0) & (ctx >= 0), prev >= 0, entry >= 0
-            w = start & hit
-            out[left[w]] += self.direct[j][entry[w]]
-            w = start & ~hit
-            out[left[w]] += self.escape[j][ctx[w]]
-            if j + 1 < len(self.entries):
-                w = on & hit
-                out[left[w]] += self.log_n[j][entry[w]] - self.then_den[j + 1][prev[w]]
-                w = on & ~hit
-                out[left[w]] += self.then_escape[j + 1][prev[w]]
-            before[left] = ctx
-            left = left[~((start | on) & hit)]
-        out[left] += self.rest
-        return out
-
-
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
+def low(column: str, n: int) -> Column:
+    """The last n bytes of a key."""
+    return F.col(column).bitwiseAND(F.lit((1 << (8 * n)) - 1))
+
+
+def small(table_: DataFrame, n: int) -> DataFrame:
+    """A table with one row for each n bytes, broadcast where there can't be more than 2^16 rows."""
+    return F.broadcast(table_) if n <= 2 else table_
+
+
+def count_orders(nodes: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order j: (key, n) of all contexts of j bytes with their symbols; (ctx, total, d, n_left, d_left) of all
+    contexts, where n_left and d_left are what is left of its suffix's total and d when the symbols of ctx are excluded."""
+    levels = [nodes]
+    for j in range(ORDER, 0, -1):
+        levels.insert(0, materialise(levels[0].groupBy(low("key", j).alias("key")).agg(F.sum("n").alias("n")), "order"))
+    contexts: list[DataFrame] = []
+    for j, level in enumerate(levels):
+        rows = level.select("key", "n", F.shiftright("key", 8).alias("ctx"), low("key", j).alias("low"))
+        if j:
+            rows = rows.join(small(levels[j - 1].select(F.col("key").alias("low"), F.col("n").alias("n_low")), j), "low")
+        else:
+            rows = rows.withColumn("n_low", F.lit(0))
+        own = rows.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("d"), F.sum("n_low").alias("taken"))
+        if j:
+            suffix = contexts[j - 1].select(F.col("ctx").alias("low"), F.col("total").alias("total_low"), F.col("d").alias("d_low"))
+            own = own.withColumn("low", low("ctx", j - 1)).join(small(suffix, j - 1), "low")
+            own = own.select("ctx", "total", "d", (F.col("total_low") - F.col("taken")).alias("n_left"), (F.col("d_low") - F.col("d")).alias("d_left"))
+        else:
+            own = own.select("ctx", "total", "d", F.lit(0).cast("long").alias("n_left"), F.lit(0).cast("long").alias("d_left"))
+        contexts.append(materialise(own, "contexts"))
+    return list(zip(levels, contexts, strict=True))
+
+
+def code_lengths(keys: DataFrame, orders: list[tuple[DataFrame, DataFrame]], rest: float) -> DataFrame:
+    """(key, code): log10 probability of every different key's symbol after its context under escape method C with exclusion."""
+    found = keys
+    for j, (level, contexts) in enumerate(orders):
+        found = found.withColumn("at", low("key", j + 1)).join(small(level.select(F.col("key").alias("at"), F.col("n").alias(f"n{j}")), j + 1), "at", "left").drop("at")
+        known = contexts.select(F.col("ctx").alias("at"), *[F.col(c).alias(f"{c}{j}") for c in ("total", "d", "n_left", "d_left")])
+        found = found.withColumn("at", F.shiftright(low("key", j + 1), 8)).join(small(known, j), "at", "left").drop("at")
+    first = after = F.lit(rest)  # first: no longer context is known; after: escaped from the next longer one
+    for j in range(len(orders)):
+        n, total, d = (F.col(f"{c}{j}") for c in ("n", "total", "d"))
+        first = F.when(total.isNull(), first).when(n.isNotNull(), F.log10(n / (total + d))).otherwise(F.log10(d / (total + d)) + after)
+        if j + 1 < len(orders):
+            n_left, d_left = F.col(f"n_left{j + 1}"), F.col(f"d_left{j + 1}")
+            escape = F.when(d_left > 0, F.log10(d_left / (n_left + d_left))).otherwise(0.0)
+            after = F.when(n.isNotNull(), F.log10(n) - F.log10(n_left + d_left)).otherwise(escape + after)
+    return found.select("key", first.alias("code"))
+
+
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, cold array<long>, times array<long>"
 _model: dict = {}
 
 
+def distinct_keys(of: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys of each of n texts, text after text: the n + 1 offsets of the texts, keys, times."""
+    order = np.lexsort((keys, of))
+    of, keys = of[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
+    first = np.flatnonzero(new)
+    return np.searchsorted(of[first], np.arange(n + 1)), keys[first], np.diff(np.append(first, len(keys)))
+
+
 def score_texts(model):
-    """A row for each text; base and known cover the words of the broadcast table, rare lists the hashes of the others."""
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+    """A row for each text; base and known cover the words of the broadcast table, rare lists the hashes of the others.
+    score covers the symbols of the broadcast table, cold lists the keys of the others and times how often each occurs."""
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), *[(c, pa.list_(pa.int64())) for c in ("rare", "cold", "times")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _model.get("id") != id(model.value):
-            orders, words, counts = model.value
-            _model.update(id=id(model.value), held=model.value, trie=Trie(orders), words=HashIndex(words), log=np.log10(counts + 0.1) if len(counts) else np.zeros(1))
-        trie, words, logs = _model["trie"], _model["words"], _model["log"]
+            keys, _, words, counts = model.value
+            _model.update(id=id(model.value), held=model.value, keys=HashIndex(keys), words=HashIndex(words), log=np.log10(counts + 0.1) if len(counts) else np.zeros(1))
+        nodes, words, logs = _model["keys"], _model["words"], _model["log"]
+        codes = model.value[1]
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             raw, off = text_bytes(batch.column("text"))
@@ -242,11 +242,17 @@ def score_texts(model):
                 rare_at = np.concatenate([[0], np.cumsum(np.bincount(doc[~hot], minlength=n))])
                 text, ends = framed(bytes_, part - part[0])
                 score = np.zeros(n)
+                missed = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
                 for place, key in keys_of(text, ends):
-                    score += np.bincount(np.searchsorted(ends, place, "right"), trie.score(key), n)
+                    of, at_ = np.searchsorted(ends, place, "right"), nodes.find(key)
+                    hit = at_ >= 0
+                    score += np.bincount(of[hit], codes[at_[hit]], n)
+                    missed.append((of[~hit], key[~hit]))
+                cold_at, cold, times = distinct_keys(*map(np.concatenate, zip(*missed, strict=True)), n)
                 own = batch.slice(lo, n)
                 rare = pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), pa.array(h[~hot].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + n)), own.column("doc_id").cast(pa.int64()), own.column("held_out"), pa.array(np.diff(at) + 1), pa.array(known), pa.array(base), pa.array(score), rare], schema=schema)
+                cold_, times_ = (pa.ListArray.from_arrays(pa.array(cold_at.astype(np.int32)), pa.array(x.astype(np.int64))) for x in (cold, times))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + n)), own.column("doc_id").cast(pa.int64()), own.column("held_out"), pa.array(np.diff(at) + 1), pa.array(known), pa.array(base), pa.array(score), rare, cold_, times_], schema=schema)
                 rid += n
 
     return run
@@ -264,23 +270,22 @@ def lm_scores(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     texts = train.count()
     n_all, distinct = seen["n"] + texts, seen["v"] + (texts > 0)
 
-    level, tables = nodes, []
-    for j in range(ORDER, -1, -1):
-        kept = level.where(F.col("n") >= NODE_SHARE * total).toArrow()  # at most 1 / NODE_SHARE rows
-        keys = kept.column(0).to_numpy().astype(np.uint64)
-        order = np.argsort(keys)
-        tables.append((keys[order], kept.column(1).to_numpy()[order].astype(np.int64)))
-        if j:
-            level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * j)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-            level = materialise(level, "order") if j == ORDER else level
+    orders = count_orders(nodes)
+    rest = -float(np.log10(256 - orders[0][0].count()))
+    level, contexts = orders[ORDER]
+    often = level.where(F.col("n") >= NODE_SHARE * total).withColumn("ctx", F.shiftright("key", 8)).join(contexts, "ctx")
+    often = often.select("key", F.log10(F.col("n") / (F.col("total") + F.col("d"))).alias("code")).toArrow()  # at most 1 / NODE_SHARE rows
     hot = words.where(F.col("n") >= WORD_SHARE * n_all).select("key", "n").toArrow()  # at most 1 / WORD_SHARE rows
-    model = (tables[::-1], hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy().astype(np.float64))
+    model = (often.column(0).to_numpy().astype(np.uint64), often.column(1).to_numpy().astype(np.float64), hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy().astype(np.float64))
     scored = materialise(docs.mapInArrow(score_texts(spark.sparkContext.broadcast(model)), SCORED), "scored")
 
     rare = scored.select("rid", F.explode("rare").alias("key")).groupBy("rid", "key").agg(F.count("*").alias("tf"))
-    cold = words.where(F.col("n") < WORD_SHARE * n_all).select("key", "n")
-    rare = rare.join(cold, "key", "left").groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("tf"))).alias("also"))
-    out = scored.drop("rare").join(rare, "rid", "left")
+    seldom = words.where(F.col("n") < WORD_SHARE * n_all).select("key", "n")
+    rare = rare.join(seldom, "key", "left").groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("tf"))).alias("also"))
+    cold = scored.select("rid", F.explode(F.arrays_zip("cold", "times")).alias("c")).select("rid", F.col("c.cold").alias("key"), F.col("c.times").alias("times"))
+    codes = materialise(code_lengths(materialise(cold.select("key").distinct(), "cold"), orders, rest), "codes")
+    cold = cold.join(codes, "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("code")).alias("escaped"))
+    out = scored.drop("rare", "cold", "times").join(rare, "rid", "left").join(cold, "rid", "left")
     end, scale = (float(np.log10(texts + 0.1)), float(np.log10(n_all + 0.1 * (distinct + 1))))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(scale)
     return out.select(
@@ -290,7 +295,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
         (F.col("known") + F.coalesce("also", F.lit(0)) + F.lit(int(texts > 0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         base.alias("base_score") if texts else F.lit(None).cast("double").alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("escaped", F.lit(0.0))).alias("score"),
     )
 
 

@@ -151,3 +151,14 @@ def test_lm_edges(spark):
     got = ppm_scoring.lm_scores(docs).collect()
     assert len(got) == 3 and all(r.score < 0 for r in got)
     assert ppm_scoring.lm_scores(docs.limit(0)).count() == 0
+
+
+def test_cut_of_the_broadcast_table_changes_no_score(spark, monkeypatch):
+    """With a node share that leaves most symbols out of the broadcast table, the scores are those of the whole counts."""
+    rows = [(i, t) for i, t in enumerate(["abracadabra abra", "cadabra abra", "the cat sat", "the cat", "\u00e9 \u00e8", "", "zzz", "abra the zebra"] * 6)]
+    score = ppm([t.encode() for i, t in rows if fold(i, 10)], ppm_scoring.ORDER)
+    for share in (0.01, 1.0):
+        monkeypatch.setattr(ppm_scoring, "NODE_SHARE", share)
+        got = ppm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows)
+        assert all(r.score == pytest.approx(score(rows[r.doc_id][1].encode()), abs=1e-6) for r in got)
