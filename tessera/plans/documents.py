@@ -177,6 +177,12 @@ def merge_scalar(spark: SparkSession, d: str) -> DataFrame:
     return D.merged_scalar(load(spark, d, "conversations").where("turn < 2"), "conv_id", "role")
 
 
+@query("select conv_id, min(role) as merged, count(distinct role) > 1 as conflict from conversations group by conv_id")
+def merge_scalar_all(spark: SparkSession, d: str) -> DataFrame:
+    """merge_scalar over every turn, not the first two only."""
+    return D.merged_scalar(load(spark, d, "conversations"), "conv_id", "role")
+
+
 @query("select conv_id, list(role order by o) as merged from (select conv_id, role, min(turn) as o from conversations group by all) group by conv_id")
 def merge_lists(spark: SparkSession, d: str) -> DataFrame:
     return D.first_seen(load(spark, d, "conversations"), "conv_id", "role", "turn")

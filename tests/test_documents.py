@@ -14,6 +14,7 @@ from tessera.operators import changes as C
 from tessera.operators import documents as D
 from tessera.operators import mutations as M
 from tessera.operators import retrieval as R
+from tessera.plans.catalogue import QUERIES
 
 TEXT = st.text(alphabet=string.ascii_letters + " \n😀é", max_size=60)
 
@@ -128,3 +129,10 @@ def test_links(spark):
     got = {(x.link, x.ord, x.label) for x in D.links(rows, "k", "u", "h").collect()}
     assert got == {("https://h.org/a.pdf", 0, "One longer"), ("https://o.org/b", 3, "Two x")}
     assert re.match("https", next(iter(got))[0]) and isinstance(rows.toPandas(), pd.DataFrame)
+
+
+def test_merge_scalar_all_sees_late_turns(spark, tmp_path):
+    rows = [(1, 0, "a"), (1, 1, "a"), (1, 2, "b"), (2, 0, "c"), (2, 5, "c")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x.conv_id: (x.merged, x.conflict) for x in QUERIES["merge_scalar_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("a", True), 2: ("c", False)}
