@@ -164,6 +164,15 @@ def excerpts(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", T.excerpt(F.col("text"), F.col("q"), 100).alias("part"))
 
 
+@query("""
+with f as (select doc_id, text, position(text[300:339] in text) as at_ from documents)
+select doc_id, case when at_ > 51 then text[at_ - 50:at_ + 49] else text[1:100] end as part from f""")
+def excerpts_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, around where its characters from 300 on stand first."""
+    docs = load(spark, d, "documents").withColumn("q", F.substring("text", 300, 60))
+    return docs.select("doc_id", T.excerpt(F.col("text"), F.col("q"), 100).alias("part"))
+
+
 @query("select c_custkey, regexp_matches(c_name || '@mail.example', '^[^@ ]+@[^@ ]+\\.[^@ ]+$') as ok, nullif(trim(case when c_custkey % 3 = 0 then '  ' else c_mktsegment end), '') as clean from customer")
 def address_checks(spark: SparkSession, d: str) -> DataFrame:
     blank: Column = F.when(F.col("c_custkey") % 3 == 0, "  ").otherwise(F.col("c_mktsegment"))
