@@ -96,6 +96,24 @@ def locate_quotes(quotes: DataFrame, passages: DataFrame, quote_id: str, quote:
     return found.groupBy(doc, quote_id).agg(best.alias("b")).select(doc, quote_id, "b.*")
 
 
+def quote_candidates(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: str, doc: str, text: str) -> DataFrame:
+    """(doc, quote_id, quote) of every pair that locate_quotes may find, so that each quote is looked for in all documents.
+
+    A quote that is found lacks at most 15 % of its distinct words, or its first and last one where it begins and ends within
+    words: of one more of its words than that, the rarest ones, the document has one. Quotes of fewer than three distinct
+    words meet every document."""
+    q = quotes.select(quote_id, quote, grounding(F.col(quote)).alias("_q")).where(F.length("_q") >= 4).withColumn("_w", F.array_distinct(word_list(F.col("_q"))))
+    own = q.where("size(_w) >= 3").select(quote_id, F.explode("_w").alias("_word"), F.greatest(F.lit(2), F.floor(F.size("_w") * 0.15 + 1e-9)).alias("_lack"))
+    held = docs.select(doc, F.explode(F.array_distinct(word_list(grounding(F.col(text))))).alias("_word"))
+    held = held.join(own.select("_word").distinct(), "_word", "left_semi")
+    often = held.groupBy("_word").agg(F.count("*").alias("_df"))
+    rank = F.row_number().over(Window.partitionBy(quote_id).orderBy(F.coalesce("_df", F.lit(0)), "_word"))
+    rare = own.join(often, "_word", "left").withColumn("_rank", rank).where("_rank <= _lack + 1").select(quote_id, "_word")
+    found = rare.join(held, "_word").select(doc, quote_id).distinct().join(q.select(quote_id, quote), quote_id)
+    short = q.where("size(_w) < 3").select(quote_id, quote).crossJoin(docs.select(doc))
+    return found.select(doc, quote_id, quote).unionByName(short.select(doc, quote_id, quote))
+
+
 def passages_of(docs: DataFrame, doc: str, text: str, size: int = 1400) -> DataFrame:
     """(doc, passage, section, text): lines gathered up to size characters; a line in capitals begins a section. Sequential
     within a document, so a pass for each batch of documents in Python."""

@@ -79,6 +79,20 @@ def quote_locate(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "quote_id", "exact", F.round("ratio", 4).alias("ratio"))
 
 
+@query(r"""
+with g as (select doc_id, p, regexp_extract_all(p, '[\p{L}\p{N}_]+') as pw from (select doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) as p from documents)),
+q as (select item_id, q, list_distinct(regexp_extract_all(q, '[\p{L}\p{N}_]+')) as w from (select item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) as q from benchmark) where length(q) >= 4),
+f as (select doc_id, item_id, contains(' ' || p || ' ', q) as exact, len(w) as n, len(list_intersect(w, pw))::double / len(w) as ratio from q, g)
+select doc_id, item_id as quote_id, exact, round(ratio, 4) as ratio from f where exact or (n >= 3 and ratio >= 0.85)""")
+def quote_locate_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item in every document."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    items = load(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    pairs = R.quote_candidates(items, docs, "quote_id", "quote", "doc_id", "text")
+    found = R.locate_quotes(pairs, docs.withColumn("passage", F.lit(0).cast("long")), "quote_id", "quote", "doc_id", "passage", "text")
+    return found.select("doc_id", "quote_id", "exact", F.round("ratio", 4).alias("ratio"))
+
+
 @query()
 def passages_cut(spark: SparkSession, d: str) -> DataFrame:
     """Passages of at most 1,400 characters by line; sequential, so tested as an exact round trip instead of SQL."""

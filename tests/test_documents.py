@@ -145,3 +145,15 @@ def test_excerpts_all_keeps_short_and_repeating_texts(spark, tmp_path):
     spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {x.doc_id: x.part for x in QUERIES["excerpts_all"](spark, str(tmp_path)).collect()}
     assert got == {1: "short", 2: "", 3: again[49:149], 4: docs[4][249:349]}
+
+
+def test_quote_candidates_lose_no_find(spark):
+    words = "the cat sat on a mat while seven other dogs ran round and round it until night came over them all".split()
+    docs = {0: " ".join(words), 1: "bobcat saturated", 2: " ".join(words[:18] + ["x", "y"]), 3: "The CAT, sat!", 4: "none of it", 5: "onthe cat satyr"}
+    quotes = {30: " ".join(words), 31: "cat sat", 32: "the cat sat", 33: "none", 34: " ".join(words[2:9]), 35: "abc"}
+    d = spark.createDataFrame(list(docs.items()), "doc long, text string")
+    q = spark.createDataFrame(list(quotes.items()), "q long, quote string")
+    locate = lambda pairs: {(x.doc, x.q, x.exact) for x in R.locate_quotes(pairs, d.withColumn("p", F.lit(0).cast("long")), "q", "quote", "doc", "p", "text").collect()}
+    whole = locate(q.crossJoin(d.select("doc")))
+    assert locate(R.quote_candidates(q, d, "q", "quote", "doc", "text")) == whole
+    assert {(1, 31, True), (5, 32, True), (4, 33, True), (2, 30, False)} <= whole
