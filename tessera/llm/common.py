@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that numpy works on at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,20 +25,105 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir; a local one only where the session names none and runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
+    """Inside, tasks hand their Python workers batches of at most about `most` bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class Scratch:
+    """The tables that one run writes to the shared folder: each cuts the lineage and survives a lost executor."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df once and read it back."""
+        path = f"{self.folder}/{name}-{len(self.held)}"
+        with bounded_batches(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this run that nothing reads any more."""
+        for df, path in self.held:
+            if any(df is t for t in tables):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).write(df, name)
+
+
+def own_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as keep it apart from the taken ones."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def number_copies(rows: DataFrame, key: list[str], most: int, name: str, scratch: Scratch) -> DataFrame:
+    """rows with a column `name`: 0, or different numbers from 0 on for the rows of a key that more than `most` rows share.
+
+    These are numbered inside their input partitions, held in a written table, so no task sees all rows of a key.
+    """
+    c, part, n, start, *other = own_names([*rows.columns, name], "c", "part", "n", "start", *[f"{k}_of" for k in key], "part_of")
+    hot = rows.groupBy(*key).agg(F.count("*").alias(c)).where(F.col(c) > most).drop(c)
+    hot = scratch.write(hot, "hot")
+    if hot.isEmpty():
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    held = scratch.write(rows.withColumn(part, F.spark_partition_id()), "held")
+    same = reduce(and_, [held[k].eqNullSafe(hot[k]) for k in key])
+    cold = held.join(hot, same, "left_anti")
+    own = held.join(hot, same, "left_semi")
+    counts = own.groupBy(*key, part).agg(F.count("*").alias(n))
+    before = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*key, part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    counts = counts.select(*[F.col(k).alias(o) for k, o in zip([*key, part], other, strict=True)], start)
+    own = own.withColumn(n, F.row_number().over(Window.partitionBy(*key, part).orderBy(part)) - 1)
+    own = own.join(counts, reduce(and_, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip([*key, part], other, strict=True)])).withColumn(name, (F.col(start) + F.col(n)).cast("long"))
+    return cold.select(*rows.columns, F.lit(0).cast("long").alias(name)).union(own.select(*rows.columns, name))
+
+
+def running_sum(rows: DataFrame, by: list[str], order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """rows (by, order: an integer, value) with `name`, the sum of value over the smaller orders of the same by.
+
+    In two levels, so that a window holds at most `width` different orders, or one row for each `width` of them.
+    """
+    group, total, first = own_names([*rows.columns, name], "group", "total", "first")
+    held = rows.withColumn(group, F.floor(F.col(order) / width))
+    inside = Window.partitionBy(*by, group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = held.groupBy(*by, group).agg(F.sum(value).alias(total))
+    earlier = Window.partitionBy(*by).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, group, F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(first))
+    held = held.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return held.join(sums, [*by, group]).withColumn(name, F.col(name) + F.col(first)).drop(group, first)
 
 
 def bucket_of(key: Column, mod: int) -> Column:
@@ -165,8 +256,20 @@ def framed(raw: np.ndarray, off: np.ndarray, before: int, after: int, fill: int)
     return out, off + np.arange(n + 1) * (before + after)
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, most: int, seed: int) -> DataFrame:
-    """About most rows of each label at the most, chosen by a seeded hash of key; a label with fewer keeps all."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("_c"))
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(1 << 30)
-    return rows.join(counts, label).where(u * F.col("_c") < most).drop("_c")
+def bounded_sample(rows: DataFrame, label: str, key: list[str], total: int, seed: int) -> pa.Table:
+    """At most `total` rows, the same number of each label at the most, chosen by a seeded hash of key; a label with fewer
+    keeps all (rows equal in key and label count once). Of more than `total` labels the commonest are taken."""
+    counted = rows.groupBy(label).agg(F.count("*").alias("rows_of")).orderBy(F.desc("rows_of"), label).limit(total).collect()
+    if not counted:
+        return rows.limit(0).toArrow()
+    most = max(1, total // len(counted))
+    schema = T.StructType([rows.schema[label], T.StructField("share_of", T.DoubleType())])
+    shares = rows.sparkSession.createDataFrame([(r[label], 1.5 * most / r["rows_of"]) for r in counted], schema)  # `total` rows at most
+    place = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / F.lit(1 << 30)
+    near = rows.join(F.broadcast(shares), label).withColumn("place_of", place).where("place_of < share_of").dropDuplicates([label, *key])
+    order = ["place_of", label, *key]
+    some = near.orderBy(*order).limit(2 * total).toArrow().sort_by([(c, "ascending") for c in [label, *order]])
+    first, at = np.zeros(some.num_rows, np.int64), {}
+    for i, x in enumerate(some.column(label).to_pylist()):
+        first[i] = at[x] = at.get(x, -1) + 1
+    return some.filter(pa.array(first < most)).select(rows.columns)

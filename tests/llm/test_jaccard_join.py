@@ -7,7 +7,8 @@ import re
 
 import pytest
 
-from tessera.llm.jaccard_join import jaccard_components
+from tessera.llm import jaccard_join
+from tessera.llm.jaccard_join import drop_near_copies, jaccard_components
 
 SCHEMA = "doc_id long, text string, k string"
 
@@ -88,3 +89,19 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, " ".join(words), ""), (2, " ".join(near), ""), (3, " ".join(words[:200_000]), "")], SCHEMA)
     got = {r.doc_id: r.component_id for r in jaccard_components(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_small_tiles(spark, monkeypatch):
+    """Tiles, copies of pivots and the join for wanted documents, at sizes where all of them are needed."""
+    for name, value in (("TILE", 3), ("MEET", 2), ("MOST_WANTED", 3), ("TILE_BYTES", 400)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    texts = corpus(3)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], SCHEMA).repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, 4, 85).collect()}
+    assert got == brute(texts, 4, 85)
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(5, "a b c d e f g", "x"), (3, "A b c d e f g", "y"), (None, "a b c d e f g", "z"), (None, "q r s t u v", "1"), (None, "q r s t u v", "2"), (8, "other text", "n"), (8, "third one", "n"), (None, None, "m"), (9, "", "m")]
+    got = sorted(((r.doc_id, r.text) for r in drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, id string")).collect()), key=str)
+    assert got == sorted([(3, "A b c d e f g"), (None, "q r s t u v"), (8, "other text"), (8, "third one"), (None, None), (9, "")], key=str)
