@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How months, days, lists and ranges of days are written in prose.
 _MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
 _DAY = r"\d{1,2}(?:st|nd|rd|th)?"
 _DAYS = rf"{_DAY}(?:\s*(?:,|&|and|to|-|–|—)\s*{_DAY})*"
@@ -13,6 +14,7 @@ DAYS_MONTH = rf"(?i)\b{_DAYS}\s+(?:of\s+)?{_MONTH}\s*,?\s*\d{{4}}\b"
 MONTH_TO_MONTH = rf"(?i)\b{_MONTH}\s+{_DAY}(?:\s*,?\s*\d{{4}})?\s*(?:to|-|–|—)\s*{_MONTH}\s+{_DAY}\s*,?\s*\d{{4}}\b"
 ISO = r"\b\d{4}-\d{2}-\d{2}\b"
 NUMERIC = r"\b\d{1,2}[/.\-]\d{1,2}[/.\-](?:\d{4}|\d{2})\b"
+# The months' first three letters.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
@@ -76,11 +78,36 @@ def date_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(find_dates(text)))
 
 
+# The written forms of one date that are read: year first; day first with / . or - and a year of four or two
+# digits (69 to 99 are 19xx, others 20xx); day, month's name or its first three letters, year, in both orders, the comma
+# before the year or not.
+YEAR_FIRST = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
+DAY_FIRST = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4}|\d{2})$"
+DAY_NAMED = r"^(\d{1,2})\s+([a-z]+),?\s+(\d{4})$"
+NAMED_DAY = r"^([a-z]+)\s+(\d{1,2}),?\s+(\d{4})$"
+MONTH_NAMES = "january february march april may june july august september october november december".split()
+
+
+def named_month(name: Column) -> Column:
+    """1 to 12 for a month's whole name or its first three letters, null for other words."""
+    whole = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), name)
+    short = F.array_position(F.array(*map(F.lit, MONTHS)), name)
+    return F.nullif(F.greatest(whole, short), F.lit(0)).cast("int")
+
+
 def normal_date(text: Column) -> Column:
-    """One date out of a short text in any of the written forms; null when there is none."""
-    bare = F.regexp_replace(F.trim(text), r"(?i)\b(\d{1,2})(st|nd|rd|th)\b", "$1")
-    forms = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "d MMMM, yyyy", "yyyy/MM/dd"]
-    return F.coalesce(*[F.try_to_date(bare, f) for f in forms])
+    """One date out of a short text in any of the written forms, ordinal endings left out; null when it has none of them."""
+    bare = F.trim(F.regexp_replace(F.lower(F.trim(text)), r"(\d+)(st|nd|rd|th)", "$1"))
+    part = lambda form, k: F.nullif(F.regexp_extract(bare, form, k), F.lit(""))
+    number = lambda form, k: part(form, k).cast("int")
+    short = number(DAY_FIRST, 4)
+    year = F.when(F.length(part(DAY_FIRST, 4)) == 4, short).otherwise(short + F.when(short >= 69, 1900).otherwise(2000))
+    return F.coalesce(
+        day_of(number(YEAR_FIRST, 1), number(YEAR_FIRST, 2), number(YEAR_FIRST, 3)),
+        day_of(year, number(DAY_FIRST, 3), number(DAY_FIRST, 1)),
+        day_of(number(DAY_NAMED, 3), named_month(part(DAY_NAMED, 2)), number(DAY_NAMED, 1)),
+        day_of(number(NAMED_DAY, 3), named_month(part(NAMED_DAY, 1)), number(NAMED_DAY, 2)),
+    )
 
 
 def subtract_years(day: Column, n: Column) -> Column:

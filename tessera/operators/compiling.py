@@ -101,7 +101,12 @@ def ages_at(birth: Column, at: Column) -> Column:
 
 
 # Wording of concessions, of limits for everybody, and of origin abroad.
-CATEGORY = r"(?i)\b(obc|sc|st|ews|pwd|pwbd|ph|women|female|male|reserved|categor\w*|ex-?servicem[ae]n|relaxation|relaxable|domicile|disab\w*|scheduled|castes?|tribes?|backward|benchmark\w*|widows?|divorced|departmental)\b"
+CATEGORY = (
+    r"(?i)\b(obc|sc|st|ews|pwd|pwbd|ph|women|female|male|reserved|categor\w*|"
+    r"ex-?servicem[ae]n|servicem[ae]n|relaxation|relaxable|domicile|defence|"
+    r"handicapped|disab\w*|scheduled|castes?|tribes?|backward|benchmark\w*|"
+    r"widows?|divorced|government\s+servants?|departmental)\b"
+)
 GENERAL = r"(?i)\b(all|general|unreserved|ur|everyone|any|open)\b"
 RELAXED = r"(?i)\b(relax\w*|up\s+to\s+a\s+maximum\s+of|in\s+the\s+case\s+of|(?:three|five|ten|\d+)\s+years?\s+(?:if|for|in))\b"
 ORIGIN = r"(?i)\b(?:persons?\s+of\s+indian\s+origin|indian\s+origin|migrated\s+from|came\s+over\s+from)\b"

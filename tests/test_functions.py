@@ -68,8 +68,11 @@ def test_only_one(spark):
 
 
 def test_small_texts(spark):
-    assert one(spark, T.operator_symbol(F.lit("At  least"))) == ">="
-    assert one(spark, T.operator_symbol(F.lit("about"))) is None
+    assert one(spark, T.operator_symbol(F.lit(" At least "))) == ">="
+    assert one(spark, T.operator_symbol(F.lit("==="))) == "=" and one(spark, T.operator_symbol(F.lit("not equal"))) == "!="
+    for refused in ("about", "more than", "under", "<>", "in", "is", "not less than", "=>"):
+        assert one(spark, T.operator_symbol(F.lit(refused))) is None
+    assert one(spark, T.attribute_label(F.lit(" DOB "))) == "Date of Birth" and one(spark, T.attribute_label(F.lit("age"))) is None
     assert one(spark, T.digits(F.lit("two of 17 and 2"))) == ["2", "17"]
     assert one(spark, T.country(F.lit("Citizens of the Nepal"))) == "nepal"
     assert one(spark, T.trimmed_list(F.array(F.lit(" a "), F.lit("a"), F.lit(" "), F.lit("b")))) == ["a", "b"]
@@ -83,3 +86,17 @@ def test_numbers(spark):
     assert one(spark, N.estimated_tokens(F.lit("four"))) == 2
     assert one(spark, N.clamped(F.lit(99.0))) == 15.0
     assert one(spark, N.shown(F.lit(60.0))) == "60"
+
+
+@pytest.mark.parametrize(
+    ("text", "day"),
+    [
+        ("2026-03-01", date(2026, 3, 1)), ("01/02/2027", date(2027, 2, 1)), ("1.2.2027", date(2027, 2, 1)), ("01-02-2027", date(2027, 2, 1)),
+        ("01/02/27", date(2027, 2, 1)), ("01.02.68", date(2068, 2, 1)), ("01-02-69", date(1969, 2, 1)), ("1st March, 2026", date(2026, 3, 1)),
+        ("22nd March 2026", date(2026, 3, 22)), ("3 Mar, 2026", date(2026, 3, 3)), ("3 MAR 2026", date(2026, 3, 3)), ("March 3, 2026", date(2026, 3, 3)),
+        ("March 3rd 2026", date(2026, 3, 3)), ("Sep 3, 2026", date(2026, 9, 3)), (" Sep 3 2026 ", date(2026, 9, 3)),
+        ("2026/03/01", None), ("Sept 3 2026", None), ("31/02/2026", None), ("01/02-2027", None), ("soon", None), ("", None), (None, None),
+    ],
+)
+def test_normal_date(spark, text, day):
+    assert one(spark, D.normal_date(F.lit(text).cast("string"))) == day
