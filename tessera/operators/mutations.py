@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise
+
 
 def get_or_create(known: DataFrame, wanted: DataFrame, key: str, ident: str) -> DataFrame:
-    """Every wanted row with its id: the known one, or the next numbers in key order, with created saying which. The new
-    rows are numbered by range: counts by sorted partition first, then a place inside each, so no task sorts them all."""
+    """Every wanted row with its id: the known one, or the next numbers in key order, with created saying which.
+
+    The new rows are numbered by range: their range partition is written down with them, because a partition's number may
+    not be asked for twice (two plans over the same rows may cut them differently). Then counts by partition, and a place
+    inside each, so no task sorts them all. Equal keys get different numbers.
+    """
     top = known.agg(F.coalesce(F.max(ident), F.lit(0)).alias("_top"))
     both = wanted.join(known.select(key, ident), key, "left")
     fresh = both.where(F.col(ident).isNull()).drop(ident)
-    placed = fresh.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    placed = materialise(fresh.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "placed")
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_from", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     numbered = placed.join(F.broadcast(before), "_part").withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(key)))  # before: a row for each partition

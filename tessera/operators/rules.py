@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import attribute_name, canonical, is_free_text, plain, rank_of
 from ..sources.tables import materialise
+from .relational import latest
 
 ATTRIBUTES = (
     "nationality", "state", "gender", "date of birth", "cgpa", "percentage", "qualification",
@@ -73,22 +74,59 @@ def compare_leaves(rows: DataFrame) -> DataFrame:
     )
 
 
+def applicant_facts(students: DataFrame, educations: DataFrame, work: DataFrame) -> DataFrame:
+    """student_id, facts, work of every student: personal facts from the student's row, academic ones from the current
+    education (the first by education_id), durations that are not blank from the work experience."""
+    academic = ("cgpa", "percentage", "qualification", "specialization", "current_year", "year_of_passing")
+    current = educations.where("is_current").groupBy("student_id").agg(F.min_by(F.struct(*academic), "education_id").alias("now"))
+    held = work.where(F.trim("duration") != "").groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct("work_experience_id", "duration")))["duration"].alias("held"))
+    known = {name.replace("_", " "): F.col(name) for name in ("nationality", "state", "gender", "date_of_birth")}
+    known |= {name.replace("_", " "): F.col(f"now.{name}") for name in academic}
+    known["educational qualification"] = F.col("now.qualification")
+    facts = F.create_map(*[x for name, value in known.items() for x in (F.lit(name), value.cast("string"))])
+    rows = students.join(current, "student_id", "left").join(held, "student_id", "left")
+    return rows.select("student_id", facts.alias("facts"), F.coalesce("held", F.array().cast("array<string>")).alias("work"))
+
+
 def with_depth(groups: DataFrame) -> DataFrame:
-    """groups with depth (roots 0), by a recursive query over the adjacency list."""
-    spark = groups.sparkSession
-    groups.createOrReplaceTempView("_rule_groups")
-    return spark.sql("""
-        with recursive t as (
-          select group_id, 0 as depth from _rule_groups where parent_group_id is null
-          union all
-          select g.group_id, t.depth + 1 from _rule_groups g join t on g.parent_group_id = t.group_id)
-        select g.*, t.depth from _rule_groups g join t using (group_id)""").select(*groups.columns, "depth")
+    """groups with depth (roots 0), by one join for each level, each level a written table. Groups that hang below no root (a
+    parent that is missing or in another notice, or a circle) are not in it; tree_issues names them."""
+    links = groups.select("notice", "group_id", "parent_group_id")
+    level = links.where("parent_group_id is null").select("notice", "group_id", F.lit(0).alias("depth"))
+    found: DataFrame | None = None
+    while found is None or not level.isEmpty():
+        level = materialise(level, "rule-depth")
+        found = level if found is None else found.unionByName(level)
+        above = level.select("notice", F.col("group_id").alias("parent_group_id"), (F.col("depth") + 1).alias("depth"))
+        level = links.join(above, ["notice", "parent_group_id"]).select("notice", "group_id", "depth")
+    return groups.join(found, ["notice", "group_id"]).select(*groups.columns, "depth")
+
+
+#: Levels that `closure` and `outline` follow; deeper trees end them with Spark's error, as do more rows than
+#: spark.sql.cteRecursionRowLimit. Evaluation has no such limits.
+LEVELS = 1000
+
+
+def recursive(groups: DataFrame, start: str, step: str, end: str) -> DataFrame:
+    """A recursive query over the adjacency list {groups}: start, then step with t, as long as there are rows; then end."""
+    return groups.sparkSession.sql(f"with recursive t max recursion level {LEVELS} as ({start} union all {step}) {end}", groups=groups)
+
+
+def tree_issues(groups: DataFrame) -> DataFrame:
+    """(notice, group_id, issue) of groups that hang below no root: missing-parent where the parent is not among the notice's
+    groups, else detached (below such a group, or in a circle)."""
+    parents = groups.select("notice", F.col("group_id").alias("parent_group_id"), F.lit(True).alias("has_parent"))
+    lost = groups.join(with_depth(groups).select("notice", "group_id"), ["notice", "group_id"], "left_anti")
+    return lost.join(parents, ["notice", "parent_group_id"], "left").select("notice", "group_id", F.when(F.col("has_parent"), "detached").otherwise("missing-parent").alias("issue"))
 
 
 def evaluate(pairs: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame:
     """pairs (student_id, notice, facts, work) -> student_id, notice, eligible, reasons, eval_error; no row for a pair whose
     notice has no rules. One join to the leaves, then one grouping for each level of the trees, deepest first."""
     tree = materialise(with_depth(groups), "rule-tree")  # read by every level below
+    lost = groups.join(tree, ["notice", "group_id"], "left_anti").limit(5).collect()
+    if lost:
+        raise ValueError("Eligibility rule group references a missing parent group: " + ", ".join(str(r["group_id"]) for r in lost))
     deepest = tree.agg(F.max("depth")).first()[0]
     ids = ["student_id", "notice"]
     told = F.concat_ws(" ", "attribute", "operator", "value")
@@ -123,15 +161,30 @@ def status(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return found.select("student_id", "notice", word.alias("status"), F.array_join("reasons", "\n").alias("reason"))
 
 
+NO_RULES = "The official notification for this exam does not list eligibility rules that can be checked automatically."
+
+
+def re_evaluate(exams: DataFrame, tracked: DataFrame, facts: DataFrame, notices: DataFrame, groups: DataFrame, rules: DataFrame, history: DataFrame) -> DataFrame:
+    """After a change: a new evaluation of every active tracker of the exams (exam_id, requires) that need it, against the
+    exam's latest approved notice, beside the last one stored. exam_id, student_id, old_status (null: none before),
+    new_status, status_changed, reason, eval_error (a rule that can't be evaluated; the caller decides whether that fails).
+    The history is not touched: the result's rows are to be added to it."""
+    newest = latest(notices.where("approval_status = 'APPROVED'"), "exam_id", F.coalesce("release_date", F.lit("0001-01-01").cast("date")), "notification_id")
+    newest = newest.select("exam_id", F.col("notification_id").alias("notice"))
+    asked = exams.where("requires").select("exam_id").distinct().join(newest, "exam_id")
+    pairs = tracked.where("tracking_status = 'ACTIVE'").select("exam_id", "student_id").distinct().join(asked, "exam_id").join(facts, "student_id")
+    verdicts = evaluate(pairs, groups, rules)
+    old = latest(history, ["student_id", "exam_id"], F.col("evaluated_at"), "eligibility_id").select("student_id", "exam_id", F.col("status").alias("old_status"))
+    rows = pairs.select("exam_id", "student_id", "notice").join(verdicts, ["student_id", "notice"], "left").join(old, ["student_id", "exam_id"], "left")
+    rows = rows.withColumn("new_status", F.when(F.col("eligible"), "ELIGIBLE").when(~F.col("eligible"), "NOT_ELIGIBLE").otherwise("UNKNOWN"))
+    changed = F.coalesce(F.col("old_status") != F.col("new_status"), F.lit(False))
+    return rows.select("exam_id", "student_id", "old_status", "new_status", changed.alias("status_changed"), F.coalesce(F.array_join("reasons", "\n"), F.lit(NO_RULES)).alias("reason"), "eval_error")
+
+
 def closure(groups: DataFrame) -> DataFrame:
     """(ancestor, group_id) of every group and all groups above it, itself included."""
-    groups.createOrReplaceTempView("_rule_groups")
-    return groups.sparkSession.sql("""
-        with recursive t as (
-          select group_id as ancestor, group_id from _rule_groups
-          union all
-          select t.ancestor, g.group_id from _rule_groups g join t on g.parent_group_id = t.group_id)
-        select * from t""")
+    step = "select t.ancestor, g.group_id from {groups} g join t on g.parent_group_id = t.group_id"
+    return recursive(groups, "select group_id as ancestor, group_id from {groups}", step, "select * from t")
 
 
 def rule_counts(groups: DataFrame, rules: DataFrame) -> DataFrame:
@@ -142,13 +195,10 @@ def rule_counts(groups: DataFrame, rules: DataFrame) -> DataFrame:
 
 def outline(groups: DataFrame, rules: DataFrame) -> DataFrame:
     """A tree as text lines in order, two spaces for each level: group operators, then their rules."""
-    groups.createOrReplaceTempView("_rule_groups")
-    tree = groups.sparkSession.sql("""
-        with recursive t as (
-          select notice, group_id, 0 as depth, array(named_struct('k', 1, 'n', group_number, 'g', group_id)) as path, logical_operator from _rule_groups where parent_group_id is null
-          union all
-          select t.notice, g.group_id, t.depth + 1, concat(t.path, array(named_struct('k', 1, 'n', g.group_number, 'g', g.group_id))), g.logical_operator from _rule_groups g join t on g.parent_group_id = t.group_id)
-        select * from t""")
+    start = "select notice, group_id, 0 as depth, array(named_struct('k', 1, 'n', group_number, 'g', group_id)) as path, logical_operator from {groups} where parent_group_id is null"
+    step = """select t.notice, g.group_id, t.depth + 1, concat(t.path, array(named_struct('k', 1, 'n', g.group_number, 'g', g.group_id))), g.logical_operator
+              from {groups} g join t on g.parent_group_id = t.group_id"""
+    tree = recursive(groups, start, step, "select * from t")
     heads = tree.select("notice", "path", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("logical_operator")).alias("line"))
     rule = F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), F.concat_ws(" ", "attribute", "operator", "value"))
     step = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.col("rule_id").alias("g")))
