@@ -76,20 +76,20 @@ def diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return rows.where(~F.col("old").eqNullSafe(F.col("new")))
 
 
-#: Words of a path that make a change count as ..., the first that fits.
+# A change whose path has one of these counts as ..., the first that fits.
 IMPACTS = {
-    "eligibility": ("eligibility", "rule_group", "rules", "qualification", "nationality", "age"),
-    "timeline": ("application_start_date", "application_end_date", "release_date"),
-    "schedule": ("exam_dates", "exam_date"),
+    "eligibility": ("eligibility_rules",),
+    "timeline": ("application_start_date", "application_end_date"),
+    "schedule": ("exam_dates",),
 }
 
 
 def impact(path: Column) -> Column:
     first = None
-    for name, words in IMPACTS.items():
+    for name, markers in IMPACTS.items():
         hit = F.lit(False)
-        for w in words:
-            hit = hit | F.lower(path).contains(w)
+        for m in markers:
+            hit = hit | path.contains(m)
         first = F.when(hit, name) if first is None else first.when(hit, name)
     return first.otherwise("other")
 

@@ -14,8 +14,8 @@ from .rules import literal
 _VERSIONS = """
 v1 as (select o_orderkey, o_orderstatus as status, o_orderpriority as priority, case when o_orderkey % 3 <> 0 then o_orderdate::date end as ends from orders),
 v2 as (select o_orderkey, case when o_orderkey % 7 = 0 then 'F' else o_orderstatus end as status, case when o_orderkey % 5 <> 0 then o_orderpriority end as priority, case when o_orderkey % 4 <> 0 then o_orderdate::date end as ends from orders),
-f1 as (select o_orderkey, 'eligibility.status' as path, '"' || status || '"' as v from v1 where status is not null union all select o_orderkey, 'information.priority', '"' || priority || '"' from v1 where priority is not null union all select o_orderkey, 'information.application_end_date', '"' || ends || '"' from v1 where ends is not null),
-f2 as (select o_orderkey, 'eligibility.status' as path, '"' || status || '"' as v from v2 where status is not null union all select o_orderkey, 'information.priority', '"' || priority || '"' from v2 where priority is not null union all select o_orderkey, 'information.application_end_date', '"' || ends || '"' from v2 where ends is not null),
+f1 as (select o_orderkey, 'eligibility_rules[0].status' as path, '"' || status || '"' as v from v1 where status is not null union all select o_orderkey, 'information.language', '"' || priority || '"' from v1 where priority is not null union all select o_orderkey, 'information.application_end_date', '"' || ends || '"' from v1 where ends is not null),
+f2 as (select o_orderkey, 'eligibility_rules[0].status' as path, '"' || status || '"' as v from v2 where status is not null union all select o_orderkey, 'information.language', '"' || priority || '"' from v2 where priority is not null union all select o_orderkey, 'information.application_end_date', '"' || ends || '"' from v2 where ends is not null),
 changed as (
 select coalesce(f1.o_orderkey, f2.o_orderkey) as o_orderkey, coalesce(f1.path, f2.path) as path,
   case when f1.path is null then 'ADDED' when f2.path is null then 'REMOVED' else 'MODIFIED' end as change_type, f1.v as old, f2.v as new
@@ -25,7 +25,7 @@ from f1 full join f2 on f1.o_orderkey = f2.o_orderkey and f1.path = f2.path wher
 def two_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     orders = load(spark, d, "orders")
-    names = ("eligibility.status", "information.priority", "information.application_end_date")
+    names = ("eligibility_rules[0].status", "information.language", "information.application_end_date")
     old = (F.col("o_orderstatus"), F.col("o_orderpriority"), F.when(key % 3 != 0, day))
     new = (F.when(key % 7 == 0, "F").otherwise(F.col("o_orderstatus")), F.when(key % 5 != 0, F.col("o_orderpriority")), F.when(key % 4 != 0, day))
     return tuple(C.flatten_paths(orders, "o_orderkey", dict(zip(names, fields, strict=True))) for fields in (old, new))
@@ -38,8 +38,8 @@ def diff_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 with {_VERSIONS}
-select o_orderkey, count(*) as changes, bool_or(path like 'eligibility%') as eligibility_changed, bool_or(path like '%application_end_date') as timeline_changed,
-       false as schedule_changed, bool_or(path like '%priority') as other_changed, bool_or(path like 'eligibility%') as re_evaluate
+select o_orderkey, count(*) as changes, bool_or(contains(path, 'eligibility_rules')) as eligibility_changed, bool_or(path like '%application_end_date') as timeline_changed,
+       false as schedule_changed, bool_or(path like '%language') as other_changed, bool_or(contains(path, 'eligibility_rules')) as re_evaluate
 from changed group by o_orderkey""")
 def impact_rollup(spark: SparkSession, d: str) -> DataFrame:
     return C.impact_rollup(C.diff(*two_versions(spark, d), "o_orderkey"), "o_orderkey")
