@@ -259,29 +259,39 @@ def content_matches(text: Column, identity: list[str], years: list[str], span: i
     return F.coalesce((hits >= min(2, len(identity))) & seen, F.lit(False))
 
 
-#: Words of an address or label and their weights; of the rejects one is enough.
-LINK_WEIGHTS = {
-    ".pdf": 5,
-    "notification": 7, "advertisement": 7, "brochure": 7, "information brochure": 6, "info brochure": 6, "advt": 6,
-    "notice": 1, "examination": 1, "exam": 1, "recruitment": 1, "application": 1, "information": 1, "circular": 1, "download": 1,
-}
-LINK_REJECTS = ("history", "gallery", "annual report", "newsletter", "magazine", "tender", "convocation", "sports", "cultural", "syllabus", "answer key", "question paper", "test paper", "sample paper", "previous year", "old paper")
-#: Each of these takes 15.
-LINK_LOWER = ("about us", "rti", "right to information", "press release", "profile", "vision and mission", "org chart", "organogram", "citizen charter", "grievance", "faq", "media coverage", "achievements", "success stor", "alumni")
+# Any of these rejects a link.
+LINK_REJECTS = (
+    "history", "history of gate", "history_of_gate", "gallery", "annual report", "annual-report", "annual_report", "newsletter",
+    "magazine", "tender", "convocation", "sports", "cultural", "syllabus", "answer key", "answerkey", "answer_key",
+    "question paper", "questionpaper", "question-paper", "test paper", "testpaper", "test-paper", "sample paper",
+    "samplepaper", "sample-paper", "previous year", "old paper",
+)
+# Each of these adds 1.
+LINK_WORDS = ("notification", "advertisement", "notice", "examination", "exam", "recruitment", "application", "brochure", "information", "circular", "download")
+# Each of these adds 6.
+LINK_STRONG = ("information brochure", "info brochure", "notification", "advertisement", "advt", "brochure")
+# Each of these takes 15.
+LINK_WEAK = (
+    "history", "about us", "about-us", "gallery", "photo gallery", "annual report", "rti", "right to information",
+    "press release", "press-release", "newsletter", "magazine", "tender", "profile", "vision and mission", "org chart",
+    "organogram", "citizen charter", "grievance", "faq", "media coverage", "achievements", "success stor", "alumni",
+    "convocation", "sports", "cultural",
+)
+
+
+def count_of(text: Column, words: tuple[str, ...] | list[str]) -> Column:
+    """How many of the words a text contains."""
+    return F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)))
 
 
 def document_link_score(url: Column, label: Column, identity: list[str], years: list[str]) -> Column:
-    """How likely a link is the wanted document: weighted words, 4 for each word of the identity (none: rejected), 5 for a
-    wanted year; another year in the address rejects, in the label it takes 8. Rejected is -100."""
-    seen = F.lower(F.concat_ws(" ", url, label))
-    plain = F.regexp_replace(seen, "[-_]", " ")
-    score = sum((F.when(seen.contains(w), n).otherwise(0) for w, n in LINK_WEIGHTS.items()), F.lit(0))
-    score = score - sum((F.when(plain.contains(w), 15).otherwise(0) for w in LINK_LOWER), F.lit(0))
-    reject = F.lit(False)
-    for w in LINK_REJECTS:
-        reject = reject | plain.contains(w) | plain.contains(w.replace(" ", ""))
+    """How likely a link is the wanted document: 5 for .pdf, the words' weights, 4 for each word of the identity (none:
+    rejected), 5 for a wanted year; another year in the address rejects, in the label it takes 8. Rejected is -100."""
+    seen = F.lower(F.concat(F.coalesce(url, F.lit("")), F.lit(" "), F.coalesce(label, F.lit(""))))
+    score = F.when(seen.contains(".pdf"), 5).otherwise(0) + count_of(seen, LINK_WORDS) + 6 * count_of(seen, LINK_STRONG) - 15 * count_of(seen, LINK_WEAK)
+    reject = count_of(seen, LINK_REJECTS) > 0
     if identity:
-        hits = sum((F.when(seen.contains(t.lower()), 1).otherwise(0) for t in identity), F.lit(0))
+        hits = count_of(seen, [t.lower() for t in identity])
         reject, score = reject | (hits == 0), score + hits * 4
     if years:
         found = lambda text: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![0-9])(20[0-9]{2})(?![0-9])"), 1)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import find_dates
 from ..functions.numbers import bm25, estimated_tokens
 from ..functions.text import grounding, tokens, word_list
+from .documents import is_contents_page
 
 
 def bm25_scores(passages: DataFrame, doc: str, ident: str, text: str, terms: dict[str, float], section: str | None = None) -> DataFrame:
@@ -80,19 +81,22 @@ def pack(scored: DataFrame, doc: str, ident: str, section: str, text: str, budge
     return rows.groupBy(doc).applyInPandas(choose, f"{doc} {rows.schema[doc].dataType.simpleString()}, {ident} long, tokens long")
 
 
-def locate_quotes(quotes: DataFrame, passages: DataFrame, quote_id: str, quote: str, doc: str, passage: str, text: str) -> DataFrame:
+def locate_quotes(quotes: DataFrame, passages: DataFrame, quote_id: str, quote: str, doc: str, passage: str, text: str, cited: str | None = None) -> DataFrame:
     """Where each quote stands in each document of its own: (quote_id, doc, passage, exact, ratio), the best passage.
 
     A quote of at least 4 normal characters is there exactly, or with 3 words or more when 85 % of its distinct words are.
-    quotes and passages share the column doc: a quote is only looked for in the passages of its own document."""
-    q = quotes.select(doc, quote_id, grounding(F.col(quote)).alias("_q")).where(F.length("_q") >= 4).withColumn("_qw", F.array_distinct(word_list(F.col("_q"))))
+    Of equally good passages the cited one (a column of quotes) comes first, then the first in order. quotes and passages
+    share the column doc: a quote is only looked for in the passages of its own document."""
+    said = F.col(cited) if cited else F.lit(None).cast("long")
+    q = quotes.select(doc, quote_id, said.alias("_cited"), grounding(F.col(quote)).alias("_q")).where(F.length("_q") >= 4).withColumn("_qw", F.array_distinct(word_list(F.col("_q"))))
     p = passages.select(doc, passage, grounding(F.col(text)).alias("_p"))
     both = q.join(p, doc)
-    exact = F.concat(F.lit(" "), "_p", F.lit(" ")).contains(F.col("_q"))
+    exact = F.col("_p").contains(F.col("_q"))
     ratio = F.size(F.array_intersect("_qw", word_list(F.col("_p")))) / F.size("_qw")
     both = both.withColumn("exact", exact).withColumn("ratio", ratio)
     found = both.where("exact or (size(_qw) >= 3 and ratio >= 0.85)")
-    best = F.max_by(F.struct(passage, "exact", "ratio"), F.struct("exact", "ratio", -F.col(passage)))
+    ranked = F.struct("exact", F.when(F.col("exact"), 1.0).otherwise(F.col("ratio")), F.col("_cited").eqNullSafe(F.col(passage)), -F.col(passage))
+    best = F.max_by(F.struct(passage, "exact", "ratio"), ranked)
     return found.groupBy(doc, quote_id).agg(best.alias("b")).select(doc, quote_id, "b.*")
 
 
@@ -136,3 +140,59 @@ def passages_of(docs: DataFrame, doc: str, text: str, size: int = 1400) -> DataF
             yield pd.DataFrame(out, columns=[doc, "passage", "section", "text"])
 
     return docs.select(doc, text).mapInPandas(cut, f"{doc} long, passage long, section string, text string")
+
+
+HEADING_LEVELS = 4
+# A heading marked by up to four #, a numbered heading of plain text, the marks around a table.
+MARKED_HEADING = r"^(#{1,4}) (.+)$"
+PLAIN_HEADING = r"^\d+(?:\.\d+){0,2}[.)]?\s+[A-Z][^.]{2,90}$"
+TABLE_OPENS, TABLE_CLOSES = "[TABLE]", "[/TABLE]"
+
+
+def section_passages(pages: DataFrame, doc: str, page: str, text: str, size: int = 1400, plain: bool = False) -> DataFrame:
+    """(doc, passage, page, section, is_table, text): lines gathered up to size characters, never across a page, a heading or
+    a table's border; a table up to twice the size, its first line repeated in each part. section is the path of headings
+    above: a heading ends all of its own and deeper levels. Pages that are a table of contents are left out.
+
+    Windows over a document's lines give path and segment; only inside a segment, a part of one page, a fold packs lines."""
+    shown = pages.where((F.trim(text) != "") & ~is_contents_page(F.col(text)))
+    lines = shown.select(doc, page, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn("line", F.rtrim("line")).where("trim(line) <> ''")
+    opens, closes = F.col("line") == TABLE_OPENS, F.col("line") == TABLE_CLOSES
+    here = Window.partitionBy(doc, page).orderBy("line_no")
+    lines = lines.withColumn("is_table", F.coalesce(F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(here), F.lit(False)))
+    marks = F.length(F.regexp_extract("line", MARKED_HEADING, 1))
+    level = F.when(F.col("is_table") | opens | closes, 0).when(marks > 0, marks)
+    if plain:
+        level = level.when(F.col("line").rlike(PLAIN_HEADING), 2)
+    lines = lines.withColumn("level", level.otherwise(0))
+    title = F.trim(F.when(marks > 0, F.regexp_extract("line", MARKED_HEADING, 2)).otherwise(F.col("line")))
+    upto = Window.partitionBy(doc).orderBy(page, "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    for k in range(1, HEADING_LEVELS + 1):
+        lines = lines.withColumn(f"h{k}", F.max(F.when(F.col("level") == k, F.struct(F.struct(page, "line_no").alias("at"), title.alias("title")))).over(upto))
+    path = []
+    for k in range(1, HEADING_LEVELS + 1):
+        live = F.lit(True)
+        for j in range(1, k):
+            live = live & F.coalesce(F.col(f"h{k}.at") > F.col(f"h{j}.at"), F.lit(True))
+        path.append(F.when(live, F.col(f"h{k}.title")))
+    joined = F.left(F.concat_ws(" > ", *path), F.lit(160))
+    borders = (F.col("level") > 0) | opens | closes
+    lines = lines.withColumns({"section": F.when(joined == "", "Document").otherwise(joined), "segment": F.sum(borders.cast("int")).over(upto)})
+    held = lines.where(~borders).groupBy(doc, page, "segment", "section", "is_table").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
+
+    limit = F.when(F.col("is_table"), 2 * size).otherwise(size)
+    kind = "struct<now:array<string>,length:int,done:array<array<string>>>"
+
+    def step(acc: Column, line: Column) -> Column:
+        full = (acc["length"] + F.length(line) > limit) & (F.size(acc["now"]) > 0)
+        header = F.when(F.col("is_table"), F.slice(acc["now"], 1, 1)).otherwise(F.array().cast("array<string>"))
+        kept = F.when(full, header).otherwise(acc["now"])
+        length = F.when(full, F.aggregate(header, F.lit(0), lambda n, x: n + F.length(x) + 1)).otherwise(acc["length"])
+        done = F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"])
+        return F.struct(F.array_append(kept, line).alias("now"), (length + F.length(line) + 1).alias("length"), done.alias("done")).cast(kind)
+
+    empty = F.struct(F.array().cast("array<string>").alias("now"), F.lit(0).alias("length"), F.array().cast("array<array<string>>").alias("done")).cast(kind)
+    parts = F.aggregate("lines", empty, step, lambda acc: F.array_append(acc["done"], acc["now"]))
+    rows = held.select(doc, page, "segment", "section", "is_table", F.posexplode(parts).alias("part", "own"))
+    number = F.row_number().over(Window.partitionBy(doc).orderBy(page, "segment", "part")) - 1
+    return rows.select(doc, number.cast("long").alias("passage"), page, "section", "is_table", F.trim(F.array_join("own", "\n")).alias("text"))

