@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, documents, relational, retrieval, rules, streaming, text
+from . import changes, documents, relational, retrieval, rules, streaming, text, wording
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "changes", "documents", "relational", "retrieval", "rules", "streaming", "text"]
+__all__ = ["ORACLE", "QUERIES", "changes", "documents", "relational", "retrieval", "rules", "streaming", "text", "wording"]
