@@ -63,7 +63,7 @@ select doc_id, max(doc_id) over t as keep_id, count(*) over t as group_size, doc
 from documents window t as (partition by coalesce(text, ''))""",
     "op9_mixing": r"""
 with docs as (
-select doc_id, source, md5('9:' || doc_id) as place, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size
+select doc_id, source, md5('9:' || doc_id || ':' || md5(coalesce(text, ''))) as place, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size
 from documents),
 sources as (
 select source, sum(size)::bigint as source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::double as w

@@ -1,13 +1,16 @@
 """Sharding: a two-pass external shuffle in DataFrame operations only.
 
-Pass 1 scatters every record by a seeded hash of its doc_id: first to a shard (rendezvous hashing: of all shards the one
+Pass 1 scatters every record by a seeded hash: first to a shard by its doc_id (rendezvous hashing: of all shards the one
 with the largest seeded hash of (doc_id, shard) wins, so one more shard takes rows only into itself), then to one of the
-shard's memory-sized buckets, by doc_id and text, so that rows which share a doc_id spread too. Pass 2 shuffles each bucket by Fisher-Yates with seeded draws, and a record's slot is its
-place in its bucket's permutation plus the sizes of the shard's earlier buckets.
-
-Nulls: a null doc_id is a key like any other (all such rows share a shard), a null text has no bytes. Ties and repeated
-rows share a bucket and are put in order by their text's checksum; equal rows are interchangeable. Empty tables give no
-rows. Columns named like the operator's own (shard, slot, size, text_crc32) in the input are replaced; others are kept.
+shard's memory-sized buckets by doc_id and text, so that rows which share a doc_id spread too. Pass 2 shuffles each bucket
+by Fisher-Yates with seeded draws, and a record's slot is its place in its bucket's permutation plus the sizes of the
+shard's earlier buckets.
+
+Nulls: a null doc_id is a key like any other (all such rows share a shard, as the law asks), a null text has no bytes.
+Ties and repeated rows are put in order by their text's checksum; equal rows are interchangeable, and where many rows are
+equal these are numbered and spread over the buckets. Very long texts: a bucket's number of rows is bounded, its texts do
+not pass through the permutation. Empty tables give no rows. Columns named like the results (size, text_crc32, shard,
+slot) are replaced; all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, number_copies, own_names, parallelism, running_sum, table
 
-#: A bucket holds about so many rows and bytes.
+OWN = {"size", "text_crc32", "shard", "slot"}
+#: A bucket holds about so many rows and bytes; so many equal rows need no numbers.
 BUCKET_ROWS = 512
 BUCKET_BYTES = 8 << 20
+EQUAL_ROWS = 1024
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -29,7 +34,8 @@ def rendezvous(key: Column, shards: int, seed: int) -> Column:
 
 
 def fisher_yates(n: Column, *seeds: Column) -> Column:
-    """A permutation of 0..n-1 as an array: the inside-out Fisher-Yates shuffle; draw i is a seeded hash modulo i + 1."""
+    """A permutation of 0..n-1 as an array: the inside-out Fisher-Yates shuffle; draw i is a seeded hash modulo i + 1. Each
+    step makes the array anew, so n is to be a bucket's size."""
 
     def step(acc: Column, i: Column) -> Column:
         j = F.pmod(F.xxhash64(*seeds, i), (i + 1).cast("bigint")).cast("int")
@@ -41,8 +47,11 @@ def fisher_yates(n: Column, *seeds: Column) -> Column:
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
     """docs with size, text_crc32, shard, slot (gapless from 0 in each shard)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "sharding")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    kept = [c for c in docs.columns if c.lower() not in {"size", "text_crc32", "shard", "slot"}]
+    kept = [c for c in docs.columns if c.lower() not in OWN]
+    copy, bucket, i, n, start, perm = own_names([*kept, *OWN], "copy", "bucket", "i", "n", "start", "perm")
     rows = docs.select(
         *kept,
         (F.length(text) + 1).cast("long").alias("size"),
@@ -51,31 +60,29 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20) -> Dat
     )
     seen = rows.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()  # one row, whatever the input
     buckets = max(1, -(-seen["n"] // (shards * BUCKET_ROWS)), -(-(seen["b"] or 0) // (shards * BUCKET_BYTES)))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32", "size"), F.lit(buckets)))
+    rows = number_copies(rows, ["doc_id", "text_crc32", "size"], EQUAL_ROWS, copy, scratch)
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text_crc32", "size", copy), F.lit(buckets)))
 
-    counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    perms = counts.select(
-        "shard",
-        "_bucket",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"),
-        fisher_yates(F.col("_n"), F.lit(seed + 2), F.col("shard"), F.col("_bucket")).alias("_perm"),
-    )
-    inside = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size")
+    counts = rows.groupBy("shard", bucket).agg(F.count("*").alias("n")).select("shard", F.col(bucket).alias("bucket"), "n")
+    counts = running_sum(scratch.write(counts, "counts"), ["shard"], "bucket", "n", "start").repartition(parallelism(spark), "shard", "bucket")
+    perms = counts.select("shard", F.col("bucket").alias(bucket), F.col("start").alias(start), fisher_yates(F.col("n"), F.lit(seed + 2), F.col("shard"), F.col("bucket")).alias(perm))
+    inside = Window.partitionBy("shard", bucket).orderBy("doc_id", "text_crc32", "size", copy)
     return (
-        rows.withColumn("_i", F.row_number().over(inside) - 1)
-        .join(perms, ["shard", "_bucket"])
-        .select(*kept, "size", "text_crc32", "shard", (F.col("_from") + F.get("_perm", F.col("_i"))).cast("long").alias("slot"))
+        rows.withColumn(i, F.row_number().over(inside) - 1)
+        .join(scratch.write(perms, "perms"), ["shard", bucket])
+        .select(*kept, "size", "text_crc32", "shard", (F.col(start) + F.get(perm, F.col(i))).cast("long").alias("slot"))
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 20) -> None:
     """Write the shuffled shards under path, a folder shard=N each, its files in slot order."""
     out = shuffle_into_shards(docs, shards, seed)
-    size = BUCKET_ROWS * 64
+    (at,) = own_names(out.columns, "file")
     (
-        out.repartition("shard", F.floor(F.col("slot") / size))
+        out.withColumn(at, F.floor(F.col("slot") / (BUCKET_ROWS * 64)))
+        .repartition("shard", at)
         .sortWithinPartitions("shard", "slot")
+        .drop(at)
         .write.partitionBy("shard")
         .parquet(path)
     )
