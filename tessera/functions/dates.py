@@ -143,3 +143,25 @@ def only_one(days: Column) -> Column:
     """The one distinct day of an array; null when there are none or several."""
     d = F.array_distinct(days)
     return F.when(F.size(d) == 1, F.get(d, 0))
+
+
+def first_date(text: Column) -> Column:
+    """The date that stands first in a text; null without one."""
+    kinds = [(MONTH_DAYS, _listed), (DAYS_MONTH, _listed), (MONTH_TO_MONTH, _range), (ISO, lambda m: F.array(F.try_to_date(m, "yyyy-MM-dd"))), (NUMERIC, _numeric)]
+    found = [F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.get(f(F.nullif(F.regexp_extract(text, p, 0), F.lit(""))), 0).alias("day")) for p, f in kinds]
+    return F.array_min(F.filter(F.array(*found), lambda x: (x["at"] > 0) & x["day"].isNotNull()))["day"]
+
+
+# The wording of birth-date limits, looked for in the 260 characters from `born` on; the date stands within 45.
+BORN = r"(?is)(?=(\bborn\b.{0,256}))"
+EARLIEST = r"(?is)(?:born\s+)?(?:not\s+earlier\s+than|on\s+or\s+after|not\s+before)\s*(?=(.{0,45}))"
+LATEST = r"(?is)(?:not\s+later\s+than|on\s+or\s+before|not\s+after)\s*(?=(.{0,45}))"
+
+
+def birth_limits(text: Column) -> Column:
+    """(earliest, latest, varies): the birth-date limits that a text states after `born`, the widest of several, and whether
+    there are several different ones."""
+    windows = F.regexp_extract_all(text, F.lit(BORN), 1)
+    days = lambda form: F.array_distinct(F.array_compact(F.flatten(F.transform(windows, lambda w: F.transform(F.regexp_extract_all(w, F.lit(form), 1), first_date)))))
+    low, high = days(EARLIEST), days(LATEST)
+    return F.struct(F.array_min(low).alias("earliest"), F.array_max(high).alias("latest"), ((F.size(low) > 1) | (F.size(high) > 1)).alias("varies"))

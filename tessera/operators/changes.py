@@ -125,10 +125,24 @@ def group_identity(groups: DataFrame, rules: DataFrame, depth: int) -> DataFrame
     return done.select("group_id", "parent_group_id", "identity")
 
 
-def transition(rows: DataFrame, requests: DataFrame, key: str, status: str, allowed: list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame]:
-    """(new rows, refused requests): each request (key, action) moves a row along the allowed (from, action, to) steps."""
-    steps = rows.sparkSession.createDataFrame(allowed, "s_from string, action string, s_to string")
-    asked = requests.join(rows.select(key, status), key, "left").join(steps, (F.col(status) == F.col("s_from")) & (requests["action"] == steps["action"]), "left").select(requests["*"], "s_to")
-    moved = asked.where("s_to is not null").groupBy(key).agg(F.first("s_to").alias("s_to"))
-    out = rows.join(moved, key, "left").withColumn(status, F.coalesce("s_to", status)).drop("s_to")
-    return out, asked.where("s_to is null").drop("s_to")
+def transition(rows: DataFrame, requests: DataFrame, key: str, status: str, allowed: list[tuple[str, str, str]], order: str | None = None, needs: dict[str, str] | None = None, guard: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new rows, refused requests): each request (key, action) moves a row along the allowed (from, action, to) steps.
+
+    Of several allowed requests for a key the first (by order, then action) is taken: the row has left their state, so the
+    others are refused, as are requests without a text in the column that their action needs, and those whose guard column
+    (what the request saw) is no longer what the row's guard column has."""
+    steps = rows.sparkSession.createDataFrame(allowed, "_from string, _action string, _to string")
+    seen = guard[1] if guard else None
+    state = rows.select(F.col(key).alias("_key"), F.col(status).alias("_status"), *([F.col(seen).alias("_seen")] if seen else []))
+    asked = requests.join(state, F.col(key) == F.col("_key"), "left").join(F.broadcast(steps), (F.col("_status") == F.col("_from")) & (F.col("action") == F.col("_action")), "left")  # steps: the caller's list
+    fits = F.col("_to").isNotNull()
+    for action, column in (needs or {}).items():
+        fits = fits & ((F.col("action") != action) | (F.coalesce(F.trim(column), F.lit("")) != ""))
+    if guard:
+        fits = fits & F.col(guard[0]).eqNullSafe(F.col("_seen"))
+    place = F.struct(*([order] if order else []), "action", "_to")
+    ranked = asked.withColumn("_fits", fits).withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_fits"), place)))
+    ranked = ranked.withColumn("_taken", F.col("_fits") & (F.col("_rank") == 1))
+    moved = ranked.where("_taken").select(key, F.col("_to"))
+    out = rows.join(moved, key, "left").withColumn(status, F.coalesce("_to", status)).drop("_to")
+    return out, ranked.where("not _taken").select(requests.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import birth_bound, date_set, normal_date, subtract_years
 from ..functions.numbers import shown
-from ..functions.text import LEVEL_ORDER, canonical, country, digits, grounding, word_list
+from ..functions.text import LEVEL_ORDER, attribute_label, canonical, country, digits, grounding, operator_symbol, word_list
 
 #: The levels as rules name them, lowest first.
 LEVEL_NAMES = ("10th", "12th / Senior Secondary", "Diploma", "Bachelor's", "Master's", "PhD")
@@ -142,3 +142,75 @@ def without_origin_only(countries: Column, quote: Column) -> Column:
     head = F.regexp_replace(q, r"(?s)" + ORIGIN + ".*$", "")
     tail = F.substring(q, F.length(head) + 1, F.length(q))
     return F.filter(countries, lambda c: (F.lower(c) == "india") | ~tail.contains(F.lower(c)) | head.contains(F.lower(c)))
+
+
+def snippets(text: Column, before: int = 2, most: int = 4) -> Column:
+    """For every line of a text (blank ones left out): the pieces of at most `most` lines that hold it and begin at most
+    `before` lines above it: array of (line, snippet)."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def around(line: Column, i: Column) -> Column:
+        starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(before)), lambda k: i - k), lambda s: s >= 0)
+        pieces = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(i + 1, F.least(F.size(lines), s + most)), lambda e: F.array_join(F.slice(lines, s + 1, e - s), " "))))
+        return F.transform(pieces, lambda p: F.struct(line.alias("line"), p.alias("snippet")))
+
+    return F.flatten(F.transform(lines, around))
+
+
+# What a snippet has to say, and may not say, to back a date of the field.
+DATE_WORDING = {
+    "late-fee": (r"(?i)\b(?:late|extended|extension)\b", None),
+    "start": (r"(?i)\b(?:open(?:ing)?|start(?:ing)?|commenc\w*|begin\w*|registration)\b", r"(?i)\b(?:late|extended|closing|last date)\b"),
+    "end": (r"(?i)\b(?:clos(?:e|es|ed|ing)|last date|deadline|end date|registration)\b", r"(?i)\b(?:late|extended|with late fee)\b"),
+}
+
+
+def recovered_date_quote(text: Column, day: Column, field: str) -> Column:
+    """The shortest snippet around a line with the day that says what the field needs, cut to 400 characters; null without one."""
+    required, excluded = DATE_WORDING[field]
+
+    def backs(x: Column) -> Column:
+        ok = F.array_contains(date_set(x["line"]), day) & F.array_contains(date_set(x["snippet"]), day) & x["snippet"].rlike(required)
+        return ok & ~x["snippet"].rlike(excluded) if excluded else ok
+
+    ranked = F.transform(F.filter(snippets(text), backs), lambda x: F.struct(F.length(x["snippet"]).alias("n"), x["snippet"].alias("s")))
+    shortest = F.aggregate(ranked, F.lit(None).cast("struct<n:int,s:string>"), lambda a, x: F.when(a.isNull() | (x["n"] < a["n"]), x).otherwise(a))
+    return F.left(shortest["s"], F.lit(400))
+
+
+# What has to stand in a quote that backs a level; what says a Bachelor's itself; what says a higher level.
+LEVEL_WORDING = {
+    "10th": r"(?i)\b(?:10th|tenth|matric\w*|class\s*(?:x|10)\b|high\s+school)",
+    "12th / Senior Secondary": r"(?i)(?:\b(?:12th|twelfth|10\s*\+\s*2|senior\s+secondary|higher\s+secondary|intermediate|hsc|class\s*(?:xii|12)\b)|\+\s*2\b)",
+    "Diploma": r"(?i)\bdiploma\b",
+    "Bachelor's": r"(?i)\b(?:bachelor\w*|graduat\w*|undergraduate|degree|btech|bsc|bca|b\.\s?(?:tech|e|sc|a|com|arch)\b)",
+    "Master's": r"(?i)\b(?:master\w*|post\s*-?\s*graduat\w*|mtech|msc|mca|mba|m\.\s?(?:tech|e|sc|a)\b)",
+    "PhD": r"(?i)\b(?:ph\.?\s?d|doctor\w*)",
+}
+BACHELOR_ITSELF = r"(?i)\b(?:bachelor\w*|undergraduate|btech|bsc|bca|b\.\s?(?:tech|e|sc|a|com|arch)\b)"
+HIGHER_LEVEL = r"(?i)\b(?:master\w*|post\s*-?\s*graduat\w*|doctor\w*|ph\.?\s?d)"
+
+
+def level_backed(level: Column, quote: Column) -> Column:
+    """The quote speaks of the level; `degree` alone is no Bachelor's where a higher level is named."""
+    said = F.lit(False)
+    for name, pattern in LEVEL_WORDING.items():
+        said = said | ((level == name) & quote.rlike(pattern))
+    higher = (level == "Bachelor's") & ~quote.rlike(BACHELOR_ITSELF) & quote.rlike(HIGHER_LEVEL)
+    return F.coalesce(said & ~higher, F.lit(False))
+
+
+def normal_rule(rules: DataFrame) -> DataFrame:
+    """rules with attribute, operator and value in their normal form, and `refused`: why a rule has none (an attribute that
+    is not supported, age among them; an operator; a date of birth that can't be read), null for good ones."""
+    label, symbol = attribute_label(F.col("attribute")), operator_symbol(F.col("operator"))
+    born = normal_date(F.col("value"))
+    why = (
+        F.when(F.lower(F.trim("attribute")) == "age", F.lit("Age must be represented as Date of Birth"))
+        .when(label.isNull(), F.concat(F.lit("Unsupported eligibility attribute: "), F.col("attribute")))
+        .when(symbol.isNull(), F.concat(F.lit("Unsupported eligibility operator: "), F.trim("operator")))
+        .when((label == "Date of Birth") & born.isNull(), F.concat(F.lit("Unable to normalize date: "), F.trim("value")))
+    )
+    value = F.when(label == "Date of Birth", F.date_format(born, "yyyy-MM-dd")).otherwise(F.trim("value"))
+    keep = [c for c in rules.columns if c not in {"attribute", "operator", "value"}]
+    return rules.select(*keep, label.alias("attribute"), symbol.alias("operator"), value.alias("value"), why.alias("refused"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import host, same_site
+
 
 def chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(key, chunk_no, chunk): a text in pieces of size characters, nothing lost; an empty text gives none."""
@@ -319,3 +321,138 @@ def source_score(title: Column, text: Column, host: Column) -> Column:
         (h.contains(".ac.") | h.contains(".edu."), 4),
     ]
     return sum((F.when(sign, n).otherwise(0) for sign, n in signs), F.lit(0)).cast("long")
+
+
+def name_line(text: Column, first: int = 40) -> Column:
+    """The line among a text's first ones that is likeliest an exam's name, the earlier of equals; null without a candidate
+    (5 to 150 characters)."""
+    lines = F.slice(F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, first)
+
+    def judged(line: Column, i: Column) -> Column:
+        low = F.lower(line)
+        # The weight of each sign.
+        score = (
+            F.when(low.contains("examination"), 4).when(low.contains("exam"), 3).otherwise(0)
+            + F.when(line.rlike(r"\d"), 1).otherwise(0)
+            + F.when((F.upper(line) == line) & (low != line), 2).otherwise(0)
+            + F.when(i < 10, 2).otherwise(0)
+            - F.when(low.rlike("commission|department|university|government"), 2).otherwise(0)
+        )
+        return F.when(F.length(line).between(5, 150), F.struct(score.alias("score"), (-i).alias("place"), line.alias("line")))
+
+    return F.array_max(F.array_compact(F.transform(lines, judged)))["line"]
+
+
+# Lines that are no heading, the three forms of a heading, and the confidence that each needs.
+NO_HEADING = ["CONTENTS", "TABLE OF CONTENTS", "PAGE", "PAGES", "INDEX", "ANNEXURE", "ANNEXURES", "APPENDIX", "APPENDICES"]
+EXPLICIT_HEADING = r"(?i)^\s*(SECTION|CHAPTER|PART)\s+([A-Z0-9IVX]+(?:\.\d+)*)[\s:.\-–—]*(.*)$"
+NUMBERED_HEADING = r"^\s*(\d+(?:\.\d+)*)[\.\)]?\s+(.+?)\s*$"
+UPPERCASE_HEADING = r"^[A-Z][A-Z0-9&(),:/+\-–—' ]{4,100}$"
+EXPLICIT_LEAST, NUMBERED_LEAST, UPPERCASE_LEAST = 0.50, 0.55, 0.60
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
+def shape_confidence(line: Column, sign: Column | float) -> Column:
+    """0 to 1: what a line's words, length, sentence form and digits say, plus the sign of its form."""
+    words = word_count(line)
+    sentence = (F.length(line) > 120) | ((words >= 8) & line.rlike("[.?!]$"))
+    digits = F.regexp_count(line, F.lit(r"\d")) / F.greatest(F.lit(1), F.length(line))
+    score = F.when(words >= 2, 0.20).otherwise(0.0) + F.when(F.length(line).between(8, 100), 0.15).otherwise(0.0) + sign
+    score = score - F.when(sentence, 0.45).otherwise(0.0) - F.when(digits > 0.30, 0.25).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2)
+
+
+def detected_heading(line: Column) -> Column:
+    """(title, level, confidence) of a line that is a heading: explicit (section, chapter, part), numbered up to three
+    levels, or in capitals; null for any other, and for one below its form's confidence."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(line), r"\s+", " "), r"(?:\.{2,}|…{2,}|\s{3,})\s*\d+\s*$", ""), r"[.\-–—:]+$", ""))
+    noise = is_noise(bare, NO_HEADING) | bare.rlike(r"^\d+\s*[:.)]?$")
+    own = F.trim(F.regexp_extract(bare, EXPLICIT_HEADING, 3))
+    number, rest = F.regexp_extract(bare, NUMBERED_HEADING, 1), F.trim(F.regexp_extract(bare, NUMBERED_HEADING, 2))
+    depth = F.size(F.split(number, r"\."))
+    sentence = (F.length(rest) > 120) | ((word_count(rest) >= 8) & rest.rlike("[.?!]$"))
+    named = lambda level, c: F.struct(bare.alias("title"), level.cast("int").alias("level"), c.alias("confidence"))
+    explicit, numbered, capital = (shape_confidence(bare, x) for x in (0.25, 0.30, 0.05))
+    if_explicit = F.when((own != "") & ~is_code_like(own) & (word_count(own) >= 2) & (explicit >= EXPLICIT_LEAST), named(F.lit(1), explicit))
+    if_numbered = F.when((depth <= 3) & (word_count(rest) >= 2) & ~sentence & ~is_code_like(rest) & (numbered >= NUMBERED_LEAST), named(depth, numbered))
+    if_capital = F.when((word_count(bare) >= 2) & (capital >= UPPERCASE_LEAST), named(F.lit(1), capital))
+    form = F.when(bare.rlike(EXPLICIT_HEADING), if_explicit).when(bare.rlike(NUMBERED_HEADING), if_numbered).when(bare.rlike(UPPERCASE_HEADING), if_capital)
+    return F.when(~noise, form)
+
+
+def is_fragment(title: Column, level: Column, confidence: Column) -> Column:
+    """A detected heading that is a piece of a form, table or syllabus instead."""
+    # What such pieces look like.
+    return (
+        title.rlike(r"(?i)\b(?:XE|XH|XL)\d+\.\d+\b")
+        | title.rlike(r"^[A-Z,\s]+$")
+        | title.rlike(r"^(TDS,|BOD,|COD)")
+        | title.rlike(r"(?i)^\d+\.\s+(This certificate|I do hereby)")
+        | title.rlike(r"(?i)^Part A consists of")
+        | ((level == 1) & (confidence < 0.70) & ~title.rlike(r"^\d+(?:\.\d+)*[\.\)]?\s+"))
+    )
+
+
+def search_results(rows: DataFrame, query: str, url: str, title: str, content: str, score: str, order: str) -> DataFrame:
+    """Results of several queries as one list: without address dropped, texts trimmed (null: empty), a score that is no
+    number null, of equal addresses the first (by query, then order)."""
+    clean = rows.where(F.trim(F.coalesce(url, F.lit(""))) != "").select(
+        F.trim(url).alias("url"), F.trim(F.coalesce(title, F.lit(""))).alias("title"), F.trim(F.coalesce(content, F.lit(""))).alias("content"),
+        F.col(score).try_cast("double").alias("score"), F.struct(query, order).alias("_at"),
+    )
+    return clean.groupBy("url").agg(F.min_by(F.struct("title", "content", "score"), "_at").alias("r")).select("url", "r.*")
+
+
+def best_sources(results: DataFrame, own: Column, most: int = 12) -> DataFrame:
+    """The results with the best scores of their own, the provider's score (null: 0) deciding among equals, then the address."""
+    return results.withColumn("own_score", own).orderBy(F.desc("own_score"), F.desc(F.coalesce("score", F.lit(0.0))), "url").limit(most)
+
+
+def selected_sections(scored: DataFrame, doc: str, section: str, page: str, score: str, least: float = 2.5, most: int = 20) -> DataFrame:
+    """Of each document the relevant sections (column relevant) that score `least`, the first `most` in document order: by page
+    (null last), then section."""
+    kept = scored.where(F.col("relevant") & (F.col(score) >= least))
+    place = F.row_number().over(Window.partitionBy(doc).orderBy(F.col(page).asc_nulls_last(), section))
+    return kept.withColumn("place", place).where(F.col("place") <= most)
+
+
+def section_relevance(title: Column, score: Column, rejected: Column, overview: str) -> Column:
+    """(score, relevant): an overview's score is 2.5 at least; a section with a rejecting sign is never relevant."""
+    floored = F.when(title.rlike(overview), F.greatest(score, F.lit(2.5))).otherwise(score)
+    return F.struct(floored.alias("score"), (~rejected & (floored >= 2.5)).alias("relevant"))
+
+
+# Attributes of any element that may hold an address, and what looks like one inside a script.
+ADDRESS_ATTRIBUTES = ("href", "src", "data-href", "data-url", "data-file", "data-download", "data-document", "onclick", "value")
+PLAIN_ADDRESS = r"(?i)^(https?://|/|\./|\.\./)[^\s()'\"]*$"
+SCRIPT_ADDRESS = r"(?i)(?:https?://[^\"'\s)]+|/[^\"'\s)]+\\?\.pdf(?:\?[^\"'\s)]*)?)"
+
+
+def absolute(base: Column, href: Column) -> Column:
+    """An address seen from a page's address."""
+    root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    folder = F.regexp_extract(base, r"^(https?://[^?#]*/)", 1)
+    return (
+        F.when(href.rlike("(?i)^https?://"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), href))
+        .when(href.startswith("/"), F.concat(root, href))
+        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), F.regexp_replace(href, r"^\./", "")))
+    )
+
+
+def mined_addresses(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """(key, link, context): https addresses in attributes of any element of a page, in scripts too, on the page's own site;
+    of each the longest context (the attribute's value), in page order."""
+    names = "|".join(ADDRESS_ATTRIBUTES)
+    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)\s(?:{names})\s*=\s*(\"[^\"]*\"|'[^']*')"), 1)
+    rows = pages.select(key, F.col(url).alias("base"), F.posexplode(found).alias("ord", "quoted"))
+    rows = rows.withColumn("value", F.expr("substring(quoted, 2, length(quoted) - 2)")).where("trim(value) <> ''")
+    bare = F.trim("value")
+    own = F.when(bare.rlike(PLAIN_ADDRESS), F.array(bare)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("href", F.explode(F.array_distinct(F.concat(own, F.regexp_extract_all("value", F.lit(SCRIPT_ADDRESS), 0)))))
+    rows = rows.withColumn("link", absolute(F.col("base"), F.col("href"))).where("startswith(link, 'https://')")
+    rows = rows.where(same_site(host(F.col("link")), host(F.col("base"))))
+    return rows.groupBy(key, "link").agg(F.max_by("value", F.struct(F.length("value"), -F.col("ord"))).alias("context"), F.min("ord").cast("long").alias("ord"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .compiling import compile_dates
@@ -35,3 +35,33 @@ def extract(docs: DataFrame, facts_of: Callable[[DataFrame], DataFrame], terms:
         )
     )
     return found.select("doc_id", "fact_id", "start_day", "end_day", "swapped", "grounded", "unreadable", "passage", "exact", issues.alias("issues"))
+
+
+def manual_issues(minimum: Column, maximum: Column, not_available: Column, rules: Column) -> Column:
+    """What is wrong with eligibility that an administrator enters by hand, besides the rules' own issues: `rules` is how many
+    there are."""
+    checks = [
+        F.when(minimum > maximum, "minimum-age-above-maximum"),
+        F.when(not_available & (rules > 0), "rules-though-not-available"),
+        F.when(~not_available & (rules == 0), "no-rules"),
+    ]
+    return F.array_compact(F.array(*checks))
+
+
+def is_usable(name: Column, exam_dates: Column, closes: Column, rule_groups: Column) -> Column:
+    """An extraction worth a review: a name, and a date, an end of applications or a rule group (their numbers)."""
+    return (F.coalesce(name, F.lit("")) != "") & ((exam_dates > 0) | closes.isNotNull() | (rule_groups > 0))
+
+
+def summary(name: Column, body: Column, opens: Column, closes: Column, dates: Column, rules: Column, blocking: Column) -> Column:
+    """A plain summary of an extraction; dates: array of (start, end), all days as texts."""
+    by = F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(" conducted by "), body)).otherwise("")
+    spans = F.transform(dates, lambda r: F.when(r["start"] == r["end"], r["start"]).otherwise(F.concat(r["start"], F.lit(" to "), r["end"])))
+    parts = [
+        F.concat(F.coalesce(F.nullif(name, F.lit("")), F.lit("Exam")), by, F.lit(".")),
+        F.when(opens.isNotNull() | closes.isNotNull(), F.concat(F.lit("Applications: "), F.coalesce(opens, F.lit("start date not announced")), F.lit(" to "), F.coalesce(closes, F.lit("unknown")), F.lit("."))),
+        F.when(F.size(dates) > 0, F.concat(F.lit("Exam: "), F.array_join(spans, ", "), F.lit("."))),
+        F.format_string("%d eligibility rule(s) extracted.", rules),
+        F.when(blocking > 0, F.format_string("%d issue(s) need review before approval.", blocking)),
+    ]
+    return F.array_join(F.array_compact(F.array(*parts)), " ")

@@ -196,3 +196,42 @@ def section_passages(pages: DataFrame, doc: str, page: str, text: str, size: int
     rows = held.select(doc, page, "segment", "section", "is_table", F.posexplode(parts).alias("part", "own"))
     number = F.row_number().over(Window.partitionBy(doc).orderBy(page, "segment", "part")) - 1
     return rows.select(doc, number.cast("long").alias("passage"), page, "section", "is_table", F.trim(F.array_join("own", "\n")).alias("text"))
+
+
+# What a reviewer's feedback says of each facet, and words of it that are no search terms.
+FEEDBACK_HINTS = {
+    "identity": ("name", "body", "organi", "conduct", "authority", "release"),
+    "dates": ("date", "deadline", "last", "start", "end", "open", "close", "schedule"),
+    "eligibility": (
+        "eligib", "age", "qualif", "nationality", "degree", "experience",
+        "marks", "percentage", "cgpa", "rule",
+    ),
+}
+FEEDBACK_STOP = (
+    "the", "and", "for", "with", "that", "this", "from", "are", "was",
+    "were", "not", "but", "has", "have", "been", "should", "please",
+    "incorrect", "wrong", "check", "again", "document",
+)
+
+
+def feedback_facets(feedback: Column) -> Column:
+    """The facets that a reviewer's feedback is about."""
+    said = F.lower(F.coalesce(feedback, F.lit("")))
+    hits = []
+    for name, hints in FEEDBACK_HINTS.items():
+        any_ = F.lit(False)
+        for h in hints:
+            any_ = any_ | said.contains(h)
+        hits.append(F.when(any_, name))
+    return F.array_compact(F.array(*hits))
+
+
+def feedback_terms(feedback: Column, weight: float = 2.0) -> Column:
+    """(term, weight) of the words of feedback that are worth a search: three letters or more and no stop words."""
+    words = F.array_distinct(F.filter(tokens(F.coalesce(feedback, F.lit(""))), lambda t: (F.length(t) > 2) & ~t.isin(*FEEDBACK_STOP)))
+    return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+
+
+def context_budget(request: Column, overhead: Column, answer: Column) -> Column:
+    """Tokens left for passages in a request: without prompt, answer and a reserve of 250, at least 800."""
+    return F.greatest(F.lit(800), request - overhead - answer - 250)

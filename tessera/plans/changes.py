@@ -175,6 +175,34 @@ def audit_rows(spark: SparkSession, d: str) -> DataFrame:
     return M.audit(orders, edited, "o_orderkey", "orders")
 
 
+_REVIEW = """
+a as (select c_custkey, case when c_custkey % 4 = 0 then 'APPROVED' else 'PENDING' end as status, c_mktsegment as hash from customer),
+q as (select c_custkey, 1 as n, case when c_custkey % 3 = 0 then 'approve' else 'reject' end as action, case when c_custkey % 5 = 0 then ' ' else 'why' end as feedback, case when c_custkey % 7 = 0 then 'old' else c_mktsegment end as saw from customer
+  union all select c_custkey, 2, 'approve', 'why', c_mktsegment from customer where c_custkey % 2 = 0),
+f as (select q.*, status = 'PENDING' and (action <> 'reject' or trim(feedback) <> '') and saw = hash as fits from q join a using (c_custkey)),
+t as (select *, fits and row_number() over (partition by c_custkey order by fits desc, n) = 1 as taken from f)"""
+
+
+def reviews(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Reviews of customers, every fourth one settled; one or two requests for each, a rejection needs feedback, the hash must be the current one."""
+    c, key = load(spark, d, "customer"), F.col("c_custkey")
+    rows = c.select(key, F.when(key % 4 == 0, "APPROVED").otherwise("PENDING").alias("status"), F.col("c_mktsegment").alias("hash"))
+    first = c.select(key, F.lit(1).alias("n"), F.when(key % 3 == 0, "approve").otherwise("reject").alias("action"), F.when(key % 5 == 0, " ").otherwise("why").alias("feedback"), F.when(key % 7 == 0, "old").otherwise(F.col("c_mktsegment")).alias("saw"))
+    second = c.where(key % 2 == 0).select(key, F.lit(2).alias("n"), F.lit("approve").alias("action"), F.lit("why").alias("feedback"), F.col("c_mktsegment").alias("saw"))
+    steps = [("PENDING", "approve", "APPROVED"), ("PENDING", "reject", "REJECTED")]
+    return C.transition(rows, first.unionByName(second), "c_custkey", "status", steps, "n", {"reject": "feedback"}, ("saw", "hash"))
+
+
+@query(f"with {_REVIEW} select c_custkey, coalesce((select case action when 'approve' then 'APPROVED' else 'REJECTED' end from t where taken and t.c_custkey = a.c_custkey), status) as status from a")
+def review_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return reviews(spark, d)[0].select("c_custkey", "status")
+
+
+@query(f"with {_REVIEW} select c_custkey, n, action from t where not taken")
+def review_refusals(spark: SparkSession, d: str) -> DataFrame:
+    return reviews(spark, d)[1].select("c_custkey", "n", "action")
+
+
 @query("""
 with asked as (select o_orderkey, o_custkey from orders where o_orderkey % 2 = 0), given as (select o_orderkey, o_custkey from orders where o_orderkey % 2 = 0 and o_orderkey % 6 <> 0 union all select o_orderkey, o_custkey from orders where o_orderkey % 10 = 0)
 select o_custkey, bool_and(n = 1 and m = 1) as valid from (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -92,3 +92,12 @@ def dedupe_stream(events: DataFrame, key: str, at: str, delay: str) -> DataFrame
 def windowed_counts(events: DataFrame, at: str, width: str, late: str, *by: str) -> DataFrame:
     """Counts by tumbling event-time window, late events admitted up to a delay."""
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width), *by).agg(F.count("*").alias("n"))
+
+
+def single_flight(requests: DataFrame, key: Column, at: str, wait: str) -> DataFrame:
+    """Of requests for the same thing (key in its normal form, kept as `flight`) the first alone; the others share its result.
+    On a stream those that come within the wait of the first; a table is one batch, of which each key's earliest row stays."""
+    rows = requests.withColumn("flight", F.lower(F.trim(F.regexp_replace(key, r"\s+", " "))))
+    if rows.isStreaming:
+        return rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, wait).dropDuplicatesWithinWatermark(["flight"])
+    return rows.groupBy("flight").agg(F.min_by(F.struct(*rows.columns), at).alias("_row")).select("_row.*")
