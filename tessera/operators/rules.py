@@ -23,7 +23,6 @@ QUALIFICATIONS = ("qualification", "educational qualification")
 OPERATORS = ("=", "!=", ">", ">=", "<", "<=")
 ADD = " (add this to your profile)"
 ALL_MET = "All applicable eligibility requirements were satisfied."
-ITEM = "array<struct<kind:int,a:bigint,b:bigint,ok:boolean,reasons:array<string>>>"
 
 
 def compared(op: Column, a: Column, b: Column) -> Column:
@@ -88,28 +87,27 @@ def applicant_facts(students: DataFrame, educations: DataFrame, work: DataFrame)
     return rows.select("student_id", facts.alias("facts"), F.coalesce("held", F.array().cast("array<string>")).alias("work"))
 
 
-def with_depth(groups: DataFrame) -> DataFrame:
-    """groups with depth (roots 0), by one join for each level, each level a written table. Groups that hang below no root (a
-    parent that is missing or in another notice, or a circle) are not in it; tree_issues names them."""
-    links = groups.select("notice", "group_id", "parent_group_id")
-    level = links.where("parent_group_id is null").select("notice", "group_id", F.lit(0).alias("depth"))
+STEP = "struct<k:int,n:bigint,g:bigint>"
+
+
+def walk(groups: DataFrame) -> DataFrame:
+    """notice, group_id, depth (roots 0), path (a step for each group from the root on, in sorting order), above (their ids):
+    one join for each level, each level a written table. Groups that hang below no root (a parent that is missing or in
+    another notice, or a circle) are not in it; tree_issues names them."""
+    links = groups.select("notice", "group_id", "parent_group_id", F.struct(F.lit(1), F.col("group_number").cast("long"), F.col("group_id").cast("long")).cast(STEP).alias("step"))
+    level = links.where("parent_group_id is null").select("notice", "group_id", F.lit(0).alias("depth"), F.array("step").alias("path"), F.array("group_id").alias("above"))
     found: DataFrame | None = None
     while found is None or not level.isEmpty():
         level = materialise(level, "rule-depth")
         found = level if found is None else found.unionByName(level)
-        above = level.select("notice", F.col("group_id").alias("parent_group_id"), (F.col("depth") + 1).alias("depth"))
-        level = links.join(above, ["notice", "parent_group_id"]).select("notice", "group_id", "depth")
-    return groups.join(found, ["notice", "group_id"]).select(*groups.columns, "depth")
-
+        up = level.select("notice", F.col("group_id").alias("parent_group_id"), "depth", "path", "above")
+        level = links.join(up, ["notice", "parent_group_id"]).select("notice", "group_id", (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("step")).alias("path"), F.array_append("above", F.col("group_id")).alias("above"))
+    return found
 
-#: Levels that `closure` and `outline` follow; deeper trees end them with Spark's error, as do more rows than
-#: spark.sql.cteRecursionRowLimit. Evaluation has no such limits.
-LEVELS = 1000
 
-
-def recursive(groups: DataFrame, start: str, step: str, end: str) -> DataFrame:
-    """A recursive query over the adjacency list {groups}: start, then step with t, as long as there are rows; then end."""
-    return groups.sparkSession.sql(f"with recursive t max recursion level {LEVELS} as ({start} union all {step}) {end}", groups=groups)
+def with_depth(groups: DataFrame) -> DataFrame:
+    """groups with depth (roots 0); without groups that hang below no root."""
+    return groups.join(walk(groups).select("notice", "group_id", "depth"), ["notice", "group_id"]).select(*groups.columns, "depth")
 
 
 def tree_issues(groups: DataFrame) -> DataFrame:
@@ -120,38 +118,58 @@ def tree_issues(groups: DataFrame) -> DataFrame:
     return lost.join(parents, ["notice", "parent_group_id"], "left").select("notice", "group_id", F.when(F.col("has_parent"), "detached").otherwise("missing-parent").alias("issue"))
 
 
+def leaves_of(groups: DataFrame, rules: DataFrame, tree: DataFrame) -> DataFrame:
+    """Prepared rules with notice and `leaf`, their place in the notice's tree order (a group's rules before its groups)."""
+    rows = prepared(rules).join(tree.select("notice", "group_id", "path", "above"), "group_id")
+    own = F.struct(F.lit(0), F.col("rule_id").cast("long"), F.lit(0).cast("long")).cast(STEP)
+    return rows.withColumn("leaf", F.row_number().over(Window.partitionBy("notice").orderBy(F.array_append("path", own))))
+
+
+def folded(groups: Column, leaves: Column) -> Column:
+    """(group_id, parent, ok) of every group that has a rule below it; groups come deepest first, so a group's children are
+    known when its turn comes."""
+    kind = "array<struct<group_id:bigint,parent:bigint,ok:boolean>>"
+
+    def step(done: Column, g: Column) -> Column:
+        own = F.transform(F.filter(leaves, lambda x: x["group_id"] == g["group_id"]), lambda x: x["ok"])
+        kids = F.transform(F.filter(done, lambda x: x["parent"] == g["group_id"]), lambda x: x["ok"])
+        items = F.concat(own, kids)
+        ok = F.when(g["logical_operator"] == "AND", F.forall(items, lambda x: x)).otherwise(F.exists(items, lambda x: x))
+        return F.when(F.size(items) == 0, done).otherwise(F.array_append(done, F.struct(g["group_id"].alias("group_id"), g["parent_group_id"].alias("parent"), ok.alias("ok")))).cast(kind)
+
+    return F.aggregate(groups, F.array().cast(kind), step)
+
+
 def evaluate(pairs: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame:
     """pairs (student_id, notice, facts, work) -> student_id, notice, eligible, reasons, eval_error; no row for a pair whose
-    notice has no rules. One join to the leaves, then one grouping for each level of the trees, deepest first."""
-    tree = materialise(with_depth(groups), "rule-tree")  # read by every level below
+    notice has no rules.
+
+    One join of the pairs with their notices' leaves, one grouping back to pairs that carries a leaf's place and outcome
+    only; then a notice's tree, an array, is folded inside each row, whatever its depth. A leaf's reason counts where the
+    leaf and all groups above it fail."""
+    tree = materialise(walk(groups), "rule-tree")
     lost = groups.join(tree, ["notice", "group_id"], "left_anti").limit(5).collect()
     if lost:
         raise ValueError("Eligibility rule group references a missing parent group: " + ", ".join(str(r["group_id"]) for r in lost))
-    deepest = tree.agg(F.max("depth")).first()[0]
+    leaves = materialise(leaves_of(groups, rules, tree), "rule-leaves")
     ids = ["student_id", "notice"]
+    judged = compare_leaves(pairs.join(leaves.drop("group_id", "rule_id", "path", "above", "attribute", "operator"), "notice"))
+    outcome = F.struct("leaf", "ok", "missing")
+    found = judged.groupBy(*ids).agg(F.array_sort(F.collect_list(outcome)).alias("outcomes"), F.max("error").alias("eval_error"))
+
     told = F.concat_ws(" ", "attribute", "operator", "value")
-    reason = F.concat(F.lit("Requirement not satisfied: "), told, F.when(F.col("missing"), ADD).otherwise(""))
-    leaves = (
-        compare_leaves(pairs.join(tree.select("notice", "group_id", "depth").join(prepared(rules), "group_id"), "notice"))
-        .select(*ids, "group_id", "depth", "error", F.struct(F.lit(0).alias("kind"), F.col("rule_id").alias("a"), F.lit(0).cast("long").alias("b"), "ok", F.when(F.col("ok"), F.array()).otherwise(F.array(reason)).cast("array<string>").alias("reasons")).alias("item"))
-    )
-    leaves = materialise(leaves, "rule-leaves")
-    shape = tree.select("group_id", "parent_group_id", "group_number", "logical_operator")
-    up: DataFrame | None = None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        items = leaves.where(F.col("depth") == depth).select(*ids, "group_id", "error", "item")
-        if up is not None:
-            child = F.struct(F.lit(1).alias("kind"), F.col("group_number").cast("long").alias("a"), F.col("group_id").alias("b"), "ok", F.when(F.col("ok"), F.array().cast("array<string>")).otherwise(F.col("reasons")).alias("reasons"))
-            items = items.unionByName(up.select(*ids, F.col("parent_group_id").alias("group_id"), "error", child.alias("item")))
-        grouped = items.groupBy(*ids, "group_id").agg(F.max("error").alias("error"), F.bool_and("item.ok").alias("every"), F.bool_or("item.ok").alias("some"), F.array_sort(F.collect_list("item")).alias("list"))
-        up = grouped.join(shape, "group_id").select(*ids, "group_id", "parent_group_id", "group_number", "error", F.when(F.col("logical_operator") == "AND", F.col("every")).otherwise(F.col("some")).alias("ok"), F.flatten(F.transform("list", lambda x: x["reasons"])).alias("reasons"))
-        up = materialise(up, "rule-level")  # one level in a plan: exchanges reused across levels gave wrong verdicts in some runs
-    if up is None:
-        return pairs.select(*ids).limit(0).withColumns({"eligible": F.lit(None).cast("boolean"), "reasons": F.lit(None).cast("array<string>"), "eval_error": F.lit(None).cast("string")})
-    roots = F.array_sort(F.collect_list(F.struct(F.col("group_number").cast("long").alias("a"), F.col("group_id").alias("b"), "ok", "reasons")))
-    whole = up.groupBy(*ids).agg(F.bool_and("ok").alias("eligible"), roots.alias("roots"), F.max("error").alias("eval_error"))
-    failed = F.flatten(F.transform(F.filter("roots", lambda r: ~r["ok"]), lambda r: r["reasons"]))
-    return whole.select(*ids, "eligible", F.when(F.col("eligible"), F.array(F.lit(ALL_MET))).otherwise(failed).alias("reasons"), "eval_error")
+    listed = leaves.groupBy("notice").agg(F.array_sort(F.collect_list(F.struct("leaf", "group_id", "above", told.alias("told")))).alias("texts"))
+    deepest = F.struct("depth", "group_id", "parent_group_id", "logical_operator")
+    shape = groups.join(tree.select("notice", "group_id", "depth"), ["notice", "group_id"]).groupBy("notice").agg(F.sort_array(F.collect_list(deepest), asc=False).alias("groups"))
+    rows = found.join(listed.join(shape, "notice"), "notice")
+
+    both = F.zip_with("texts", "outcomes", lambda t, o: F.struct(t["group_id"].alias("group_id"), t["above"].alias("above"), t["told"].alias("told"), o["ok"].alias("ok"), o["missing"].alias("missing")))
+    rows = rows.select(*ids, "eval_error", both.alias("leaves"), "groups").withColumn("done", folded(F.col("groups"), F.col("leaves")))
+    rows = rows.withColumn("eligible", F.forall(F.filter("done", lambda g: g["parent"].isNull()), lambda g: g["ok"]))
+    passed = F.transform(F.filter("done", lambda g: g["ok"]), lambda g: g["group_id"])
+    failed = F.filter("leaves", lambda x: ~x["ok"] & ~F.arrays_overlap(x["above"], passed))
+    reasons = F.transform(failed, lambda x: F.concat(F.lit("Requirement not satisfied: "), x["told"], F.when(x["missing"], ADD).otherwise("")))
+    return rows.select(*ids, "eligible", F.when(F.col("eligible"), F.array(F.lit(ALL_MET))).otherwise(reasons).alias("reasons"), "eval_error")
 
 
 def status(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -182,9 +200,8 @@ def re_evaluate(exams: DataFrame, tracked: DataFrame, facts: DataFrame, notices:
 
 
 def closure(groups: DataFrame) -> DataFrame:
-    """(ancestor, group_id) of every group and all groups above it, itself included."""
-    step = "select t.ancestor, g.group_id from {groups} g join t on g.parent_group_id = t.group_id"
-    return recursive(groups, "select group_id as ancestor, group_id from {groups}", step, "select * from t")
+    """(ancestor, group_id) of every group below a root and all groups above it, itself included."""
+    return walk(groups).select(F.explode("above").alias("ancestor"), "group_id")
 
 
 def rule_counts(groups: DataFrame, rules: DataFrame) -> DataFrame:
@@ -195,15 +212,11 @@ def rule_counts(groups: DataFrame, rules: DataFrame) -> DataFrame:
 
 def outline(groups: DataFrame, rules: DataFrame) -> DataFrame:
     """A tree as text lines in order, two spaces for each level: group operators, then their rules."""
-    start = "select notice, group_id, 0 as depth, array(named_struct('k', 1, 'n', group_number, 'g', group_id)) as path, logical_operator from {groups} where parent_group_id is null"
-    step = """select t.notice, g.group_id, t.depth + 1, concat(t.path, array(named_struct('k', 1, 'n', g.group_number, 'g', g.group_id))), g.logical_operator
-              from {groups} g join t on g.parent_group_id = t.group_id"""
-    tree = recursive(groups, start, step, "select * from t")
+    tree = walk(groups).join(groups.select("notice", "group_id", "logical_operator"), ["notice", "group_id"])
     heads = tree.select("notice", "path", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("logical_operator")).alias("line"))
     rule = F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), F.concat_ws(" ", "attribute", "operator", "value"))
-    step = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.col("rule_id").alias("g")))
-    leaves = tree.join(rules, "group_id").select("notice", F.concat("path", step.cast("array<struct<k:int,n:int,g:bigint>>")).alias("path"), rule.alias("line"))
-    heads = heads.withColumn("path", F.col("path").cast("array<struct<k:int,n:int,g:bigint>>"))
+    own = F.struct(F.lit(0), F.col("rule_id").cast("long"), F.lit(0).cast("long")).cast(STEP)
+    leaves = tree.join(rules, "group_id").select("notice", F.array_append("path", own).alias("path"), rule.alias("line"))
     order = Window.partitionBy("notice").orderBy("path")
     return heads.unionByName(leaves).select("notice", F.row_number().over(order).alias("line_no"), "line")
 
