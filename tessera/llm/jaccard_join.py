@@ -339,7 +339,7 @@ def ring_links(percent: int):
 
 
 def tile_of(count: Column) -> Column:
-    return F.least(F.lit(TILE), F.greatest(F.lit(min(TILE, SMALL_TILE)), F.ceil(count / 8)))
+    return F.least(F.lit(TILE), F.greatest(F.lit(min(TILE, SMALL_TILE)), F.ceil(count / 32)))
 
 
 def ball_links(checked: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -440,7 +440,7 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     roots = connected_components(edges, scratch)
     rooted = scratch.write(classes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")), "rooted")
     least = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    found = scratch.write(rooted.select("k", "root").join(least, "root").select("k", "root", "component_id"), "found")
+    found = rooted.select("k", "root").join(least, "root").select("k", "root", "component_id")
     joined = own.withColumn("k", F.when(F.col("n") > 0, F.col("k"))).join(found, "k", "left")
     return joined.select("doc_id", "mark", "n", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
