@@ -146,3 +146,11 @@ def transition(rows: DataFrame, requests: DataFrame, key: str, status: str, allo
     moved = ranked.where("_taken").select(key, F.col("_to"))
     out = rows.join(moved, key, "left").withColumn(status, F.coalesce("_to", status)).drop("_to")
     return out, ranked.where("not _taken").select(requests.columns)
+
+
+def listed_reviews(reviews: DataFrame, parents: DataFrame, key: str, report: str, status: str, only: str | None = None) -> DataFrame:
+    """Reviews beside their parents' columns, with the number of changes and the summary that their report (JSON) holds, null
+    where it is no such JSON; only those of one status where it is given."""
+    rows = reviews if only is None else reviews.where(F.col(status) == only)
+    held = F.when(F.try_parse_json(report).isNotNull(), F.col(report))
+    return rows.join(parents, key).withColumns({"n_changes": F.json_array_length(F.get_json_object(held, "$.changes")), "summary": F.get_json_object(held, "$.summary")})

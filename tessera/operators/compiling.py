@@ -214,3 +214,11 @@ def normal_rule(rules: DataFrame) -> DataFrame:
     value = F.when(label == "Date of Birth", F.date_format(born, "yyyy-MM-dd")).otherwise(F.trim("value"))
     keep = [c for c in rules.columns if c not in {"attribute", "operator", "value"}]
     return rules.select(*keep, label.alias("attribute"), symbol.alias("operator"), value.alias("value"), why.alias("refused"))
+
+
+def exam_ranges(rows: DataFrame, doc: str, start: Column, end: Column, backed: Column, deadline: Column) -> DataFrame:
+    """(doc, ranges, before_deadline): every document's backed ranges once, by start and end, and whether the first begins
+    before applications end, which a reviewer has to see."""
+    kept = rows.select(doc, F.when(backed, F.struct(start.alias("start"), end.alias("end"))).alias("r"), deadline.alias("d"))
+    found = kept.groupBy(doc).agg(F.array_sort(F.collect_set("r")).alias("ranges"), F.max("d").alias("d"))
+    return found.select(doc, "ranges", F.coalesce(F.get("ranges", 0)["start"] < F.col("d"), F.lit(False)).alias("before_deadline"))

@@ -83,3 +83,10 @@ def send_gate(sends: DataFrame, key: str, at: str, now: str, cooldown: int, per_
     last, hour = F.min(since).alias("_since"), F.count_if(since < 3600).alias("_hour")
     wait = F.when(F.col("_since") >= cooldown, 0).otherwise(cooldown - F.col("_since")).cast("long")
     return sends.where(F.col(at) <= moment).groupBy(key).agg(last, hour).select(key, wait.alias("wait"), (F.col("_hour") >= per_hour).alias("used_up"))
+
+
+def code_state(sent: Column, attempts: Column, now: Column, minutes: int = 10, most: int = 5, days: int = 1) -> Column:
+    """What a code that was sent is still good for: open, locked after `most` wrong attempts, expired after minutes, purged
+    after days."""
+    age = F.unix_micros(now) - F.unix_micros(sent)
+    return F.when(age > days * 86_400_000_000, "purged").when(age > minutes * 60_000_000, "expired").when(attempts >= most, "locked").otherwise("open")

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..operators import changes as C
 from ..operators import compiling as K
 from ..operators import documents as P
 from ..operators import extraction as X
 from ..operators import merging as G
+from ..operators import mutations as M
 from ..operators import profiles as A
 from ..operators import retrieval as V
 from ..sources.tables import load
@@ -299,3 +301,37 @@ def single_flights(spark: SparkSession, d: str) -> DataFrame:
     events = load(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
     key = F.concat(F.lit("  "), F.col("user_id"), F.lit("   "), F.upper("event_type"), F.lit(" "))
     return S.single_flight(events, key, "at", "60 days").select("flight", "event_id")
+
+
+@query("""
+with r as (select distinct o_custkey, o_orderdate::date as a, (o_orderdate::date + (o_orderkey % 3)::int)::date as b from orders where o_orderkey % 4 <> 0),
+t as (select o_custkey, string_agg(a || '/' || b, ',' order by a, b) as ranges, min(a) < date '1995-06-01' as before_deadline from r group by o_custkey)
+select distinct o.o_custkey, coalesce(t.ranges, '') as ranges, coalesce(t.before_deadline, false) as before_deadline from orders o left join t on o.o_custkey = t.o_custkey""")
+def exam_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as exam dates, every fourth one without a quote that backs it."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    found = K.exam_ranges(load(spark, d, "orders"), "o_custkey", day, F.date_add(day, (k % 3).cast("int")), k % 4 != 0, F.lit("1995-06-01").cast("date"))
+    text = F.array_join(F.transform("ranges", lambda r: F.concat_ws("/", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return found.select("o_custkey", text.alias("ranges"), "before_deadline")
+
+
+@query("""
+select o_orderkey, c_mktsegment as segment, case when o_orderkey % 5 <> 0 then o_orderkey % 4 end as n_changes, case when o_orderkey % 5 <> 0 then o_orderpriority end as summary
+from orders join customer on o_custkey = c_custkey where o_orderstatus = 'O'""")
+def listed_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Open orders as reviews with a report, every fifth one broken, beside their customers."""
+    k = F.col("o_orderkey")
+    items = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(i <= k % 4, i.cast("string"))), ",")
+    report = F.concat(F.when(k % 5 == 0, "{").otherwise(""), F.lit('{"changes":['), items, F.lit('],"summary":"'), "o_orderpriority", F.lit('"}'))
+    rows = load(spark, d, "orders").select(k, F.col("o_custkey").alias("c_custkey"), "o_orderstatus", report.alias("report"))
+    found = C.listed_reviews(rows, load(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment")), "c_custkey", "report", "o_orderstatus", "O")
+    return found.select("o_orderkey", "segment", F.col("n_changes").cast("long").alias("n_changes"), "summary")
+
+
+@query("""
+with s as (select event_id, event_id % 8 as attempts, epoch_us(timestamp '2024-01-20 00:00:00') - epoch_us(ts) as age from events where ts <= timestamp '2024-01-20 00:00:00')
+select event_id, case when age > 86400000000 then 'purged' when age > 600000000 then 'expired' when attempts >= 5 then 'locked' else 'open' end as state from s""")
+def signup_codes(spark: SparkSession, d: str) -> DataFrame:
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    events = load(spark, d, "events").withColumn("sent", F.col("ts").cast("timestamp")).where(F.col("sent") <= now)
+    return events.select("event_id", M.code_state(F.col("sent"), F.col("event_id") % 8, now).alias("state"))
