@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Bytes of text that one table may hold before it is emitted (first pass) or split into spill files (second pass).
+#: Bytes that one table may hold before it is emitted (first pass) or split into spill files (second pass): its texts, and
+#: ENTRY for the objects and slots of each.
 TABLE_BYTES = 48 << 20
+ENTRY = 256
 FANOUT = 16
 GROUPS = "text_sha256 string, keep_id long, group_size long"
 LOCAL = "h long, text string, keep_id long, n long"
@@ -70,7 +72,7 @@ class TextTable:
         self.texts.append(text)
         self.keep.append(keep)
         self.count.append(n)
-        self.bytes += len(text)
+        self.bytes += len(text) + ENTRY
         if 2 * len(self.texts) > len(self.slots):
             self.slots = np.full(2 * len(self.slots), -1, np.int64)
             mask = len(self.slots) - 1
@@ -89,7 +91,7 @@ def local_rows(t: TextTable) -> Iterator[pa.RecordBatch]:
     """The table's rows in batches of a bounded size."""
     lo, size = 0, 0
     for i, text in enumerate(t.texts):
-        size += len(text)
+        size += len(text) + 32
         if size > 4 << 20 or i == len(t.texts) - 1:
             hi = i + 1
             texts = pa.array(t.texts[lo:hi], pa.large_binary()).cast(pa.large_string())
@@ -142,7 +144,7 @@ def grace(rows: Iterator[tuple[int, bytes, int | None, int]], folder: str, level
     def spill(row: tuple) -> None:
         i = (row[0] >> (60 - 4 * level)) & (FANOUT - 1)
         waiting[i].append(row)
-        held[i] += len(row[1])
+        held[i] += len(row[1]) + ENTRY
         if held[i] > 1 << 20:
             flush(i)
 
