@@ -7,26 +7,29 @@ item, and places of one item less than e apart are verified together by Myers' b
 best substring of the window around them.
 
 The benchmark is a query set that goes to all tasks in blocks of at most about BLOCK_BYTES of text, one pass over the
-documents for each block.
+documents for each block, each a job of its own with one automaton a worker. With several blocks a pass writes what it
+finds (text's SHA-256, item, edits) to the shared folder, and all findings go back to the documents by the SHA-256.
 
-Nulls and empty texts, or items without a character, match nothing. Repeated items are items of their own; repeated rows
-get equal results; an item with a null item_id is left out. Empty tables: no rows, or no matches. Columns named like the
+Nulls and empty texts, or items without a character, match nothing. Repeated items are items of their own (equal finds of one item_id count once); repeated
+rows get equal results; an item with a null item_id is left out. Empty tables: no rows, or no matches. Columns named like the
 results (contaminated, item_ids, errors) are replaced, others kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import Scratch, own_names, table
 
 RATE = 0.05
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def plain(text: str) -> str:
@@ -109,17 +112,24 @@ class Matcher:
                 at = at[n:]
             if best is not None:
                 out.append((item_id, best))
-        return sorted(out)
+        return sorted(set(out))
 
 
 _matchers: dict = {}
 
 
+def matcher_of(items, rate: float) -> Matcher:
+    """The worker's automaton of a block; the last one only is kept."""
+    if _matchers.get("of") is not items.value:
+        _matchers.update(of=items.value, matcher=Matcher(items.value, rate))
+    return _matchers["matcher"]
+
+
 def match_texts(items, rate: float, keep: list[str]):
+    """Every row, with item_ids and errors of the items in its text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _matchers.get("of") is not items.value:
-            _matchers.update(of=items.value, matcher=Matcher(items.value, rate))
-        find = _matchers["matcher"].matches
+        find = matcher_of(items, rate).matches
         for batch in batches:
             found = [find(t) if t else [] for t in (x.as_py() for x in batch.column("text"))]
             ids = pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64()))
@@ -129,31 +139,48 @@ def match_texts(items, rate: float, keep: list[str]):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def find_items(items, rate: float):
+    """(sha, item_id, edits) of every item in a text: a row for each find."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = matcher_of(items, rate).matches
+        for batch in batches:
+            found = [(sha, i, e) for sha, text in zip(batch.column("sha").to_pylist(), batch.column("text"), strict=True) for i, e in find(text.as_py() or "")]
+            if found:
+                sha, ids, errors = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(ids, pa.int64()), pa.array(errors, pa.int32())], ["sha", "item_id", "edits"])
+
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with contaminated, item_ids (of all items found) and errors (edits of each); every row stays."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c.lower() not in {"contaminated", "item_ids", "errors"}]
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    out = docs.select(*keep)
-    base = out.schema
-    results = []
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        own = spark.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in block.collect()))  # about BLOCK_BYTES
-        out = out.mapInArrow(match_texts(own, rate, [f.name for f in out.schema]), _with(out, "item_ids", "errors"))
-        out = out.withColumnRenamed("item_ids", f"_ids{k}").withColumnRenamed("errors", f"_errors{k}")
-        results.append(k)
-    both = F.array_sort(F.concat(*[F.arrays_zip(F.col(f"_ids{k}").alias("i"), F.col(f"_errors{k}").alias("e")) for k in results]))
-    out = out.withColumn("_found", both)
-    return out.select(*base.names, (F.size("_found") > 0).alias("contaminated"), F.col("_found.i").alias("item_ids"), F.col("_found.e").alias("errors"))
-
-
-def _with(df: DataFrame, ids: str, errors: str):
-    from pyspark.sql import types as T
-
-    return T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.LongType())), T.StructField(errors, T.ArrayType(T.IntegerType()))])
+    size = items.agg(F.sum(F.octet_length("text") + 64).alias("b")).first()["b"] or 0
+    n = max(1, -(-size // block_bytes))
+    rows = docs.select(*keep)
+
+    def block(k: int):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
+        return spark.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in own.collect()))  # about block_bytes
+
+    lists = [T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("errors", T.ArrayType(T.IntegerType()))]
+    if n == 1:
+        found = rows.mapInArrow(match_texts(block(0), rate, keep), T.StructType([*rows.schema.fields, *lists]))
+        return found.select(*keep, (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "errors")
+    scratch = Scratch(spark, "decontamination")
+    (name,) = own_names(keep, "sha")
+    sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    texts = docs.select("text", sha.alias("sha"))
+    parts = [scratch.write(texts.mapInArrow(find_items(block(k), rate), "sha binary, item_id long, edits int"), "found") for k in range(n)]
+    every = reduce(DataFrame.union, parts).distinct()
+    order = F.array_sort(F.collect_list(F.struct("item_id", "edits")))
+    found = scratch.write(every.groupBy("sha").agg(order.alias("hits")).select(F.col("sha").alias(name), F.col("hits.item_id").alias("item_ids"), F.col("hits.edits").alias("errors")), "matches")
+    joined = rows.withColumn(name, sha).join(found, name, "left")
+    none = [F.coalesce(f.name, F.array().cast(f.dataType)).alias(f.name) for f in lists]
+    return joined.select(*keep, F.col("item_ids").isNotNull().alias("contaminated"), *none)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

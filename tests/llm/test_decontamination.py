@@ -70,3 +70,14 @@ def test_empty_tables(spark):
     assert [r.contaminated for r in decontaminate(docs, none).collect()] == [False, False]
     assert decontaminate(docs.limit(0), spark.createDataFrame([(1, "a text")], "item_id long, text string")).count() == 0
     assert {(r.doc_id, tuple(r.item_ids)) for r in decontaminate(docs, spark.createDataFrame([(1, "A Text"), (2, "a text")], "item_id long, text string")).collect()} == {(1, (1, 2)), (None, (1, 2))}
+
+
+def test_blocks_give_the_same(spark):
+    """Many blocks of the benchmark, each a pass of its own, and one block: equal results; repeated items keep their ids."""
+    items, docs = corpus(5)
+    bench = spark.createDataFrame([*items.items(), (60, items[2]), (60, items[3]), (61, "")], "item_id long, text string")
+    frame = spark.createDataFrame([(i, t, "mine") for i, t in docs.items()] + [(0, docs[0], "mine")], "doc_id long, text string, sha string").repartition(3)
+    key = lambda out: sorted(((r.doc_id, r.sha, r.contaminated, tuple(r.item_ids), tuple(r.errors)) for r in out.collect()), key=str)
+    one, many = decontaminate(frame, bench), decontaminate(frame, bench, block_bytes=400)
+    assert one.columns == many.columns and key(one) == key(many)
+    assert sum(x[2] for x in key(one)) > 10
