@@ -5,8 +5,8 @@ as space), scaled by the learned spread of each feature. One-versus-rest linear
 inside it one-versus-one machines of every pair of its languages vote, the sum of margins breaks ties. All machines are
 linear in the trigrams, so scoring a text is one gather and one sum.
 
-Learning takes a bounded sample: about TRAIN_ROWS labelled texts in all, the same number for each language, chosen by a
-seeded hash; a text longer than TRAIN_BYTES is not among them. Scoring covers every row and whole texts.
+Learning takes a bounded sample: at most TRAIN_ROWS labelled texts in all, the same number for each language, chosen by a
+seeded hash of doc_id and text; a text longer than TRAIN_BYTES is not among them. Scoring covers every row and whole texts.
 
 Nulls and texts without a letter: `und`, score 0. A null lang is never learned from. Without any label everything is
 `und`; with one language all texts with letters are that language. Repeated rows get equal results. Empty tables give no
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_sample, bucket_of, framed, row_slices, table, text_bytes
+from .common import LOWER, bounded_sample, bucket_of, framed, own_names, row_slices, table, text_bytes
 
 DIMS = 13
 TRAIN_ROWS = 2400
 TRAIN_BYTES = 1 << 16
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: ISO 639-1 codes by family; a code that is not here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -54,7 +54,7 @@ for _b in range(128):
 
 
 def trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every trigram of the texts (each framed by one space), and the n + 1 offsets among them."""
+    """Bucket of every trigram of the texts (each with one space before and two after), and the n + 1 offsets among them."""
     b, at = framed(LETTERS[raw], off, 1, 2, 32)  # the last two places of each text are dropped below
     key = b[:-2].astype(np.uint32) << np.uint32(16) | b[1:-1].astype(np.uint32) << np.uint32(8) | b[2:] if len(b) > 2 else np.zeros(0, np.uint32)
     keep = np.ones(len(b), bool)
@@ -137,12 +137,12 @@ def decide(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lang, score * np.where(np.isinf(worst), 1.0, sure(np.where(np.isinf(worst), 0, worst)))
 
 
-def predict(model, keep: list[str]):
+def predict(model, keep: list[str], letter_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         for batch in batches:
             raw, off = text_bytes(batch.column("text"))
-            letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
+            letter = batch.column(letter_column).to_numpy(zero_copy_only=False).astype(bool)
             if not m.langs:
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(["und"] * batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows))], [*keep, "lang_pred", "score"])
                 continue
@@ -153,7 +153,7 @@ def predict(model, keep: list[str]):
                 size = np.diff(at)
                 some = np.flatnonzero(size > 0)
                 if len(some) and m.weights.shape[1]:
-                    sums = np.add.reduceat(m.weights[bucket], at[:-1][some], axis=0)
+                    sums = np.add.reduceat(m.weights[bucket], at[:-1][some], axis=0, dtype=np.float64)
                     margins[lo + some] = sums / size[some][:, None]
             lang, score = decide(m, margins + m.bias)
             names = np.array([*m.langs, "und"], object)[np.where(letter, lang, -1)]
@@ -169,13 +169,13 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, seed: int = 6) -> D
     rows = docs.select(*keep, (bucket_of(F.col("doc_id"), folds) == held).alias("held_out"))
     labelled = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     labelled = labelled.select("doc_id", "lang", "text").where(F.octet_length("text") <= TRAIN_BYTES)
-    langs = max(1, labelled.select("lang").distinct().count())
-    sample = bounded_sample(labelled, "lang", "doc_id", max(1, TRAIN_ROWS // langs), seed).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    sample = bounded_sample(labelled, "lang", ["doc_id", "text"], TRAIN_ROWS, seed)
     model = fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
-    ready = rows.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    (letter,) = own_names([*keep, "held_out"], "letter")
+    ready = rows.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     kept = [*keep, "held_out"]
     schema = rows.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    return ready.mapInArrow(predict(spark.sparkContext.broadcast(model), kept), schema)
+    return ready.mapInArrow(predict(spark.sparkContext.broadcast(model), kept, letter), schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ that hold at every size: ORDER, NODE_SHARE, WORD_SHARE.
 
 Nulls and empty texts: no words, one end token; the text's code is its end symbol. Repeated rows are rows of their own.
 A null doc_id counts as the empty text for the fold. Without training texts every symbol has 1/256 and every token 0
-counts (base_score is then null). Empty tables give no rows. Extra columns are not touched.
+counts of 0 (base_score is then 0). Empty tables give no rows. Extra columns are not touched.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from .common import LOWER, bucket_of, materialise, row_slices, table, text_bytes
 ORDER = 4
 NODE_SHARE = 2.0**-22
 WORD_SHARE = 2.0**-20
-CHUNK = 1 << 20
-SLICE = 4 << 20
+CHUNK = 1 << 19
+SLICE = 1 << 20
 WORD, BYTES = 0, 1
 EDGE = 0xFF
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -294,7 +294,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
         "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0)) + F.lit(int(texts > 0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        base.alias("base_score") if texts else F.lit(None).cast("double").alias("base_score"),
+        base.alias("base_score"),
         (F.col("score") + F.coalesce("escaped", F.lit(0.0))).alias("score"),
     )
 

@@ -6,7 +6,7 @@ through a forward and a backward recurrence, an attention pools the states, and
 probability. A text's score is that of its most toxic window.
 
 Training (on the driver, a fixed number of steps) sees the labels of whole texts only: in every round the network picks
-the likeliest window of each text and learns from those. It takes a bounded sample: at most about TRAIN_EACH labelled
+the likeliest window of each text and learns from those. It takes a bounded sample: at most TRAIN_EACH labelled
 texts of each class, chosen by a seeded hash, none longer than TRAIN_BYTES. Embeddings begin with the log odds of their
 bucket in the sample as first coordinate. Scoring covers every row and whole texts; a word's inputs are computed once for
 each distinct word of a slice.
@@ -310,9 +310,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     keep = [c for c in docs.columns if c.lower() not in {"held_out", "score", "predicted"}]
     rows = docs.select(*keep, (bucket_of(F.col("doc_id"), folds) == held).alias("held_out"))
     known = labels.where(F.col("toxic").isNotNull() & (bucket_of(F.col("doc_id"), folds) != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = bounded_sample(known, "toxic", "doc_id", TRAIN_EACH, seed)  # about 2 TRAIN_EACH rows
+    chosen = spark.createDataFrame(bounded_sample(known, "toxic", ["doc_id"], 4 * TRAIN_EACH, seed), known.schema)  # 4 TRAIN_EACH rows at most
     texts = rows.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES)
-    sample = texts.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    sample = bounded_sample(texts.join(F.broadcast(chosen), "doc_id"), "toxic", ["doc_id", "text"], 2 * TRAIN_EACH, seed)
+    sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = np.array(sample.column("toxic").to_pylist(), np.int64)
     both = 0 < y.sum() < len(y)
     model = train(sample.column("text").to_pylist(), y, seed) if both else {"share": float(y.mean()) if len(y) else 0.0}

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import language_id, ppm_scoring, toxicity
-from tessera.llm.common import table, text_bytes
+from tessera.llm.common import bounded_sample, mix64, span_hashes, table, text_bytes
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -42,6 +42,58 @@ def test_language_edges(spark):
     assert language_id.identify(none.limit(0)).count() == 0
 
 
+def plain_language(model, text: str) -> tuple[str, float]:
+    """Family, then votes of the pairs within it, by plain loops over the text's trigrams."""
+    if not text or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0
+    data = b" " + bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.encode().lower()) + b"  "
+    grams = [data[i : i + 3] for i in range(len(data) - 2)]
+    margins = [float(b) for b in model.bias]
+    for g in grams:
+        bucket = (int.from_bytes(g, "big") * 2654435761 % 2**32) >> (32 - language_id.DIMS)
+        for k in range(len(margins)):
+            margins[k] += float(model.weights[bucket, k]) / len(grams)
+    sure = lambda m: 1 / (1 + np.exp(-4 * m))
+    many = len(model.families) > 1
+    family = max(range(len(model.families)), key=lambda k: margins[k]) if many else 0
+    score, pairs = (sure(margins[family]) if many else 1.0), margins[len(model.families) if many else 0 :]
+    votes = dict.fromkeys(model.families[family], 0.0)
+    for (a, b), m in zip(model.pairs, pairs, strict=True):
+        if a in votes:
+            votes[a] += (m > 0) + 1e-3 * np.tanh(m)
+            votes[b] += (m <= 0) - 1e-3 * np.tanh(m)
+    best = max(votes, key=votes.get)
+    own = [m if a == best else -m for (a, b), m in zip(model.pairs, pairs, strict=True) if best in (a, b)]
+    return model.langs[best], score * (sure(min(own)) if own else 1.0)
+
+
+def test_languages_equal_plain_loops(spark, monkeypatch):
+    kept = {}
+    real = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda texts, langs: kept.setdefault("model", real(texts, langs)))
+    docs = table(spark, SMALL, "documents").select("doc_id", "text", "lang").where("length(text) < 3000")
+    odd = spark.createDataFrame([(-1, None, None), (-2, "", "en"), (-3, "12 _ !", "en"), (-4, "É", None), (-5, "x", None), (-6, "Ab-cd  \n é", None)], docs.schema)
+    docs = docs.union(odd)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language_id.identify(docs).collect():
+        lang, score = plain_language(kept["model"], texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4)
+
+
+def test_bounded_sample(spark):
+    """Hard limits: of each label, of rows equal in key, of labels."""
+    rows = [(i % 50 if i < 900 else 7, f"t{i % 300}" if i < 900 else "same", "a" if i % 10 else "b") for i in range(2000)] + [(1, "x", f"rare{i}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    for total in (10, 64, 5000):
+        got = bounded_sample(frame, "lang", ["doc_id", "text"], total, 1).to_pylist()
+        per = Counter(r["lang"] for r in got)
+        labels = min(total, 32)
+        assert len(per) <= labels and max(per.values()) <= max(1, total // labels) and len({tuple(r.values()) for r in got}) == len(got)
+        again = bounded_sample(frame.repartition(7), "lang", ["doc_id", "text"], total, 1).to_pylist()
+        assert got == again
+    assert bounded_sample(frame.limit(0), "lang", ["doc_id", "text"], 5, 1).num_rows == 0
+
+
 # ---------------------------------------------------------------- toxicity
 
 
@@ -96,6 +148,59 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def plain_score(p: dict, text: str) -> float:
+    """The network by plain loops: word inputs, both recurrences, attention, the most toxic window."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode())) if w]
+    top, e, n = 64 - toxicity.BUCKETS, toxicity.EMBED, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(w: bytes) -> np.ndarray:
+        hashed = lambda b: int(span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+        framed = b"\0" + w + b"\0"
+        grams = [int(mix64(np.array([int.from_bytes(framed[i : i + k], "big") + ((k - 1) << 40)], np.uint64))[0]) >> top for k in (3, 4) for i in range(len(framed) - k + 1)]
+        begin = [hashed(w[:k]) >> top for k in toxicity.BEGINNINGS if len(w) >= k]
+        mean = lambda table, ids: np.mean([table[i] for i in ids], axis=0) if ids else np.zeros(e)
+        return np.concatenate([p["Ew"][hashed(w) >> top], mean(p["Ec"], grams), mean(p["Ep"], begin)]).astype(float)
+
+    def states(xs: list, d: str) -> list:
+        h, out = np.zeros(n), []
+        for x in xs:
+            a, g = x @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+            z, r = sig(a[:n] + g[:n]), sig(a[n : 2 * n] + g[n : 2 * n])
+            new = np.tanh(a[2 * n :] + r * g[2 * n :])
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    best, start = None, 0
+    while best is None or start < len(words):
+        at = min(start, max(0, len(words) - toxicity.WINDOW))
+        xs = [vector(w) for w in words[at : at + toxicity.WINDOW]]
+        logit = float(p["b"][0])
+        if xs:
+            both = [np.concatenate(s) for s in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+            weight = np.exp([np.tanh(h @ p["Wa"] + p["ba"]) @ p["v"] for h in both])
+            logit += sum(w * h for w, h in zip(weight / weight.sum(), both, strict=True)) @ p["w"]
+        best = logit if best is None else max(best, logit)
+        if at + toxicity.WINDOW >= len(words):
+            break
+        start += toxicity.STRIDE
+    return float(sig(best))
+
+
+def test_toxicity_equals_plain_loops(spark, monkeypatch):
+    kept = {}
+    real = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, seed: kept.setdefault("p", real(texts, y, seed)))
+    docs = table(spark, SMALL, "documents").select("doc_id", "text").where("length(text) < 2500")
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n"), (-4, "Ab"), (-5, "é x Y"), (-6, "w " * 85)], docs.schema))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, table(spark, SMALL, "labels")).collect()}
+    assert got.keys() == texts.keys()
+    for i in sorted(texts)[:60]:
+        assert got[i] == pytest.approx(plain_score(kept["p"], texts[i]), abs=2e-4)
+
+
 # ---------------------------------------------------------------- LM scoring
 
 
@@ -162,3 +267,12 @@ def test_cut_of_the_broadcast_table_changes_no_score(spark, monkeypatch):
         got = ppm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert len(got) == len(rows)
         assert all(r.score == pytest.approx(score(rows[r.doc_id][1].encode()), abs=1e-6) for r in got)
+
+
+def test_no_training_texts(spark):
+    """All documents in the held fold: nothing is learned, so every token has (0 + 0.1) / (0 + 0.1) and every symbol 1/256."""
+    held = [i for i in range(200) if fold(i, 10) == 0][:5]
+    docs = spark.createDataFrame([(i, "ab c") for i in held], "doc_id long, text string")
+    for r in ppm_scoring.lm_scores(docs).collect():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0)
+        assert r.base_score == pytest.approx(0.0, abs=1e-12) and r.score == pytest.approx(5 * log10(1 / 256))
