@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm.token_counts import VOCABULARY, count_tokens, counter_of, op1_token_counts, truncate_to_budget
+from tessera.llm.token_counts import VOCABULARY, count_at, count_tokens, counter_of, longest_prefix, op1_token_counts, truncate_to_budget
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,14 +32,30 @@ def test_any_text(text):
     assert OURS.count(text) == library(text)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abcthe in'slm 12.\n ", max_size=60), st.data())
-def test_prefix_table(text, data):
-    ends, tokens = OURS.table(text)
-    cut = data.draw(st.integers(0, len(text)))
-    assert OURS.count_at(text, cut, ends, tokens) == library(text[:cut])
-    budget = data.draw(st.integers(0, 20))
-    assert library(text[: OURS.longest_prefix(text, budget, ends, tokens)]) <= budget
+def check_table(text: str) -> None:
+    table = OURS.table(text)
+    counts = [library(text[:cut]) for cut in range(len(text) + 1)]
+    assert [count_at(table, cut) for cut in range(len(text) + 1)] == counts
+    for budget in range(0, 12):
+        assert longest_prefix(table, budget) == max(cut for cut, n in enumerate(counts) if n <= budget)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abcthe in'slm 12.\n \t!é漢'red", max_size=50))
+def test_prefix_table(text):
+    """The stored table holds the exact count of every prefix."""
+    check_table(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=30))
+def test_prefix_table_any_text(text):
+    check_table(text)
+
+
+@pytest.mark.parametrize("text", [t for t in ODD if len(t) < 60] + ["don't we'll 's  's\n's", "!'re 'reading it'd", "a   \n b\t\tc  ", "\u3000 x\u00a0y", "'", "''s", " 'll", "1's 2'S", "x <|endoftext|> y<|endof"])
+def test_prefix_table_odd(text):
+    check_table(text)
 
 
 def test_query(spark, documents):
@@ -49,6 +65,7 @@ def test_query(spark, documents):
     for r in got:
         n = library(texts[r.doc_id])
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+        assert r.prefix_chars == len(texts[r.doc_id]) if n <= 512 else library(texts[r.doc_id][: r.prefix_chars]) <= 512
 
 
 def test_edges(spark):
