@@ -1,15 +1,14 @@
 """From raw documents to shuffled training shards, in five stages.
 
 Each stage takes all that its predecessor kept, and its decisions take effect: language ID drops texts without a language,
-the Jaccard join leaves one document of each group of near copies, decontamination drops documents with benchmark items,
-mixing repeats and drops documents so that sources get their weights, and sharding gives every row its shard and slot.
-Rows with a null doc_id can't be named by a group of near copies, so these are not dropped as copies.
+the Jaccard join leaves one document of each group of near copies (that with the smallest doc_id), decontamination drops
+documents with benchmark items, mixing repeats and drops documents so that sources get their weights, and sharding gives
+every row its shard and slot. Rows with a null doc_id are documents like any other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import common, decontamination, jaccard_join, language_id, mixing, sharding
 
@@ -19,11 +18,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words, similarity 0.8; the smallest doc_id of a group stays, once."""
-    found = jaccard_join.jaccard_components(docs, words=5, percent=80)
-    stay = found.where(F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    once = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    return once.dropDuplicates(["doc_id", "text"])
+    """Five words, similarity 0.8; one document of each group stays."""
+    return jaccard_join.drop_near_copies(docs, words=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +28,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeat_rows(mixing.mix(docs)).select(docs.columns)
+    return mixing.mixed_queue(docs).select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
