@@ -222,3 +222,12 @@ def exam_ranges(rows: DataFrame, doc: str, start: Column, end: Column, backed: C
     kept = rows.select(doc, F.when(backed, F.struct(start.alias("start"), end.alias("end"))).alias("r"), deadline.alias("d"))
     found = kept.groupBy(doc).agg(F.array_sort(F.collect_set("r")).alias("ranges"), F.max("d").alias("d"))
     return found.select(doc, "ranges", F.coalesce(F.get("ranges", 0)["start"] < F.col("d"), F.lit(False)).alias("before_deadline"))
+
+
+def normal_information(rows: DataFrame, days: list[str]) -> DataFrame:
+    """rows with each of the day columns (texts) as yyyy-MM-dd, null where it has no day, and `refused`: the columns whose text
+    is there but can't be read; a caller refuses such an extraction as a whole."""
+    read = {c: normal_date(F.col(c)) for c in days}
+    bad = [F.when((F.coalesce(F.trim(c), F.lit("")) != "") & read[c].isNull(), c) for c in days]
+    rows = rows.withColumn("refused", F.array_compact(F.array(*bad)))
+    return rows.withColumns({c: F.date_format(read[c], "yyyy-MM-dd") for c in days})

@@ -456,3 +456,11 @@ def mined_addresses(pages: DataFrame, key: str, url: str, html: str) -> DataFram
     rows = rows.withColumn("link", absolute(F.col("base"), F.col("href"))).where("startswith(link, 'https://')")
     rows = rows.where(same_site(host(F.col("link")), host(F.col("base"))))
     return rows.groupBy(key, "link").agg(F.max_by("value", F.struct(F.length("value"), -F.col("ord"))).alias("context"), F.min("ord").cast("long").alias("ord"))
+
+
+def first_passing(candidates: DataFrame, key: str, tier: str, score: str, link: str, passes: Column) -> DataFrame:
+    """Of each key the candidate to take: of the first tier in which one passes the gate, the best score, then the last
+    address. The gate is asked of all candidates at once; a key without one that passes has no row."""
+    rank = F.struct(-F.col(tier), F.col(score), F.col(link))
+    best = candidates.where(passes).groupBy(key).agg(F.max_by(F.struct(*candidates.columns), rank).alias("_best"))
+    return best.select("_best.*")

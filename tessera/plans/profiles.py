@@ -335,3 +335,23 @@ def signup_codes(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit("2024-01-20 00:00:00").cast("timestamp")
     events = load(spark, d, "events").withColumn("sent", F.col("ts").cast("timestamp")).where(F.col("sent") <= now)
     return events.select("event_id", M.code_state(F.col("sent"), F.col("event_id") % 8, now).alias("state"))
+
+
+@query("""
+with c as (select *, event_id % 3 as tier, row_number() over (partition by user_id order by event_id % 3, value desc, event_id desc) as r from events where event_type <> 'error')
+select user_id, event_id, tier from c where r = 1""")
+def first_passing(spark: SparkSession, d: str) -> DataFrame:
+    """Events as candidates in three tiers: the best of the first tier in which one is no error."""
+    rows = load(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 3).alias("tier"), "value", "event_type")
+    return P.first_passing(rows, "user_id", "tier", "value", "event_id", F.col("event_type") != "error").select("user_id", "event_id", "tier")
+
+
+@query("""
+select o_orderkey, case when o_orderkey % 3 = 0 then strftime(o_orderdate, '%Y-%m-%d') end as opens, case when o_orderkey % 4 <> 1 then strftime(o_orderdate, '%Y-%m-%d') end as closes,
+  array_to_string(list_filter([case when o_orderkey % 3 = 1 then 'opens' end, case when o_orderkey % 4 = 1 then 'closes' end], lambda x: x is not null), ',') as refused from orders""")
+def normal_information(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    opens = F.when(k % 3 == 0, F.date_format("o_orderdate", "d MMMM yyyy")).when(k % 3 == 1, "to be announced").otherwise(" ")
+    closes = F.when(k % 4 == 1, "in May").otherwise(F.date_format("o_orderdate", "dd.MM.yyyy"))
+    found = K.normal_information(load(spark, d, "orders").select(k, opens.alias("opens"), closes.alias("closes")), ["opens", "closes"])
+    return found.withColumn("refused", F.array_join("refused", ","))
