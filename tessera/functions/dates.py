@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ NUMERIC = r"\b\d{1,2}[/.\-]\d{1,2}[/.\-](?:\d{4}|\d{2})\b"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def day_of(year: Column, month: Column, day: Column) -> Column:
     """The date, null when the calendar has no such day."""
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
@@ -44,7 +51,8 @@ def _listed(match: Column) -> Column:
     """The dates of one month with a list of days, in either order."""
     year = F.regexp_extract(match, r"(\d{4})$", 1).cast("int")
     days = F.regexp_replace(F.regexp_replace(match, r"\s*,?\s*\d{4}$", ""), rf"(?i){_MONTH}", "")
-    return F.transform(expand_days(days), lambda d: day_of(year, month_number(match), d))
+    parts = F.struct(year.alias("year"), month_number(match).alias("month"), expand_days(days).alias("days"))
+    return let(parts, lambda x: F.transform(x["days"], lambda d: day_of(x["year"], x["month"], d)))
 
 
 def _range(match: Column) -> Column:
@@ -96,18 +104,20 @@ def named_month(name: Column) -> Column:
 
 
 def normal_date(text: Column) -> Column:
-    """One date out of a short text in any of the written forms, ordinal endings left out; null when it has none of them."""
+    """One date out of a short text in any of the written forms, ordinal endings left out; null when it has none of them.
+
+    Each form is turned into year, month and day, set apart by a control character, by one replacement; what has no form keeps its text and is no such triple."""
     bare = F.trim(F.regexp_replace(F.lower(F.trim(text)), r"(\d+)(st|nd|rd|th)", "$1"))
-    part = lambda form, k: F.nullif(F.regexp_extract(bare, form, k), F.lit(""))
-    number = lambda form, k: part(form, k).cast("int")
-    short = number(DAY_FIRST, 4)
-    year = F.when(F.length(part(DAY_FIRST, 4)) == 4, short).otherwise(short + F.when(short >= 69, 1900).otherwise(2000))
-    return F.coalesce(
-        day_of(number(YEAR_FIRST, 1), number(YEAR_FIRST, 2), number(YEAR_FIRST, 3)),
-        day_of(year, number(DAY_FIRST, 3), number(DAY_FIRST, 1)),
-        day_of(number(DAY_NAMED, 3), named_month(part(DAY_NAMED, 2)), number(DAY_NAMED, 1)),
-        day_of(number(NAMED_DAY, 3), named_month(part(NAMED_DAY, 1)), number(NAMED_DAY, 2)),
-    )
+    for form, order in ((YEAR_FIRST, "$1\x01$2\x01$3"), (DAY_FIRST, "$4\x01$3\x01$1"), (DAY_NAMED, "$3\x01$2\x01$1"), (NAMED_DAY, "$3\x01$1\x01$2")):
+        bare = F.regexp_replace(bare, form, order)
+
+    def read(part: Column) -> Column:
+        year, month, day = (F.get(part, i) for i in range(3))
+        short = year.try_cast("int")
+        full = F.when(F.length(year) == 4, short).otherwise(short + F.when(short >= 69, 1900).otherwise(2000))
+        return F.when(F.size(part) == 3, day_of(full, F.coalesce(month.try_cast("int"), named_month(month)), day.try_cast("int")))
+
+    return let(F.split(bare, "\x01"), read)
 
 
 def subtract_years(day: Column, n: Column) -> Column:
