@@ -11,6 +11,7 @@ from .exact_dedup import op4_exact_dedup
 from .jaccard_join import op8_jaccard_join
 from .language_id import op6_language_id
 from .mixing import op9_mixing
+from .periodic_runs import op11_periodic_runs
 from .ppm_scoring import op7_lm_scoring
 from .secrets import op2_secrets
 from .sharding import op10_sharding
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _KEYS = "(password|passwd|secret|token|api_?key)"
