@@ -55,11 +55,11 @@ class Scratch:
         self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.held: list[tuple[DataFrame, str]] = []
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """Write df once and read it back."""
         path = f"{self.folder}/{name}-{len(self.held)}"
         with bounded_batches(self.spark):
-            df.write.parquet(path)
+            df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.held.append((out, path))
         return out

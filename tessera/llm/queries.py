@@ -11,6 +11,7 @@ from .exact_dedup import op4_exact_dedup
 from .jaccard_join import op8_jaccard_join
 from .language_id import op6_language_id
 from .mixing import op9_mixing
+from .packing import op12_packing
 from .periodic_runs import op11_periodic_runs
 from .ppm_scoring import op7_lm_scoring
 from .secrets import op2_secrets
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_packing": op12_packing,
 }
 
 _KEYS = "(password|passwd|secret|token|api_?key)"
