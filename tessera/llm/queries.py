@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op3_decontamination
+from .divergence import op13_divergence
 from .exact_dedup import op4_exact_dedup
 from .jaccard_join import op8_jaccard_join
 from .language_id import op6_language_id
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_packing": op12_packing,
+    "op13_divergence": op13_divergence,
 }
 
 _KEYS = "(password|passwd|secret|token|api_?key)"
@@ -87,4 +89,32 @@ select doc_id, size, source_size, target,
         + greatest(0, least(size, floor(target + 1e-6) - start - source_size))
         + greatest(0, least(size, floor(target + 1e-6) - start - 2 * source_size)))::bigint as taken
 from queue""",
+    "op13_divergence": r"""
+with docs as (
+select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+from documents),
+sources as (select distinct lang, source from docs),
+words as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+counts as (select lang, source, term, count(*) as n, count(distinct r) as docs from words group by all),
+kept as (select lang, term, sum(n)::bigint as n from counts group by all having sum(docs) >= 3),
+langs as (select lang, count(*) + sum(n)::bigint as total from kept group by lang),
+cells as (
+select s.lang, s.source, k.term, k.n as in_lang, coalesce(c.n, 0) as n
+from sources s join kept k on s.lang = k.lang left join counts c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+totals as (select lang, source, count(*) + sum(n)::bigint as total from cells group by all),
+shares as (
+select c.lang, c.source, c.term, c.n, 1 + 1000000000 * (c.n + 1) // t.total as p, 1 + 1000000000 * (c.in_lang + 1) // l.total as q
+from cells c join totals t on c.lang = t.lang and c.source = t.source join langs l on c.lang = l.lang),
+pairs as (
+select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value
+from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+parts as (
+select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0) as value
+from sources a join sources b on a.lang = b.lang and a.source <> b.source
+left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+union all
+select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // q)::bigint as value from shares where n > 0 and p > q),
+ranked as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from parts)
+select * from ranked where part = 'pair' or rank <= 200""",
 }
