@@ -10,8 +10,8 @@ sequences but the very last are full.
 A chunk is a row of a written table, so its offset and its cuts are the same however often they are worked out, and no task
 needs to see where another one ended. Order is that of the input's partitions and rows.
 
-Ids are those of the vocabulary's own library. Texts below U+0250 without special strings, for which the two splitters'
-patterns agree letter by letter, are encoded by the faster library over the same vocabulary as ranks.
+Ids are those of the vocabulary's own library. Latin-1 texts without special strings, for which the two splitters' patterns
+agree character by character, are encoded by the faster library over the same vocabulary as ranks.
 
 A document is its text's ids and one end id. Nulls and empty texts have the end id alone; a null key is a key like any other
 and repeated rows are rows of their own. Very long texts run through as many sequences as they need. Empty tables give no
@@ -40,8 +40,6 @@ from .common import Scratch, running_sum, table
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 LENGTH, END_ID = 2048, 1
 CHUNK_TOKENS = 1 << 15
-#: Below it the splitters' classes of characters are those of the oldest Unicode versions.
-PLAIN_BELOW = "ɐ"
 #: Bytes of an id.
 WIDE = 4
 OWN = ("start", "length", "doc_tokens", "offset")
@@ -59,10 +57,19 @@ class Encoder:
                 table = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    def plain(self, text: str) -> bool:
+        """Whether both splitters are known to see the same classes of characters in it: Latin-1, whose classes no Unicode
+        version has changed, and no special string."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return not any(s in text for s in self.specials)
+
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if self.fast is not None and (text.isascii() or max(text) < PLAIN_BELOW) and not any(s in text for s in self.specials):
+        if self.fast is not None and self.plain(text):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
