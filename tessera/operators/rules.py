@@ -8,6 +8,8 @@ puts a text in eval_error, and the caller decides whether that skips or fails.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,32 +47,40 @@ def prepared(rules: DataFrame) -> DataFrame:
     return rows.withColumns({"_pb": plain(F.col("_b")), "_rb": ranked, "_error": error, "_wanted": F.lower(F.trim(value))})
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def leaf_outcome(leaf: Callable[[str], Column], facts: Column, work: Column) -> Column:
+    """Struct of ok and missing for one prepared rule (leaf gives its columns by name) and an applicant's facts and work."""
+    op, kind, working = leaf("_op"), leaf("_kind"), leaf("_name") == "work experience"
+    held = F.transform(F.coalesce(work, F.array().cast("array<string>")), lambda w: F.lower(F.trim(w)))
+    worked = let(held, lambda h: F.when(op == "=", F.exists(h, lambda w: w == leaf("_wanted"))).when(op == "!=", F.forall(h, lambda w: w != leaf("_wanted"))))
+
+    def numeric(n: Column) -> Column:  # not-a-number is unequal to all, itself too
+        return F.when(~F.isnan(n) & ~F.isnan(leaf("_limit")), compared(op, n, leaf("_limit"))).otherwise(op == "!=")
+
+    def text(a: Column) -> Column:
+        rank = F.when(leaf("_rb").isNotNull(), rank_of(a))
+        same = F.when(op == "=", plain(a) == leaf("_pb")).when(op == "!=", plain(a) != leaf("_pb")).otherwise(compared(op, a, leaf("_b")))
+        return F.coalesce(rank >= leaf("_rb"), same)
+
+    def judged(fact: Column) -> Column:
+        known = (
+            F.when(working, worked)
+            .when(kind == "numeric", let(fact.try_cast("double"), numeric))
+            .when(kind == "date", let(fact.try_cast("date"), lambda day: compared(op, day, leaf("_bound"))))
+            .otherwise(let(canonical(fact), text))
+        )
+        return F.struct(F.coalesce(known, F.lit(False)).alias("ok"), (~working & fact.isNull() & leaf("_error").isNull()).alias("missing"))
+
+    return let(F.try_element_at(facts, leaf("_name")), judged)
+
+
 def compare_leaves(rows: DataFrame) -> DataFrame:
     """rows of applicants (facts, work) beside prepared rules -> with ok, missing and error."""
-    op, kind, working = F.col("_op"), F.col("_kind"), F.col("_name") == "work experience"
-    rows = rows.withColumn("_fact", F.try_element_at("facts", "_name"))
-    rows = rows.withColumn("_a", F.when(kind.isin("numeric", "date"), F.lit(None).cast("string")).otherwise(canonical(F.col("_fact"))))
-    rows = rows.withColumns({"_pa": plain(F.col("_a")), "_number": F.col("_fact").try_cast("double"), "_day": F.col("_fact").try_cast("date")})
-    # Not-a-number is unequal to all, itself too.
-    sane = ~F.isnan("_number") & ~F.isnan("_limit")
-    numeric = F.when(sane, compared(op, F.col("_number"), F.col("_limit"))).otherwise(op == "!=")
-    rank = F.when(F.col("_rb").isNotNull(), rank_of(F.col("_a")))
-    text = (
-        F.when(rank.isNotNull(), rank >= F.col("_rb"))
-        .when(op == "=", F.col("_pa") == F.col("_pb"))
-        .when(op == "!=", F.col("_pa") != F.col("_pb"))
-        .otherwise(compared(op, F.col("_a"), F.col("_b")))
-    )
-    held = F.transform(F.coalesce("work", F.array().cast("array<string>")), lambda w: F.lower(F.trim(w)))
-    worked = F.when(op == "=", F.exists(held, lambda w: w == F.col("_wanted"))).when(op == "!=", F.forall(held, lambda w: w != F.col("_wanted")))
-    known = F.when(kind == "numeric", numeric).when(kind == "date", compared(op, F.col("_day"), F.col("_bound"))).otherwise(text)
-    return rows.withColumns(
-        {
-            "ok": F.coalesce(F.when(working, worked).otherwise(known), F.lit(False)),
-            "missing": ~working & F.col("_fact").isNull() & F.col("_error").isNull(),
-            "error": F.col("_error"),
-        }
-    )
+    return rows.withColumn("_outcome", leaf_outcome(F.col, F.col("facts"), F.col("work"))).select("*", "_outcome.*", F.col("_error").alias("error")).drop("_outcome")
 
 
 def applicant_facts(students: DataFrame, educations: DataFrame, work: DataFrame) -> DataFrame:
@@ -97,8 +107,10 @@ def walk(groups: DataFrame) -> DataFrame:
     links = groups.select("notice", "group_id", "parent_group_id", F.struct(F.lit(1), F.col("group_number").cast("long"), F.col("group_id").cast("long")).cast(STEP).alias("step"))
     level = links.where("parent_group_id is null").select("notice", "group_id", F.lit(0).alias("depth"), F.array("step").alias("path"), F.array("group_id").alias("above"))
     found: DataFrame | None = None
-    while found is None or not level.isEmpty():
+    while True:
         level = materialise(level, "rule-depth")
+        if found is not None and level.isEmpty():
+            break
         found = level if found is None else found.unionByName(level)
         up = level.select("notice", F.col("group_id").alias("parent_group_id"), "depth", "path", "above")
         level = links.join(up, ["notice", "parent_group_id"]).select("notice", "group_id", (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("step")).alias("path"), F.array_append("above", F.col("group_id")).alias("above"))
@@ -140,31 +152,38 @@ def folded(groups: Column, leaves: Column) -> Column:
     return F.aggregate(groups, F.array().cast(kind), step)
 
 
-def evaluate(pairs: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame:
-    """pairs (student_id, notice, facts, work) -> student_id, notice, eligible, reasons, eval_error; no row for a pair whose
-    notice has no rules.
+_LEAF = ("_name", "_op", "_kind", "_limit", "_bound", "_b", "_pb", "_rb", "_error", "_wanted")
+
 
-    One join of the pairs with their notices' leaves, one grouping back to pairs that carries a leaf's place and outcome
-    only; then a notice's tree, an array, is folded inside each row, whatever its depth. A leaf's reason counts where the
-    leaf and all groups above it fail."""
+def compiled_trees(groups: DataFrame, rules: DataFrame) -> DataFrame:
+    """A row for each notice that has rules: its leaves in tree order, its groups deepest first, and the first error of a leaf."""
     tree = materialise(walk(groups), "rule-tree")
     lost = groups.join(tree, ["notice", "group_id"], "left_anti").limit(5).collect()
     if lost:
         raise ValueError("Eligibility rule group references a missing parent group: " + ", ".join(str(r["group_id"]) for r in lost))
-    leaves = materialise(leaves_of(groups, rules, tree), "rule-leaves")
-    ids = ["student_id", "notice"]
-    judged = compare_leaves(pairs.join(leaves.drop("group_id", "rule_id", "path", "above", "attribute", "operator"), "notice"))
-    outcome = F.struct("leaf", "ok", "missing")
-    found = judged.groupBy(*ids).agg(F.array_sort(F.collect_list(outcome)).alias("outcomes"), F.max("error").alias("eval_error"))
-
     told = F.concat_ws(" ", "attribute", "operator", "value")
-    listed = leaves.groupBy("notice").agg(F.array_sort(F.collect_list(F.struct("leaf", "group_id", "above", told.alias("told")))).alias("texts"))
+    leaf = F.struct("leaf", "group_id", "above", told.alias("told"), *_LEAF)
+    listed = leaves_of(groups, rules, tree).groupBy("notice").agg(F.array_sort(F.collect_list(leaf), lambda a, b: a["leaf"] - b["leaf"]).alias("leaves"), F.max("_error").alias("eval_error"))
     deepest = F.struct("depth", "group_id", "parent_group_id", "logical_operator")
     shape = groups.join(tree.select("notice", "group_id", "depth"), ["notice", "group_id"]).groupBy("notice").agg(F.sort_array(F.collect_list(deepest), asc=False).alias("groups"))
-    rows = found.join(listed.join(shape, "notice"), "notice")
+    return materialise(listed.join(shape, "notice"), "rule-trees")
+
+
+def evaluate(pairs: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame:
+    """pairs (student_id, notice, facts, work) -> student_id, notice, eligible, reasons, eval_error; no row for a pair whose
+    notice has no rules, as many rows as the pair itself has.
+
+    One join of the pairs with their notices' trees, a row each; then a notice's leaves are compared and its groups folded
+    inside the pair's row, whatever the tree's depth. A leaf's reason counts where the leaf and all groups above it fail."""
+    ids = ["student_id", "notice"]
+    rows = pairs.select(*ids, "facts", "work").join(compiled_trees(groups, rules), "notice")
+
+    def outcome(leaf: Column) -> Column:
+        carried = lambda o: F.struct(*[leaf[k].alias(k) for k in ("group_id", "above", "told")], o["ok"].alias("ok"), o["missing"].alias("missing"))
+        return let(leaf_outcome(lambda k: leaf[k], F.col("facts"), F.col("work")), carried)
 
-    both = F.zip_with("texts", "outcomes", lambda t, o: F.struct(t["group_id"].alias("group_id"), t["above"].alias("above"), t["told"].alias("told"), o["ok"].alias("ok"), o["missing"].alias("missing")))
-    rows = rows.select(*ids, "eval_error", both.alias("leaves"), "groups").withColumn("done", folded(F.col("groups"), F.col("leaves")))
+    rows = rows.select(*ids, "eval_error", "groups", F.transform("leaves", outcome).alias("leaves"))
+    rows = rows.withColumn("done", folded(F.col("groups"), F.col("leaves")))
     rows = rows.withColumn("eligible", F.forall(F.filter("done", lambda g: g["parent"].isNull()), lambda g: g["ok"]))
     passed = F.transform(F.filter("done", lambda g: g["ok"]), lambda g: g["group_id"])
     failed = F.filter("leaves", lambda x: ~x["ok"] & ~F.arrays_overlap(x["above"], passed))
@@ -173,10 +192,12 @@ def evaluate(pairs: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame
 
 
 def status(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """ELIGIBLE, NOT_ELIGIBLE, or UNKNOWN for a pair whose notice has no evaluable rule."""
-    found = pairs.select("student_id", "notice").join(verdicts, ["student_id", "notice"], "left")
-    word = F.when(F.col("eligible"), "ELIGIBLE").when(~F.col("eligible"), "NOT_ELIGIBLE").otherwise("UNKNOWN")
-    return found.select("student_id", "notice", word.alias("status"), F.array_join("reasons", "\n").alias("reason"))
+    """ELIGIBLE or NOT_ELIGIBLE for each verdict, UNKNOWN for each pair whose notice has no evaluable rule."""
+    ids = ["student_id", "notice"]
+    word = F.when(F.col("eligible"), "ELIGIBLE").otherwise("NOT_ELIGIBLE")
+    known = verdicts.select(*ids, word.alias("status"), F.array_join("reasons", "\n").alias("reason"))
+    rest = pairs.select(*ids).join(verdicts, ids, "left_anti")
+    return known.unionByName(rest.select(*ids, F.lit("UNKNOWN").alias("status"), F.lit(None).cast("string").alias("reason")))
 
 
 NO_RULES = "The official notification for this exam does not list eligibility rules that can be checked automatically."
