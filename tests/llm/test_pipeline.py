@@ -40,3 +40,44 @@ def test_pipeline(spark, tmp_path):
     assert kept["sharding"] == kept["mixing"]
     assert {"shard", "slot"} <= set(docs.columns)
     assert [x.doc_id for x in corpus_pipeline.run(spark, folder).orderBy("doc_id").collect()] == kept["sharding"]
+
+
+CLASHING = "size int, Score string, errors string, item_ids string, target string, shard int, held_out string, k string"
+
+
+def test_clashing_columns_nulls_and_repeated_rows(spark, tmp_path):
+    """Columns named like results come through every stage as they were; null and repeated rows have their stated fate."""
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9))) for _ in range(3000)]
+    rows = [(i, words(r, vocab, 50), "en", "s1" if i % 3 else None, 1) for i in range(40)]
+    rows += [(None, words(r, vocab, 50), "en", "s1", 1), (50, None, "en", "s1", 1), (51, "", "en", None, 1), rows[4], (4, words(r, vocab, 50), None, "s1", 1)]
+    rows.append((60, words(r, vocab, 30_000), "en", "s1", 1))
+    own = lambda i: (i, f"x{i}", "a", "b", "c", i + 7, "d", "e")
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(*x, *own(x[0] or 0)) for x in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, words(r, vocab, 15))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        docs.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        moved = {"size": "size_", "shard": "shard_"} if name == "sharding" else {}
+        assert docs.columns[: len(names)] == [moved.get(c, c) for c in names]
+        got = docs.collect()
+        assert all(tuple(x)[5:13] == own(x["doc_id"] or 0) for x in got)
+        kept = sorted(str(x["doc_id"]) for x in got)
+        want = [*range(40), 4, 60, None] if name != "language_id" else [*range(40), 4, 4, 60, None]
+        if name in ("language_id", "jaccard_join", "decontamination"):
+            assert kept == sorted(map(str, want))
+        else:
+            assert set(kept) <= set(map(str, want)) and len(kept) > 20
+    assert {"size", "shard", "slot", "text_crc32"} <= set(docs.columns)
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
