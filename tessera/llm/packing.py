@@ -70,7 +70,7 @@ class Encoder:
         if not text:
             return np.zeros(0, np.uint32)
         if self.fast is not None and self.plain(text):
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            return np.array(self.fast.encode_ordinary(text), "<u4")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
 
