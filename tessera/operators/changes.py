@@ -108,23 +108,6 @@ def hash_status(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return b.join(a, key, "left").withColumn("status", F.when(F.col("old_hash").eqNullSafe(F.col("new_hash")), "NO_CHANGE").otherwise("CHANGE_DETECTED"))
 
 
-def group_identity(groups: DataFrame, rules: DataFrame, depth: int) -> DataFrame:
-    """(group_id, identity): a digest of a group's operator, its sorted rule keys and its children's digests, from the leaves up."""
-    keys = rules.groupBy("group_id").agg(F.array_sort(F.collect_list(F.concat_ws("|", "attribute", "operator"))).alias("keys"))
-    base = groups.join(keys, "group_id", "left")
-    done: DataFrame | None = None
-    for level in range(depth, -1, -1):
-        here = base.where(F.col("depth") == level)
-        if done is not None:
-            kids = done.groupBy(F.col("parent_group_id").alias("group_id")).agg(F.array_sort(F.collect_list("identity")).alias("kids"))
-            here = here.join(kids, "group_id", "left")
-        else:
-            here = here.withColumn("kids", F.lit(None).cast("array<string>"))
-        named = here.withColumn("identity", F.sha2(F.to_json(F.struct("logical_operator", "keys", "kids")), 256)).drop("kids")
-        done = named if done is None else done.unionByName(named)
-    return done.select("group_id", "parent_group_id", "identity")
-
-
 def transition(rows: DataFrame, requests: DataFrame, key: str, status: str, allowed: list[tuple[str, str, str]], order: str | None = None, needs: dict[str, str] | None = None, guard: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(new rows, refused requests): each request (key, action) moves a row along the allowed (from, action, to) steps.
 

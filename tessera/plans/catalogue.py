@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, documents, profiles, relational, retrieval, rules, streaming, text, wording
+from . import changes, documents, profiles, relational, retrieval, rules, streaming, text, trees, wording
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "changes", "documents", "profiles", "relational", "retrieval", "rules", "streaming", "text", "wording"]
+__all__ = ["ORACLE", "QUERIES", "changes", "documents", "profiles", "relational", "retrieval", "rules", "streaming", "text", "trees", "wording"]

@@ -9,7 +9,6 @@ from ..operators import changes as C
 from ..operators import mutations as M
 from ..sources.tables import load
 from .registry import query
-from .rules import literal
 
 _VERSIONS = """
 v1 as (select o_orderkey, o_orderstatus as status, o_orderpriority as priority, case when o_orderkey % 3 <> 0 then o_orderdate::date end as ends from orders),
@@ -84,17 +83,6 @@ def nested_diff(spark: SparkSession, d: str) -> DataFrame:
     return C.diff(old, new, "event_id")
 
 
-@query("select * from (values (12, 31)) v(a, b)")
-def same_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of groups of the literal notices that are the same by operator, rules and children, wherever they stand."""
-    from ..operators.rules import with_depth
-
-    groups, rules = literal(spark)
-    found = C.group_identity(with_depth(groups), rules, 1)
-    pairs = found.select(F.col("group_id").cast("int").alias("a"), "identity").join(found.select(F.col("group_id").cast("int").alias("b"), "identity"), "identity")
-    return pairs.where("a < b").select("a", "b")
-
-
 @query("""
 select o_orderkey, case when o_orderstatus = 'P' and o_orderkey % 2 = 0 then 'F' when o_orderstatus = 'O' and o_orderkey % 2 = 1 then 'P' else o_orderstatus end as status from orders""")
 def state_transitions(spark: SparkSession, d: str) -> DataFrame:

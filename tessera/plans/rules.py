@@ -91,46 +91,6 @@ def rules_status(spark: SparkSession, d: str) -> DataFrame:
     return R.status(pairs, found).select("student_id", "notice", "status")
 
 
-@query("select * from (values (10, 4), (11, 3), (12, 0), (13, 2), (20, 2), (30, 0), (31, 0)) v(group_id, n_rules)")
-def rules_count(spark: SparkSession, d: str) -> DataFrame:
-    groups, rules = literal(spark)
-    return R.rule_counts(groups, rules).select(F.col("group_id").cast("int").alias("group_id"), F.col("n_rules").cast("int").alias("n_rules"))
-
-
-@query("""select * from (values (1, 1, 'AND'), (1, 2, '  Percentage >= 1000'), (1, 3, '  OR'), (1, 4, '    Nationality = NATION_3'), (1, 5, '    Nationality = NATION_7'),
-(1, 6, '    State = BUILDING'), (1, 7, '  AND'), (1, 8, 'OR'), (1, 9, '  State != MACHINERY'), (1, 10, '  Date of Birth >= 1993-08-02'),
-(2, 1, 'AND'), (2, 2, '  CGPA > 5000'), (2, 3, '  Specialization = Physics'), (3, 1, 'AND'), (3, 2, '  AND')) v(notice, line_no, line)""")
-def rules_outline(spark: SparkSession, d: str) -> DataFrame:
-    groups, rules = literal(spark)
-    return R.outline(groups, rules).select(F.col("notice").cast("int").alias("notice"), "line_no", "line")
-
-
-@query("select * from (values (10, null), (11, 10), (13, null), (20, null)) v(group_id, parent_group_id)")
-def rules_simplify(spark: SparkSession, d: str) -> DataFrame:
-    groups, rules = literal(spark)
-    kept, _ = R.simplify(groups, rules)
-    return kept.select(F.col("group_id").cast("int").alias("group_id"), F.col("parent_group_id").cast("int").alias("parent_group_id"))
-
-
-_BAD = [(1, 1, "Height", "=", "3", "text"), (2, 1, "CGPA", ">=", "11", "numeric"), (3, 1, "CGPA", "~", "7", "numeric"), (4, 1, "State", ">", "Kerala", "text"), (5, 1, "Percentage", ">=", "many", "numeric"), (6, 1, "Date of Birth", ">=", "2999-01-01", "date"), (7, 1, "Nationality", "=", "", "text"), (8, 1, "CGPA", ">=", "7", "numeric")]
-
-
-@query("select * from (values (1, 'unknown-attribute'), (2, 'out-of-range'), (3, 'unknown-operator'), (4, 'operator-not-allowed'), (5, 'not-a-number'), (6, 'future-date'), (7, 'empty-value')) v(rule_id, issue)")
-def rules_validate(spark: SparkSession, d: str) -> DataFrame:
-    bad = spark.createDataFrame(_BAD, _R)
-    return bad.select(F.col("rule_id").cast("int").alias("rule_id"), F.explode(R.leaf_issues("2026-01-01")).alias("issue"))
-
-
-_CLASH = [(1, 1, "CGPA", ">=", "8", "numeric"), (2, 1, "CGPA", "<", "8", "numeric"), (3, 2, "CGPA", ">=", "8", "numeric"), (4, 2, "CGPA", "<=", "8", "numeric"), (5, 3, "Percentage", "=", "60", "numeric"), (6, 3, "Percentage", "=", "70", "numeric"), (7, 4, "CGPA", ">", "9", "numeric"), (8, 4, "CGPA", "<", "1", "numeric")]
-
-
-@query("select * from (values (1, 'cgpa'), (3, 'percentage')) v(group_id, attribute)")
-def rules_contradict(spark: SparkSession, d: str) -> DataFrame:
-    groups = spark.createDataFrame([(1, 1, None, 1, "AND"), (1, 2, None, 2, "AND"), (1, 3, None, 3, "AND"), (1, 4, None, 4, "OR")], _G)
-    found = R.contradictions(groups, spark.createDataFrame(_CLASH, _R), "double")
-    return found.select(F.col("group_id").cast("int").alias("group_id"), "attribute")
-
-
 @query("""
 with n as (select o_custkey, o_orderkey, o_orderdate from orders where o_orderstatus = 'F'),
 last as (select * from (select *, row_number() over (partition by o_custkey order by o_orderdate desc nulls last, o_orderkey desc) as r from n) where r = 1)

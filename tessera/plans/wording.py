@@ -222,11 +222,3 @@ def re_evaluation(spark: SparkSession, d: str) -> DataFrame:
     past = lambda n, at, s: c.where(key % 4 != 0).select((key * 2 + n).alias("eligibility_id"), key.alias("student_id"), (key % 3 + 1).alias("exam_id"), s.alias("status"), F.lit(at).cast("timestamp_ntz").alias("evaluated_at"))
     history = past(0, "2026-02-01 00:00:00", F.lit("UNKNOWN")).unionByName(past(1, "2026-03-01 00:00:00", status))
     return R.re_evaluate(exams, tracked, facts, notices, groups, rules, history).drop("reason", "eval_error")
-
-
-@query("select * from (values (1, 3, 'missing-parent'), (1, 4, 'detached'), (1, 5, 'detached'), (1, 6, 'detached'), (2, 8, 'missing-parent')) v(notice, group_id, issue)")
-def tree_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Groups without a way to a root: a parent that is not there or in another notice, what hangs below it, a circle."""
-    rows = [(1, 1, None, 1, "AND"), (1, 2, 1, 1, "OR"), (1, 3, 99, 1, "OR"), (1, 4, 3, 1, "OR"), (1, 5, 6, 1, "OR"), (1, 6, 5, 1, "OR"), (2, 7, None, 1, "AND"), (2, 8, 1, 1, "OR")]
-    groups = spark.createDataFrame(rows, "notice long, group_id long, parent_group_id long, group_number int, logical_operator string")
-    return R.tree_issues(groups).select(F.col("notice").cast("int").alias("notice"), F.col("group_id").cast("int").alias("group_id"), "issue")
