@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import addresses as W
 from ..functions.text import host, same_site
 
 
@@ -112,23 +113,16 @@ def gate(text: Column, wording: list[str], rejects: list[tuple[str, str]], year:
 
 
 def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Anchors of a page as absolute https addresses, the first of equal ones, in page order; scripts and fragments dropped."""
-    anchors = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>.*?</a>"), 0)
-    rows = pages.select(key, F.col(url).alias("base"), F.posexplode(anchors).alias("ord", "anchor"))
-    href = F.regexp_extract("anchor", r"(?is)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1)
-    label = F.trim(F.regexp_replace(F.regexp_replace("anchor", r"(?s)<[^>]*>", " "), r"\s+", " "))
-    rows = rows.select(key, "base", "ord", F.trim(href).alias("href"), label.alias("label"))
-    rows = rows.where("href <> '' and not href like 'javascript:%' and not href like '#%' and not href like 'mailto:%'")
-    root = F.regexp_extract("base", r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_extract("base", r"^(https?://[^?#]*/)", 1)
-    absolute = (
-        F.when(F.col("href").rlike("^https?://"), F.col("href"))
-        .when(F.col("href").startswith("//"), F.concat(F.regexp_extract("base", "^(https?:)", 1), "href"))
-        .when(F.col("href").startswith("/"), F.concat(root, "href"))
-        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), "href"))
-    )
-    rows = rows.withColumn("link", absolute).where("startswith(link, 'https://')")
-    return rows.groupBy(key, "link").agg(F.min("ord").cast("long").alias("ord"), F.max_by("label", F.struct(F.length("label"), -F.col("ord"))).alias("label"))
+    """(key, link, ord, label): a page's anchors as absolute https addresses, the first of equal ones, numbered in page order;
+    without scripts (javascript:) and fragments of the page itself (#). label is the anchor's text, its parts run together.
+    Character references are resolved, quotes around a value are not needed, other schemes than https give no link."""
+    rows = pages.select(key, F.col(url).alias("base"), F.posexplode(W.anchors(F.col(html))).alias("ord", "anchor"))
+    rows = rows.select(key, "base", "ord", W.attribute(W.opening(F.col("anchor")), "href").alias("href"), W.texts(F.col("anchor")).alias("texts")).where("href <> ''")
+    rows = rows.withColumn("plain", W.unescaped(F.array_prepend("texts", F.col("href"))))
+    rows = rows.withColumn("href", F.get("plain", F.lit(0))).where("not startswith(href, 'javascript:') and not startswith(href, '#')")
+    label = W.run_together(F.slice("plain", F.lit(2), F.size("plain")))
+    rows = rows.select(key, "ord", W.resolved(F.col("base"), F.col("href")).alias("link"), label.alias("label")).where("startswith(link, 'https')")
+    return rows.groupBy(key, "link").agg(F.min("ord").cast("long").alias("ord"), F.min_by("label", "ord").alias("label"))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -431,31 +425,23 @@ PLAIN_ADDRESS = r"(?i)^(https?://|/|\./|\.\./)[^\s()'\"]*$"
 SCRIPT_ADDRESS = r"(?i)(?:https?://[^\"'\s)]+|/[^\"'\s)]+\\?\.pdf(?:\?[^\"'\s)]*)?)"
 
 
-def absolute(base: Column, href: Column) -> Column:
-    """An address seen from a page's address."""
-    root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_extract(base, r"^(https?://[^?#]*/)", 1)
-    return (
-        F.when(href.rlike("(?i)^https?://"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), F.regexp_replace(href, r"^\./", "")))
-    )
-
-
 def mined_addresses(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """(key, link, context): https addresses in attributes of any element of a page, in scripts too, on the page's own site;
-    of each the longest context (the attribute's value), in page order."""
-    names = "|".join(ADDRESS_ATTRIBUTES)
-    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)\s(?:{names})\s*=\s*(\"[^\"]*\"|'[^']*')"), 1)
-    rows = pages.select(key, F.col(url).alias("base"), F.posexplode(found).alias("ord", "quoted"))
-    rows = rows.withColumn("value", F.expr("substring(quoted, 2, length(quoted) - 2)")).where("trim(value) <> ''")
-    bare = F.trim("value")
+    """(key, link, context): https addresses in attributes of any element of a page, inside scripts there too, on the page's
+    own site; of each the longest context (the attribute's value), in page order."""
+    rows = pages.select(key, F.col(url).alias("base"), F.posexplode(W.tags(F.col(html))).alias("n", "tag"))
+    wanted = F.filter(W.attributes(F.col("tag")), lambda a: a["name"].isin(*ADDRESS_ATTRIBUTES))
+    rows = rows.select(key, "base", "n", wanted.alias("own")).where(F.size("own") > 0)
+    rows = rows.select(key, "base", "n", F.posexplode(W.unescaped(F.transform("own", lambda a: a["value"]))).alias("i", "value")).where(r"value rlike '(?U)\\S'")
+    bare = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
     own = F.when(bare.rlike(PLAIN_ADDRESS), F.array(bare)).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("href", F.explode(F.array_distinct(F.concat(own, F.regexp_extract_all("value", F.lit(SCRIPT_ADDRESS), 0)))))
-    rows = rows.withColumn("link", absolute(F.col("base"), F.col("href"))).where("startswith(link, 'https://')")
+    rows = rows.withColumn("link", W.resolved(F.col("base"), F.col("href"))).where("startswith(link, 'https://')")
     rows = rows.where(same_site(host(F.col("link")), host(F.col("base"))))
-    return rows.groupBy(key, "link").agg(F.max_by("value", F.struct(F.length("value"), -F.col("ord"))).alias("context"), F.min("ord").cast("long").alias("ord"))
+    place = F.struct("n", "i")
+    rows = rows.withColumn("ord", place)
+    found = rows.groupBy(key, "link").agg(F.max(F.struct(F.length("value").alias("size"), (-F.col("n")).alias("n"), (-F.col("i")).alias("i"), F.col("value").alias("value"))).alias("best"), F.min("ord").alias("ord"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("ord", "link"))
+    return found.select(key, "link", F.col("best.value").alias("context"), (number - 1).cast("long").alias("ord"))
 
 
 def first_passing(candidates: DataFrame, key: str, tier: str, score: str, link: str, passes: Column) -> DataFrame:

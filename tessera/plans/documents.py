@@ -133,7 +133,7 @@ _ANCHORS = r"""
 anchors as (select page_id, replace(regexp_extract(url, '^(https?://[^/?#]+)', 1), 'http://', 'https://') as root, regexp_extract_all(html, '<a\b[^>]*?\bhref\s*=\s*"[^"]*"[^>]*>[^<]*</a>') as a from pages),
 one as (select page_id, root, (unnest(generate_series(1, len(a))) - 1) as ord, unnest(a) as anchor from anchors),
 named as (select page_id, ord, root || regexp_extract(anchor, 'href\s*=\s*"([^"]*)"', 1) as link, trim(regexp_replace(regexp_replace(anchor, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as label, regexp_extract(anchor, 'href\s*=\s*"([^"]*)"', 1) as href from one),
-links as (select page_id, link, min(ord)::bigint as ord, arg_max(label, (length(label), -ord)) as label from named where starts_with(href, '/') group by page_id, link)"""
+links as (select page_id, link, min(ord)::bigint as ord, arg_min(label, ord) as label from named where starts_with(href, '/') group by page_id, link)"""
 
 
 def https_links(spark: SparkSession, d: str) -> DataFrame:
