@@ -72,6 +72,7 @@ class PrefixCounter(dict):
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.split = regex.compile(PATTERN).findall
         self.pieces = regex.compile(PIECE).findall
+        self.spaces = regex.compile(r"\s*").match  # the splitter's own white space, which is not Python's
         self.pairs: dict[int, bool] = {}
         self.held = 0
 
@@ -131,9 +132,10 @@ class PrefixCounter(dict):
 
     def counts(self, piece: str) -> list[int]:
         """Token count of every prefix of a piece, each split as a text of its own would be."""
-        if piece[0].isalnum() or (piece[0] == " " and not piece[1:2].isspace()):  # one for the splitter, as it stands
+        head = self.spaces(piece).end()
+        if piece[0].isalnum() or (head == 1 and piece[0] == " "):  # one for the splitter, as it stands
             return self.at_characters(piece)
-        word = piece.lstrip()
+        word = piece[head:]
         out = self.at_characters(piece[: len(piece) - len(word)])  # a run of white space at the end is one for the splitter
         if word[:1] == "'" and len(self.split(piece)[-1]) == len(word) > 1 and word[1:].isalpha():  # a contraction
             return out + [sum(self.at_characters(p)[-1] for p in self.split(piece[:k])) for k in range(len(out), len(piece) + 1)]

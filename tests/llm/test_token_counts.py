@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
 OURS = counter_of(public_tokenizers.path(VOCABULARY))
-ODD = ["", " ", "a", "  two  spaces ", "tabs\t\tand\r\nlines\n\n x", "it's we'll I'M 'S", "1234567 12,5", "ÀÉ漢字かなカナ 😀👍🏽", "x" * 3000, "<|endoftext|>", "a <|endoftext|>b<|endoftext|>", "<|endof", "  x", "\x00\x01", "ab" * 500 + " the the"]
+ODD = ["", " ", "a", "  two  spaces ", "tabs\t\tand\r\nlines\n\n x", "it's we'll I'M 'S", "1234567 12,5", "ÀÉ漢字かなカナ 😀👍🏽", "x" * 3000, "<|endoftext|>", "a <|endoftext|>b<|endoftext|>", "<|endof", "  x", "\x00\x01", "ab" * 500 + " the the", "\n\n\x1c", " \x1c", "\x1c\x1d a", " \x1f\x1e's", "\x85\x85x\xa0\xa0y\u3000\u3000z"]
 
 
 def library(text: str) -> int:
@@ -32,6 +32,12 @@ def test_any_text(text):
     assert OURS.count(text) == library(text)
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet=" \n\t'sa1!\x1c\x1d\x1e\x1f\x85\xa0\u2003\u3000", max_size=12))
+def test_white_space_of_all_kinds(text):
+    assert OURS.count(text) == library(text)
+
+
 def check_table(text: str) -> None:
     table = OURS.table(text)
     counts = [library(text[:cut]) for cut in range(len(text) + 1)]
@@ -41,7 +47,7 @@ def check_table(text: str) -> None:
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="abcthe in'slm 12.\n \t!é漢'red", max_size=50))
+@given(st.text(alphabet="abcthe in'slm 12.\n \t!é漢'red\x1c\x1d\x1e\x1f\x85\xa0\u3000", max_size=50))
 def test_prefix_table(text):
     """The stored table holds the exact count of every prefix."""
     check_table(text)
