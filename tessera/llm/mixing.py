@@ -2,14 +2,17 @@
 
 Every source's documents stand in a seeded random order, and the source may go through it `repeats` times. The queue has an
 entry for each document and pass; its virtual finish time is the number of its source's words up to and including it,
-divided by the source's weight, its virtual start that of the words before it. The queue in order of finish times is cut
-where the total budget (all words) is spent: what has finished by then is taken whole, what is being served (one document
-of each source) in part, so that every source takes its target to the word. `mixed_queue` gives the cut queue, globally
-range-sorted by finish time; `mix` gives each document what its entries take together.
-
-The virtual time at which the budget is spent follows from the source totals (sort the sources by the time they run out,
-then one running sum). The running word count of a source is a prefix sum in levels, over ranges of the shuffle order sized
-by the number of rows, so no task holds a whole source. Sizes are counted once, into a written table.
+divided by the source's weight, its virtual start that of the words before it. All entries are range-sorted by finish time.
+Along this order two sums run, the weights and the words of the sources whose last entry has gone by; with them every entry
+says how many words are served by its finish: those of the finished sources, and the others' weights times the time. Where
+that passes the total budget (all words) the queue is cut: what has finished by then is taken whole, what is being served
+(one document of each source) in part, so that every source takes its target to the word. `mixed_queue` gives the cut queue,
+globally range-sorted by finish time; `mix` gives each document what its entries take together.
+
+Targets follow from the source totals alone (sort the sources by the time they run out, then one running sum). The running
+word count of a source is a prefix sum in levels, over ranges of the shuffle order sized by the number of rows, so no task
+holds a whole source. Sizes are counted once, into a written table. The queue is a written table of times without documents;
+its running sums go over ranges, and inside the one range in which the cut lies.
 
 Nulls: a null text has no words and is never taken; a null source is a source of its own, last in order. Rows are ordered
 by a hash of doc_id and text, so null and repeated doc_ids spread; rows equal in both are rows of their own, numbered where
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, number_copies, own_names, running_sum, table
+from .common import Scratch, number_copies, own_names, parallelism, running_sum, table
 
 OWN = {"size", "source_size", "target", "taken"}
 #: Rows of a source's range, on average, and of equal rows that need no numbers.
@@ -64,7 +67,7 @@ def served(row: Column, k: int) -> tuple[Column, Column, Column, Column]:
 
 
 def queued(docs: DataFrame, seed: int, repeats: int, name: str, keep: list[str] | None = None) -> DataFrame:
-    """docs (without OWN; of its columns those in keep, if given) and a column `name`: a struct of size, source_size, target, w, before (words of the source before it)."""
+    """docs (without OWN; of its columns those in keep, if given) and a column `name`: a struct of size, source_size, target, w, before (words of the source before it), src (the source's name)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     kept = [c for c in docs.columns if c.lower() not in OWN and (keep is None or c in keep)]
@@ -94,17 +97,57 @@ def queued(docs: DataFrame, seed: int, repeats: int, name: str, keep: list[str]
     within = Window.partitionBy(src, at).orderBy(place, F.col("doc_id").asc_nulls_first(), text, copy).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(inside, F.coalesce(F.sum(size).over(within), F.lit(0))).join(starts, [src, at])
     of = F.col(name)
-    full = F.struct(F.col(size).alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), of["w"].alias("w"), (of["before"] + F.col(inside)).alias("before"))
+    full = F.struct(F.col(size).alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), of["w"].alias("w"), (of["before"] + F.col(inside)).alias("before"), F.col(src).alias("src"))
     return rows.select(*kept, full.alias(name))
 
 
+def entries(rows: DataFrame, name: str, repeats: int) -> DataFrame:
+    """(finish, w, spent, gone) of every document with words and pass: spent and gone are a source's weight and words at its
+    last entry, else 0."""
+    of = F.col(name)
+    each = []
+    for k in range(repeats):
+        start = of["before"] + F.lit(k) * of["source_size"]
+        last = start + of["size"] == F.lit(repeats) * of["source_size"]
+        none = F.lit(0.0)
+        each.append(F.struct(((start + of["size"]) / of["w"]).alias("finish"), F.when(last, of["w"]).otherwise(none).alias("spent"), F.when(last, (start + of["size"]).cast("double")).otherwise(none).alias("gone")))
+    return rows.where(of["size"] > 0).select(F.inline(F.array(*each)))
+
+
+def cut_time(queue: DataFrame, weight: float, budget: float, scratch: Scratch) -> float:
+    """The virtual time at which the queue has served the budget; infinite if it never does. weight: of all sources."""
+    ranged = queue.repartitionByRange(parallelism(queue.sparkSession), "finish").sortWithinPartitions("finish")
+    held = scratch.write(ranged.withColumn("range", F.spark_partition_id()), "queue")
+    sums = held.groupBy("range").agg(F.max("finish").alias("t"), F.sum("spent").alias("spent"), F.sum("gone").alias("gone"))
+    up_to = Window.orderBy("range")
+    run = sums.select("range", "t", F.sum("spent").over(up_to.rowsBetween(Window.unboundedPreceding, 0)).alias("w"), F.sum("gone").over(up_to.rowsBetween(Window.unboundedPreceding, 0)).alias("words"), "spent", "gone")
+    reached = run.where(F.col("words") + (F.lit(weight) - F.col("w")) * F.col("t") >= F.lit(budget - 1e-6))
+    first = reached.orderBy("range").select("range", (F.col("w") - F.col("spent")).alias("w"), (F.col("words") - F.col("gone")).alias("words")).first()
+    if first is None:
+        return float("inf")
+    before = Window.orderBy("finish").rowsBetween(Window.unboundedPreceding, -1)
+    inside = held.where(F.col("range") == first["range"])  # one range: a task's share of the sorted queue
+    left = F.lit(weight - first["w"]) - F.coalesce(F.sum("spent").over(before), F.lit(0.0))
+    words = F.lit(first["words"]) + F.coalesce(F.sum("gone").over(before), F.lit(0.0))
+    inside = inside.select("finish", left.alias("left"), words.alias("words")).where(F.col("words") + F.col("left") * F.col("finish") >= F.lit(budget - 1e-6))
+    cut = inside.orderBy("finish").first()
+    return (budget - cut["words"]) / cut["left"] if cut["left"] > 0 else float("inf")
+
+
 def mix(docs: DataFrame, seed: int = 9, repeats: int = 3, keep: list[str] | None = None) -> DataFrame:
     """docs (of its columns those in keep, if given) with size, source_size, target, taken (words the mix takes, repeats
     counted)."""
     (name,) = own_names(docs.columns, "queued")
+    scratch = Scratch(docs.sparkSession, "mixing-queue")
     rows = queued(docs, seed, repeats, name, keep)
     of = F.col(name)
-    taken = sum((served(of, k)[3] for k in range(1, repeats)), served(of, 0)[3])
+    sources = rows.groupBy(of["src"].alias("src")).agg(F.first(of["w"]).alias("w"), F.first(of["source_size"]).alias("n"))
+    total = sources.agg(F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("w"))), F.lit(0.0)).alias("w"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n")).first()
+    time = cut_time(entries(rows, name, repeats), total["w"], total["n"], scratch)
+    # Words of the source that are served by the cut.
+    served_by = F.floor(F.least(F.lit(float(repeats)) * of["source_size"], of["w"] * F.lit(time)) + F.lit(1e-6))
+    part = lambda k: F.greatest(F.lit(0), F.least(of["size"], served_by - of["before"] - F.lit(k) * of["source_size"]))
+    taken = F.when(of["size"] > 0, sum((part(k) for k in range(1, repeats)), part(0))).otherwise(0)
     kept = [c for c in rows.columns if c != name]
     return rows.select(*kept, of["size"].alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), taken.cast("long").alias("taken"))
 
