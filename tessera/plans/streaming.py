@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import mutations as M
 from ..operators import relational as R
-from ..sources.tables import load
+from ..sources.tables import load, shared_folder
 from ..streaming import fanout
+from ..streaming import signup as U
 from ..streaming import state as S
 from ..streaming.drain import drained, event_stream
+from ..streaming.sinks import append_once, batches, run_to_end
 from .registry import query
 
 _EVENTS = "e as (select user_id, event_id, epoch_us(ts) as us, value, row_number() over (partition by user_id order by ts, event_id) as rn from events)"
@@ -107,3 +109,71 @@ from events where ts <= timestamp '2024-01-20 00:00:00' group by user_id""")
 def send_gate(spark: SparkSession, d: str) -> DataFrame:
     events = load(spark, d, "events").withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
     return M.send_gate(events, "user_id", "ts", "2024-01-20 00:00:00", 600, 1)
+
+
+# Requests: an event a minute or so for each user; signups start, every fifth other event asks for a new code, the rest verify.
+_SIGN_UPS = """
+with recursive r as (
+select user_id, event_id, epoch_us(ts) // 600 as us, row_number() over (partition by user_id order by epoch_us(ts) // 600, event_id) as rn,
+       case when event_type = 'signup' or event_id % 11 = 0 then 'start' when event_id % 5 = 0 then 'resend' else 'verify' end as action,
+       (event_id // 7 % 9)::varchar as code, (event_id // 3 % 9)::varchar as fresh
+from events),
+walk as (
+select user_id, 0::bigint as rn, null::bigint as event_id, false as has, false as registered, 0::bigint as expires, 0 as attempts, 0 as sends, 0::bigint as sent, 0::bigint as began, '' as code, '' as answer
+from (select distinct user_id from events)
+union all
+select user_id, rn, event_id,
+       case when answer = 'sent' then true when answer = 'locked' then false when action = 'verify' and answer = 'registered' then false else alive end,
+       registered or (action = 'verify' and answer = 'registered'),
+       case when answer = 'sent' then us + 600000000 else expires end,
+       case when answer = 'sent' then 0 when answer like 'wrong%' then attempts + 1 else attempts end,
+       case when answer = 'sent' then case when alive and (young or action = 'resend') then sends + 1 else 1 end else sends end,
+       case when answer = 'sent' then us else sent end,
+       case when answer = 'sent' and not (alive and (young or action = 'resend')) then us else began end,
+       case when answer = 'sent' then fresh else code end,
+       answer
+from (
+  select *, case
+    when registered and action = 'start' then 'registered'
+    when action = 'verify' then case when not alive then 'none' when expires < us then 'expired' when given = code then 'registered' when attempts = 4 then 'locked' else 'wrong:' || (4 - attempts) end
+    when action = 'resend' and not alive then 'none'
+    when alive and sent + 60000000 > us then 'wait:' || ((sent + 60000000 - us) // 1000000 + 1)
+    when alive and young and sends >= 5 then 'too-many'
+    else 'sent' end as answer
+  from (
+    select w.user_id, r.rn, r.event_id, r.us, r.action, r.code as given, r.fresh, w.has and not w.expires < r.us - 86400000000 as alive, w.registered, w.expires, w.attempts, w.sends, w.sent, w.began,
+           w.code, w.began > r.us - 3600000000 as young
+    from walk w join r on r.user_id = w.user_id and r.rn = w.rn + 1)))
+select 'u' || user_id || '@x.org' as address, event_id as ident, answer from walk where rn > 0"""
+
+
+def sign_up_requests(events: DataFrame) -> DataFrame:
+    k = F.col("event_id")
+    action = F.when((F.col("event_type") == "signup") | (k % 11 == 0), "start").when(k % 5 == 0, "resend").otherwise("verify")
+    digit = lambda n: (F.floor(k / n) % 9).cast("string")
+    at = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600).cast("long"))
+    return events.select(F.concat(F.lit(" U"), "user_id", F.lit("@x.org")).alias("email"), "event_id", at.alias("at"), action.alias("action"), digit(7).alias("code"), digit(3).alias("fresh"))
+
+
+_REQUEST = ("email", "event_id", "at", "action", "code", "fresh")
+
+
+@query(_SIGN_UPS)
+def sign_ups(spark: SparkSession, d: str) -> DataFrame:
+    return U.sign_ups(sign_up_requests(load(spark, d, "events")), *_REQUEST)
+
+
+@query(_SIGN_UPS)
+def sign_ups_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same over a stream of the events."""
+    return drained(U.sign_up_stream(sign_up_requests(event_stream(spark, d, 3)), *_REQUEST), "append")
+
+
+@query("select user_id || ':' || event_type as dedupe_key, min(event_id) as event_id from (select *, rank() over (partition by user_id, event_type order by (epoch_us(ts) - a) * 3 // (b - a + 1)) as r from events, (select epoch_us(min(ts)) as a, epoch_us(max(ts)) as b from events)) where r = 1 group by all")
+def notices_once(spark: SparkSession, d: str) -> DataFrame:
+    """A notice for each user and kind of event out of a stream in three steps: stored once over all micro-batches, the least
+    event of the first step that has one."""
+    store, state = shared_folder(spark, "notices"), shared_folder(spark, "state")
+    rows = event_stream(spark, d, 3).select("event_id", F.concat_ws(":", "user_id", "event_type").alias("dedupe_key"))
+    run_to_end(rows, "append", state, lambda batch, number: append_once(batch, number, store, "dedupe_key"))
+    return batches(spark, store).select("dedupe_key", "event_id")

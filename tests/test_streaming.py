@@ -28,3 +28,124 @@ def test_late_delivery_status(spark):
     rows = spark.createDataFrame([(1, "a@b.c", None), (2, "a@b.c", "x" * 900), (3, None, None)], "i long, email string, err string")
     got = {x.i: (x.email_status, x.email_error) for x in deliver(rows, F.col("err").isNotNull(), F.col("err"), F.col("email").isNotNull()).collect()}
     assert got == {1: ("SENT", None), 2: ("FAILED", "x" * 500), 3: ("SKIPPED", None)}
+
+
+def plain_sign_ups(requests):
+    """The rules one request at a time, over dictionaries."""
+    waiting, registered, out = {}, set(), []
+    for now, key, action, code, fresh in requests:
+        w = waiting.get(key)
+        if w and w["expires"] < now - 86_400:
+            del waiting[key]
+            w = None
+        if action == "start" and key in registered:
+            out.append("registered")
+        elif action == "verify":
+            if not w:
+                out.append("none")
+            elif w["expires"] < now:
+                out.append("expired")
+            elif code == w["code"]:
+                registered.add(key)
+                del waiting[key]
+                out.append("registered")
+            else:
+                w["wrong"] += 1
+                if w["wrong"] == 5:
+                    del waiting[key]
+                out.append("locked" if w["wrong"] == 5 else f"wrong:{5 - w['wrong']}")
+        elif action == "resend" and not w:
+            out.append("none")
+        elif w and w["last"] + 60 > now:
+            out.append(f"wait:{int(w['last'] + 60 - now) + 1}")
+        elif w and w["began"] > now - 3600 and w["n"] >= 5:
+            out.append("too-many")
+        else:
+            again = w and (action == "resend" or w["began"] > now - 3600)
+            waiting[key] = {"expires": now + 600, "wrong": 0, "last": now, "code": fresh, "began": w["began"] if again else now, "n": w["n"] + 1 if again else 1}
+            out.append("sent")
+    return out
+
+
+def requests_of(seed, n):
+    import random
+
+    r, now, out = random.Random(seed), 0, []
+    for i in range(n):
+        now += r.choice([0.25, 5, 20, 45, 61, 200, 700, 4000, 90_000] if r.random() < 0.5 else [5, 61])
+        out.append((i, now, r.choice("abc"), r.choice(["start", *["verify"] * (4 + 6 * (seed % 2)), "resend"]), r.choice("xyzwwwww"), r.choice("xyz")))
+    return out
+
+
+def test_sign_up_rules():
+    from tessera.streaming import signup as U
+
+    seen = set()
+    for seed in range(60):
+        rows = requests_of(seed, 120)
+        state, got = {}, []
+        for _, now, key, action, code, fresh in rows:
+            state[key], answer = U.step(state.get(key), int(now * 1_000_000), action, code, fresh)
+            got.append(answer)
+        assert got == plain_sign_ups([x[1:] for x in rows])
+        seen |= {x.split(":")[0] for x in got}
+    assert seen == {"sent", "wait", "too-many", "registered", "none", "expired", "wrong", "locked"}
+
+
+def test_sign_ups_as_a_table_and_as_a_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.streaming import signup as U
+    from tessera.streaming.drain import drained
+
+    rows = requests_of(7, 400)
+    want = dict(enumerate(plain_sign_ups([x[1:] for x in rows])))
+    schema = "ident long, at double, email string, action string, code string, fresh string"
+    table = spark.createDataFrame([(i, float(at), f" {key.upper()}@x.org", action, code, fresh) for i, at, key, action, code, fresh in rows], schema).withColumn("at", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")))
+    names = ["email", "ident", "at", "action", "code", "fresh"]
+    assert {x.ident: x.answer for x in U.sign_ups(table, *names).collect()} == want
+    for lo in range(0, 400, 80):
+        table.where(F.col("ident").between(lo, lo + 79)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert {x.ident: x.answer for x in drained(U.sign_up_stream(stream, *names), "append").collect()} == want
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    from tessera.streaming.sinks import append_once, batches
+
+    store = f"{tmp_path}/store"
+    assert batches(spark, store) is None
+    first = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)], "id long, key string")
+    second = spark.createDataFrame([(6, "b"), (7, "c")], "id long, key string")
+    held = lambda: sorted((x.id, x.key, x.batch_no) for x in batches(spark, store).collect())
+    append_once(first, 0, store, "key")
+    append_once(second, 1, store, "key")
+    want = [(1, "a", 0), (3, "b", 0), (4, None, 0), (5, None, 0), (7, "c", 1)]
+    assert held() == want
+    for number, batch in ((1, second), (0, first), (1, second)):
+        append_once(batch, number, store, "key")
+        assert held() == want
+
+
+def test_a_stream_that_is_stopped_and_goes_on(spark, tmp_path):
+    """A batch that fails after it was written is run again; keys are stored once over both runs."""
+    import pytest
+
+    from tessera.streaming.sinks import append_once, batches, run_to_end
+
+    rows = spark.createDataFrame([(i, f"k{i % 7}") for i in range(40)], "id long, key string")
+    for k in range(4):
+        rows.where(f"id div 10 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    failed = []
+
+    def write(batch, number):
+        append_once(batch, number, f"{tmp_path}/store", "key")
+        if number == 2 and not failed:
+            failed.append(number)
+            raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        run_to_end(stream, "append", f"{tmp_path}/state", write)
+    run_to_end(stream, "append", f"{tmp_path}/state", write)
+    assert sorted((x.id, x.key) for x in batches(spark, f"{tmp_path}/store").collect()) == [(i, f"k{i}") for i in range(7)]
