@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, documents, profiles, questions, relational, retrieval, rules, streaming, text, trees, wording
+from . import changes, documents, monitoring, profiles, questions, relational, retrieval, rules, streaming, text, trees, wording
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "changes", "documents", "profiles", "questions", "relational", "retrieval", "rules", "streaming", "text", "trees", "wording"]
+__all__ = ["ORACLE", "QUERIES", "changes", "documents", "monitoring", "profiles", "questions", "relational", "retrieval", "rules", "streaming", "text", "trees", "wording"]
