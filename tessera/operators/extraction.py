@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .compiling import compile_dates
-from .retrieval import bm25_scores, locate_quotes, pack, passages_of
+from .retrieval import bm25_scores, locate_quotes, pack, section_passages
 
 
 def extract(docs: DataFrame, facts_of: Callable[[DataFrame], DataFrame], terms: dict[str, float], budget: int = 2000) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fact_id, start_day, end_day, swapped, grounded, unreadable, passage (where the quote
     stands), exact, issues.
 
-    facts_of gets the packed context (doc_id, passage, section, text) and gives facts (doc_id, fact_id, start, end, quote);
+    docs may have a page each (a column page); passages follow their headings and tables. facts_of gets the packed context (doc_id, passage, section, text) and gives facts (doc_id, fact_id, start, end, quote);
     it stands for a model and is never called row by row. A fact without a place for its quote stays, with an issue."""
-    passages = passages_of(docs, "doc_id", "text")
+    pages = docs if "page" in docs.columns else docs.withColumn("page", F.lit(1))
+    passages = section_passages(pages, "doc_id", "page", "text")
+    docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
+    docs = docs.select("doc_id", F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("text"))
     scores = bm25_scores(passages, "doc_id", "passage", "text", terms, "section")
     scored = passages.join(scores, ["doc_id", "passage"], "left").fillna(0.0, ["score"])
     chosen = pack(scored, "doc_id", "passage", "section", "text", budget)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import find_dates
 from ..functions.numbers import bm25, estimated_tokens
 from ..functions.text import grounding, tokens, word_list
+from ..sources.tables import materialise
 from .documents import is_contents_page
 
 
@@ -52,33 +50,47 @@ def facet_scores(passages: DataFrame, doc: str, ident: str, text: str, terms: di
     return raw.withColumn("score", score * F.when(F.coalesce(F.col(title).rlike(negative), F.lit(False)), 0.4).otherwise(1.0))
 
 
+def neighbours(rows: DataFrame, doc: str, width: int = 4096) -> DataFrame:
+    """rows (doc, i) with before and after: the i of the rows next to it in its document, null at its ends. In two levels, so
+    that a window holds a range of a document's rows, or the first and last of each range."""
+    ranged = rows.withColumn("_range", F.floor(F.col("i") / width))
+    inside = Window.partitionBy(doc, "_range").orderBy("i")
+    ends = ranged.groupBy(doc, "_range").agg(F.min("i").alias("_first"), F.max("i").alias("_last"))
+    across = Window.partitionBy(doc).orderBy("_range")
+    ends = ends.select(doc, "_range", F.lag("_last").over(across).alias("_prev"), F.lead("_first").over(across).alias("_next"))
+    found = ranged.withColumns({"before": F.lag("i").over(inside), "after": F.lead("i").over(inside)}).join(ends, [doc, "_range"])
+    return found.withColumns({"before": F.coalesce("before", "_prev"), "after": F.coalesce("after", "_next")}).drop("_range", "_prev", "_next")
+
+
 def pack(scored: DataFrame, doc: str, ident: str, section: str, text: str, budget: int, least: float = 0.25) -> DataFrame:
     """(doc, ident, tokens): the passages of each document that a budget buys: best first, those that don't fit skipped,
-    nothing under a quarter of the best score; then their neighbours in the same section. Greedy, so one pass for each document."""
+    nothing under a quarter of the best score; then their neighbours in the same section that have a score, in the order of
+    the chosen ones. Of equal scores the first passage.
+
+    Of the passages that cost the same only a document's best few can be bought, as many as the budget has room for: one that
+    does not fit leaves no room for the next. So the greedy fold sees a list bounded by the budget, whatever the document."""
     cost = (estimated_tokens(F.col(text)) + 4).alias("cost")
-    rows = scored.select(doc, F.col(ident).alias("i"), F.coalesce(section, F.lit("")).alias("s"), "score", cost)
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i").reset_index(drop=True)
-        order = part.sort_values(["score", "i"], ascending=[False, True]).index
-        chosen: list[int] = []
-        used = 0
-        if len(order) and part.score[order[0]] > 0:
-            for k in order:
-                if part.score[k] < part.score[order[0]] * least:
-                    break
-                if used + part.cost[k] <= budget:
-                    chosen.append(k)
-                    used += part.cost[k]
-            for k in list(chosen):
-                for j in (k - 1, k + 1):
-                    if 0 <= j < len(part) and j not in chosen and part.s[j] == part.s[k] and part.score[j] > 0 and used + part.cost[j] <= budget:
-                        chosen.append(j)
-                        used += part.cost[j]
-        out = part.loc[sorted(chosen), [doc, "i", "cost"]]
-        return out.rename(columns={"i": ident, "cost": "tokens"})
-
-    return rows.groupBy(doc).applyInPandas(choose, f"{doc} {rows.schema[doc].dataType.simpleString()}, {ident} long, tokens long")
+    rows = materialise(scored.select(doc, F.col(ident).cast("long").alias("i"), F.coalesce(section, F.lit("")).alias("s"), "score", cost), "scored")
+    top = rows.groupBy(doc).agg(F.max("score").alias("top")).where("top > 0")
+    rank = F.row_number().over(Window.partitionBy(doc, "cost").orderBy(F.desc("score"), "i"))
+    good = rows.join(top, doc).where((F.col("score") >= F.col("top") * least) & (F.col("cost") <= budget)).withColumn("n", rank)
+    good = good.where(F.col("n") <= budget // 5).where(F.col("n") * F.col("cost") <= budget)  # a passage costs 5 at least
+    kind = "struct<used:bigint,taken:array<bigint>>"
+
+    def buy(state: Column, p: Column) -> Column:
+        fits = (state["used"] + p["cost"] <= budget) & ~F.array_contains(state["taken"], p["i"])
+        return F.when(fits, F.struct((state["used"] + p["cost"]).alias("used"), F.array_append(state["taken"], p["i"]).alias("taken")).cast(kind)).otherwise(state)
+
+    none = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken")).cast(kind)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "i", "cost")))
+    bought = materialise(good.groupBy(doc).agg(listed.alias("list")).select(doc, F.aggregate("list", none, buy).alias("state")), "bought")
+
+    chosen = bought.select(doc, F.posexplode("state.taken").alias("k", "i"))
+    beside = chosen.join(neighbours(rows.select(doc, "i", "s"), doc), [doc, "i"])
+    asked = beside.select(doc, F.col("s").alias("_s"), F.inline(F.array(*[F.struct((F.col("k") * 2 + side).alias("o"), F.col(c).alias("i")) for side, c in enumerate(("before", "after"))])))
+    near = asked.join(rows, [doc, "i"]).where("s = _s and score > 0").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("o", "i", "cost"))).alias("list"))
+    whole = bought.join(near, doc, "left").select(doc, F.explode(F.when(F.col("list").isNull(), F.col("state.taken")).otherwise(F.aggregate("list", F.col("state"), buy)["taken"])).alias("i"))
+    return whole.join(rows, [doc, "i"]).select(doc, F.col("i").alias(ident), F.col("cost").alias("tokens"))
 
 
 def locate_quotes(quotes: DataFrame, passages: DataFrame, quote_id: str, quote: str, doc: str, passage: str, text: str, cited: str | None = None) -> DataFrame:
@@ -118,30 +130,6 @@ def quote_candidates(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: s
     return found.select(doc, quote_id, quote).unionByName(short.select(doc, quote_id, quote))
 
 
-def passages_of(docs: DataFrame, doc: str, text: str, size: int = 1400) -> DataFrame:
-    """(doc, passage, section, text): lines gathered up to size characters; a line in capitals begins a section. Sequential
-    within a document, so a pass for each batch of documents in Python."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for d, t in zip(batch[doc], batch[text], strict=True):
-                n, section, held, length = 0, "", [], 0
-                for line in [*(t or "").split("\n"), None]:
-                    head = line is not None and line.isupper() and len(line) <= 120
-                    if held and (line is None or head or length + len(line) > size):
-                        out.append((d, n, section, "\n".join(held)))
-                        n, held, length = n + 1, [], 0
-                    if head:
-                        section = line.strip()[:160]
-                    elif line is not None and line.strip():
-                        held.append(line)
-                        length += len(line) + 1
-            yield pd.DataFrame(out, columns=[doc, "passage", "section", "text"])
-
-    return docs.select(doc, text).mapInPandas(cut, f"{doc} long, passage long, section string, text string")
-
-
 HEADING_LEVELS = 4
 # A heading marked by up to four #, a numbered heading of plain text, the marks around a table.
 MARKED_HEADING = r"^(#{1,4}) (.+)$"

@@ -54,9 +54,35 @@ def facet_scores(spark: SparkSession, d: str) -> DataFrame:
     return found.select("source", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"""
+with recursive {_BM25},
+rows as (
+select p.source, p.doc_id as i, p.title as s, round(coalesce(bm.score, 0), 4) as score, ceil(length(p.text) / 3.0)::bigint + 4 as cost,
+       lag(p.doc_id) over w as before, lead(p.doc_id) over w as after, count(*) over (partition by p.source, p.doc_id) as copies
+from p left join bm on bm.source = p.source and bm.doc_id = p.doc_id window w as (partition by p.source order by p.doc_id)),
+ranked as (select *, row_number() over (partition by source order by score desc, i) as rn, max(score) over (partition by source) as top from rows),
+good as (select source, i, cost, row_number() over (partition by source order by rn) as rn from ranked where top > 0 and score >= top * 0.25),
+buy as (
+select source, 0::bigint as rn, 0::bigint as used, []::bigint[] as taken from (select distinct source from good)
+union all
+select b.source, g.rn, case when used + cost <= 2000 then used + cost else used end, case when used + cost <= 2000 then list_append(taken, i) else taken end
+from buy b join good g on g.source = b.source and g.rn = b.rn + 1),
+bought as (select source, arg_max(used, rn) as used, arg_max(taken, rn) as taken from buy group by source),
+k as (select source, unnest(taken) as i, unnest(range(len(taken))) as k from bought),
+asked as (
+select k.source, r.s, k * 2 as o, r.before as i from k join rows r on r.source = k.source and r.i = k.i
+union all select k.source, r.s, k * 2 + 1, r.after from k join rows r on r.source = k.source and r.i = k.i),
+near as (select a.source, r.i, r.cost, row_number() over (partition by a.source order by o) as rn from asked a join rows r on r.source = a.source and r.i = a.i and r.s = a.s and r.score > 0),
+more as (
+select source, 0::bigint as rn, used, taken from bought
+union all
+select m.source, n.rn, case when used + cost <= 2000 and not list_contains(taken, i) then used + cost else used end,
+       case when used + cost <= 2000 and not list_contains(taken, i) then list_append(taken, i) else taken end
+from more m join near n on n.source = m.source and n.rn = m.rn + 1),
+whole as (select source, unnest(arg_max(taken, rn)) as i from more group by source)
+select w.source, w.i as doc_id, r.cost as tokens from whole w join rows r on r.source = w.source and r.i = w.i""")
 def pack_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy packs of 2,000 tokens a source; order dependent, so tested against a plain version instead of SQL."""
+    """Greedy packs of 2,000 tokens a source."""
     p = passages(spark, d)
     scored = p.join(R.bm25_scores(p, "source", "doc_id", "text", TERMS, "title"), ["source", "doc_id"], "left").fillna(0.0, ["score"])
     return R.pack(scored.withColumn("score", F.round("score", 4)), "source", "doc_id", "title", "text", 2000)
@@ -93,10 +119,19 @@ def quote_locate_all(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "quote_id", "exact", F.round("ratio", 4).alias("ratio"))
 
 
-@query()
+@query("""
+with recursive l as (select doc_id, rtrim(unnest(string_split(text, chr(10)))) as line, unnest(range(len(string_split(text, chr(10))))) as k from documents),
+n as (select doc_id, line, row_number() over (partition by doc_id order by k) as rn from l where trim(line) <> ''),
+walk as (
+select doc_id, 0::bigint as rn, 0::bigint as part, 0::bigint as size from (select distinct doc_id from n)
+union all
+select w.doc_id, n.rn, case when size + length(line) > 1400 and size > 0 then part + 1 else part end, case when size + length(line) > 1400 and size > 0 then 0 else size end + length(line) + 1
+from walk w join n on n.doc_id = w.doc_id and n.rn = w.rn + 1)
+select n.doc_id, w.part as passage, 'Document' as section, trim(string_agg(line, chr(10) order by n.rn)) as text from n join walk w on w.doc_id = n.doc_id and w.rn = n.rn group by n.doc_id, w.part""")
 def passages_cut(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of at most 1,400 characters by line; sequential, so tested as an exact round trip instead of SQL."""
-    return R.passages_of(load(spark, d, "documents"), "doc_id", "text")
+    """Passages of at most 1,400 characters by line; these documents have no headings, so that is one section each."""
+    docs = load(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    return R.section_passages(docs, "doc_id", "page", "text").select("doc_id", "passage", "section", "text")
 
 
 @query("""

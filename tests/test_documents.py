@@ -85,13 +85,41 @@ def test_get_or_create_numbers_without_gaps(spark):
     assert got == {"a": (7, False)} | {c: (8 + i, True) for i, c in enumerate("bcdefgh")}
 
 
-def test_passages_round_trip(spark):
-    text = "INTRO\n" + "\n".join(f"line {i} " + "x" * (i % 50) for i in range(200)) + "\nRULES\nlast"
-    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "d long, t string")
-    got = R.passages_of(rows, "d", "t", 300).orderBy("d", "passage").collect()
-    assert [x for p in got for x in p.text.split("\n")] == [x for x in text.split("\n") if not x.isupper()]
-    assert {x.d for x in got} == {1} and got[-1].section == "RULES" and got[0].section == "INTRO"
-    assert all(len(x.text) <= 300 for x in got)
+def plain_pack(rows, budget):
+    """rows: i -> (section, score, text) of one document."""
+    cost = {i: -(-len(t) // 3) + 4 for i, (_, _, t) in rows.items()}
+    order = sorted(rows, key=lambda i: (-rows[i][1], i))
+    chosen, used = [], 0
+    for i in order:
+        if rows[i][1] < 0.25 * rows[order[0]][1] or rows[order[0]][1] <= 0:
+            break
+        if used + cost[i] <= budget:
+            chosen.append(i)
+            used += cost[i]
+    by_place = sorted(rows)
+    for i in list(chosen):
+        k = by_place.index(i)
+        for j in by_place[max(0, k - 1) : k] + by_place[k + 1 : k + 2]:
+            if j not in chosen and rows[j][0] == rows[i][0] and rows[j][1] > 0 and used + cost[j] <= budget:
+                chosen.append(j)
+                used += cost[j]
+    return {i: cost[i] for i in chosen}
+
+
+def test_packs_of_many_documents(spark):
+    """Gaps in the numbers, ranges' borders, ties, documents without a score, passages larger than the budget."""
+    import random
+
+    r = random.Random(6)
+    docs = {}
+    for d in range(25):
+        places = r.sample(range(4000, 12_500, r.choice([1, 4, 700])), r.choice([1, 3, 9]) if d % 5 else 12)
+        docs[d] = {i: (f"sec{i // 3000}", float(r.choice([0, 0.1, 1, 2, 5, 8]) if d != 7 else 0), "w" * r.choice([0, 3, 30, 90, 200, 900])) for i in places}
+    rows = [(d, i, *x) for d, own in docs.items() for i, x in own.items()]
+    scored = spark.createDataFrame(rows, "doc long, i long, sec string, score double, text string").repartition(5)
+    for budget in (40, 150, 2000):
+        got = {(x.doc, x.i): x.tokens for x in R.pack(scored, "doc", "i", "sec", "text", budget).collect()}
+        assert got == {(d, i): c for d, own in docs.items() for i, c in plain_pack(own, budget).items()}
 
 
 def test_pack_equals_plain_version(spark):
