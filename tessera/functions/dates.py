@@ -78,8 +78,14 @@ def find_dates(text: Column) -> Column:
         (ISO, lambda m: F.array(F.try_to_date(m, "yyyy-MM-dd"))),
         (NUMERIC, _numeric),
     ]
-    found = [F.flatten(F.transform(F.regexp_extract_all(text, F.lit(p), 0), f)) for p, f in every]
-    return F.array_compact(F.concat(*found))
+    # What every match of a pattern has in it, looked for first, as most texts have none: a year of four digits, or digits on
+    # both sides of a mark.
+    year, marked = text.rlike("[0-9]{4}"), text.rlike("[0-9][/.-][0-9]")
+    found = []
+    for k, (pattern, read) in enumerate(every):
+        dates = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), read))
+        found.append(F.when(year if k < 3 else marked, dates).otherwise(F.array().cast("array<date>")))
+    return F.when(text.isNotNull(), F.array_compact(F.concat(*found)))
 
 
 def date_set(text: Column) -> Column:
@@ -175,3 +181,52 @@ def birth_limits(text: Column) -> Column:
     days = lambda form: F.array_distinct(F.array_compact(F.flatten(F.transform(windows, lambda w: F.transform(F.regexp_extract_all(w, F.lit(form), 1), first_date)))))
     low, high = days(EARLIEST), days(LATEST)
     return F.struct(F.array_min(low).alias("earliest"), F.array_max(high).alias("latest"), ((F.size(low) > 1) | (F.size(high) > 1)).alias("varies"))
+
+
+# How dates and times are written in lines of notices (the first form that fits a place is taken), words that
+# lead to a time, and the forms in which a time is read.
+_NAMED = "(?:January|Jan|February|Feb|March|Mar|April|Apr|May|June|Jun|July|Jul|August|Aug|September|Sep|October|Oct|November|Nov|December|Dec)"
+LINE_DATE = rf"(?i)\d{{1,2}}(?:st|nd|rd|th)?\s+{_NAMED}[, ]+\d{{4}}|{_NAMED}\s+\d{{1,2}}[, ]+\d{{4}}|\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}[/-]\d{{1,2}}[/-]\d{{1,2}}"
+TIME = r"(?i)\b(?:\d{1,2}:\d{2}(?::\d{2})?|\d{1,2}\s*(?:AM|PM)|\d{1,2}:\d{2}\s*(?:AM|PM)|24:00(?::00)?)\b"
+LEADS_TO_TIME = r"(?i)\s+(?:at|up to|till|until)\s*$"
+HALF_DAY = r"^(1[0-2]|0[1-9]|[1-9])(?::([0-5]\d))?\s+([AP]M)$"
+WHOLE_DAY = r"^(2[0-3]|[0-1]\d|\d):([0-5]\d)(?::[0-5]\d)?$"
+_YEAR_MARKED = r"^(\d{4})([/.-])(\d{1,2})\2(\d{1,2})$"
+
+
+def moment(text: Column) -> Column:
+    """(date, time) of a short text with one date and, before or after it, maybe a time of day: an ISO date and HH:MM, 24:00
+    kept as it is. Null when the rest is no date; time is null when there is none or it can't be read. Of several times the
+    first is taken; a time is read without what follows it, so an AM or PM behind minutes leaves the rest no date."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?i)(\d{1,2})(?:st|nd|rd|th)", "$1")
+    time = F.regexp_extract(bare, TIME, 0)
+
+    def without(parts: Column) -> Column:
+        at = F.position(parts["time"], parts["bare"])
+        rest = F.concat(F.substring(parts["bare"], F.lit(1), at - 1), F.substring(parts["bare"], at + F.length(parts["time"]), F.length(parts["bare"])))
+        rest = F.regexp_replace(F.regexp_replace(rest, r"(?U)^\s+|\s+$", ""), LEADS_TO_TIME, "")
+        return F.when(parts["time"] == "", parts["bare"]).otherwise(F.regexp_replace(rest, r"^[ ,.\-]+|[ ,.\-]+$", ""))
+
+    rest = let(F.struct(bare.alias("bare"), time.alias("time")), without)
+    day = let(rest, lambda r: normal_date(F.regexp_replace(r, _YEAR_MARKED, "$1-$3-$4")))
+    said = F.upper(F.trim(time))
+    hour, minute, half = (F.regexp_extract(said, HALF_DAY, k) for k in (1, 2, 3))
+    clock = hour.try_cast("int") % 12 + F.when(half == "PM", 12).otherwise(0)
+    read = (
+        F.when(said.rlike("^24:00(:00)?$"), "24:00")
+        .when(half != "", F.concat(F.lpad(clock.cast("string"), 2, "0"), F.lit(":"), F.when(minute == "", "00").otherwise(minute)))
+        .when(said.rlike(WHOLE_DAY), F.concat(F.lpad(F.regexp_extract(said, WHOLE_DAY, 1), 2, "0"), F.lit(":"), F.regexp_extract(said, WHOLE_DAY, 2)))
+    )
+    return let(day, lambda d: F.when(d.isNotNull(), F.struct(F.date_format(d, "yyyy-MM-dd").alias("date"), read.alias("time"))))
+
+
+def dated_lines(text: Column) -> Column:
+    """(date, time, context) of every date in a text, line by line in order, context being its line; what can't be read is left
+    out."""
+    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x.rlike("[0-9]"))
+
+    def of_line(line: Column) -> Column:
+        read = F.transform(F.regexp_extract_all(line, F.lit(LINE_DATE), 0), moment)
+        return F.transform(F.array_compact(read), lambda m: F.struct(m["date"].alias("date"), m["time"].alias("time"), line.alias("context")))
+
+    return F.flatten(F.transform(lines, of_line))
