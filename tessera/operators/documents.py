@@ -248,7 +248,7 @@ def ordered_issues(severities: Column) -> Column:
 def content_matches(text: Column, identity: list[str], years: list[str], span: int = 6000) -> Column:
     """The text's start names two of the identity's words (one, if it has one) and, if it has years, one of these."""
     head = F.lower(F.left(text, F.lit(span)))
-    hits = sum((F.when(head.rlike(rf"\b{w}\b"), 1).otherwise(0) for w in identity), F.lit(0))
+    hits = sum((F.when(head.rlike(rf"(?<![\p{{L}}\p{{N}}_]){w}(?![\p{{L}}\p{{N}}_])"), 1).otherwise(0) for w in identity), F.lit(0))
     seen = F.lit(not years)
     for y in years:
         seen = seen | head.contains(y)

@@ -200,13 +200,12 @@ def levels_backed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-with l as (select doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1:40]) as line, generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1:40], 1) - 1 as i from documents where not contains(text, chr(13))),
+with l as (select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: trim(x, ' ')), lambda x: x <> '')[1:40]) as line, generate_subscripts(list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: trim(x, ' ')), lambda x: x <> '')[1:40], 1) - 1 as i from documents),
 v as (select doc_id, line, i, case when contains(lower(line), 'examination') then 4 when contains(lower(line), 'exam') then 3 else 0 end + case when regexp_matches(line, '[0-9]') then 1 else 0 end + case when upper(line) = line and lower(line) <> line then 2 else 0 end
   + case when i < 10 then 2 else 0 end - case when regexp_matches(lower(line), 'commission|department|university|government') then 2 else 0 end as score from l where length(line) between 5 and 150)
-select d.doc_id, (select v.line from v where v.doc_id = d.doc_id order by score desc, i limit 1) as name from documents d where not contains(text, chr(13))""")
+select d.doc_id, (select v.line from v where v.doc_id = d.doc_id order by score desc, i limit 1) as name from documents d""")
 def name_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").where(~F.col("text").contains("\r"))
-    return docs.select("doc_id", P.name_line(F.col("text")).alias("name"))
+    return load(spark, d, "documents").select("doc_id", P.name_line(F.col("text")).alias("name"))
 
 
 _HEADS = ["SECTION 2: Eligibility and Age", "Part A", "1.2 Age limits of candidates", "1.2.3.4 Too deep a number", "IMPORTANT DATES AND FEES OF ALL", "FEES", "3. one", "Plain words of no form", "Section XE0.7", "2) How to apply for it.", "CONTENTS", "GENERAL RULES ....... 12", "12 34 56 78 90"]

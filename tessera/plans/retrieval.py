@@ -91,16 +91,17 @@ def pack_budget(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""
 with g as (select doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) as p, text from documents),
 q as (select doc_id, k, trim(regexp_replace(lower(quote), '[^\p{L}\p{N}_]+', ' ', 'g')) as q from (
-  select doc_id, 0::bigint as k, substr(text, 101, 80) as quote from documents union all select doc_id, 1, b.text from documents d join benchmark b on b.item_id = d.doc_id % 20)),
+  select doc_id, 0::bigint as k, substr(text, 101, 80) as quote from documents
+  union all select doc_id, 1, array_to_string(list_filter(regexp_extract_all(text, '\S+'), lambda w, i: i <= 12 and i % 9 <> 0), ' ') from documents)),
 qw as (select *, list_distinct(regexp_extract_all(q, '[\p{L}\p{N}_]+')) as w from q where length(q) >= 4),
 f as (select qw.doc_id, k, contains(' ' || p || ' ', q) as exact, len(w) as n, len(list_intersect(w, regexp_extract_all(p, '[\p{L}\p{N}_]+')))::double / len(w) as ratio from qw join g using (doc_id))
 select doc_id, k as quote_id, exact, round(ratio, 4) as ratio from f where exact or (n >= 3 and ratio >= 0.85)""")
 def quote_locate(spark: SparkSession, d: str) -> DataFrame:
-    """In every document: a quote out of its own text, and a benchmark item."""
+    """In every document: a quote out of its own text, and its first words without the ninth."""
     docs = load(spark, d, "documents").select("doc_id", "text")
     own = docs.select("doc_id", F.lit(0).cast("long").alias("quote_id"), F.substring("text", 101, 80).alias("quote"))
-    items = load(spark, d, "benchmark").select(F.col("item_id").alias("i"), F.col("text").alias("quote"))
-    other = docs.select("doc_id", F.lit(1).cast("long").alias("quote_id"), (F.col("doc_id") % 20).alias("i")).join(items, "i").select("doc_id", "quote_id", "quote")
+    first = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 12)
+    other = docs.select("doc_id", F.lit(1).cast("long").alias("quote_id"), F.array_join(F.filter(first, lambda w, i: i != 8), " ").alias("quote"))
     found = R.locate_quotes(own.unionByName(other), docs.withColumn("passage", F.lit(0).cast("long")), "quote_id", "quote", "doc_id", "passage", "text")
     return found.select("doc_id", "quote_id", "exact", F.round("ratio", 4).alias("ratio"))
 

@@ -57,10 +57,10 @@ def catalog_tokens(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").where(T.catalogue_match("an, e", F.concat_ws(" ", "p_name", "p_type"), F.col("p_name"))).select("p_partkey", "p_name")
 
 
-@query("select o_orderkey, [strftime(o_orderdate, '%Y')] as years from orders")
+@query("select o_orderkey, case when o_orderdate >= timestamp '2000-01-01 00:00:00' then [strftime(o_orderdate, '%Y')] else [] end as years from orders")
 def year_tokens(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("no 12005 of "), F.date_format("o_orderdate", "yyyy"), F.lit(", again "), F.date_format("o_orderdate", "yyyy"))
-    return load(spark, d, "orders").select("o_orderkey", F.when(F.year("o_orderdate") >= 2000, T.years(text)).otherwise(F.array(F.date_format("o_orderdate", "yyyy"))).alias("years"))
+    return load(spark, d, "orders").select("o_orderkey", T.years(text).alias("years"))
 
 
 _STYLES = ["MMMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy"]
@@ -157,17 +157,10 @@ def shortened(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", T.shorten(F.col("text"), 60).alias("short"))
 
 
-@query("select doc_id, text[greatest(1, 300 - 50):greatest(1, 300 - 50) + 99] as part from documents where length(text) > 500 and position(text[300:339] in text) = 300")
-def excerpts(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").where("length(text) > 500").withColumn("q", F.substring("text", 300, 60))
-    docs = docs.where(F.position(F.left("q", F.lit(40)), F.col("text")) == 300)
-    return docs.select("doc_id", T.excerpt(F.col("text"), F.col("q"), 100).alias("part"))
-
-
 @query("""
 with f as (select doc_id, text, position(text[300:339] in text) as at_ from documents)
 select doc_id, case when at_ > 51 then text[at_ - 50:at_ + 49] else text[1:100] end as part from f""")
-def excerpts_all(spark: SparkSession, d: str) -> DataFrame:
+def excerpts(spark: SparkSession, d: str) -> DataFrame:
     """Every document, around where its characters from 300 on stand first."""
     docs = load(spark, d, "documents").withColumn("q", F.substring("text", 300, 60))
     return docs.select("doc_id", T.excerpt(F.col("text"), F.col("q"), 100).alias("part"))
@@ -193,3 +186,34 @@ def model_answers(spark: SparkSession, d: str) -> DataFrame:
 @query("select doc_id, sha256(text) as sha256, octet_length(encode(text)) as n_bytes from documents")
 def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query("""
+with s as (select o_orderkey, o_orderdate::date as day, o_orderkey % 6 as m, (o_orderkey % 24)::int as h, (o_orderkey % 60)::int as i from orders)
+select o_orderkey, case when m = 4 then null else strftime(day, '%Y-%m-%d') end as date,
+       case m when 0 then lpad(h::varchar, 2, '0') || ':' || lpad(i::varchar, 2, '0') when 1 then '24:00' when 2 then lpad((h % 12 + case when h % 2 = 1 then 12 else 0 end)::varchar, 2, '0') || ':00' end as time
+from s""")
+def moments(spark: SparkSession, d: str) -> DataFrame:
+    """Order dates with a time of the day, midnight as 24:00, half days, unreadable minutes, with AM behind minutes, without."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    h, i = (k % 24).cast("int"), (k % 60).cast("int")
+    half = F.format_string("%s, up to %d %s", F.date_format(day, "MMMM d, yyyy"), F.when(h % 12 == 0, 12).otherwise(h % 12), F.when(h % 2 == 1, "PM").otherwise("am"))
+    forms = [
+        F.format_string("%s at %d:%02d", F.date_format(day, "d MMMM yyyy"), h, i), F.concat(F.date_format(day, "dd/MM/yyyy"), F.lit(" till 24:00")), half,
+        F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 7:75")), F.concat(F.date_format(day, "d MMM yyyy"), F.lit(" 10:30 AM")), F.date_format(day, "dd.MM.yyyy"),
+    ]
+    text = F.get(F.array(*forms), (k % 6).cast("int"))
+    return load(spark, d, "orders").select("o_orderkey", D.moment(text).alias("m")).select("o_orderkey", "m.date", "m.time")
+
+
+@query("""
+select o_custkey, count(*) as n, string_agg(strftime(o_orderdate, '%Y-%m-%d') || ' ' || 'Order ' || o_orderkey || ' of ' || strftime(o_orderdate, '%d/%m/%Y'), '|' order by o_orderkey) as lines
+from orders group by o_custkey""")
+def dated_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as the lines of a text, each with its date."""
+    line = F.concat(F.lit(" Order "), "o_orderkey", F.lit(" of "), F.date_format("o_orderdate", "dd/MM/yyyy"))
+    listed = F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line"))))
+    texts = load(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n\n").alias("text"))
+    found = texts.select("o_custkey", D.dated_lines(F.col("text")).alias("found"))
+    joined = F.array_join(F.transform("found", lambda x: F.concat_ws(" ", x["date"], x["context"])), "|")
+    return found.select("o_custkey", F.size("found").cast("long").alias("n"), joined.alias("lines"))

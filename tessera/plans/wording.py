@@ -90,21 +90,20 @@ _LABELS = ["Information Brochure 2027", "Recruitment Notice", "Photo Gallery", "
 
 @query(f"""
 with s as (select page_id, url, {pick_sql(_LABELS, "page_id")} as label from pages),
-v as (select page_id, lower(url || ' ' || label) as t, regexp_extract_all(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '20[0-9][0-9]') as uy, regexp_extract_all(label, '20[0-9][0-9]') as ly from s)
+v as (select page_id, lower(url || ' ' || label) as t, list_filter(regexp_extract_all(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '[0-9]+'), lambda x: regexp_full_match(x, '20[0-9][0-9]')) as uy,
+  list_filter(regexp_extract_all(label, '[0-9]+'), lambda x: regexp_full_match(x, '20[0-9][0-9]')) as ly from s)
 select page_id, (case when regexp_matches(t, 'history|gallery|annual[ _-]report|newsletter|magazine|tender|convocation|sports|cultural|syllabus|answer[ _]?key|question[ -]?paper|test[ -]?paper|sample[ -]?paper|previous year|old paper')
-    or not (contains(t, 'page') or contains(t, 'example')) then -100
+    or not (contains(t, 'page') or contains(t, 'example')) or (len(uy) > 0 and not list_contains(uy, '2027')) then -100
   else (case when contains(t, '.pdf') then 5 else 0 end)
     + len(list_filter(['notification','advertisement','notice','examination','exam','recruitment','application','brochure','information','circular','download'], lambda w: contains(t, w)))
     + 6 * len(list_filter(['information brochure','info brochure','notification','advertisement','advt','brochure'], lambda w: contains(t, w)))
     - 15 * len(list_filter(['about us','about-us','rti','right to information','press release','press-release','profile','vision and mission','org chart','organogram','citizen charter','grievance','faq','media coverage','achievements','success stor','alumni'], lambda w: contains(t, w)))
     + 4 * ((case when contains(t, 'page') then 1 else 0 end) + (case when contains(t, 'example') then 1 else 0 end))
-    + (case when len(ly) = 0 then 0 when list_contains(ly, '2027') then 5 else -8 end) end)::bigint as score from v where len(uy) = 0
-union all select page_id, null from v where len(uy) > 0""")
+    + (case when len(uy) > 0 then 5 when len(ly) = 0 then 0 when list_contains(ly, '2027') then 5 else -8 end) end)::bigint as score from v""")
 def document_links(spark: SparkSession, d: str) -> DataFrame:
     """Every page's address under a label, as a link that may be the wanted document of 2027."""
-    years = F.regexp_extract_all(F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1), F.lit("20[0-9][0-9]"), 0)
     score = P.document_link_score(F.col("url"), pick(_LABELS, "page_id"), ["page", "example"], ["2027"])
-    return load(spark, d, "pages").select("page_id", F.when(F.size(years) == 0, score).alias("score"))
+    return load(spark, d, "pages").select("page_id", score.alias("score"))
 
 
 _LINES = ["1. Age Limits and Relaxation", "SECTION 2", "Eligibility conditions for all the candidates of this year apply.", "B1.2", "IMPORTANT DATES", "2) How To Apply", "", "12 34 56 78 90", "Fees", "PART B", "General Instructions To Be Read By Every Candidate Before"]
@@ -124,14 +123,16 @@ def heading_lines(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select("o_orderkey", P.is_noise(line, ["FEES"]).alias("noise"), P.heading_confidence(line, explicit).alias("confidence"))
 
 
-@query("""
-select doc_id, (case when regexp_matches(lower(text[1:600]), '\\b(en|de|la)\\b') then 1 else 0 end) + (case when regexp_matches(lower(text[1:600]), '\\bthe\\b') then 1 else 0 end)
-  + (case when regexp_matches(lower(text[1:600]), '\\band\\b') then 1 else 0 end) >= 2 as matches from documents where regexp_full_match(text, '[\\x00-\\x7F]*')
-union all select doc_id, null from documents where not regexp_full_match(text, '[\\x00-\\x7F]*')""")
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+@query(f"""
+with s as (select doc_id, ' ' || lower(text[1:600]) || ' ' as t from documents)
+select doc_id, (case when regexp_matches(t, '{_EDGE}(en|de|la){_EDGE}') then 1 else 0 end) + (case when regexp_matches(t, '{_EDGE}the{_EDGE}') then 1 else 0 end)
+  + (case when regexp_matches(t, '{_EDGE}and{_EDGE}') then 1 else 0 end) >= 2 as matches from s""")
 def content_words(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the start of a text names two of three words; null for texts beyond ASCII, where word borders differ between engines."""
-    found = P.content_matches(F.col("text"), ["(en|de|la)", "the", "and"], [], span=600)
-    return load(spark, d, "documents").select("doc_id", F.when(F.col("text").rlike(r"^[\x00-\x7F]*$"), found).alias("matches"))
+    """Whether the start of a text names two of three words."""
+    return load(spark, d, "documents").select("doc_id", P.content_matches(F.col("text"), ["(en|de|la)", "the", "and"], [], span=600).alias("matches"))
 
 
 @query("""
@@ -153,12 +154,12 @@ def single_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with b as (select o_custkey, o_orderdate::date as v, case o_orderkey % 4 when 0 then '>=' when 1 then '<=' when 2 then '>' else '<' end as op from orders where o_orderkey % 3 = 0),
+with b as (select o_custkey, o_orderdate::date as v, case o_orderkey % 4 when 0 then '>=' when 1 then '<=' when 2 then '>' else '<' end as op from orders),
 s as (select o_custkey, max(v) filter (op in ('>', '>=')) as lo, max(v) filter (op = '>') as slo, min(v) filter (op in ('<', '<=')) as hi, min(v) filter (op = '<') as shi from b group by o_custkey)
 select o_custkey as group_id, 'date of birth' as attribute from s where lo > hi or (lo = hi and (slo = lo or shi = hi))""")
 def date_contradictions(spark: SparkSession, d: str) -> DataFrame:
     """Every customer's orders as bounds on a date of birth in one AND group: which can't all hold."""
-    orders = load(spark, d, "orders").where("o_orderkey % 3 = 0")
+    orders = load(spark, d, "orders")
     op = F.element_at(F.array(*map(F.lit, (">=", "<=", ">", "<"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     rules = orders.select(F.col("o_orderkey").alias("rule_id"), F.col("o_custkey").alias("group_id"), F.lit("Date of Birth").alias("attribute"), op.alias("operator"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value"))
     groups = rules.select("group_id", F.lit("AND").alias("logical_operator")).distinct()

@@ -160,19 +160,19 @@ def test_links(spark):
     assert re.match("https", next(iter(got))[0]) and isinstance(rows.toPandas(), pd.DataFrame)
 
 
-def test_merge_scalar_all_sees_late_turns(spark, tmp_path):
+def test_merge_scalar_sees_late_turns(spark, tmp_path):
     rows = [(1, 0, "a"), (1, 1, "a"), (1, 2, "b"), (2, 0, "c"), (2, 5, "c")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {x.conv_id: (x.merged, x.conflict) for x in QUERIES["merge_scalar_all"](spark, str(tmp_path)).collect()}
+    got = {x.conv_id: (x.merged, x.conflict) for x in QUERIES["merge_scalar"](spark, str(tmp_path)).collect()}
     assert got == {1: ("a", True), 2: ("c", False)}
 
 
-def test_excerpts_all_keeps_short_and_repeating_texts(spark, tmp_path):
+def test_excerpts_keep_short_and_repeating_texts(spark, tmp_path):
     line = "".join(chr(97 + i * i % 23) for i in range(60))
     again = "x" * 99 + line + "y" * 140 + line + "z" * 300  # what stands at character 300 stands at 100 first
     docs = {1: "short", 2: "", 3: again, 4: "x" * 299 + line + "z" * 300}
     spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {x.doc_id: x.part for x in QUERIES["excerpts_all"](spark, str(tmp_path)).collect()}
+    got = {x.doc_id: x.part for x in QUERIES["excerpts"](spark, str(tmp_path)).collect()}
     assert got == {1: "short", 2: "", 3: again[49:149], 4: docs[4][249:349]}
 
 
