@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import birth_bound, date_set, normal_date, subtract_years
+from ..functions.dates import birth_bound, date_set, find_dates, let, normal_date, subtract_years
 from ..functions.numbers import shown
 from ..functions.text import LEVEL_ORDER, attribute_label, canonical, country, digits, grounding, operator_symbol, word_list
 
@@ -144,17 +144,10 @@ def without_origin_only(countries: Column, quote: Column) -> Column:
     return F.filter(countries, lambda c: (F.lower(c) == "india") | ~tail.contains(F.lower(c)) | head.contains(F.lower(c)))
 
 
-def snippets(text: Column, before: int = 2, most: int = 4) -> Column:
-    """For every line of a text (blank ones left out): the pieces of at most `most` lines that hold it and begin at most
-    `before` lines above it: array of (line, snippet)."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-
-    def around(line: Column, i: Column) -> Column:
-        starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(before)), lambda k: i - k), lambda s: s >= 0)
-        pieces = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(i + 1, F.least(F.size(lines), s + most)), lambda e: F.array_join(F.slice(lines, s + 1, e - s), " "))))
-        return F.transform(pieces, lambda p: F.struct(line.alias("line"), p.alias("snippet")))
-
-    return F.flatten(F.transform(lines, around))
+def pieces_around(lines: Column, i: Column, before: int, most: int) -> Column:
+    """The pieces of at most `most` lines that hold line i and begin at most `before` lines above it."""
+    starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(before)), lambda k: i - k), lambda s: s >= 0)
+    return F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(i + 1, F.least(F.size(lines), s + most)), lambda e: F.array_join(F.slice(lines, s + 1, e - s), " "))))
 
 
 # What a snippet has to say, and may not say, to back a date of the field.
@@ -165,17 +158,25 @@ DATE_WORDING = {
 }
 
 
-def recovered_date_quote(text: Column, day: Column, field: str) -> Column:
-    """The shortest snippet around a line with the day that says what the field needs, cut to 400 characters; null without one."""
+def recovered_date_quote(text: Column, day: Column, field: str, before: int = 2, most: int = 4) -> Column:
+    """The shortest snippet around a line with the day that says what the field needs, cut to 400 characters; null without one.
+    A snippet has at most `most` lines and begins at most `before` lines above its line; of equally short ones the first.
+
+    Dates are looked for once in each line, and then only in snippets that have the wording."""
     required, excluded = DATE_WORDING[field]
+    has_day = lambda x: F.array_contains(find_dates(x), day)
 
     def backs(x: Column) -> Column:
-        ok = F.array_contains(date_set(x["line"]), day) & F.array_contains(date_set(x["snippet"]), day) & x["snippet"].rlike(required)
-        return ok & ~x["snippet"].rlike(excluded) if excluded else ok
+        said = x.rlike(required)
+        return (said & ~x.rlike(excluded) if excluded else said) & has_day(x)
+
+    def found(lines: Column) -> Column:
+        none = F.array().cast("array<string>")
+        each = F.transform(lines, lambda line, i: F.when(has_day(line), F.filter(pieces_around(lines, i, before, most), backs)).otherwise(none))
+        return F.aggregate(F.flatten(each), F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (F.length(x) < F.length(a)), x).otherwise(a))
 
-    ranked = F.transform(F.filter(snippets(text), backs), lambda x: F.struct(F.length(x["snippet"]).alias("n"), x["snippet"].alias("s")))
-    shortest = F.aggregate(ranked, F.lit(None).cast("struct<n:int,s:string>"), lambda a, x: F.when(a.isNull() | (x["n"] < a["n"]), x).otherwise(a))
-    return F.left(shortest["s"], F.lit(400))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.left(let(lines, found), F.lit(400))
 
 
 # What has to stand in a quote that backs a level; what says a Bachelor's itself; what says a higher level.
