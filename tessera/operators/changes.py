@@ -44,10 +44,9 @@ def flatten_json(df: DataFrame, key: str, json: str, depth: int = 6) -> DataFram
         leaves = level.where(~nested).select("k", "path", F.to_json("v").alias("value"))
         done = leaves if done is None else done.unionByName(leaves)
         if i < depth:
-            level.where(nested).createOrReplaceTempView("_variants")
-            level = spark.sql("""
-                select k, case when e.key is null then concat(path, '[', e.pos, ']') when path = '' then e.key else concat(path, '.', e.key) end as path, e.value as v
-                from _variants, lateral variant_explode(v) e""")
+            opened = level.where(nested).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key_", "inner"))
+            step = F.when(F.col("key_").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).when(F.col("path") == "", F.col("key_")).otherwise(F.concat("path", F.lit("."), "key_"))
+            level = opened.select("k", step.alias("path"), F.col("inner").alias("v"))
     return done.where("value <> 'null'").select(F.col("k").alias(key), "path", "value")
 
 

@@ -405,6 +405,22 @@ def best_sources(results: DataFrame, own: Column, most: int = 12) -> DataFrame:
     return results.withColumn("own_score", own).orderBy(F.desc("own_score"), F.desc(F.coalesce("score", F.lit(0.0))), "url").limit(most)
 
 
+def best_sources_of(results: DataFrame, key: str, own: Column, most: int = 12) -> DataFrame:
+    """The same for every key at once, with place."""
+    order = Window.partitionBy(key).orderBy(F.desc("own_score"), F.desc(F.coalesce("score", F.lit(0.0))), "url")
+    return results.withColumn("own_score", own).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+# What is searched for with a name.
+SOURCE_SEARCHES = ("official notification", "official website", "notification PDF", "recruitment notification")
+
+
+def source_searches(names: DataFrame, key: str, name: Column) -> DataFrame:
+    """(key, n, query): the searches for the sources of a name."""
+    queries = F.array(*[F.concat_ws(" ", F.trim(name), F.lit(q)) for q in SOURCE_SEARCHES])
+    return names.select(key, F.posexplode(queries).alias("n", "query"))
+
+
 def selected_sections(scored: DataFrame, doc: str, section: str, page: str, score: str, least: float = 2.5, most: int = 20) -> DataFrame:
     """Of each document the relevant sections (column relevant) that score `least`, the first `most` in document order: by page
     (null last), then section."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import changes, crawling, documents, layout, monitoring, profiles, questions, relational, retrieval, rules, streaming, text, trees, wording
+from . import changes, crawling, documents, layout, monitoring, profiles, questions, relational, retrieval, rules, sources, streaming, text, trees, wording
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "changes", "crawling", "documents", "layout", "monitoring", "profiles", "questions", "relational", "retrieval", "rules", "streaming", "text", "trees", "wording"]
+__all__ = ["ORACLE", "QUERIES", "changes", "crawling", "documents", "layout", "monitoring", "profiles", "questions", "relational", "retrieval", "rules", "sources", "streaming", "text", "trees", "wording"]

@@ -94,8 +94,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the session's process ends: nothing that reads it outlives that."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back, for what several branches of a plan read."""
+    """df written once to the shared folder and read back, for what several branches of a plan read; it goes with the session."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
