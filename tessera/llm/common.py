@@ -48,7 +48,8 @@ def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
 
 
 class Scratch:
-    """The tables that one run writes to the shared folder: each cuts the lineage and survives a lost executor."""
+    """The tables that one run writes to the shared folder: each cuts the lineage and survives a lost executor. What drop()
+    has not deleted before goes when the session's process ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
@@ -60,6 +61,8 @@ class Scratch:
         path = f"{self.folder}/{name}-{len(self.held)}"
         with bounded_batches(self.spark):
             df.write.parquet(path, compression=compression)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.held.append((out, path))
         return out
