@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import acronyms, chat_tokens, tokens
+from ..functions.text import acronyms, chat_tokens, pieces, tokens
 from ..sources.tables import materialise
 from .profiles import QUESTION_WORDS, fact_lines
 from .relational import latest
@@ -47,12 +47,6 @@ def matched(questions: DataFrame, key: str, message: str, items: DataFrame, item
     return asked.join(best, "_ask").select(key, F.col("_item").alias(item), F.col("_name").alias(name), "overlap", "place")
 
 
-def pieces(text: Column, size: Column) -> Column:
-    """Distinct pieces of `size` characters of a text; none of a shorter one."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size))
-    return F.when(F.length(text) >= size, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
-
-
 def searched(questions: DataFrame, key: str, message: str, items: DataFrame, item: str, name: str, haystack: str) -> DataFrame:
     """(key, item): every item that a search finds: its text (haystack) contains the whole message, or each of the message's
     tokens is in the text or is an acronym of the name; without regard to case.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import find_dates
 from ..functions.numbers import bm25, estimated_tokens
-from ..functions.text import grounding, tokens, word_list
+from ..functions.text import grounding, pieces, tokens, word_list
 from ..sources.tables import materialise
 from .documents import is_contents_page
 
@@ -117,7 +117,7 @@ def quote_candidates(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: s
 
     A quote that is found lacks at most 15 % of its distinct words, or its first and last one where it begins and ends within
     words: of one more of its words than that, the rarest ones, the document has one. Quotes of fewer than three distinct
-    words meet every document."""
+    words are only found exactly, so they meet the documents that have the rarest of their pieces of three characters."""
     q = quotes.select(quote_id, quote, grounding(F.col(quote)).alias("_q")).where(F.length("_q") >= 4).withColumn("_w", F.array_distinct(word_list(F.col("_q"))))
     own = q.where("size(_w) >= 3").select(quote_id, F.explode("_w").alias("_word"), F.greatest(F.lit(2), F.floor(F.size("_w") * 0.15 + 1e-9)).alias("_lack"))
     held = docs.select(doc, F.explode(F.array_distinct(word_list(grounding(F.col(text))))).alias("_word"))
@@ -126,8 +126,13 @@ def quote_candidates(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: s
     rank = F.row_number().over(Window.partitionBy(quote_id).orderBy(F.coalesce("_df", F.lit(0)), "_word"))
     rare = own.join(often, "_word", "left").withColumn("_rank", rank).where("_rank <= _lack + 1").select(quote_id, "_word")
     found = rare.join(held, "_word").select(doc, quote_id).distinct().join(q.select(quote_id, quote), quote_id)
-    short = q.where("size(_w) < 3").select(quote_id, quote).crossJoin(docs.select(doc))
-    return found.select(doc, quote_id, quote).unionByName(short.select(doc, quote_id, quote))
+    short = q.where("size(_w) < 3").select(quote_id, quote, F.explode(pieces(F.col("_q"), F.lit(3))).alias("_piece"))
+    if short.isEmpty():
+        return found.select(doc, quote_id, quote)
+    parts = docs.select(doc, F.explode(pieces(grounding(F.col(text)), F.lit(3))).alias("_piece")).join(short.select("_piece").distinct(), "_piece", "left_semi")
+    common = parts.groupBy("_piece").agg(F.count("*").alias("_df"))
+    chosen = short.join(common, "_piece", "left").groupBy(quote_id, quote).agg(F.min_by("_piece", F.struct(F.coalesce("_df", F.lit(0)), "_piece")).alias("_piece"))
+    return found.select(doc, quote_id, quote).unionByName(chosen.join(parts, "_piece").select(doc, quote_id, quote))
 
 
 HEADING_LEVELS = 4

@@ -216,3 +216,15 @@ def test_cited_passage_first(spark):
     quotes = spark.createDataFrame([(1, 7, "same words", 1), (1, 8, "same words", None), (1, 9, "same words", 2)], "doc long, q long, quote string, cited long")
     found = R.locate_quotes(quotes, passages, "q", "quote", "doc", "passage", "text", cited="cited")
     assert {r.q: r.passage for r in found.collect()} == {7: 1, 8: 0, 9: 0}
+
+
+def test_candidates_of_short_quotes(spark):
+    """Quotes of one and two words meet only documents that have their rarest piece, and lose none that has them."""
+    texts = ["alpha beta gamma", "alphabet soup", "Beta, alpha!", "gamma rays here", "nothing", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    quotes = spark.createDataFrame([(1, "alpha"), (2, "Beta gamma"), (3, "unseen"), (4, "abc"), (5, "the gamma rays here now")], "q long, quote string")
+    pairs = R.quote_candidates(quotes, docs, "q", "quote", "doc", "text")
+    found = R.locate_quotes(pairs, docs.withColumn("p", F.lit(0).cast("long")), "q", "quote", "doc", "p", "text")
+    assert {(x.q, x.doc) for x in found.where("exact").collect()} == {(1, 0), (1, 1), (1, 2), (2, 0)}
+    assert (3, 0) not in {(x.q, x.doc) for x in pairs.collect()}
+    assert "CartesianProduct" not in pairs._jdf.queryExecution().executedPlan().toString()
