@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compiling as C
+from ..operators import extraction as X
 from ..operators import retrieval as R
 from ..sources.tables import load
 from .registry import query
@@ -175,3 +176,26 @@ def compiled_rules(spark: SparkSession, d: str) -> DataFrame:
     )
     groups, rules = C.compile_eligibility(facts)
     return rules.join(groups.select("group_id", "notice", F.col("group_number").alias("place")), "group_id").select("notice", "place", "attribute", "operator", "value")
+
+
+def dates_of(context: DataFrame) -> DataFrame:
+    """In a model's place: a fact for each order named in the context; some without a readable day, some with a quote that the
+    document does not have."""
+    lines = context.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    rows = lines.select("doc_id", "line", F.regexp_extract("line", r"^Order (\d+) ", 1).try_cast("long").alias("fact_id"), F.regexp_extract("line", r"closes on (.*)\.$", 1).alias("day")).where("fact_id is not null")
+    start = F.when(F.col("fact_id") % 11 == 0, "soon").otherwise(F.col("day"))
+    quote = F.when(F.col("fact_id") % 10 == 0, "what nobody wrote about this order").otherwise(F.col("line"))
+    return rows.select("doc_id", "fact_id", start.alias("start"), F.lit(None).cast("string").alias("end"), quote.alias("quote"))
+
+
+@query("""
+select o_custkey as doc_id, o_orderkey as fact_id, case when o_orderkey % 11 <> 0 then o_orderdate::date end as start_day, o_orderkey % 11 <> 0 as grounded, o_orderkey % 10 <> 0 as located,
+       array_to_string(list_filter([case when o_orderkey % 11 = 0 then 'unreadable-date' end, case when o_orderkey % 10 = 0 then 'quote-not-found' end], lambda x: x is not null), ',') as issues
+from orders""")
+def extracted_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Whole extraction over a document for each customer: passages by heading, a pack, facts, places of quotes, dates, issues."""
+    line = F.concat(F.lit("Order "), "o_orderkey", F.lit(" closes on "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit("."))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n")
+    docs = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("# About\nnothing that matters here\n# Dates\n"), listed).alias("text"))
+    found = X.extract(docs, dates_of, {"closes": 2.0, "order": 1.0})
+    return found.select("doc_id", "fact_id", "start_day", "grounded", F.col("passage").isNotNull().alias("located"), F.array_join("issues", ",").alias("issues"))
