@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import addresses as W
+from ..functions.dates import let
 from ..functions.text import host, same_site
 
 
@@ -45,18 +48,38 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-def from_keyword_on(lines: DataFrame, key: str, pattern: str) -> DataFrame:
-    """Lines from the first one that matches; the latch never closes."""
-    seen = F.max(F.col("line").rlike(pattern)).over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("_on", seen).where("_on").drop("_on")
+def from_keyword_on(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, line_no, line): lines from the first one that matches; the latch never closes. Inside the text's own row."""
+
+    def kept(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), F.lit(True))
+        rest = F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines))
+        numbered = F.transform(rest, lambda x, i: F.struct((first - 1 + i).cast("int").alias("line_no"), x.alias("line")))
+        return F.when(first > 0, numbered)
+
+    return docs.select(key, F.inline(let(F.split(text, "\n"), kept)))
+
+
+def sections(docs: DataFrame, key: str, text: str, heading: Callable[[Column], Column]) -> DataFrame:
+    """(key, section_no, title, content): heading lines and the content below each; lines before the first are section 0.
+    Inside the text's own row: no line is shuffled."""
+
+    def cut(lines: Column) -> Column:
+        heads = F.array_compact(F.transform(lines, lambda x, i: F.when(heading(x), i)))
+        starts = F.when(F.coalesce(F.get(heads, F.lit(0)) == 0, F.lit(False)), heads).otherwise(F.concat(F.array(F.lit(-1)), heads))
+
+        def parts(at: Column) -> Column:
+            def one(s: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(at, k + 1), F.size(lines))
+                number = F.when(F.get(at, F.lit(0)) < 0, k).otherwise(k + 1)
+                content = F.array_join(F.slice(lines, s + 2, end - s - 1), "\n")
+                return F.struct(number.cast("long").alias("section_no"), F.when(s >= 0, F.get(lines, s)).alias("title"), content.alias("content"))
+
+            return F.transform(at, one)
 
+        return let(starts, parts)
 
-def sections(lines: DataFrame, key: str, heading: Column) -> DataFrame:
-    """Heading lines and the content below each: (key, section_no, title, content); lines before the first are section 0."""
-    upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("_h", heading).withColumn("section_no", F.sum(F.col("_h").cast("int")).over(upto).cast("long"))
-    rest = F.array_sort(F.collect_list(F.when(~F.col("_h"), F.struct("line_no", "line"))))
-    return marked.groupBy(key, "section_no").agg(F.max(F.when(F.col("_h"), F.col("line"))).alias("title"), F.array_join(F.transform(rest, lambda s: s["line"]), "\n").alias("content"))
+    return docs.where(F.col(text).isNotNull()).select(key, F.inline(let(F.split(text, "\n"), cut)))
 
 
 def section_spans(headings: DataFrame, key: str, page: str, last_page: Column) -> DataFrame:

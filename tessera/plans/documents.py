@@ -51,7 +51,7 @@ _LINES = "lines as (select doc_id, (unnest(generate_series(1, len(l))) - 1)::int
 with {_LINES}
 select doc_id, line_no, line from lines join (select doc_id as id, min(line_no) as first from lines where regexp_matches(line, '\\bthat\\b') group by 1) on id = doc_id and line_no >= first""")
 def keyword_latch(spark: SparkSession, d: str) -> DataFrame:
-    return D.from_keyword_on(D.lines_of(load(spark, d, "documents"), "doc_id", "text"), "doc_id", r"\bthat\b")
+    return D.from_keyword_on(load(spark, d, "documents"), "doc_id", "text", r"\bthat\b")
 
 
 @query(f"""
@@ -59,7 +59,7 @@ with {_LINES},
 marked as (select *, length(line) < 40 as h, sum((length(line) < 40)::int) over (partition by doc_id order by line_no) as section_no from lines)
 select doc_id, section_no::bigint as section_no, max(line) filter (h) as title, coalesce(string_agg(line, chr(10) order by line_no) filter (not h), '') as content from marked group by doc_id, section_no""")
 def sections(spark: SparkSession, d: str) -> DataFrame:
-    return D.sections(D.lines_of(load(spark, d, "documents"), "doc_id", "text"), "doc_id", F.length("line") < 40)
+    return D.sections(load(spark, d, "documents"), "doc_id", "text", lambda line: F.length(line) < 40)
 
 
 @query("""

@@ -228,3 +228,16 @@ def test_candidates_of_short_quotes(spark):
     assert {(x.q, x.doc) for x in found.where("exact").collect()} == {(1, 0), (1, 1), (1, 2), (2, 0)}
     assert (3, 0) not in {(x.q, x.doc) for x in pairs.collect()}
     assert "CartesianProduct" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sections_and_latch_inside_a_row(spark):
+    docs = {1: "before\nH one\na\nb\nH two", 2: "H first\nx", 3: "none", 4: "", 5: None, 6: "H a\nH b\n\nc"}
+    rows = spark.createDataFrame(list(docs.items()), "d long, t string")
+    found = D.sections(rows, "d", "t", lambda x: x.startswith("H"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [(1, 0, None, "before"), (1, 1, "H one", "a\nb"), (1, 2, "H two", ""), (2, 1, "H first", "x"), (3, 0, None, "none"), (4, 0, None, ""), (6, 1, "H a", ""), (6, 2, "H b", "\nc")], key=str
+    )
+    latch = D.from_keyword_on(rows, "d", "t", "^H (one|b)")
+    assert sorted(map(tuple, latch.collect())) == [(1, 1, "H one"), (1, 2, "a"), (1, 3, "b"), (1, 4, "H two"), (6, 1, "H b"), (6, 2, ""), (6, 3, "c")]
+    for df in (found, latch):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
