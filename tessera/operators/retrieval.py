@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import find_dates
+from ..functions.dates import find_dates, let
 from ..functions.numbers import bm25, estimated_tokens
 from ..functions.text import grounding, pieces, tokens, word_list
 from ..sources.tables import materialise
@@ -14,18 +14,27 @@ from .documents import is_contents_page
 
 def bm25_scores(passages: DataFrame, doc: str, ident: str, text: str, terms: dict[str, float], section: str | None = None) -> DataFrame:
     """(doc, ident, score) of every passage that has a term; statistics are those of the passage's document. A section
-    title's tokens count twice. Term counts come from one scan; only query terms are exploded."""
+    title's tokens count twice. Each text is read once: its length and its terms' counts go into a narrow written table, from
+    which statistics and scores follow without the text."""
     all_tokens = tokens(F.col(text))
     if section:
         title = tokens(F.coalesce(F.col(section), F.lit("")))
         all_tokens = F.concat(all_tokens, title, title)
-    rows = passages.select(doc, ident, all_tokens.alias("t")).withColumn("len", F.size("t"))
+
+    def counted(t: Column) -> Column:
+        return F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x.isin(*terms)).alias("hits"))
+
+    def per_term(hits: Column) -> Column:
+        each = F.array(*[F.struct(F.lit(term).alias("term"), F.size(F.filter(hits, lambda x: x == F.lit(term))).cast("long").alias("tf")) for term in terms])
+        return F.filter(each, lambda c: c["tf"] > 0)
+
+    rows = passages.select(doc, ident, let(all_tokens, counted).alias("c"))
+    rows = materialise(rows.select(doc, ident, F.col("c.len").alias("len"), per_term(F.col("c.hits")).alias("counts")), "term-counts")
     stats = rows.groupBy(doc).agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    hit = F.filter("t", lambda x: x.isin(*terms))
-    counts = rows.select(doc, ident, "len", F.explode(hit).alias("term")).groupBy(doc, ident, "len", "term").agg(F.count("*").alias("tf"))
+    counts = rows.select(doc, ident, "len", F.inline("counts"))
     df = counts.groupBy(doc, "term").agg(F.count("*").alias("df"))
     weight = F.create_map(*[F.lit(x) for kv in terms.items() for x in kv])[F.col("term")]
-    joined = counts.join(df, [doc, "term"]).join(stats, doc)
+    joined = counts.join(df.join(stats, doc), [doc, "term"])
     part = weight * bm25(F.col("tf"), F.col("len"), F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0), F.col("n"), F.col("df"))
     return joined.groupBy(doc, ident).agg(F.sum(part).alias("score"))
 
