@@ -232,3 +232,43 @@ def normal_information(rows: DataFrame, days: list[str]) -> DataFrame:
     bad = [F.when((F.coalesce(F.trim(c), F.lit("")) != "") & read[c].isNull(), c) for c in days]
     rows = rows.withColumn("refused", F.array_compact(F.array(*bad)))
     return rows.withColumns({c: F.date_format(read[c], "yyyy-MM-dd") for c in days})
+
+
+# What a sentence has to say to be about who may apply.
+ELIGIBILITY_CUE = (
+    r"(?i)\b(?:eligib\w*|qualif\w*|must\s+(?:have|possess|hold)|shall\s+(?:have|possess|hold)|should\s+(?:have|possess|hold)|"
+    r"required\s+to|currently\s+(?:studying|pursuing)|completed|degree\s+of)\b"
+)
+
+
+def recovered_qualifications(passages: DataFrame, doc: str, passage: str, text: str) -> DataFrame:
+    """(doc, level, quote, passage): levels of education that a sentence of a document's passages asks for, each with the
+    sentence, cut to 400 characters; of equal sentences the first. Sentences of fewer than 18 characters ask for nothing."""
+    parts = F.split(F.col(text), r"(?<=[.;:])\s+|\n+")
+    rows = passages.select(doc, passage, F.posexplode(parts).alias("n", "part")).withColumn("sentence", F.trim("part"))
+    rows = rows.where((F.length("sentence") >= 18) & F.col("sentence").rlike(ELIGIBILITY_CUE))
+    levels = F.filter(F.array(*map(F.lit, LEVEL_WORDING)), lambda level: level_backed(level, F.col("sentence")))
+    found = rows.withColumn("level", F.explode(levels)).groupBy(doc, "level", "sentence").agg(F.min(F.struct(passage, "n")).alias("at"))
+    return found.select(doc, "level", F.left("sentence", F.lit(400)).alias("quote"), F.col(f"at.{passage}").alias(passage))
+
+
+def date_and_age_errors(opens: Column, closes: Column, ranges: Column, minimum: Column, maximum: Column) -> Column:
+    """What contradicts itself in a notice's days (ranges: array of start and end) and ages."""
+    backwards = F.transform(F.filter(ranges, lambda r: r["start"] > r["end"]), lambda r: F.lit("Exam start date is after exam end date."))
+    checks = [
+        F.array(F.when(opens > closes, "Application start date is after application end date.")),
+        F.coalesce(backwards, F.array().cast("array<string>")),
+        F.array(F.when(closes > F.array_min(F.transform(ranges, lambda r: r["start"])), "Application end date is after the examination begins.")),
+        F.array(F.when(minimum > maximum, "Minimum age is greater than maximum age.")),
+    ]
+    return F.array_compact(F.concat(*checks))
+
+
+def normal_extractions(information: DataFrame, rules: DataFrame, doc: str, days: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(information, rules, refused) of whole extractions in their normal form: a document is taken with all its days and rules
+    or refused (doc, why) with each of its faults; all other columns, evidence too, stay as they are."""
+    info, leaves = normal_information(information, days), normal_rule(rules)
+    unread = info.select(doc, F.explode("refused").alias("column")).select(doc, F.concat(F.lit("Unable to normalize date: "), "column").alias("why"))
+    refused = unread.unionByName(leaves.where("refused is not null").select(doc, F.col("refused").alias("why"))).distinct()
+    kept = lambda x: x.join(refused, doc, "left_anti").drop("refused")
+    return kept(info), kept(leaves), refused

@@ -157,7 +157,7 @@ _LEAF = ("_name", "_op", "_kind", "_limit", "_bound", "_b", "_pb", "_rb", "_erro
 
 def compiled_trees(groups: DataFrame, rules: DataFrame) -> DataFrame:
     """A row for each notice that has rules: its leaves in tree order, its groups deepest first, and the first error of a leaf."""
-    tree = materialise(walk(groups), "rule-tree")
+    tree = walk(groups)  # a written table for each level
     lost = groups.join(tree, ["notice", "group_id"], "left_anti").limit(5).collect()
     if lost:
         raise ValueError("Eligibility rule group references a missing parent group: " + ", ".join(str(r["group_id"]) for r in lost))
