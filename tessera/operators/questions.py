@@ -29,10 +29,10 @@ def matched(questions: DataFrame, key: str, message: str, items: DataFrame, item
     place = F.row_number().over(Window.partitionBy("_own", "_told").orderBy("_name", "_item"))
     first = rows.withColumn("_p", place).where(F.col("_p") <= most)
     profiles = first.groupBy("_own", "_told").agg(F.array_sort(F.collect_list(F.struct("_name", "_item"))).alias("_first"))
-    profiles = materialise(profiles.withColumn("_profile", F.xxhash64(F.to_json(F.struct("_own", "_told")))), "profiles")
+    profiles = materialise(profiles, "profiles")
 
-    strong = profiles.select("_profile", "_own", "_told", F.explode("_own").alias("_token"), F.lit(1).alias("_strong"))
-    weak = profiles.select("_profile", "_own", "_told", F.explode(F.array_except("_told", "_own")).alias("_token"), F.lit(0).alias("_strong"))
+    strong = profiles.select("_own", "_told", F.explode("_own").alias("_token"), F.lit(1).alias("_strong"))
+    weak = profiles.select("_own", "_told", F.explode(F.array_except("_told", "_own")).alias("_token"), F.lit(0).alias("_strong"))
     index = strong.unionByName(weak)
     numbered = questions.select(key, message).withColumn("_row", F.monotonically_increasing_id())  # used in one plan only, which writes it down
     asked = numbered.select("_row", key, F.explode(word(F.col(message))).alias("_token")).join(index.select("_token").distinct(), "_token", "left_semi")
