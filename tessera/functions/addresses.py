@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .dates import let
+
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 #: What is no markup of the page itself.
 _HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b([^>]*)>.*?(?:</\1\s*>|\z)"
@@ -90,7 +92,7 @@ def attributes(tag: Column) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """The value of a tag's attribute, the last one if it is repeated; null without."""
     own = F.filter(attributes(tag), lambda a: a["name"] == name)
-    return F.when(F.size(own) > 0, F.element_at(own, -1)["value"])
+    return let(own, lambda found: F.when(F.size(found) > 0, F.element_at(found, -1)["value"]))
 
 
 def texts(element: Column) -> Column:

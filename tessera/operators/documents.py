@@ -140,9 +140,9 @@ def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     without scripts (javascript:) and fragments of the page itself (#). label is the anchor's text, its parts run together.
     Character references are resolved, quotes around a value are not needed, other schemes than https give no link."""
     rows = pages.select(key, F.col(url).alias("base"), F.posexplode(W.anchors(F.col(html))).alias("ord", "anchor"))
-    rows = rows.select(key, "base", "ord", W.attribute(W.opening(F.col("anchor")), "href").alias("href"), W.texts(F.col("anchor")).alias("texts")).where("href <> ''")
+    rows = rows.select(key, "base", "ord", W.attribute(W.opening(F.col("anchor")), "href").alias("href"), W.texts(F.col("anchor")).alias("texts"))
     rows = rows.withColumn("plain", W.unescaped(F.array_prepend("texts", F.col("href"))))
-    rows = rows.withColumn("href", F.get("plain", F.lit(0))).where("not startswith(href, 'javascript:') and not startswith(href, '#')")
+    rows = rows.withColumn("href", F.get("plain", F.lit(0))).where("href <> '' and not startswith(href, 'javascript:') and not startswith(href, '#')")
     label = W.run_together(F.slice("plain", F.lit(2), F.size("plain")))
     rows = rows.select(key, "ord", W.resolved(F.col("base"), F.col("href")).alias("link"), label.alias("label")).where("startswith(link, 'https')")
     return rows.groupBy(key, "link").agg(F.min("ord").cast("long").alias("ord"), F.min_by("label", "ord").alias("label"))
