@@ -106,3 +106,9 @@ def test_clean_text(spark):
     rows = spark.createDataFrame([(1, " \ufb01ne\u00a0 x\u200by\t z "), (2, None), (3, "\u2460 \uff21\n\n  b \n"), (4, "")], "i long, t string")
     got = {r.i: (r.c, r.p) for r in rows.select("i", T.clean_text(F.col("t")).alias("c"), T.clean_page(F.col("t")).alias("p")).collect()}
     assert got == {1: ("fine xy z", "fine xy z"), 2: (None, None), 3: ("1 A\n\n b", "1 A\nb"), 4: ("", "")}
+
+
+def test_years_of_other_centuries(spark):
+    text = F.lit("no 12005 of 1995, again 1995, then 2001 and 18999")
+    assert one(spark, T.years(text)) == ["2001"]
+    assert one(spark, T.years(text, ("19", "20"))) == ["1995", "2001"]
