@@ -13,7 +13,7 @@ from ..functions.text import acronyms, chat_tokens, pieces, tokens
 from ..sources.tables import materialise
 from .profiles import QUESTION_WORDS, fact_lines
 from .relational import latest
-from .rules import STEP, evaluate, walk
+from .rules import evaluate, placed, with_rules
 
 
 def matched(questions: DataFrame, key: str, message: str, items: DataFrame, item: str, name: str, description: str, most: int = 3) -> DataFrame:
@@ -77,12 +77,15 @@ def searched(questions: DataFrame, key: str, message: str, items: DataFrame, ite
 def rule_lines(groups: DataFrame, rules: DataFrame) -> DataFrame:
     """(notice, rule_lines): a notice's groups that have rules of their own as lines in tree order, two spaces a level."""
     own = F.array_sort(F.collect_list(F.struct("rule_id", F.concat_ws(" ", "attribute", "operator", "value").alias("told"))))
-    listed = rules.groupBy("group_id").agg(F.transform(own, lambda r: r["told"]).alias("told"))
-    rows = walk(groups).join(groups.select("notice", "group_id", "logical_operator"), ["notice", "group_id"]).join(listed, "group_id")
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- ("), "logical_operator", F.lit(") "), F.array_join("told", "\0"))
-    line = F.replace(line, F.lit("\0"), F.concat(F.lit(" "), "logical_operator", F.lit(" ")))
-    placed = F.array_sort(F.collect_list(F.struct(F.col("path").cast(f"array<{STEP}>").alias("path"), line.alias("line"))))
-    return rows.groupBy("notice").agg(F.array_join(F.transform(placed, lambda x: x["line"]), "\n").alias("rule_lines"))
+    tree = placed(with_rules(groups, rules, told=F.transform(own, lambda r: r["told"])), "logical_operator", "told")
+
+    def line(g: Column) -> Column:
+        joined = F.array_join(g["told"], "\0")
+        text = F.concat(F.repeat(F.lit("  "), g["depth"]), F.lit("- ("), g["logical_operator"], F.lit(") "), joined)
+        return F.struct(g["path"].alias("path"), F.replace(text, F.lit("\0"), F.concat(F.lit(" "), g["logical_operator"], F.lit(" "))).alias("line"))
+
+    lines = F.array_sort(F.transform(F.filter("tree", lambda g: g["told"].isNotNull()), line))
+    return tree.select("notice", lines.alias("lines")).where(F.size("lines") > 0).select("notice", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("rule_lines"))
 
 
 def exam_facts(exams: DataFrame, notices: DataFrame, dates: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFrame:

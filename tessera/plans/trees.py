@@ -47,14 +47,13 @@ def heap(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     mark = F.when(F.col("l_returnflag") == "A", ">=").when(F.col("l_returnflag") == "N", "<").otherwise("=")
     state = F.when(F.col("l_returnflag") == "R", " ").otherwise(F.col("l_returnflag"))
 
-    def rule(i: int, attribute: str, op: Column, value: Column) -> DataFrame:
-        return lines.select(
-            (F.col("l_orderkey") * 1000 + F.col("n") * 10 + i).alias("rule_id"), number.alias("group_id"), F.lit(attribute).alias("attribute"), op.alias("operator"), value.alias("value"), "l_linenumber"
-        )
-
-    scores = rule(0, "CGPA", mark, F.col("l_quantity").cast("int").cast("string")).where("l_linenumber % 3 <> 0")
-    states = rule(1, "State", F.lit("="), state).where("l_linenumber % 3 = 2")
-    return groups, scores.unionByName(states).drop("l_linenumber")
+    def rule(i: int, attribute: str, op: Column, value: Column) -> Column:
+        ident = F.col("l_orderkey") * 1000 + F.col("n") * 10 + i
+        return F.struct(ident.alias("rule_id"), number.alias("group_id"), F.lit(attribute).alias("attribute"), op.alias("operator"), value.alias("value"))
+
+    scores = F.when(F.col("l_linenumber") % 3 != 0, rule(0, "CGPA", mark, F.col("l_quantity").cast("int").cast("string")))
+    states = F.when(F.col("l_linenumber") % 3 == 2, rule(1, "State", F.lit("="), state))
+    return groups, lines.select(F.inline(F.array_compact(F.array(scores, states))))
 
 
 @query(f"with recursive {_HEAP}, {_WALK} select a as group_id, count(r.rule_id) as n_rules from (select group_id, unnest(above) as a from w) c left join r on r.group_id = c.group_id group by a")
