@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def limit_events(times: list[float], kept: list[float], most: int, seconds: float) -> tuple[list[bool], list[float]]:
-    """Accept an event when fewer than most accepted ones are at most seconds old; rejected ones leave no trace."""
+def limit_events(times: list[float], kept: list[float], most: int, span: float) -> tuple[list[bool], list[float]]:
+    """Accept an event when fewer than most accepted ones are at most span old, in the unit of the times; rejected ones leave
+    no trace."""
     out = []
     for t in times:
-        kept = [k for k in kept if t - k <= seconds]
+        kept = [k for k in kept if t - k <= span]
         out.append(len(kept) < most)
         if out[-1]:
             kept.append(t)
@@ -27,30 +28,30 @@ def rate_limit(events: DataFrame, key: str, ident: str, at: str, most: int, seco
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["us", ident])
-        accepted, _ = limit_events((part.us / 1e6).tolist(), [], most, seconds)
+        accepted, _ = limit_events(part.us.tolist(), [], most, round(seconds * 1e6))
         return part.assign(accepted=accepted)[[key, ident, "accepted"]]
 
     return rows.groupBy(key).applyInPandas(run, f"{key} long, {ident} long, accepted boolean")
 
 
 def rate_limit_stream(events: DataFrame, key: str, ident: str, at: str, most: int, seconds: float) -> DataFrame:
-    """The same over a stream; a key's state is the accepted times that still count, and goes when none does."""
-    rows = events.select(key, ident, F.col(at).cast("timestamp").alias("t")).withWatermark("t", f"{int(seconds)} seconds")
+    """The same over a stream; a key's state is the accepted times (whole microseconds) that still count, and goes when none
+    does. A key's rows of a micro-batch may come in several parts, which are put in order together."""
+    rows = events.select(key, ident, F.col(at).cast("timestamp").alias("t"), F.unix_micros(F.col(at).cast("timestamp")).alias("us")).withWatermark("t", f"{int(seconds)} seconds")
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         kept = list(state.get[0]) if state.exists else []
-        for part in parts:
-            part = part.sort_values(["t", ident])
-            accepted, kept = limit_events((part.t.astype("int64") / 1e9).tolist(), kept, most, seconds)
-            yield pd.DataFrame({key: part[key], ident: part[ident], "accepted": accepted})
+        part = pd.concat(list(parts)).sort_values(["us", ident])
+        accepted, kept = limit_events(part.us.tolist(), kept, most, round(seconds * 1e6))
+        yield pd.DataFrame({key: part[key], ident: part[ident], "accepted": accepted})
         state.update((kept,))
         if kept:
-            state.setTimeoutTimestamp(max(int((max(kept) + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(int(max(kept) / 1000 + seconds * 1000) + 1, state.getCurrentWatermarkMs() + 1))
 
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, {ident} long, accepted boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, {ident} long, accepted boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def bucket_events(rows: list[tuple[float, float, float, bool]], capacity: float, refill: float) -> list[tuple[float, bool]]:

@@ -149,3 +149,24 @@ def test_a_stream_that_is_stopped_and_goes_on(spark, tmp_path):
         run_to_end(stream, "append", f"{tmp_path}/state", write)
     run_to_end(stream, "append", f"{tmp_path}/state", write)
     assert sorted((x.id, x.key) for x in batches(spark, f"{tmp_path}/store").collect()) == [(i, f"k{i}") for i in range(7)]
+
+
+def test_a_key_in_several_parts_of_a_micro_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.streaming.drain import drained, event_stream
+
+    n = 24_000  # more than one Arrow batch of rows, times not in the order of the rows
+    rows = spark.range(n).select((F.col("id") % 2).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds((F.col("id") * 7919) % n * 60 + 1_700_000_000).alias("ts"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    events = spark.read.parquet(f"{tmp_path}/events.parquet")
+    found = drained(S.rate_limit_stream(event_stream(spark, str(tmp_path), 1), "user_id", "event_id", "ts", 2, 86_400), "append")
+    assert found.exceptAll(S.rate_limit(events, "user_id", "event_id", "ts", 2, 86_400)).count() == 0
+    assert found.count() == n
+
+
+def test_sends_after_the_moment_do_not_count(spark, tmp_path):
+    from tessera.plans.streaming import send_gate
+
+    spark.sql("select * from values (1L, timestamp_ntz'2024-01-20 00:00:00.4'), (2L, timestamp_ntz'2024-01-19 23:59:59.4') t(user_id, ts)").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in send_gate(spark, str(tmp_path)).collect()] == [(2, 599, True)]
