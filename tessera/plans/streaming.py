@@ -107,7 +107,7 @@ def fanout_flips(spark: SparkSession, d: str) -> DataFrame:
 select user_id, greatest(0, 600 - min(date_diff('second', date_trunc('second', ts), timestamp '2024-01-20 00:00:00')))::bigint as wait, count(*) filter (date_diff('second', date_trunc('second', ts), timestamp '2024-01-20 00:00:00') < 3600) >= 1 as used_up
 from events where ts <= timestamp '2024-01-20 00:00:00' group by user_id""")
 def send_gate(spark: SparkSession, d: str) -> DataFrame:
-    events = load(spark, d, "events").withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    events = load(spark, d, "events").where("ts <= timestamp_ntz'2024-01-20 00:00:00'").withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz"))
     return M.send_gate(events, "user_id", "ts", "2024-01-20 00:00:00", 600, 1)
 
 
