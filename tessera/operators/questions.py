@@ -53,12 +53,13 @@ def searched(questions: DataFrame, key: str, message: str, items: DataFrame, ite
 
     The longest token of a message (its text, if it has none) has to be in an item's text, so all its pieces of three
     characters are; questions meet the items in whose index the rarest of these stands, or that have the token as an acronym,
-    and only these are looked at. Null and blank messages find every item: they are left out here, as the answer is the
+    and only these are looked at. Items with the same text and acronyms are looked at once. Null and blank messages find every item: they are left out here, as the answer is the
     catalogue itself. Repeated keys and messages are questions of their own."""
     text = F.lower(F.coalesce(F.col(haystack), F.lit("")))
-    rows = materialise(items.select(F.col(item), text.alias("_text"), acronyms(F.col(name)).alias("_short")), "catalogue")
-    index = rows.select(item, F.explode(F.concat(*[pieces(F.col("_text"), F.lit(n)) for n in (1, 2, 3)])).alias("_gram"))
-    index = index.unionByName(rows.select(item, F.explode(F.transform("_short", lambda x: F.concat(F.lit("=  "), x))).alias("_gram")))  # no piece is so long
+    every_item = items.select(F.col(item), text.alias("_text"), acronyms(F.col(name)).alias("_short"))
+    rows = materialise(every_item.select("_text", "_short").distinct().withColumn("_id", F.monotonically_increasing_id()), "catalogue")  # written down once
+    index = rows.select("_id", F.explode(F.concat(*[pieces(F.col("_text"), F.lit(n)) for n in (1, 2, 3)])).alias("_gram"))
+    index = index.unionByName(rows.select("_id", F.explode(F.transform("_short", lambda x: F.concat(F.lit("=  "), x))).alias("_gram")))  # no piece is so long
     counts = materialise(index.groupBy("_gram").agg(F.count("*").alias("_n")), "grams")
 
     asked = questions.select(F.col(key), F.trim(F.lower(message)).alias("_whole"), F.monotonically_increasing_id().alias("_row")).where("_whole <> ''")
@@ -69,9 +70,10 @@ def searched(questions: DataFrame, key: str, message: str, items: DataFrame, ite
     # A piece that no item has rules the text out, so pieces without a count are rarest of all.
     rarest = looked.select("_row", F.explode("_pieces").alias("_gram")).join(counts, "_gram", "left").groupBy("_row").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
     keys = rarest.unionByName(looked.select("_row", F.concat(F.lit("=  "), "_probe").alias("_gram")))
-    pairs = keys.join(index, "_gram").select("_row", item).distinct().join(asked, "_row").join(rows, item)
+    pairs = keys.join(index, "_gram").select("_row", "_id").distinct().join(asked, "_row").join(rows, "_id")
     every = (F.size("_words") > 0) & F.forall("_words", lambda w: F.contains("_text", w) | F.array_contains("_short", w))
-    return pairs.where(F.contains("_text", F.col("_whole")) | every).select(key, item)
+    found = pairs.where(F.contains("_text", F.col("_whole")) | every).select(key, "_text", "_short")
+    return found.join(every_item, ["_text", "_short"]).select(key, item)
 
 
 def rule_lines(groups: DataFrame, rules: DataFrame) -> DataFrame:

@@ -92,3 +92,12 @@ def test_rule_lines_of_an_empty_tree(spark):
     groups = spark.createDataFrame([(1, 1, None, 1, "AND")], "notice long, group_id long, parent_group_id long, group_number int, logical_operator string")
     rules = spark.createDataFrame([], "rule_id long, group_id long, attribute string, operator string, value string")
     assert Q.rule_lines(groups, rules).count() == 0
+
+
+def test_a_search_finds_every_copy_and_looks_once(spark):
+    items = spark.createDataFrame([(i, "steel pin", "steel pin big") for i in range(50)] + [(50, "brass pin", "brass pin")], "item long, name string, text string")
+    asked = spark.createDataFrame([("a", "eel"), ("b", "pin brass"), ("c", "pin")], "k string, message string")
+    found = Q.searched(asked, "k", "message", items, "item", "name", "text")
+    assert sorted(map(tuple, found.collect())) == sorted([("a", i) for i in range(50)] + [("b", 50)] + [("c", i) for i in range(51)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_id" in plan  # pairs are made of different texts
