@@ -36,18 +36,18 @@ def flatten_json(df: DataFrame, key: str, json: str, depth: int = 6) -> DataFram
     """(key, path, value) of every leaf of a JSON text, paths as a.b[0]; positional for lists. Objects and lists open one
     level at a time; what lies deeper than depth stays whole as its JSON text. Unreadable JSON gives no rows."""
     spark = df.sparkSession
-    level = df.select(F.col(key).alias("k"), F.lit("").alias("path"), F.try_parse_json(json).alias("v")).where("v is not null")
-    done: DataFrame | None = None
-    for i in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY") if i < depth else F.lit(False)
-        leaves = level.where(~nested).select("k", "path", F.to_json("v").alias("value"))
-        done = leaves if done is None else done.unionByName(leaves)
-        if i < depth:
-            opened = level.where(nested).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key_", "inner"))
-            step = F.when(F.col("key_").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).when(F.col("path") == "", F.col("key_")).otherwise(F.concat("path", F.lit("."), "key_"))
-            level = opened.select("k", step.alias("path"), F.col("inner").alias("v"))
-    return done.where("value <> 'null'").select(F.col("k").alias(key), "path", "value")
+    rows = df.select(F.col(key).alias("k"), F.lit("").alias("path"), F.try_parse_json(json).alias("v")).where("v is not null")
+    kind = F.schema_of_variant("v")
+    rows = rows.withColumn("nested", kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+    for i in range(depth):
+        # One pass: what is nested opens, leaves stay as they are, so no level is worked out again for the next.
+        opened = rows.lateralJoin(spark.tvf.variant_explode_outer(F.when(F.col("nested"), F.col("v")).outer()).toDF("pos", "key_", "inner")).where("not nested or pos is not null")
+        step = F.when(F.col("key_").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).when(F.col("path") == "", F.col("key_")).otherwise(F.concat("path", F.lit("."), "key_"))
+        rows = opened.select("k", F.when(F.col("nested"), step).otherwise(F.col("path")).alias("path"), F.when(F.col("nested"), F.col("inner")).otherwise(F.col("v")).alias("v"), "nested")
+        if i < depth - 1:
+            kind = F.schema_of_variant("v")
+            rows = rows.withColumn("nested", F.col("nested") & (kind.startswith("OBJECT") | kind.startswith("ARRAY")))
+    return rows.select(F.col("k").alias(key), "path", F.to_json("v").alias("value")).where("value <> 'null'")
 
 
 def one_to_one(asked: DataFrame, given: DataFrame, key: str, ident: str) -> DataFrame:

@@ -250,3 +250,12 @@ def test_words_end_where_sql_ends_them(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["score"] for r in section_scores(spark, str(tmp_path)).collect()} == {0: 2.0, 1: 4.5, 2: 4.5}
     assert {r["doc_id"]: r["reason"] for r in gate(spark, str(tmp_path)).collect()} == {0: "ok", 1: "other kind", 2: "ok"}
+
+
+def test_json_opens_in_one_pass(spark):
+    texts = ['{"a": {"b": {"c": {"d": {"e": {"f": {"g": [1]}}}}}}, "x": [[], {}, [2, null]], "": 3}', "[]", "{}", "7", '["y"]', "null", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, j string")
+    found = C.flatten_json(rows, "k", "j")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # read and parsed once
+    got = {(x.k, x.path, x.value) for x in found.collect()}
+    assert got == {(0, "a.b.c.d.e.f", '{"g":[1]}'), (0, "x[2][0]", "2"), (0, "", "3"), (3, "", "7"), (4, "[0]", '"y"')}
