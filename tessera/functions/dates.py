@@ -26,8 +26,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def day_of(year: Column, month: Column, day: Column) -> Column:
-    """The date, null when the calendar has no such day."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    """The date, null when the calendar has no such day. Days are checked by number: a parser that refuses one raises an error
+    inside, which costs more than all the rest."""
+
+    def checked(parts: Column) -> Column:
+        y, m, d = (F.get(parts, i) for i in range(3))
+        leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+        last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+        return F.when(y.between(0, 9999) & m.between(1, 12) & d.between(1, last), F.make_date(y, m, d))
+
+    return let(F.array(year, month, day), checked)
 
 
 def month_number(text: Column) -> Column:
@@ -42,9 +50,14 @@ def full_year(year: Column) -> Column:
 
 def expand_days(days: Column) -> Column:
     """`6-8` and `6 to 8` are all days between; any other list is itself."""
-    numbers = F.transform(F.regexp_extract_all(days, F.lit(r"\d{1,2}"), 0), lambda x: x.cast("int"))
-    ranged = (F.size(numbers) == 2) & days.rlike(r"(?i)\bto\b|[-–—]") & (F.get(numbers, 0) < F.get(numbers, 1)) & (F.get(numbers, 1) <= 31)
-    return F.when(ranged, F.sequence(F.get(numbers, 0), F.get(numbers, 1))).otherwise(numbers)
+
+    def spread(d: Column) -> Column:
+        between = d.rlike(r"(?i)\bto\b|[-–—]")
+        ranged = lambda n: (F.size(n) == 2) & between & (F.get(n, 0) < F.get(n, 1)) & (F.get(n, 1) <= 31)
+        numbers = F.transform(F.regexp_extract_all(d, F.lit(r"\d{1,2}"), 0), lambda x: x.cast("int"))
+        return let(numbers, lambda n: F.when(ranged(n), F.sequence(F.get(n, 0), F.get(n, 1))).otherwise(n))
+
+    return let(days, spread)
 
 
 def _listed(match: Column) -> Column:
@@ -65,27 +78,35 @@ def _range(match: Column) -> Column:
 
 
 def _numeric(match: Column) -> Column:
-    n = F.split(match, r"[/.\-]")
-    return F.array(day_of(full_year(F.get(n, 2).cast("int")), F.get(n, 1).cast("int"), F.get(n, 0).cast("int")))
+    numbers = F.transform(F.split(match, r"[/.\-]"), lambda x: x.cast("int"))
+    return let(numbers, lambda n: F.array(day_of(full_year(F.get(n, 2)), F.get(n, 1), F.get(n, 0))))
+
+
+def _iso(match: Column) -> Column:
+    numbers = F.transform(F.split(match, "-"), lambda x: x.cast("int"))
+    return let(numbers, lambda n: F.array(day_of(F.get(n, 0), F.get(n, 1), F.get(n, 2))))
+
+
+# How a month's name begins; the patterns of dates, each after what every match of it has in it, which is looked
+# for first, as most texts have none.
+_BEGINS = f"(?:{'|'.join(MONTHS)})"
+EVERY = [
+    (rf"(?i){_BEGINS}[a-z]*\.?\s+[0-9]", MONTH_DAYS, _listed),
+    (rf"(?i)[0-9](?:st|nd|rd|th)?\s+(?:of\s+)?{_BEGINS}", DAYS_MONTH, _listed),
+    (rf"(?i)[0-9](?:st|nd|rd|th)?\s*(?:to|-|–|—)\s*{_BEGINS}", MONTH_TO_MONTH, _range),
+    ("[0-9]-[0-9]{2}-[0-9]", ISO, _iso),
+    ("[0-9][/.-][0-9]{1,2}[/.-][0-9]", NUMERIC, _numeric),
+]
 
 
 def find_dates(text: Column) -> Column:
     """All dates of a text, pattern by pattern, repeats kept, impossible days left out; numeric ones are day first."""
-    every = [
-        (MONTH_DAYS, _listed),
-        (DAYS_MONTH, _listed),
-        (MONTH_TO_MONTH, _range),
-        (ISO, lambda m: F.array(F.try_to_date(m, "yyyy-MM-dd"))),
-        (NUMERIC, _numeric),
-    ]
-    # What every match of a pattern has in it, looked for first, as most texts have none: a year of four digits, or digits on
-    # both sides of a mark.
-    year, marked = text.rlike("[0-9]{4}"), text.rlike("[0-9][/.-][0-9]")
-    found = []
-    for k, (pattern, read) in enumerate(every):
-        dates = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), read))
-        found.append(F.when(year if k < 3 else marked, dates).otherwise(F.array().cast("array<date>")))
-    return F.when(text.isNotNull(), F.array_compact(F.concat(*found)))
+
+    def found(t: Column) -> Column:
+        dates = [F.when(t.rlike(mark), F.flatten(F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), read))).otherwise(F.array().cast("array<date>")) for mark, pattern, read in EVERY]
+        return F.when(t.isNotNull(), F.array_compact(F.concat(*dates)))
+
+    return let(text, found)
 
 
 def date_set(text: Column) -> Column:
@@ -163,7 +184,7 @@ def only_one(days: Column) -> Column:
 
 def first_date(text: Column) -> Column:
     """The date that stands first in a text; null without one."""
-    kinds = [(MONTH_DAYS, _listed), (DAYS_MONTH, _listed), (MONTH_TO_MONTH, _range), (ISO, lambda m: F.array(F.try_to_date(m, "yyyy-MM-dd"))), (NUMERIC, _numeric)]
+    kinds = [(MONTH_DAYS, _listed), (DAYS_MONTH, _listed), (MONTH_TO_MONTH, _range), (ISO, _iso), (NUMERIC, _numeric)]
     found = [F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.get(f(F.nullif(F.regexp_extract(text, p, 0), F.lit(""))), 0).alias("day")) for p, f in kinds]
     return F.array_min(F.filter(F.array(*found), lambda x: (x["at"] > 0) & x["day"].isNotNull()))["day"]
 

@@ -112,3 +112,14 @@ def test_years_of_other_centuries(spark):
     text = F.lit("no 12005 of 1995, again 1995, then 2001 and 18999")
     assert one(spark, T.years(text)) == ["2001"]
     assert one(spark, T.years(text, ("19", "20"))) == ["1995", "2001"]
+
+
+def test_days_are_checked_by_number(spark):
+    years = [0, 4, 100, 1900, 2000, 2023, 2024, 9999]
+    rows = [(y, m, n) for y in years for m in range(14) for n in range(33)] + [(None, 1, 1), (2024, None, 1), (2024, 1, None)]
+    table = spark.createDataFrame(rows, "y int, m int, d int")
+    parsed = F.try_to_date(F.format_string("%04d-%02d-%02d", "y", "m", "d"), "yyyy-MM-dd")
+    found = table.select(D.day_of(F.col("y"), F.col("m"), F.col("d")).alias("a"), parsed.alias("b"))
+    assert found.where("not a <=> b").count() == 0 and found.where("a is null").count() > 100
+    plan = spark.createDataFrame([("x",)], "t string").select(D.date_set(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "format_string" not in plan and "yyyy" not in plan
