@@ -13,11 +13,11 @@ from ..functions.text import LEVEL_ORDER, attribute_label, canonical, country, d
 LEVEL_NAMES = ("10th", "12th / Senior Secondary", "Diploma", "Bachelor's", "Master's", "PhD")
 
 
-def compile_dates(facts: DataFrame, key: str, start: str, end: str, text: Column) -> DataFrame:
+def compile_dates(facts: DataFrame, key: str, start: str, end: str, text: Column | None = None, known_days: Column | None = None) -> DataFrame:
     """facts with start_day and end_day in order (swapped says if they were not), grounded (every day is among the text's
-    dates) and unreadable (the start is no date)."""
+    dates) and unreadable (the start is no date). Where facts share a text, known_days are its dates, read once (date_set)."""
     a, b = normal_date(F.col(start)), normal_date(F.col(end))
-    rows = facts.withColumns({"_a": a, "_b": b, "_all": date_set(text)})
+    rows = facts.withColumns({"_a": a, "_b": b, "_all": date_set(text) if known_days is None else known_days})
     turned = F.coalesce(F.col("_b") < F.col("_a"), F.lit(False))
     days = F.array_compact(F.array("_a", "_b"))
     known = (F.size(days) > 0) & F.forall(days, lambda x: F.array_contains("_all", x))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import date_set
+from ..sources.tables import materialise
 from .compiling import compile_dates
 from .retrieval import bm25_scores, locate_quotes, pack, section_passages
 
@@ -16,18 +18,20 @@ def extract(docs: DataFrame, facts_of: Callable[[DataFrame], DataFrame], terms:
     stands), exact, issues.
 
     docs may have a page each (a column page); passages follow their headings and tables. facts_of gets the packed context (doc_id, passage, section, text) and gives facts (doc_id, fact_id, start, end, quote);
-    it stands for a model and is never called row by row. A fact without a place for its quote stays, with an issue."""
+    it stands for a model, is called once and never row by row. A fact without a place for its quote stays, with an issue.
+
+    Passages and facts are written tables; a document's dates are read once, not for each of its facts."""
     pages = docs if "page" in docs.columns else docs.withColumn("page", F.lit(1))
-    passages = section_passages(pages, "doc_id", "page", "text")
+    passages = materialise(section_passages(pages, "doc_id", "page", "text"), "passages")
     docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
-    docs = docs.select("doc_id", F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("text"))
+    docs = docs.select("doc_id", F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("text")).select("doc_id", date_set(F.col("text")).alias("_days"))
     scores = bm25_scores(passages, "doc_id", "passage", "text", terms, "section")
     scored = passages.join(scores, ["doc_id", "passage"], "left").fillna(0.0, ["score"])
     chosen = pack(scored, "doc_id", "passage", "section", "text", budget)
     context = passages.join(chosen.select("doc_id", "passage"), ["doc_id", "passage"], "left_semi")
-    facts = facts_of(context)
+    facts = materialise(facts_of(context), "facts")
     places = locate_quotes(facts, passages.select("doc_id", "passage", "text"), "fact_id", "quote", "doc_id", "passage", "text")
-    dated = compile_dates(facts.join(docs.select("doc_id", "text"), "doc_id"), "doc_id", "start", "end", F.col("text"))
+    dated = compile_dates(facts.join(docs, "doc_id"), "doc_id", "start", "end", known_days=F.col("_days"))
     found = dated.join(places.select("doc_id", "fact_id", "passage", "exact"), ["doc_id", "fact_id"], "left")
     issues = F.array_compact(
         F.array(

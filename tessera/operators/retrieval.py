@@ -110,11 +110,11 @@ def locate_quotes(quotes: DataFrame, passages: DataFrame, quote_id: str, quote:
     share the column doc: a quote is only looked for in the passages of its own document."""
     said = F.col(cited) if cited else F.lit(None).cast("long")
     q = quotes.select(doc, quote_id, said.alias("_cited"), grounding(F.col(quote)).alias("_q")).where(F.length("_q") >= 4).withColumn("_qw", F.array_distinct(word_list(F.col("_q"))))
-    p = passages.select(doc, passage, grounding(F.col(text)).alias("_p"))
-    both = q.join(p, doc)
+    # A passage's words are listed once, before it meets its quotes.
+    p = passages.select(doc, passage, grounding(F.col(text)).alias("_p")).withColumn("_pw", F.array_distinct(word_list(F.col("_p"))))
     exact = F.col("_p").contains(F.col("_q"))
-    ratio = F.size(F.array_intersect("_qw", word_list(F.col("_p")))) / F.size("_qw")
-    both = both.withColumn("exact", exact).withColumn("ratio", ratio)
+    ratio = F.size(F.array_intersect("_qw", "_pw")) / F.size("_qw")
+    both = q.join(p, doc).withColumn("exact", exact).withColumn("ratio", ratio)
     found = both.where("exact or (size(_qw) >= 3 and ratio >= 0.85)")
     ranked = F.struct("exact", F.when(F.col("exact"), 1.0).otherwise(F.col("ratio")), F.col("_cited").eqNullSafe(F.col(passage)), -F.col(passage))
     best = F.max_by(F.struct(passage, "exact", "ratio"), ranked)

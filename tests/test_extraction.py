@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators.extraction import extract
 from tessera.plans.catalogue import QUERIES
@@ -46,3 +47,16 @@ def test_latest_per_key_does_not_sort_its_input(spark):
 def test_only_needed_columns_are_read(spark):
     plan = QUERIES["delete_cascade_survivors"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in plan
+
+
+def test_facts_are_asked_for_once(spark):
+    """The facts are a written table: what stands for a model is not worked out again for each use of its facts."""
+
+    def stub(context):
+        rows = context.select("doc_id", F.lit(1).cast("long").alias("fact_id"), F.lit("1 May 2027").alias("start"), F.lit(None).cast("string").alias("end"), F.lit("closes on 1 May 2027").alias("quote"), F.rand().alias("_x"))
+        return rows.where("_x >= 0").drop("_x")
+
+    docs = spark.createDataFrame([(1, "# Dates\nThe portal closes on 1 May 2027.\n# More\nclosing 2 May 2027"), (2, "# Dates\nIt closes on 3 May 2027.")], "doc_id long, text string")
+    found = extract(docs, stub, {"closes": 2.0})
+    assert "rand(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x.doc_id, x.grounded, x.passage is not None) for x in found.collect()) == [(1, True, True), (2, False, False)]
