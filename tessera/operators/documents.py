@@ -306,19 +306,23 @@ def count_of(text: Column, words: tuple[str, ...] | list[str]) -> Column:
 def document_link_score(url: Column, label: Column, identity: list[str], years: list[str]) -> Column:
     """How likely a link is the wanted document: 5 for .pdf, the words' weights, 4 for each word of the identity (none:
     rejected), 5 for a wanted year; another year in the address rejects, in the label it takes 8. Rejected is -100."""
-    seen = F.lower(F.concat(F.coalesce(url, F.lit("")), F.lit(" "), F.coalesce(label, F.lit(""))))
-    score = F.when(seen.contains(".pdf"), 5).otherwise(0) + count_of(seen, LINK_WORDS) + 6 * count_of(seen, LINK_STRONG) - 15 * count_of(seen, LINK_WEAK)
-    reject = count_of(seen, LINK_REJECTS) > 0
-    if identity:
-        hits = count_of(seen, [t.lower() for t in identity])
-        reject, score = reject | (hits == 0), score + hits * 4
-    if years:
-        found = lambda text: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![0-9])(20[0-9]{2})(?![0-9])"), 1)
-        wanted, in_url, in_label = F.array(*map(F.lit, years)), found(F.try_parse_url(url, F.lit("PATH"))), found(label)
-        reject = reject | ((F.size(in_url) > 0) & ~F.arrays_overlap(in_url, wanted))
-        of_label = F.when(F.size(in_label) == 0, 0).when(F.arrays_overlap(in_label, wanted), 5).otherwise(-8)
-        score = score + F.when(F.size(in_url) > 0, 5).otherwise(of_label)
-    return F.when(reject, -100).otherwise(score).cast("long")
+    text = F.lower(F.concat(F.coalesce(url, F.lit("")), F.lit(" "), F.coalesce(label, F.lit(""))))
+
+    def scored(seen: Column) -> Column:
+        score = F.when(seen.contains(".pdf"), 5).otherwise(0) + count_of(seen, LINK_WORDS) + 6 * count_of(seen, LINK_STRONG) - 15 * count_of(seen, LINK_WEAK)
+        reject = count_of(seen, LINK_REJECTS) > 0
+        if identity:
+            hits = count_of(seen, [t.lower() for t in identity])
+            reject, score = reject | (hits == 0), score + hits * 4
+        if years:
+            found = lambda text: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![0-9])(20[0-9]{2})(?![0-9])"), 1)
+            wanted, in_url, in_label = F.array(*map(F.lit, years)), found(F.try_parse_url(url, F.lit("PATH"))), found(label)
+            reject = reject | ((F.size(in_url) > 0) & ~F.arrays_overlap(in_url, wanted))
+            of_label = F.when(F.size(in_label) == 0, 0).when(F.arrays_overlap(in_label, wanted), 5).otherwise(-8)
+            score = score + F.when(F.size(in_url) > 0, 5).otherwise(of_label)
+        return F.when(reject, -100).otherwise(score).cast("long")
+
+    return let(text, scored)  # once for all words
 
 
 def source_score(title: Column, text: Column, host: Column) -> Column:

@@ -259,3 +259,9 @@ def test_json_opens_in_one_pass(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # read and parsed once
     got = {(x.k, x.path, x.value) for x in found.collect()}
     assert got == {(0, "a.b.c.d.e.f", '{"g":[1]}'), (0, "x[2][0]", "2"), (0, "", "3"), (3, "", "7"), (4, "[0]", '"y"')}
+
+
+def test_a_links_text_is_made_once(spark):
+    links = spark.createDataFrame([("https://h.org/a.pdf", "Gate notice")], "u string, t string").select(D.document_link_score(F.upper("u"), F.upper("t"), ["gate"], []).alias("x"))
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("upper(u") == 1  # not for every word looked for
+    assert links.first()["x"] == 5 + 4 + 1
