@@ -2,7 +2,8 @@
 
 Spans: page, line, ord, text, x0, y0, x1, y1, size, bold. Strokes (thin horizontal rules): page, x0, y0, x1, y1. Tables: page,
 table_no, x0, y0, x1, y1; their cells as a finder gives them: page, table_no, row_no, x0, x1. Coordinates grow to the right and
-down. Strokes meet spans and tables by bands of their height, never all of a page with all.
+down. Strokes meet spans and tables by bands of their height, never all of a page with all. Spans and
+strokes are shuffled once, by their page; inside it a band's strokes are a list.
 """
 
 from __future__ import annotations
@@ -29,17 +30,20 @@ def with_struck(spans: DataFrame, strokes: DataFrame) -> DataFrame:
     """spans with struck: strokes through the middle of a span's height cover most of its width. A span without width, height
     or visible text never is. Strokes that overlap count each; a repeated span is a span for each row."""
     height, width = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
-    rows = spans.withColumn("_row", F.struct(*spans.columns))
     low, high = F.col("y0") + STRUCK_FROM * height, F.col("y0") + STRUCK_TO * height
-    wanted = rows.where((height > 0) & (width > 0) & F.col("text").rlike(r"\S"))
-    a = wanted.select("_row", F.col("page").alias("_page"), low.alias("_lo"), high.alias("_hi"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1")).distinct()
-    a = a.withColumn("_band", F.explode(bands(F.col("_lo"), F.col("_hi"))))
-    middle = (F.col("y0") + F.col("y1")) / 2
-    b = strokes.select(F.col("page").alias("_page"), middle.alias("_y"), F.col("x0").alias("_s0"), F.col("x1").alias("_s1")).withColumn("_band", F.floor(F.col("_y") / BAND))
-    covered = F.least("_x1", "_s1") - F.greatest("_x0", "_s0")
-    met = a.join(b, ["_page", "_band"]).where(F.col("_y").between(F.col("_lo"), F.col("_hi"))).where(covered > 0)
-    hit = met.groupBy("_row", "_x0", "_x1").agg(F.sum(covered).alias("_c")).where(F.col("_c") / (F.col("_x1") - F.col("_x0")) >= STRUCK_WIDTH).select("_row", F.lit(True).alias("_hit"))
-    return rows.join(hit, "_row", "left").select(*spans.columns, F.coalesce("_hit", F.lit(False)).alias("struck"))
+    wanted = F.col("page").isNotNull() & (height > 0) & (width > 0) & F.col("text").rlike(r"\S")
+    a = spans.select("*", F.when(wanted, low).alias("_lo"), F.when(wanted, high).alias("_hi"), F.lit(True).alias("_is"))
+    b = strokes.select("page", F.struct(((F.col("y0") + F.col("y1")) / 2).alias("y"), "x0", "x1").alias("_k"))
+    both = a.unionByName(b, allowMissingColumns=True).repartition("page")
+    own = F.when(F.col("_lo").isNotNull(), bands(F.col("_lo"), F.col("_hi"))).otherwise(F.array(F.floor(F.col("_k.y") / BAND)))
+    banded = both.withColumn("_band", F.explode(own)).withColumn("_ks", F.collect_list("_k").over(Window.partitionBy("page", "_band"))).where("_is")
+    met = F.filter("_ks", lambda k: k["y"].between(F.col("_lo"), F.col("_hi")))
+    covered = F.aggregate(met, F.lit(0.0), lambda done, k: done + F.greatest(F.least(F.col("x1"), k["x1"]) - F.greatest(F.col("x0"), k["x0"]), F.lit(0.0)))
+    # Equal spans have equal rows in each band: one of them is worked out, and given as often as there are.
+    bandwise = banded.withColumn("_c", F.when(F.col("_lo").isNotNull(), covered)).groupBy(*spans.columns, "_band").agg(F.count("*").cast("int").alias("_n"), F.max("_c").alias("_c"))
+    whole = bandwise.groupBy(*spans.columns).agg(F.sum("_c").alias("_c"), F.max("_n").alias("_n"))
+    struck = F.coalesce(F.when(F.col("_c").isNotNull(), F.col("_c") / width >= STRUCK_WIDTH), F.lit(False)).alias("struck")
+    return whole.select(*spans.columns, struck, F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_copy")).drop("_copy")
 
 
 def lines_of(spans: DataFrame) -> DataFrame:

@@ -149,3 +149,13 @@ def test_headings(spark):
     body = F.lit(10.0)
     for x in table.select("*", L.is_heading(F.col("t"), F.col("s"), F.col("b"), body).alias("is"), L.heading_level(F.col("t"), F.col("s"), body).alias("lv")).collect():
         assert (x["is"], x.lv) == (x.want, x.level), x.t
+
+
+def test_strokes_meet_spans_in_one_shuffle(spark):
+    """Spans and strokes are shuffled by their page and never again up to the lines; what lacks a page meets nothing."""
+    spans = [(1, 1, 0, "a", 0.0, 0.0, 10.0, 200.0, 8.0, False)] * 3 + [(None, 1, 0, "b", 0.0, 0.0, 10.0, 10.0, 8.0, False), (1, 2, 0, "c", 0.0, 0.0, 0.0, 10.0, 8.0, False)]
+    strokes = [(1, 0.0, 69.0, 3.0, 71.0), (1, 3.0, 129.0, 6.0, 131.0), (None, 0.0, 4.0, 10.0, 6.0)]
+    found = L.with_struck(spark.createDataFrame(spans, SPAN), spark.createDataFrame(strokes, STROKE))
+    plan = L.lines_of(found)._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("== Initial Plan ==")].count("Exchange hashpartitioning(") + plan.count("BroadcastExchange") == 1
+    assert sorted((x.text, x.struck) for x in found.collect()) == [("a", True)] * 3 + [("b", False), ("c", False)]
