@@ -2,12 +2,14 @@
 
 Spans: page, line, ord, text, x0, y0, x1, y1, size, bold. Strokes (thin horizontal rules): page, x0, y0, x1, y1. Tables: page,
 table_no, x0, y0, x1, y1; their cells as a finder gives them: page, table_no, row_no, x0, x1. Coordinates grow to the right and
-down. Strokes meet spans and tables by bands of their height, never all of a page with all. Spans and
-strokes are shuffled once, by their page; inside it a band's strokes are a list.
+down. Strokes meet spans by bands of their height, never all of a page with all. Spans and strokes are shuffled once, by their
+page; inside it a band's strokes are a list. A table is worked out inside its row, which has its page's strokes and lines.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,9 +64,9 @@ def lines_of(spans: DataFrame) -> DataFrame:
 
 
 def _apart(edges: Column, gap: float) -> Column:
-    """Sorted edges without those that are within gap of the last one kept."""
+    """Edges in order without those that are within gap of the last one kept."""
     empty = F.array().cast(_EDGES)
-    return F.aggregate(F.array_sort(edges), empty, lambda done, e: F.when((F.size(done) == 0) | (e - F.element_at(done, -1) > gap), F.array_append(done, e)).otherwise(done))
+    return F.aggregate(edges, empty, lambda done, e: F.when((F.size(done) == 0) | (e - F.element_at(done, -1) > gap), F.array_append(done, e)).otherwise(done))
 
 
 def _bordered(edges: Column, low: Column, high: Column, gap: float) -> Column:
@@ -73,69 +75,103 @@ def _bordered(edges: Column, low: Column, high: Column, gap: float) -> Column:
     return F.when(high - F.element_at(first, -1) > gap, F.array_append(first, high)).otherwise(first)
 
 
-def column_edges(tables: DataFrame, cells: DataFrame) -> DataFrame:
-    """(page, table_no, columns): x positions where the cells of a quarter of the rows (two at least) begin or end."""
-    table = ["page", "table_no"]
-    rows = cells.groupBy(*table).agg(F.count_distinct("row_no").alias("n"))
-    ends = cells.select(*table, F.explode(F.array(F.bround("x0"), F.bround("x1"))).alias("x")).groupBy(*table, "x").agg(F.count("*").alias("c"))
-    often = ends.join(rows, table).where(F.col("c") >= F.greatest(F.lit(2), F.floor(COLUMN_SHARE * F.col("n"))))
-    listed = often.groupBy(*table).agg(F.collect_list("x").alias("xs"))
-    found = tables.join(listed, table).withColumn("xs", _apart(F.col("xs"), COLUMN_GAP))
-    return found.select(*table, _bordered(F.col("xs"), F.col("x0"), F.col("x1"), COLUMN_GAP).alias("columns"))
-
-
-def row_edges(tables: DataFrame, strokes: DataFrame) -> DataFrame:
-    """(page, table_no, rows): y positions of the rules that cross (nearly) a whole table. A rule's segments are the strokes
-    whose heights follow each other within a gap; its width is that of their union."""
-    table = ["page", "table_no"]
-    boxes = tables.select(*table, F.col("x0").alias("_x0"), F.col("y0").alias("_y0"), F.col("x1").alias("_x1"), F.col("y1").alias("_y1"))
-    a = boxes.withColumn("_band", F.explode(bands(F.col("_y0") - 2, F.col("_y1") + 2)))
-    b = strokes.select("page", "x0", "x1", ((F.col("y0") + F.col("y1")) / 2).alias("y")).withColumn("_band", F.floor(F.col("y") / BAND))
-    inside = a.join(b, ["page", "_band"]).where(F.col("y").between(F.col("_y0") - 2, F.col("_y1") + 2))
-    order = Window.partitionBy(*table).orderBy("y")
-    new = F.coalesce(F.col("y") - F.lag("y").over(order) > RULE_GAP, F.lit(True)).cast("int")
-    ruled = inside.withColumn("_new", new).withColumn("rule", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    cut = ruled.withColumns({"a": F.greatest("x0", "_x0"), "b": F.least("x1", "_x1")})
-    reach = F.max(F.when(F.col("b") > F.col("a"), F.col("b"))).over(Window.partitionBy(*table, "rule").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
-    more = F.when(F.col("b") > F.col("a"), F.greatest(F.col("b") - F.greatest(F.col("a"), F.coalesce(reach, F.col("a"))), F.lit(0.0))).otherwise(0.0)
-    rules = cut.withColumn("_more", more).groupBy(*table, "rule").agg(F.sum("_more").alias("covered"), F.avg("y").alias("y"), F.first("_x0").alias("_x0"), F.first("_x1").alias("_x1"))
-    crossing = rules.where(F.col("covered") >= RULE_WIDTH * (F.col("_x1") - F.col("_x0"))).groupBy(*table).agg(F.collect_list("y").alias("ys"))
-    found = boxes.join(crossing, table, "left").withColumn("ys", _apart(F.coalesce("ys", F.array().cast(_EDGES)), ROW_GAP))
-    return found.select(*table, _bordered(F.col("ys"), F.col("_y0"), F.col("_y1"), ROW_GAP).alias("rows"))
-
-
-def _cell_text(lines: Column, right: Column) -> Column:
-    """Lines of a cell, top to bottom: one that reaches the cell's right and does not end a sentence goes on with a space, the
-    others with a semicolon."""
-    none = F.struct(F.lit("").alias("text"), F.lit(False).alias("wrapped"))
+def _often(ends: Column, need: Column) -> Column:
+    """Of values in order those that stand there at least `need` times."""
+    return F.filter(ends, lambda x, i: F.get(ends, (i + need - 1).cast("int")) == x)
+
+
+def _ruled(strokes: Column) -> Column:
+    """Strokes in order of y with their rule's number: a new one begins where the height is more than a gap below the last."""
 
     def step(done: Column, s: Column) -> Column:
-        between = F.when(done["text"] == "", "").when(done["wrapped"], " ").otherwise("; ")
-        wrapped = (s["x1"] >= right - CELL_REST) & ~s["text"].rlike("[.:;]$")
-        return F.struct(F.concat(done["text"], between, s["text"]).alias("text"), wrapped.alias("wrapped"))
+        last = F.get(done, F.size(done) - 1)
+        rule = F.coalesce(last["rule"], F.lit(0)) + F.coalesce(s["y"] - last["y"] > RULE_GAP, F.lit(False)).cast("int")
+        return F.array_append(done, F.struct(rule.alias("rule"), s["a"].alias("a"), s["b"].alias("b"), s["y"].alias("y")))
+
+    return F.aggregate(strokes, F.array().cast("array<struct<rule:int,a:double,b:double,y:double>>"), step)
 
-    return F.trim(F.aggregate(lines, none, step)["text"])
+
+def _crossing(ruled: Column, width: Column) -> Column:
+    """Heights of the rules that cover nearly all of the width, of strokes in order of their rule, a and b."""
+    names = ("ys", "rule", "covered", "reach", "sum", "n")
+    held = lambda *values: F.struct(*[v.alias(c) for v, c in zip(values, names, strict=True)])
+    none = held(F.array().cast(_EDGES), F.lit(-1), F.lit(0.0), F.lit(None).cast("double"), F.lit(0.0), F.lit(0))
+
+    def closed(done: Column) -> Column:
+        return F.when((done["n"] > 0) & (done["covered"] >= RULE_WIDTH * width), F.array_append(done["ys"], done["sum"] / done["n"])).otherwise(done["ys"])
+
+    def step(done: Column, s: Column) -> Column:
+        more = F.coalesce(F.greatest(s["b"] - F.greatest(s["a"], done["reach"]), F.lit(0.0)), F.lit(0.0))
+        reach = F.when(s["b"] > s["a"], F.greatest(done["reach"], s["b"])).otherwise(done["reach"])
+        first = held(closed(done), s["rule"], F.greatest(s["b"] - s["a"], F.lit(0.0)), F.when(s["b"] > s["a"], s["b"]), s["y"], F.lit(1))
+        return F.when(done["rule"] == s["rule"], held(done["ys"], s["rule"], done["covered"] + more, reach, done["sum"] + s["y"], done["n"] + 1)).otherwise(first)
+
+    return F.aggregate(ruled, none, step, closed)
+
+
+def _cells(lines: Column, columns: Column) -> Column:
+    """Cells (r, c, text) of lines in order of r, c and place, top to bottom: one that reaches the cell's right and does not end
+    a sentence goes on with a space, the others with a semicolon."""
+    names = ("done", "r", "c", "text", "wrapped")
+    held = lambda *values: F.struct(*[v.alias(c) for v, c in zip(values, names, strict=True)])
+    none = held(F.array().cast("array<struct<r:int,c:int,text:string>>"), F.lit(0), F.lit(0), F.lit(""), F.lit(False))
+
+    def closed(last: Column) -> Column:
+        text = F.trim(last["text"])
+        return F.when(text == "", last["done"]).otherwise(F.array_append(last["done"], F.struct(last["r"].alias("r"), last["c"].alias("c"), text.alias("text"))))
+
+    def step(last: Column, s: Column) -> Column:
+        wrapped = (s["x1"] >= F.get(columns, s["c"]) - CELL_REST) & ~s["text"].rlike("[.:;]$")
+        longer = F.concat(last["text"], F.when(last["wrapped"], " ").otherwise("; "), s["text"])
+        same = (last["r"] == s["r"]) & (last["c"] == s["c"])
+        return F.when(same, held(last["done"], s["r"], s["c"], longer, wrapped)).otherwise(held(closed(last), s["r"], s["c"], s["text"], wrapped))
+
+    return F.aggregate(lines, none, step, closed)
+
+
+def gridded(tables: DataFrame) -> DataFrame:
+    """table_cells of tables that have in their row what they need: page, table_no, x0, y0, x1, y1, their own cells (row_no, x0,
+    x1), and their page's strokes (x0, y0, x1, y1) and lines (text, x0, y0, x1, y1). Nothing is shuffled."""
+    low, high, left, right = F.col("y0"), F.col("y1"), F.col("x0"), F.col("x1")
+    middle = lambda s, a, b: (s[a] + s[b]) / 2
+    row_count = F.size(F.array_distinct(F.array_compact(F.col("cells.row_no"))))
+    ends = F.sort_array(F.transform(F.concat("cells.x0", "cells.x1"), lambda x: F.bround(x)))
+    near = F.filter("strokes", lambda s: middle(s, "y0", "y1").between(low - 2, high + 2))
+    cut = F.transform(near, lambda s: F.struct(middle(s, "y0", "y1").alias("y"), F.greatest(s["x0"], left).alias("a"), F.least(s["x1"], right).alias("b")))
+    own = F.filter("lines", lambda s: (s["text"] != "") & middle(s, "x0", "x1").between(left, right) & middle(s, "y0", "y1").between(low, high))
+    edged = (
+        tables.where("page is not null and table_no is not null")
+        .withColumns({"_need": F.greatest(F.lit(2), F.floor(COLUMN_SHARE * row_count)), "_ends": ends, "_ruled": F.sort_array(_ruled(F.sort_array(cut)))})
+        .withColumns({"_xs": _apart(_often(F.col("_ends"), F.col("_need")), COLUMN_GAP), "_ys": _apart(_crossing(F.col("_ruled"), right - left), ROW_GAP)})
+        .withColumns({"_columns": _bordered(F.col("_xs"), left, right, COLUMN_GAP), "_rows": _bordered(F.col("_ys"), low, high, ROW_GAP)})
+        .withColumn("_own", F.transform(own, lambda s: F.struct(middle(s, "x0", "x1").alias("x"), middle(s, "y0", "y1").alias("y"), F.bround(s["y0"]).alias("top"), s["x0"].alias("left"), s["text"].alias("text"), s["x1"].alias("x1"))))
+    )
+    at = lambda edges, v: F.size(F.filter(edges, lambda e: e <= v))
+    placed = F.transform("_own", lambda s: F.struct(at("_rows", s["y"]).alias("r"), at("_columns", s["x"]).alias("c"), s["top"].alias("top"), s["left"].alias("left"), s["text"].alias("text"), s["x1"].alias("x1")))
+    inner = F.filter(placed, lambda s: s["r"].between(1, F.size("_rows") - 1) & s["c"].between(1, F.size("_columns") - 1))
+    grid = F.when((F.size("_columns") >= 3) & (F.size("_rows") >= 3), _cells(F.sort_array(inner), F.col("_columns")))
+    found = edged.select("page", "table_no", grid.alias("_cells")).withColumn("_filled", F.array_distinct("_cells.r"))
+    kept = F.when((F.size("_filled") >= 2) & (F.size("_cells") >= 3), F.col("_cells"))
+    numbered = F.transform(kept, lambda x: F.struct(F.array_position("_filled", x["r"]).cast("int").alias("row_no"), x["c"].alias("column_no"), x["text"].alias("text")))
+    return found.select("page", "table_no", F.inline(numbered))
 
 
 def table_cells(tables: DataFrame, cells: DataFrame, strokes: DataFrame, lines: DataFrame) -> DataFrame:
     """(page, table_no, row_no, column_no, text) of ruled tables: a grid of column and row edges, each line in the cell that has
     its centre; without empty cells and rows (rows are numbered anew). Tables of fewer than two columns or rows of edges, two
-    rows with text or three cells with text are none."""
-    table = ["page", "table_no"]
-    grid = tables.join(column_edges(tables, cells), table).join(row_edges(tables, strokes), table).where((F.size("columns") >= 3) & (F.size("rows") >= 3))
-    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
-    own = lines.where("text <> ''").select("page", "text", F.col("x1").alias("_right"), F.bround("y0").alias("_top"), F.col("x0").alias("_left"), middle("x0", "x1").alias("_x"), middle("y0", "y1").alias("_y"))
-    own = own.withColumn("_band", F.floor(F.col("_y") / BAND))
-    boxes = grid.withColumn("_band", F.explode(bands(F.col("y0"), F.col("y1"))))
-    met = boxes.join(own, ["page", "_band"]).where(F.col("_x").between(F.col("x0"), F.col("x1")) & F.col("_y").between(F.col("y0"), F.col("y1")))
-    at = lambda edges, c: F.size(F.filter(edges, lambda e: e <= F.col(c)))
-    met = met.withColumns({"r": at("rows", "_y"), "c": at("columns", "_x")}).where((F.col("r") >= 1) & (F.col("r") < F.size("rows")) & (F.col("c") >= 1) & (F.col("c") < F.size("columns")))
-    placed = F.array_sort(F.collect_list(F.struct("_top", "_left", "text", F.col("_right").alias("x1"))))
-    found = met.groupBy(*table, "r", "c").agg(_cell_text(placed, F.first(F.element_at("columns", F.col("c") + 1))).alias("text")).where("text <> ''")
-    numbered = found.withColumn("row_no", F.dense_rank().over(Window.partitionBy(*table).orderBy("r")))
-    whole = Window.partitionBy(*table)
-    kept = numbered.withColumns({"_rows": F.max("row_no").over(whole), "_cells": F.count("*").over(whole)}).where("_rows >= 2 and _cells >= 3")
-    return kept.select(*table, F.col("row_no").cast("int").alias("row_no"), F.col("c").cast("int").alias("column_no"), "text")
+    rows with text or three cells with text are none.
+
+    Column edges: where the cells of a quarter of the rows (two at least) begin or end. Row edges: the rules that cross (nearly)
+    a whole table; a rule's segments are the strokes whose heights follow each other within a gap, its width is that of their
+    union. All four tables are shuffled once, by their page, which is a row until its tables part."""
+    box, edges = ["x0", "y0", "x1", "y1"], ["row_no", "x0", "x1"]
+    parts = {"_tables": (tables, ["table_no", *box]), "_cells": (cells, ["table_no", *edges]), "strokes": (strokes, box), "lines": (lines, ["text", *box])}
+    rows = [df.where("page is not null").select("page", F.struct(*names).alias(part)) for part, (df, names) in parts.items()]
+    both = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    pages = both.groupBy("page").agg(*[F.collect_list(part).alias(part) for part in parts])
+    parted = pages.select("page", F.explode("_tables").alias("_t"), "_cells", "strokes", "lines")
+    own = F.transform(F.filter("_cells", lambda c: c["table_no"] == F.col("_t.table_no")), lambda c: F.struct(*[c[e].alias(e) for e in edges]))
+    return gridded(parted.select("page", "_t.*", own.alias("cells"), "strokes", "lines"))
 
 
 def rendered_tables(cells: DataFrame, pages: DataFrame | None = None) -> DataFrame:

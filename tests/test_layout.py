@@ -159,3 +159,23 @@ def test_strokes_meet_spans_in_one_shuffle(spark):
     plan = L.lines_of(found)._jdf.queryExecution().executedPlan().toString()
     assert plan[: plan.find("== Initial Plan ==")].count("Exchange hashpartitioning(") + plan.count("BroadcastExchange") == 1
     assert sorted((x.text, x.struck) for x in found.collect()) == [("a", True)] * 3 + [("b", False), ("c", False)]
+
+
+def test_grids_are_worked_out_in_their_pages_row(spark, tmp_path):
+    """One shuffle by page, from four tables and from an order's lines alike; a page's tables take their own cells, and what lacks
+    a page meets nothing."""
+    box = "page long, table_no int, x0 double, y0 double, x1 double, y1 double"
+    tables = [(p, t, 0.0, 100.0 * t, 100.0, 100.0 * t + 40.0) for p in (1, None) for t in (1, 2)]
+    cells = [(p, t, n, *x) for p in (1, None) for t in (1, 2) for n in range(2) for x in ((0.0, 40.0 + 10 * t), (40.0 + 10 * t, 100.0))]
+    strokes = [(p, 0.0, 100.0 * t + 19.5, 100.0, 100.0 * t + 20.5) for p in (1, None) for t in (1, 2)]
+    lines = [(p, f"{t}{n}{x}", 10.0 + x, 100.0 * t + 5 + 20 * n, 12.0 + x, 100.0 * t + 15 + 20 * n) for p in (1, None) for t in (1, 2) for n in range(2) for x in (0, 44)]
+    lines.append((1, " ", 10.0, 105.0, 12.0, 115.0))
+    found = L.table_cells(
+        spark.createDataFrame(tables, box), spark.createDataFrame(cells, "page long, table_no int, row_no int, x0 double, x1 double"),
+        spark.createDataFrame(strokes, STROKE), spark.createDataFrame(lines, "page long, text string, x0 double, y0 double, x1 double, y1 double"),
+    )
+    shuffles = lambda df: (p := df._jdf.queryExecution().executedPlan().toString())[: p.find("== Initial Plan ==")].count("Exchange hashpartitioning(") + p.count("BroadcastExchange")
+    assert shuffles(found) == 1
+    got = {(x.table_no, x.row_no, x.column_no): x.text for x in found.collect()}
+    # All lines of the second table stand left of 60, where its columns part: two cells, which are no table.
+    assert got == {(1, 1, 1): "; 100", (1, 1, 2): "1044", (1, 2, 1): "110", (1, 2, 2): "1144"}
