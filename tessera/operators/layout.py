@@ -177,10 +177,10 @@ def table_cells(tables: DataFrame, cells: DataFrame, strokes: DataFrame, lines:
 def rendered_tables(cells: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(page, table_no, text): tables as blocks of text, a line a row; of the selected pages only, where given."""
     own = cells if pages is None else cells.join(pages.select("page").distinct(), "page", "left_semi")
-    row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column_no", "text"))), lambda x: x["text"]), " | ")
-    rows = own.groupBy("page", "table_no", "row_no").agg(row.alias("row"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]), "\n")
-    return rows.groupBy("page", "table_no").agg(F.concat(F.lit("[TABLE]\n"), body, F.lit("\n[/TABLE]")).alias("text"))
+    listed = own.where("text is not null").groupBy("page", "table_no").agg(F.sort_array(F.collect_list(F.struct("row_no", "column_no", "text"))).alias("_cells"))
+    before = lambda x, i: F.when(i == 0, "").when(F.get("_cells", i - 1)["row_no"] == x["row_no"], " | ").otherwise("\n")
+    body = F.array_join(F.transform("_cells", lambda x, i: F.concat(before(x, i), x["text"])), "")
+    return listed.select("page", "table_no", F.concat(F.lit("[TABLE]\n"), body, F.lit("\n[/TABLE]")).alias("text"))
 
 
 def is_heading(text: Column, size: Column, bold: Column, body: Column, bullets: tuple[str, ...] = ("•", "-", "–", "*")) -> Column:

@@ -163,7 +163,9 @@ def test_strokes_meet_spans_in_one_shuffle(spark):
 
 def test_grids_are_worked_out_in_their_pages_row(spark, tmp_path):
     """One shuffle by page, from four tables and from an order's lines alike; a page's tables take their own cells, and what lacks
-    a page meets nothing."""
+    a page meets nothing. Of selected pages only, the others' lines are not grouped at all."""
+    from tessera.plans.layout import rendered_tables
+
     box = "page long, table_no int, x0 double, y0 double, x1 double, y1 double"
     tables = [(p, t, 0.0, 100.0 * t, 100.0, 100.0 * t + 40.0) for p in (1, None) for t in (1, 2)]
     cells = [(p, t, n, *x) for p in (1, None) for t in (1, 2) for n in range(2) for x in ((0.0, 40.0 + 10 * t), (40.0 + 10 * t, 100.0))]
@@ -179,3 +181,9 @@ def test_grids_are_worked_out_in_their_pages_row(spark, tmp_path):
     got = {(x.table_no, x.row_no, x.column_no): x.text for x in found.collect()}
     # All lines of the second table stand left of 60, where its columns part: two cells, which are no table.
     assert got == {(1, 1, 1): "; 100", (1, 1, 2): "1044", (1, 2, 1): "110", (1, 2, 2): "1144"}
+
+    spark.sql("select o_orderkey, if(o_orderkey = 1, 'O', 'F') o_orderstatus from values (1L), (2L) t(o_orderkey)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select k l_orderkey, n l_linenumber, 1L l_partkey, 1L l_suppkey, 1D l_extendedprice, 7D l_quantity, 0.1D l_discount, 'A' l_returnflag, 'F' l_linestatus from values (1L), (2L), (null) a(k), values (1), (2) b(n)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = rendered_tables(spark, str(tmp_path))
+    assert shuffles(found) <= 4
+    assert [tuple(x) for x in found.collect()] == [(1, 1, "[TABLE]\nAF | 7\nAF | 7.\n[/TABLE]")]
