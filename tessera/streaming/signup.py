@@ -9,7 +9,7 @@ is gone. Requests that send a code bring it along (`fresh`): making codes and ma
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
 import pandas as pd
@@ -20,7 +20,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 SECOND = 1_000_000
 #: Code's life, cooldown and allowance's hour in seconds; wrong attempts, codes an hour; life after expiry in seconds.
 LIFE, COOLDOWN, HOUR, ATTEMPTS, SENDS, KEPT = 600, 60, 3600, 5, 5, 86_400
-STATE = "expires long, attempts int, sends int, sent long, began long, code string, registered boolean"
+#: Keys of a stream's state: addresses share one by their hash, so that what a group costs does not grow with the addresses.
+SLOTS = 1024
+STATE = "address array<string>, expires array<long>, attempts array<int>, sends array<int>, sent array<long>, began array<long>, code array<string>, registered array<boolean>"
 
 
 @dataclass
@@ -78,26 +80,23 @@ def step(state: Waiting | None, now: int, action: str, code: str | None, fresh:
     return Waiting(now + LIFE * SECOND, 0, sends, now, began, fresh), "sent"
 
 
-def replay(state: Waiting | None, requests: Sequence[tuple[int, str, str | None, str | None]]) -> tuple[Waiting | None, list[str]]:
-    answers = []
-    for request in requests:
-        state, answer = step(state, *request)
-        answers.append(answer)
-    return state, answers
-
-
 def _rows(requests: DataFrame, key: str | Column, ident: str, at: str, action: str, code: str, fresh: str) -> DataFrame:
     """Addresses are compared trimmed and in lower case."""
     address = F.lower(F.trim(key)).alias("address")
     return requests.select(address, F.col(ident).alias("ident"), F.col(at).cast("timestamp").alias("t"), F.col(action).alias("action"), F.col(code).alias("code"), F.col(fresh).alias("fresh"))
 
 
-def _answered(part: pd.DataFrame, state: Waiting | None) -> tuple[pd.DataFrame, Waiting | None]:
+def _answered(part: pd.DataFrame, states: dict[str | None, Waiting]) -> pd.DataFrame:
+    """The requests of any addresses in order of time and ident; states are changed in place."""
     part = part.sort_values(["t", "ident"])
-    text = lambda c: [None if pd.isna(x) else x for x in part[c]]
-    times = part.t.astype("datetime64[us]").astype("int64").tolist()
-    state, answers = replay(state, list(zip(times, text("action"), text("code"), text("fresh"), strict=True)))
-    return pd.DataFrame({"address": part.address, "ident": part.ident, "answer": answers}), state
+    text = lambda c: [None if missing else x for x, missing in zip(part[c], part[c].isna(), strict=True)]
+    times, addresses, answers = part.t.astype("datetime64[us]").astype("int64").tolist(), text("address"), []
+    for address, *request in zip(addresses, times, text("action"), text("code"), text("fresh"), strict=True):
+        state, answer = step(states.pop(address, None), *request)
+        if state is not None:
+            states[address] = state
+        answers.append(answer)
+    return pd.DataFrame({"address": part.address, "ident": part.ident, "answer": answers})
 
 
 _OUT = "address string, ident long, answer string"
@@ -107,27 +106,29 @@ def sign_ups(requests: DataFrame, key: str | Column, ident: str, at: str, action
     """(address, ident, answer) of a table of requests, each address's in order of time and ident. The group that a task
     holds is one address's requests."""
     rows = _rows(requests, key, ident, at, action, code, fresh)
-    return rows.groupBy("address").applyInPandas(lambda part: _answered(part, None)[0], _OUT)
+    return rows.groupBy("address").applyInPandas(lambda part: _answered(part, {}), _OUT)
 
 
-def sign_up_stream(requests: DataFrame, key: str | Column, ident: str, at: str, action: str, code: str, fresh: str, late: str = "1 minute") -> DataFrame:
+def sign_up_stream(requests: DataFrame, key: str | Column, ident: str, at: str, action: str, code: str, fresh: str, late: str = "1 minute", slots: int = SLOTS) -> DataFrame:
     """The same over a stream, requests of an address at most `late` out of order. A waiting sign-up's state goes by a timer a
-    day after its code expired; that an address is registered stays."""
-    rows = _rows(requests, key, ident, at, action, code, fresh).withWatermark("t", late)
+    day after its code expired; that an address is registered stays. Addresses with the same hash share a row of the state
+    and its timer, which is set to the first of them to go; `slots` holds for the life of a checkpoint."""
+    rows = _rows(requests, key, ident, at, action, code, fresh).withWatermark("t", late).withColumn("slot", F.pmod(F.xxhash64("address"), F.lit(slots)))
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        states = {address: Waiting(*values) for address, *values in zip(*held.get, strict=True)} if held.exists else {}
         if held.hasTimedOut:
-            held.remove()
-            return
-        state = Waiting(*held.get) if held.exists else None
-        out, state = _answered(pd.concat(list(parts)), state)
-        yield out
-        if state is None:
+            now = held.getCurrentWatermarkMs() * 1000
+            states = {address: state for address, state in states.items() if not state.gone(now)}
+        else:
+            yield _answered(pd.concat(list(parts)), states)
+        if not states:
             if held.exists:
                 held.remove()
             return
-        held.update(astuple(state))
-        if not state.registered:
-            held.setTimeoutTimestamp(max((state.expires + KEPT * SECOND) // 1000 + 1, held.getCurrentWatermarkMs() + 1))
+        held.update(tuple(map(list, zip(*((address, *astuple(state)) for address, state in states.items()), strict=True))))
+        waiting = [state.expires for state in states.values() if not state.registered]
+        if waiting:
+            held.setTimeoutTimestamp(max((min(waiting) + KEPT * SECOND) // 1000 + 1, held.getCurrentWatermarkMs() + 1))
 
-    return rows.groupBy("address").applyInPandasWithState(run, _OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("slot").applyInPandasWithState(run, _OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -170,3 +170,29 @@ def test_sends_after_the_moment_do_not_count(spark, tmp_path):
 
     spark.sql("select * from values (1L, timestamp_ntz'2024-01-20 00:00:00.4'), (2L, timestamp_ntz'2024-01-19 23:59:59.4') t(user_id, ts)").write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in send_gate(spark, str(tmp_path)).collect()] == [(2, 599, True)]
+
+
+def test_addresses_share_a_row_of_the_streams_state(spark, tmp_path):
+    """Rows of state and calls a micro-batch are bounded by the slots, not by the addresses; in a shared row a sign-up is gone a
+    day after its code expired, while what is registered or waits longer stays."""
+    from pyspark.sql import functions as F
+
+    from tessera.streaming import signup as U
+
+    day, names = 86_400, ["email", "ident", "at", "action", "code", "fresh"]
+    # Of 59 addresses (one of them null) every third one gives its code; the last one of 60 begins a day later than the others.
+    most, every = range(59), range(60)
+    steps = [(0, "start", most), (10, "verify", most), (day, "start", [59]), (day + 700, "verify", [1, 59]), (3 * day, "start", every)]
+    rows = [(100 * n + k, 1_700_000_000 + at, None if k == 58 else f"a{k}", action, "x" if k % 3 == 0 else "z", "x") for n, (at, action, some) in enumerate(steps) for k in some]
+    schema = "ident long, at long, email string, action string, code string, fresh string"
+    table = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("at"))
+    for n in range(len(steps)):
+        table.where(F.col("ident").between(100 * n, 100 * n + 99)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = U.sign_up_stream(stream, *names, slots=4).writeStream.format("memory").queryName("shared_state").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(held) <= 4
+    got = {x.ident: (x.address, x.answer) for x in spark.table("shared_state").collect()}
+    assert got == {x.ident: (x.address, x.answer) for x in U.sign_ups(table, *names).collect()} and len(got) == len(rows)
+    assert (got[301], got[359], got[401], got[403], got[458]) == (("a1", "none"), ("a59", "expired"), ("a1", "sent"), ("a3", "registered"), (None, "sent"))
