@@ -118,24 +118,25 @@ def digests(words: int):
     return run
 
 
-def add_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the counters of each segment in the partition; at most SEGMENTS rows come out."""
+def segment_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The summed counters of each segment in the partition as one byte a counter (its logarithm); at most SEGMENTS rows come out."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for s, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             x = np.frombuffer(c.as_buffer(), np.int32).astype(np.int64)
             total[s] = total[s] + x if s in total else x
     for s, x in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["segment", "counters"])
+        level = np.minimum(255, 4 * np.log2(1.0 + x)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["segment", "levels"])
 
 
 def rarity_levels(parts: DataFrame) -> np.ndarray:
-    """The whole sketch as one byte a counter (its logarithm): 1 MB, whatever the input."""
-    summed = parts.repartition(SEGMENTS, "segment").mapInArrow(add_counters, "segment int, counters binary").toArrow()
-    sketch = np.zeros((SEGMENTS, (1 << SKETCH_BITS) // SEGMENTS), np.int64)
-    for s, c in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist(), strict=True):
-        sketch[s] += np.frombuffer(c, np.int64)
-    return np.minimum(255, 4 * np.log2(1.0 + sketch)).astype(np.uint8).reshape(-1)
+    """The whole sketch as one byte a counter (its logarithm): 1 MB, whatever the input, and no more of it comes to the driver."""
+    found = parts.repartition(SEGMENTS, "segment").mapInArrow(segment_levels, "segment int, levels binary").toArrow()
+    levels = np.zeros((SEGMENTS, (1 << SKETCH_BITS) // SEGMENTS), np.uint8)
+    for s, c in zip(found.column(0).to_pylist(), found.column(1), strict=True):
+        levels[s] = np.frombuffer(c.as_buffer(), np.uint8)
+    return levels.reshape(-1)
 
 
 def prefixes(words: int, percent: int, levels):
@@ -194,7 +195,7 @@ def wanted_sets(words: int, wanted, whole: bool):
         seen = set()
         own = batches
         if wanted is not None:
-            want = wanted.value
+            want = np.unpackbits(wanted.value).view(bool)
             own = (b.filter(pa.array(want[slots(b.column("doc_id"))] | b.column("doc_id").is_null().to_numpy(zero_copy_only=False))) for b in batches)
         for _, sets in texts_of((b for b in own if b.num_rows), words):
             rows = []
@@ -224,7 +225,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, words: int, pairs: DataFrame, w
         found = least.select(bit.cast("int").alias("b")).distinct().toArrow()  # MOST_WANTED numbers at most
         bits = np.zeros(1 << WANTED_BITS, bool)
         bits[found.column(0).to_numpy()] = True
-        wanted = docs.sparkSession.sparkContext.broadcast(bits)
+        wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
     return own.mapInArrow(wanted_sets(words, wanted, whole), "k long, n int, items binary").dropDuplicates(["k"])
 
 

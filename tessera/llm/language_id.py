@@ -71,48 +71,58 @@ class Model(NamedTuple):
     bias: np.ndarray
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, reg: float = 1e-4) -> np.ndarray:
-    """Squared-hinge linear machine with a bias as last weight, by Nesterov's accelerated gradient steps."""
+def linear_svm(blocks: list[np.ndarray], y: np.ndarray, rounds: int = 150, reg: float = 1e-4) -> np.ndarray:
+    """Squared-hinge linear machine with a bias as last weight, by Nesterov's accelerated gradient steps. The rows are those of
+    all blocks, which are read where they lie."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1] + 1, np.float32)
+    cuts = np.cumsum([len(b) for b in blocks])[:-1]
+    w = np.zeros(blocks[0].shape[1] + 1, np.float32)
     v, t = w.copy(), 1.0
-    step = 1.0 / (2 * float((share[:, None] * x * x).sum()) + 2 + reg)
+    step = 1.0 / (2 * float(sum((s @ np.einsum("ij,ij->i", b, b) for b, s in zip(blocks, np.split(share, cuts), strict=True)), 0.0)) + 2 + reg)
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        slack = np.maximum(0, 1 - y * (np.concatenate([b @ v[:-1] for b in blocks]) + v[-1]))
         g = -2 * share * y * slack
-        new = v - step * np.append(x.T @ g + reg * v[:-1], g.sum()).astype(np.float32)
+        slope = sum(b.T @ part for b, part in zip(blocks, np.split(g, cuts), strict=True))
+        new = v - step * np.append(slope + reg * v[:-1], g.sum()).astype(np.float32)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, w, t = new + np.float32((t - 1) / t_new) * (new - w), new, t_new
     return w
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
+    """The machines. The driver holds one matrix of shares (4 bytes for each text and bucket) and no copy of it: its rows are
+    in order of languages, so a language's are one block."""
     names = sorted(set(langs))
     if not names:
         return Model([], [], [], np.zeros((1 << DIMS, 0), np.float32), np.zeros(0, np.float32))
     y = np.array([names.index(x) for x in langs])
+    order = np.argsort(y, kind="stable")
+    y = y[order]
     by_family: dict[str, list[int]] = {}
     for i, name in enumerate(names):
         by_family.setdefault(FAMILY_OF.get(name.lower()[:2] if "-" in name or "_" in name else name.lower(), name), []).append(i)
     families = list(by_family.values())
     pairs = [p for f in families for p in combinations(f, 2)]
     x = np.zeros((len(texts), 1 << DIMS), np.float32)
-    for i, text in enumerate(texts):
-        bucket, _ = trigrams(*text_bytes(pa.array([text])))
+    squares = np.zeros(1 << DIMS, np.float32)
+    for i, at in enumerate(order.tolist()):
+        bucket, _ = trigrams(*text_bytes(pa.array([texts[at]])))
         x[i] = np.bincount(bucket, minlength=1 << DIMS) / max(1, len(bucket))
-    scale = (1 / (np.sqrt((x * x).mean(axis=0)) + 1e-4)).astype(np.float32)
+        squares += x[i] * x[i]
+    scale = (1 / (np.sqrt(squares / np.float32(len(texts))) + 1e-4)).astype(np.float32)
     x *= scale
-    norm = np.float32(1 / max(1e-9, np.sqrt((x * x).sum(axis=1).mean())))
+    norm = np.float32(1 / max(1e-9, np.sqrt(np.array([(row * row).sum() for row in x]).mean())))
     x *= norm
     columns = []
     family_of = np.empty(len(names), int)
     for k, f in enumerate(families):
         family_of[f] = k
     if len(families) > 1:
-        columns += [linear_svm(x, np.where(family_of[y] == k, 1, -1).astype(np.float32)) for k in range(len(families))]
-    for a, b in pairs:
-        own = (y == a) | (y == b)
-        columns.append(linear_svm(x[own], np.where(y[own] == a, 1, -1).astype(np.float32)))
+        columns += [linear_svm([x], np.where(family_of[y] == k, 1, -1).astype(np.float32)) for k in range(len(families))]
+    ends = np.searchsorted(y, np.arange(len(names) + 1))
+    for a, b in pairs:  # a < b
+        blocks = [x[ends[a] : ends[b + 1]]] if b == a + 1 else [x[ends[k] : ends[k + 1]] for k in (a, b)]
+        columns.append(linear_svm(blocks, np.repeat(np.float32([1, -1]), [ends[a + 1] - ends[a], ends[b + 1] - ends[b]])))
     w = np.array(columns, np.float32).reshape(len(columns), -1) if columns else np.zeros((0, (1 << DIMS) + 1), np.float32)
     return Model(names, families, pairs, np.ascontiguousarray((w[:, :-1] * scale * norm).T), w[:, -1])
 

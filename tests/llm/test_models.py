@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -80,6 +81,19 @@ def test_languages_equal_plain_loops(spark, monkeypatch):
         assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4)
 
 
+def test_language_fit_holds_one_matrix():
+    """The driver has the matrix of shares, and no second one beside it; the texts' order leaves the machines as they are."""
+    rows = [(f"{lang} {word} {i} {word[::-1]}", lang) for i in range(300) for lang, word in (("de", "wort"), ("fr", "mot"), ("en", "word"), ("es", "palabra"), ("nl", "woord"))]
+    tracemalloc.start()
+    model = language_id.fit(*map(list, zip(*rows, strict=True)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.3 * 4 * len(rows) * (1 << language_id.DIMS)
+    again = language_id.fit(*map(list, zip(*sorted(rows, key=lambda r: r[1]), strict=True)))
+    assert model.langs == again.langs == ["de", "en", "es", "fr", "nl"] and model.pairs == again.pairs
+    assert np.array_equal(model.weights, again.weights) and np.array_equal(model.bias, again.bias)
+
+
 def test_bounded_sample(spark):
     """Hard limits: of each label, of rows equal in key, of labels."""
     rows = [(i % 50 if i < 900 else 7, f"t{i % 300}" if i < 900 else "same", "a" if i % 10 else "b") for i in range(2000)] + [(1, "x", f"rare{i}") for i in range(30)]
