@@ -56,11 +56,13 @@ class Scratch:
         self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.held: list[tuple[DataFrame, str]] = []
 
-    def write(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-        """Write df once and read it back."""
+    def write(self, df: DataFrame, name: str, compression: str | None = None, row_group: int | None = None) -> DataFrame:
+        """Write df once and read it back. row_group: bytes of a row group as written (100 rows at least), for tables of wide
+        rows: a task holds one when it writes, and reads up to 4,096 rows of one at a time."""
         path = f"{self.folder}/{name}-{len(self.held)}"
+        options = {"parquet.block.size": row_group} if row_group else {}
         with bounded_batches(self.spark):
-            df.write.parquet(path, compression=compression)
+            df.write.options(**options).parquet(path, compression=compression)
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,8 @@ ends becomes boundary records, and only these meet, by the number of their seque
 sequences but the very last are full.
 
 A chunk is a row of a written table, so its offset and its cuts are the same however often they are worked out, and no task
-needs to see where another one ended. Order is that of the input's partitions and rows.
+needs to see where another one ended. Its row is wide, so row groups are small: a task writes and reads some hundred chunks at
+a time, however many there are in a file. Order is that of the input's partitions and rows.
 
 Ids are those of the vocabulary's own library. Latin-1 texts without special strings, for which the two splitters' patterns
 agree character by character, are encoded by the faster library over the same vocabulary as ranks.
@@ -40,6 +41,8 @@ from .common import Scratch, running_sum, table
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 LENGTH, END_ID = 2048, 1
 CHUNK_TOKENS = 1 << 15
+#: Bytes of a row group of chunks as written.
+ROW_GROUP = 8 << 20
 #: Bytes of an id.
 WIDE = 4
 OWN = ("start", "length", "doc_tokens", "offset")
@@ -175,7 +178,7 @@ def packed_sequences(
         ]
     )
     encode = encode_chunks(vocabulary, ranks, end_id, keys, to_arrow_type(piece), chunk_tokens)
-    chunks = scratch.write(docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(encode, schema), "chunks", compression="zstd")
+    chunks = scratch.write(docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(encode, schema), "chunks", compression="zstd", row_group=ROW_GROUP)
 
     totals = chunks.groupBy("part").agg(F.sum("size").alias("total")).withColumn("every", F.lit(0))
     first = scratch.write(running_sum(totals, ["every"], "part", "total", "first").select("part", "first"), "first")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,3 +108,23 @@ def test_edges(spark):
     assert P.packed_sequences(rows.limit(0), ["doc_id"]).count() == 0
     with pytest.raises(ValueError):
         P.packed_sequences(rows.withColumnRenamed("part", "Offset"), ["Offset"])
+
+
+def test_chunks_are_read_in_small_parts(spark, monkeypatch):
+    """A file with many chunks has many row groups, so no reader's batch holds a whole file's ids."""
+    monkeypatch.setattr(P, "ROW_GROUP", 1 << 14)
+    written = []
+    write = P.Scratch.write
+
+    def noted(self, df, name, *args, **more):
+        out = write(self, df, name, *args, **more)
+        written.extend((name, path.removeprefix("file:")) for path in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(P.Scratch, "write", noted)
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat(sha2(string(id), 512), 4) as text").coalesce(1)
+    total = P.packed_sequences(docs, ["doc_id"], chunk_tokens=512).agg(F.sum("size")).first()[0]
+    [path] = [path.removeprefix("//") for name, path in written if name == "chunks"]
+    found = pq.ParquetFile(path).metadata
+    sizes = [found.row_group(i).num_rows for i in range(found.num_row_groups)]
+    assert sum(sizes) == -(-total // 512) > 200 and max(sizes) <= 100
