@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules as R
 from ..operators import trees as T
-from ..sources.tables import load
+from ..sources.tables import load, materialise
 from .registry import query
 
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
@@ -38,8 +38,15 @@ def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)))
 
 
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    """(l_orderkey, lines), a row for each order, its lines in order, numbered: one shuffle, written once for all that reads them."""
+    lines = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*_ORDER, "l_returnflag", "l_linestatus"))).alias("lines"))
+    kept = ("l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    return materialise(lines.select("l_orderkey", F.transform("lines", lambda x, i: F.struct((i + 1).alias("n"), *[x[c].alias(c) for c in kept])).alias("lines")), "orders")
+
+
 def heap(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines = numbered_lines(spark, d)
+    lines = orders(spark, d).select("l_orderkey", F.inline("lines"))
     number = F.col("l_orderkey") * 100 + F.col("n")
     parent = F.when(F.col("n") > 2, F.col("l_orderkey") * 100 + F.floor(F.col("n") / 2))
     operator = F.when(F.col("l_linestatus") == "O", "AND").otherwise("OR")
@@ -215,20 +222,23 @@ def refused_trees(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- two levels, two versions
 
 
-def two_levels(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def two_levels(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """An AND group for each return flag of an order, below it an OR group for each line status, its lines as rules."""
-    top = F.col("l_orderkey") * 1000 + F.ascii("l_returnflag")
-    low = top + F.ascii("l_linestatus") * 1000000000000
-    number = lambda c: F.ascii(c).alias("group_number")
-    notice = F.col("l_orderkey").alias("notice")
-    roots = lines.select(notice, top.alias("group_id"), F.lit(None).cast("long").alias("parent_group_id"), number("l_returnflag"), F.lit("AND").alias("logical_operator")).distinct()
-    kids = lines.select(notice, low.alias("group_id"), top.alias("parent_group_id"), number("l_linestatus"), F.lit("OR").alias("logical_operator")).distinct()
+    top = lambda x: F.col("l_orderkey") * 1000 + F.ascii(x("l_returnflag"))
+    low = lambda x: top(x) + F.ascii(x("l_linestatus")) * 1000000000000
+
+    def group(ident: Column, parent: Column, number: Column, operator: str) -> Column:
+        return F.struct(ident.alias("group_id"), parent.alias("parent_group_id"), F.ascii(number).alias("group_number"), F.lit(operator).alias("logical_operator"))
+
+    roots = F.transform("lines", lambda x: group(top(x.getItem), F.lit(None).cast("long"), x["l_returnflag"], "AND"))
+    kids = F.transform("lines", lambda x: group(low(x.getItem), top(x.getItem), x["l_linestatus"], "OR"))
+    groups = found.select(F.col("l_orderkey").alias("notice"), F.inline(F.array_distinct(F.concat(roots, kids))))
     odd = F.col("l_linenumber") % 2 == 1
-    rules = lines.select(
-        (F.col("l_orderkey") * 100 + F.col("n")).alias("rule_id"), low.alias("group_id"), F.when(odd, "CGPA").otherwise("State").alias("attribute"),
+    rules = found.select("l_orderkey", F.inline("lines")).select(
+        (F.col("l_orderkey") * 100 + F.col("n")).alias("rule_id"), low(F.col).alias("group_id"), F.when(odd, "CGPA").otherwise("State").alias("attribute"),
         F.when(odd, ">=").otherwise("=").alias("operator"), F.col("l_quantity").cast("int").cast("string").alias("value"),
     )
-    return roots.unionByName(kids), rules
+    return groups, rules
 
 
 def _levels(v: str, lines: str) -> str:
@@ -260,7 +270,7 @@ union all select notice, identity, notice * 1000 + ascii(flag) + ascii(status) *
 select group_id, min(group_id) over (partition by notice, identity) as first_group_id, count(*) over (partition by notice, identity) as n from every""")
 def same_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each group with the first group of its order that is the same by operator, rules and children, wherever both stand."""
-    found = T.described(*two_levels(numbered_lines(spark, d)))
+    found = T.described(*two_levels(orders(spark, d)))
     same = Window.partitionBy("notice", "identity")
     return found.select("group_id", F.min("group_id").over(same).alias("first_group_id"), F.count("*").over(same).alias("n"))
 
@@ -293,7 +303,8 @@ union all
 select notice, 'eligibility_rules.rule_groups[' || prefix || '].rules[' || place || '].value', 'MODIFIED', a_value, b_value from leaves where a_value <> b_value""")
 def group_changes(spark: SparkSession, d: str) -> DataFrame:
     """Orders' trees without their third lines, against those without their first lines and with one more of the second."""
-    lines = numbered_lines(spark, d)
-    more = F.when(F.col("l_linenumber") == 2, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
-    old, new = lines.where("l_linenumber <> 3"), lines.where("l_linenumber <> 1").withColumn("l_quantity", more)
+    found = orders(spark, d)
+    more = lambda x: F.when(x["l_linenumber"] == 2, x["l_quantity"] + 1).otherwise(x["l_quantity"])
+    old = found.withColumn("lines", F.filter("lines", lambda x: x["l_linenumber"] != 3))
+    new = found.withColumn("lines", F.transform(F.filter("lines", lambda x: x["l_linenumber"] != 1), lambda x: x.withField("l_quantity", more(x))))
     return T.group_changes(*two_levels(old), *two_levels(new))
